@@ -26,12 +26,17 @@ Q_VEC, M_VEC, Q_NORM, M_NORM = "_q_vec", "_m_vec", "_q_norm", "_m_norm"
 
 def _prep(queries: DataFrame, memories: DataFrame, keys, qid, mid, qvec, mvec,
           tiebreak, carry, live_only, qcarry=()):
-    qextra = [c for c in qcarry if c not in keys and c != qid]
-    q = queries.select(*keys, qid, *qextra, F.col(qvec).alias(Q_VEC), V.norm(qvec).alias(Q_NORM))
+    # Every column is re-aliased so both sides get fresh attribute ids: the two
+    # inputs are often the same table (self-similarity), and the blocked join
+    # below would otherwise be an ambiguous self-join.
+    def fresh(names):
+        return [F.col(c).alias(c) for c in names]
+    qextra = list(dict.fromkeys(c for c in qcarry if c not in keys and c != qid))
+    q = queries.select(*fresh([*keys, qid, *qextra]), F.col(qvec).alias(Q_VEC), V.norm(qvec).alias(Q_NORM))
     m = live(memories) if live_only else memories
     extra = [c for c in list(tiebreak) + list(carry or []) if c not in keys and c != mid]
     extra = list(dict.fromkeys(extra))
-    m = m.select(*keys, mid, F.col(mvec).alias(M_VEC), V.norm(mvec).alias(M_NORM), *extra)
+    m = m.select(*fresh([*keys, mid]), F.col(mvec).alias(M_VEC), V.norm(mvec).alias(M_NORM), *fresh(extra))
     return q, m
 
 
@@ -46,7 +51,7 @@ def knn_exact(queries: DataFrame, memories: DataFrame, k: int, *,
               tiebreak: Sequence[str] = ("importance",), carry: Sequence[str] | None = None,
               live_only: bool = True, block_rows: int | None = BLOCK_ROWS,
               score: str = "score", rank: str = "rank", qcarry: Sequence[str] = (),
-              method: str = "block") -> DataFrame:
+              method: str = "block", exclude_col: str | None = None) -> DataFrame:
     """Per query: rows of the same tenant (``keys``), live only, ordered by
     cosine desc, ``tiebreak`` desc, id asc; the first ``k`` (pre-filter
     semantics).  Output: qid, keys, qcarry, mid, tiebreak + carry, score, rank.
@@ -54,16 +59,23 @@ def knn_exact(queries: DataFrame, memories: DataFrame, k: int, *,
     method="block" (default) scores each (tenant, query block, memory block)
     as one dense matrix product in an Arrow batch and emits only its k best
     rows per query, so pairs never become rows.  method="sql" scores pairs
-    with a native dot-product expression after a blocked equi-join."""
+    with a native dot-product expression after a blocked equi-join.
+
+    ``exclude_col`` names a query-side column; a memory whose id equals it is
+    not a candidate (self-exclusion before the top-k cut)."""
     keys = list(keys)
     tiebreak = list(tiebreak)
+    qcarry = list(qcarry) + ([exclude_col] if exclude_col and exclude_col not in qcarry else [])
     q, m = _prep(queries, memories, keys, qid, mid, qvec, mvec, tiebreak, carry, live_only, qcarry)
     if method == "sql":
         pairs = blocked_join(q, m, keys, qid, mid, block_rows)
+        if exclude_col:
+            pairs = pairs.where(F.col(mid) != F.col(exclude_col))
         scored = pairs.withColumn(score, V.cosine_from_parts(V.dot(Q_VEC, M_VEC), F.col(Q_NORM), F.col(M_NORM)))
         scored = scored.drop(Q_VEC, M_VEC, Q_NORM, M_NORM)
     elif method == "block":
-        scored = _block_scores(q, m, k, keys, qid, mid, tiebreak, score, block_rows or BLOCK_ROWS)
+        scored = _block_scores(q, m, k, keys, qid, mid, tiebreak, score, block_rows or BLOCK_ROWS,
+                               exclude_col)
     else:
         raise ValueError(f"unknown knn method {method!r}")
     w = Window.partitionBy(qid).orderBy(*_order(score, tiebreak, mid))
@@ -76,17 +88,19 @@ def knn_block(queries: DataFrame, memories: DataFrame, k: int, **kw) -> DataFram
     return knn_exact(queries, memories, k, **kw)
 
 
-def _block_scores(q: DataFrame, m: DataFrame, k: int, keys, qid, mid, tiebreak, score, block_rows):
+def _block_scores(q: DataFrame, m: DataFrame, k: int, keys, qid, mid, tiebreak, score, block_rows,
+                  exclude_col=None):
     q2, m2, on = blocked(q, m, keys, qid, mid, block_rows)
     q_out = [c for c in q.columns if c not in (Q_VEC, Q_NORM)]
     m_out = [c for c in m.columns if c not in (M_VEC, M_NORM) and c not in keys]
     schema = T.StructType([q.schema[c] for c in q_out] + [m.schema[c] for c in m_out]
                           + [T.StructField(score, T.DoubleType())])
-    fn = _block_topk_fn(k, q_out, m_out, mid, list(tiebreak), score)
+    fn = _block_topk_fn(k, q_out, m_out, mid, list(tiebreak), score, exclude_col)
     return (q2.groupBy(*on).cogroup(m2.groupBy(*on)).applyInPandas(fn, schema))
 
 
-def _block_topk_fn(k: int, q_out: list[str], m_out: list[str], mid: str, tiebreak: list[str], score: str):
+def _block_topk_fn(k: int, q_out: list[str], m_out: list[str], mid: str, tiebreak: list[str], score: str,
+                   exclude_col: str | None = None):
     def fn(qdf: pd.DataFrame, mdf: pd.DataFrame) -> pd.DataFrame:
         if len(qdf) == 0 or len(mdf) == 0:
             return pd.DataFrame({c: [] for c in q_out + m_out + [score]})
@@ -96,10 +110,17 @@ def _block_topk_fn(k: int, q_out: list[str], m_out: list[str], mid: str, tiebrea
         with np.errstate(divide="ignore", invalid="ignore"):
             S = np.where(den > 0, (Q @ M.T) / den, np.nan)
         fill = np.where(np.isnan(S), -np.inf, S)
+        allowed = None
+        if exclude_col:
+            allowed = qdf[exclude_col].to_numpy().astype(str)[:, None] != mdf[mid].to_numpy().astype(str)[None, :]
+            fill = np.where(allowed, fill, -np.inf)
         n = S.shape[1]
         kk = min(k, n)
         thr = np.partition(fill, n - kk, axis=1)[:, n - kk]
-        qi, mj = np.nonzero(fill >= thr[:, None])
+        cand = fill >= thr[:, None]
+        if allowed is not None:
+            cand &= allowed
+        qi, mj = np.nonzero(cand)
         # order: query, score desc, tiebreaks desc (nulls last), id asc
         mid_rank = np.argsort(np.argsort(mdf[mid].to_numpy().astype(str), kind="stable"), kind="stable")
         sort_keys = [mid_rank[mj]]
