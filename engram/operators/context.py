@@ -3,7 +3,7 @@ greedy token-budget packing, for many requests at once."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import INTENT_WEIGHTS
@@ -19,3 +19,227 @@ def intent_weights(spark: SparkSession, overrides: dict | None = None) -> DataFr
                 w = overrides[intent][key]
             rows.append((intent, key, float(w)))
     return spark.createDataFrame(rows, "intent string, weight_key string, weight double")
+
+
+def normalize_intent(col) -> Column:
+    """Free-text model reply -> one of the five intents (checked in this
+    order: "how", "happened", "what_is"/"what is", "debug"; then an exact
+    intent name; else general)."""
+    c = F.col(col) if isinstance(col, str) else col
+    t = F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "[\"']", "")))
+    return (F.when(t.contains("how"), "how_to")
+            .when(t.contains("happened"), "what_happened")
+            .when(t.contains("what_is") | t.contains("what is"), "what_is")
+            .when(t.contains("debug"), "debug")
+            .when(t.isin(*INTENT_WEIGHTS.keys()), t)
+            .otherwise("general"))
+
+
+def request_weights(requests: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """(request_id, weight_key, weight) for each request's intent; unknown
+    intents use the general profile.  The profile table is a fixed 33-row
+    constant, so it is broadcast."""
+    w = weights if weights is not None else intent_weights(requests.sparkSession)
+    known = list(INTENT_WEIGHTS)
+    r = requests.select("request_id", F.when(F.col("intent").isin(known), F.col("intent"))
+                        .otherwise(F.lit("general")).alias("intent"))
+    return r.join(F.broadcast(w), "intent").drop("intent")
+
+
+def budget_split(requests: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """Per request: working budget = int(budget * w_wm); the long-term keys'
+    budgets need the working tokens actually used (see ``assemble_context``),
+    so this returns the weights next to the budget."""
+    rw = request_weights(requests, weights)
+    return requests.select("request_id", "token_budget").join(rw, "request_id")
+
+
+def working_context(items: DataFrame, req: DataFrame) -> DataFrame:
+    """req (request_id, session_id, working_budget) -> picked working items
+    (pinned desc, sequence desc, greedy skip under the working budget), with
+    the tokens used."""
+    from .working import greedy_pick
+    key = F.struct((~F.col("pinned")).alias("k0"), (-F.col("sequence_num")).alias("k1"),
+                   F.col("item_id").alias("id"), F.col("token_count").cast("long").alias("tok"))
+    lists = items.groupBy("session_id").agg(F.sort_array(F.collect_list(key)).alias("_xs"))
+    j = req.join(lists, "session_id", "left")
+    empty = F.array().cast(lists.schema["_xs"].dataType)
+    folded = j.withColumn("_r", greedy_pick(F.coalesce("_xs", empty), F.col("working_budget")))
+    return folded.select("request_id", "session_id", F.col("_r.used").alias("working_used"),
+                         F.posexplode_outer("_r.picked").alias("position", "item_id"))
+
+
+def score_candidates(hits: DataFrame, focus_col: str = "focus_entities") -> DataFrame:
+    """score = similarity * weight * (1 + importance), then x (1 + 0.3 m) for m
+    matching focus entities."""
+    from .search import entity_boost, entity_matches
+    m = entity_matches(focus_col, "entities")
+    base = F.col("similarity") * F.col("weight") * (F.lit(1.0) + F.col("importance"))
+    return (hits.withColumn("entity_matches", m)
+            .withColumn("score", entity_boost(base, m, "context")))
+
+
+def explain_inclusion(cat, sub, matches, score) -> Column:
+    parts = F.concat_ws(" | ",
+                        F.concat(_col(cat), F.lit("."), _col(sub), F.lit(" memory")),
+                        F.when(_col(matches) > 0, F.lit("entity match")),
+                        F.when(_col(score) > 0.8, F.lit("highly relevant"))
+                        .when(_col(score) > 0.5, F.lit("relevant")))
+    return parts
+
+
+def _col(x) -> Column:
+    return F.col(x) if isinstance(x, str) else x
+
+
+def pack_context(cands: DataFrame, budget_col: str = "token_budget", start_col: str = "working_used",
+                 dedup_prefix: int = 200) -> DataFrame:
+    """Per request: candidates by score desc (then id); an item is skipped if
+    it does not fit the budget (which starts at the working tokens used), then
+    skipped if its first ``dedup_prefix`` characters were already taken; else
+    taken.  The two checks run in that order."""
+    key = F.struct((-F.col("score")).alias("k0"), F.col("memory_id").alias("id"),
+                   F.col("token_count").cast("long").alias("tok"),
+                   F.left(F.col("content"), F.lit(dedup_prefix)).alias("pfx"))
+    per = cands.groupBy("request_id").agg(F.sort_array(F.collect_list(key)).alias("_xs"))
+    init = F.struct(F.col(start_col).cast("long").alias("used"),
+                    F.array().cast("array<string>").alias("seen"),
+                    F.array().cast("array<string>").alias("picked"))
+    budget = F.col(budget_col)
+    fold = F.aggregate(
+        "_xs", init,
+        lambda acc, x: F.when((acc["used"] + x["tok"] <= budget) & ~F.array_contains(acc["seen"], x["pfx"]),
+                              F.struct((acc["used"] + x["tok"]).alias("used"),
+                                       F.concat(acc["seen"], F.array(x["pfx"])).alias("seen"),
+                                       F.concat(acc["picked"], F.array(x["id"])).alias("picked")))
+        .otherwise(acc))
+    return per, fold
+
+
+def assemble_context(requests: DataFrame, items: DataFrame, memories: DataFrame, *,
+                     n_per_type: int = 5, min_similarity: float = 0.5, min_type_budget: int = 50,
+                     weights: DataFrame | None = None, block_rows: int | None = None) -> DataFrame:
+    """Context for every request at once.
+
+    requests: request_id, session_id, user_id, embedding, intent,
+    token_budget, focus_entities.  Returns one row per included item:
+    request_id, source, position, item_id / memory_id, category, subtype,
+    token_count, relevance_score, why_included, plus per-request
+    total_tokens and budget_used_pct."""
+    from ..plans.blocking import BLOCK_ROWS
+    from .search import typed_topk
+    block_rows = block_rows or BLOCK_ROWS
+    rw = request_weights(requests, weights)
+    w_wm = rw.where(F.col("weight_key") == "working_memory").select("request_id", F.col("weight").alias("w_wm"))
+    req = (requests.select("request_id", "session_id", "user_id", "embedding", "token_budget", "focus_entities")
+           .join(w_wm, "request_id", "left")
+           .withColumn("working_budget",
+                       (F.col("token_budget") * F.coalesce("w_wm", F.lit(0.35))).cast("int")))
+    # phase 1: working memory
+    wc = working_context(items, req.select("request_id", "session_id", "working_budget"))
+    used = wc.select("request_id", "working_used").dropDuplicates(["request_id"])
+    w_rows = wc.where(F.col("item_id").isNotNull()).join(
+        items.select("item_id", "content_type", "token_count", "relevance_score"), "item_id")
+    # phase 2: long-term budgets per type
+    types = (rw.where(F.col("weight_key") != "working_memory")
+             .join(req.select("request_id", "token_budget"), "request_id")
+             .join(used, "request_id")
+             .withColumn("type_budget",
+                         ((F.col("token_budget") - F.col("working_used")) * F.col("weight")).cast("int"))
+             .where(F.col("type_budget") >= min_type_budget)
+             .select("request_id",
+                     F.split_part("weight_key", F.lit("."), F.lit(1)).alias("memory_category"),
+                     F.split_part("weight_key", F.lit("."), F.lit(2)).alias("memory_subtype"), "weight"))
+    hits = typed_topk(req, memories, types, n=n_per_type, min_similarity=min_similarity,
+                      block_rows=block_rows)
+    hits = (hits.join(req.select("request_id", "focus_entities", "token_budget"), "request_id")
+            .join(used, "request_id")
+            .withColumn("token_count", F.floor(F.length("content") / 4).cast("int")))
+    scored = score_candidates(hits)
+    per, fold = pack_context(scored)
+    bud = req.select("request_id", "token_budget").join(used, "request_id")
+    packed = (bud.join(per, "request_id", "left")
+              .withColumn("_xs", F.coalesce("_xs", F.array().cast(per.schema["_xs"].dataType)))
+              .withColumn("_r", fold)
+              .select("request_id", F.col("_r.used").alias("total_tokens"),
+                      F.posexplode_outer("_r.picked").alias("lt_position", "memory_id")))
+    totals = packed.select("request_id", "total_tokens").dropDuplicates(["request_id"])
+    lt_rows = packed.where(F.col("memory_id").isNotNull()).join(
+        scored.select("request_id", "memory_id", "memory_category", "memory_subtype", "token_count",
+                      "score", "entity_matches", "similarity"), ["request_id", "memory_id"])
+    n_working = w_rows.groupBy("request_id").agg(F.count(F.lit(1)).alias("_nw"))
+    working_out = w_rows.select(
+        "request_id", F.lit("working_memory").alias("source"), "position", "item_id",
+        F.lit(None).cast("string").alias("memory_id"),
+        F.lit(None).cast("string").alias("memory_category"), F.lit(None).cast("string").alias("memory_subtype"),
+        "token_count", F.col("relevance_score").cast("double").alias("relevance_score"),
+        F.concat(F.lit("Recent "), F.col("content_type"), F.lit(" from current session")).alias("why_included"),
+        F.lit(None).cast("double").alias("similarity"))
+    lt_out = (lt_rows.join(n_working, "request_id", "left").select(
+        "request_id", F.lit("long_term").alias("source"),
+        (F.coalesce("_nw", F.lit(0)) + F.col("lt_position")).cast("int").alias("position"),
+        F.lit(None).cast("string").alias("item_id"), "memory_id", "memory_category", "memory_subtype",
+        "token_count", F.round("score", 3).alias("relevance_score"),
+        explain_inclusion("memory_category", "memory_subtype", "entity_matches", "score").alias("why_included"),
+        "similarity"))
+    out = working_out.withColumn("position", F.col("position").cast("int")).unionByName(lt_out)
+    return (out.join(totals, "request_id", "left")
+            .join(req.select("request_id", "token_budget"), "request_id")
+            .withColumn("budget_used_pct", pct_2dp(F.col("total_tokens"), F.col("token_budget")))
+            .drop("token_budget"))
+
+
+def pct_2dp(part: Column, whole: Column) -> Column:
+    """100 * part / whole rounded half-up to 2 decimals, in exact integer
+    arithmetic (no binary-fraction rounding surprises)."""
+    num = part.cast("long") * 20000 + whole.cast("long")
+    den = whole.cast("long") * 2
+    return (num - F.pmod(num, den)).cast("double") / den.cast("double") / 100
+
+
+def context_stats(assembled: DataFrame) -> DataFrame:
+    """Per request: working / long-term item counts and counts per category
+    and per subtype, as (request_id, dimension, value, n)."""
+    a = assembled
+    src = a.groupBy("request_id", F.col("source").alias("value")).agg(F.count(F.lit(1)).alias("n")) \
+           .withColumn("dimension", F.lit("source"))
+    lt = a.where(F.col("source") == "long_term")
+    cat = lt.groupBy("request_id", F.col("memory_category").alias("value")).agg(F.count(F.lit(1)).alias("n")) \
+            .withColumn("dimension", F.lit("category"))
+    sub = lt.groupBy("request_id", F.col("memory_subtype").alias("value")).agg(F.count(F.lit(1)).alias("n")) \
+            .withColumn("dimension", F.lit("subtype"))
+    cols = ["request_id", "dimension", "value", "n"]
+    return src.select(*cols).unionByName(cat.select(*cols)).unionByName(sub.select(*cols))
+
+
+def assemble_context_unified(requests: DataFrame, items: DataFrame, memories: DataFrame, *,
+                             per_type: int = 20, min_similarity: float = 0.5,
+                             weights: DataFrame | None = None) -> DataFrame:
+    """Single greedy pass over working items and long-term candidates
+    together (20 per type, no prefix dedup).  Working items score
+    relevance_score * w_wm; memories similarity * weight * (1 + importance)."""
+    from .search import typed_topk
+    rw = request_weights(requests, weights)
+    req = requests.select("request_id", "session_id", "user_id", "embedding", "token_budget", "focus_entities")
+    types = (rw.where(F.col("weight_key") != "working_memory")
+             .select("request_id", F.split_part("weight_key", F.lit("."), F.lit(1)).alias("memory_category"),
+                     F.split_part("weight_key", F.lit("."), F.lit(2)).alias("memory_subtype"), "weight"))
+    hits = typed_topk(req, memories, types, n=per_type, min_similarity=min_similarity)
+    lt = (hits.join(req.select("request_id", "focus_entities"), "request_id")
+          .withColumn("token_count", F.floor(F.length("content") / 4).cast("int")))
+    lt = score_candidates(lt).select("request_id", F.col("memory_id").alias("id"), "token_count", "score",
+                                     F.lit("long_term").alias("source"))
+    w_wm = rw.where(F.col("weight_key") == "working_memory").select("request_id", F.col("weight").alias("w"))
+    wi = (req.select("request_id", "session_id").join(w_wm, "request_id")
+          .join(items.select("session_id", "item_id", "token_count", "relevance_score"), "session_id")
+          .select("request_id", F.col("item_id").alias("id"), "token_count",
+                  (F.col("relevance_score") * F.col("w")).alias("score"), F.lit("working_memory").alias("source")))
+    allc = lt.unionByName(wi)
+    key = F.struct((-F.col("score")).alias("k0"), F.col("id").alias("id"), F.col("token_count").cast("long").alias("tok"))
+    per = allc.groupBy("request_id").agg(F.sort_array(F.collect_list(key)).alias("_xs"))
+    from .working import greedy_pick
+    j = req.select("request_id", "token_budget").join(per, "request_id")
+    folded = j.withColumn("_r", greedy_pick(F.col("_xs"), F.col("token_budget")))
+    picked = folded.select("request_id", F.col("_r.used").alias("total_tokens"),
+                           F.posexplode("_r.picked").alias("position", "id"))
+    return picked.join(allc, ["request_id", "id"])
