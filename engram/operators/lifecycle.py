@@ -12,3 +12,295 @@ def sessions_due(items: DataFrame, threshold: int = 6000) -> DataFrame:
     """Sessions whose working-memory tokens reach the checkpoint threshold."""
     return (items.groupBy("session_id").agg(F.sum("token_count").cast("long").alias("total_tokens"))
             .where(F.col("total_tokens") >= threshold))
+
+
+def _set_cols(df: DataFrame, updates: dict) -> DataFrame:
+    return df.select(*[updates[c].alias(c) if c in updates else F.col(c) for c in df.columns])
+
+
+def update_memories(memories: DataFrame, changes: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """changes (request_id, memory_id, user_id, content?, importance?,
+    entities?, metadata?): partial update of live rows owned by the
+    requester; ``updated_at`` = as_of.  Returns (table after, report with
+    status ok / not_found / unauthorized / empty and re_embedded)."""
+    owners = memories.where(F.col("deleted_at").isNull()).select(
+        "memory_id", F.col("user_id").alias("_owner"))
+    c = changes.join(owners, "memory_id", "left")
+    empty = (F.col("content").isNull() & F.col("importance").isNull() & F.col("entities").isNull()
+             & F.col("metadata").isNull())
+    status = (F.when(F.col("_owner").isNull(), "not_found")
+              .when(F.col("_owner") != F.col("user_id"), "unauthorized")
+              .when(empty, "empty").otherwise("ok"))
+    rep = c.select("request_id", "memory_id", "user_id", status.alias("status"),
+                   (F.col("content").isNotNull() & (status == "ok")).alias("re_embedded"))
+    # one change per row: the last request wins
+    w = Window.partitionBy("memory_id").orderBy(F.col("request_id").desc())
+    ok = (c.where(status == "ok").withColumn("_r", F.row_number().over(w)).where("_r = 1")
+          .select("memory_id", F.col("content").alias("_c"), F.col("importance").alias("_i"),
+                  F.col("entities").alias("_e"), F.col("metadata").alias("_m"), F.lit(True).alias("_hit")))
+    j = memories.join(ok, "memory_id", "left")
+    out = _set_cols(j, {
+        "content": F.coalesce("_c", "content"), "importance": F.coalesce("_i", "importance"),
+        "entities": F.coalesce("_e", "entities"), "metadata": F.coalesce("_m", "metadata"),
+        "updated_at": F.when(F.col("_hit"), as_of).otherwise(F.col("updated_at")),
+    }).select(*memories.columns)
+    return out, rep
+
+
+def set_embeddings(memories: DataFrame, vectors: DataFrame, as_of: Column) -> DataFrame:
+    """vectors (memory_id, embedding): replace the vector and stamp updated_at."""
+    v = vectors.select("memory_id", F.col("embedding").alias("_v"), F.lit(True).alias("_hit"))
+    j = memories.join(v, "memory_id", "left")
+    return _set_cols(j, {"embedding": F.coalesce("_v", "embedding"),
+                         "updated_at": F.when(F.col("_hit"), as_of).otherwise(F.col("updated_at"))}) \
+        .select(*memories.columns)
+
+
+def soft_delete(memories: DataFrame, reqs: DataFrame, as_of: Column) -> DataFrame:
+    """reqs (memory_id, user_id): owned rows get deleted_at = updated_at = as_of."""
+    r = reqs.select("memory_id", "user_id", F.lit(True).alias("_hit")).dropDuplicates(["memory_id", "user_id"])
+    j = memories.join(r, ["memory_id", "user_id"], "left")
+    hit = F.coalesce("_hit", F.lit(False))
+    return _set_cols(j, {"deleted_at": F.when(hit, as_of).otherwise(F.col("deleted_at")),
+                         "updated_at": F.when(hit, as_of).otherwise(F.col("updated_at"))}) \
+        .select(*memories.columns)
+
+
+def hard_delete(memories: DataFrame, reqs: DataFrame) -> DataFrame:
+    return memories.join(reqs.select("memory_id", "user_id"), ["memory_id", "user_id"], "left_anti")
+
+
+def forget_users(tables: dict, users: DataFrame, confirm_col: str = "confirmation",
+                 confirmation: str = "DELETE ALL MY DATA") -> tuple[dict, DataFrame]:
+    """Erase every row of the confirmed users from access log, relationships,
+    working items, memories (deleted ones too) and sessions.  Returns (tables
+    after, per-user report with memories and sessions removed)."""
+    from ..plans.sizing import broadcast_if_small
+    u = users.where(F.col(confirm_col) == confirmation).select("user_id").distinct()
+    ub = broadcast_if_small(u)
+    out = {name: df.join(ub, "user_id", "left_anti") for name, df in tables.items()}
+    mem = tables["memories"].join(ub, "user_id", "left_semi").groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("memories_deleted"))
+    ses = tables["sessions"].join(ub, "user_id", "left_semi").groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("sessions_deleted"))
+    rep = (u.join(mem, "user_id", "left").join(ses, "user_id", "left")
+           .select("user_id", F.coalesce("memories_deleted", F.lit(0)).alias("memories_deleted"),
+                   F.coalesce("sessions_deleted", F.lit(0)).alias("sessions_deleted")))
+    return out, rep
+
+
+def supersede(memories: DataFrame, pairs: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """pairs (old_id, new_id, user_id): when both are live rows of that user,
+    new.supersedes = old and old.deleted_at = as_of; otherwise an error row."""
+    lv = memories.where(F.col("deleted_at").isNull()).select("memory_id", "user_id")
+    old_ok = lv.select(F.col("memory_id").alias("old_id"), "user_id", F.lit(True).alias("_old"))
+    new_ok = lv.select(F.col("memory_id").alias("new_id"), "user_id", F.lit(True).alias("_new"))
+    p = pairs.join(old_ok, ["old_id", "user_id"], "left").join(new_ok, ["new_id", "user_id"], "left")
+    status = (F.when(F.col("_old").isNull(), F.concat(F.lit("Old memory "), F.col("old_id"),
+                                                      F.lit(" not found or already deleted")))
+              .when(F.col("_new").isNull(), F.concat(F.lit("New memory "), F.col("new_id"), F.lit(" not found"))))
+    rep = p.select("old_id", "new_id", "user_id", status.alias("error"))
+    good = p.where(status.isNull())
+    w1 = Window.partitionBy("new_id").orderBy("old_id")
+    sup = (good.withColumn("_r", F.row_number().over(w1)).where("_r = 1")
+           .select(F.col("new_id").alias("memory_id"), F.col("old_id").alias("_sup")))
+    dead = good.select(F.col("old_id").alias("memory_id"), F.lit(True).alias("_dead")).distinct()
+    j = memories.join(sup, "memory_id", "left").join(dead, "memory_id", "left")
+    out = _set_cols(j, {"supersedes": F.coalesce("_sup", "supersedes"),
+                        "deleted_at": F.when(F.col("_dead"), as_of).otherwise(F.col("deleted_at"))})
+    return out.select(*memories.columns), rep
+
+
+def dedup_upsert(memories: DataFrame, incoming: DataFrame, as_of: Column, t: float = 0.95, *,
+                 order_col: str = "request_id", block_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Store a batch of new memories with de-duplication.
+
+    incoming: request_id, user_id, memory_category, memory_subtype, content,
+    summary, embedding, importance, entities (``order_col`` gives request
+    order).  Set-based rule for a batch:
+      1. each incoming row is matched against the *table*: its best live row
+         of the same user with similarity >= t is updated (content, summary,
+         embedding, importance; access_count + 1, last_accessed = updated_at
+         = as_of; category and entities kept).  Several incoming rows hitting
+         one row: the latest in request order supplies the values and
+         access_count grows by the number of hits;
+      2. the rest become new rows, except that a new row whose earliest
+         similar (>= t) earlier new row exists merges into that leader.
+    Returns (table after, report: request_id, action, memory_id)."""
+    from ..plans.blocking import BLOCK_ROWS
+    from .search import knn_exact
+    br = block_rows or BLOCK_ROWS
+    best = knn_exact(incoming, memories, 1, qid="request_id", block_rows=br, score="similarity")
+    matched = best.where(F.col("similarity") >= t).select("request_id", "memory_id")
+    inc = incoming.join(matched, "request_id", "left")
+    to_table = inc.where(F.col("memory_id").isNotNull())
+    fresh = inc.where(F.col("memory_id").isNull()).drop("memory_id")
+    # 1. table updates
+    w = Window.partitionBy("memory_id").orderBy(F.col(order_col).desc())
+    upd = (to_table.withColumn("_hits", F.count(F.lit(1)).over(Window.partitionBy("memory_id")))
+           .withColumn("_r", F.row_number().over(w)).where("_r = 1")
+           .select("memory_id", F.col("content").alias("_c"), F.col("summary").alias("_s"),
+                   F.col("embedding").alias("_v"), F.col("importance").alias("_i"), "_hits"))
+    j = memories.join(upd, "memory_id", "left")
+    hit = F.col("_hits").isNotNull()
+    updated = _set_cols(j, {
+        "content": F.when(hit, F.col("_c")).otherwise(F.col("content")),
+        "summary": F.when(hit, F.col("_s")).otherwise(F.col("summary")),
+        "embedding": F.when(hit, F.col("_v")).otherwise(F.col("embedding")),
+        "importance": F.when(hit, F.col("_i")).otherwise(F.col("importance")),
+        "access_count": F.when(hit, F.col("access_count") + F.col("_hits").cast("int")).otherwise(F.col("access_count")),
+        "last_accessed": F.when(hit, as_of).otherwise(F.col("last_accessed")),
+        "updated_at": F.when(hit, as_of).otherwise(F.col("updated_at")),
+    }).select(*memories.columns)
+    # 2. in-batch leaders among new rows (pairs inside a user, each cut to its
+    #    earlier rows; the leader is the earliest similar one)
+    f = fresh.select("request_id", "user_id", "embedding", F.col(order_col).alias("_ord"))
+    lead = _leaders(f, t, br)
+    new_rows = fresh.join(lead, "request_id", "left")
+    leaders = new_rows.where(F.col("leader") == F.col("request_id"))
+    merged = new_rows.where(F.col("leader") != F.col("request_id"))
+    agg = merged.groupBy("leader").agg(F.count(F.lit(1)).cast("int").alias("_extra"),
+                                       F.max_by(F.struct("content", "summary", "embedding", "importance"),
+                                                F.col(order_col)).alias("_last"))
+    ins = leaders.join(agg, "leader", "left")
+    has = F.col("_extra").isNotNull()
+    inserted = ins.select(
+        F.concat(F.lit("n-"), F.col("request_id")).alias("memory_id"), "user_id",
+        F.lit(None).cast("string").alias("org_id"), "memory_category", "memory_subtype",
+        F.when(has, F.col("_last.content")).otherwise(F.col("content")).alias("content"),
+        F.when(has, F.col("_last.summary")).otherwise(F.col("summary")).alias("summary"),
+        F.when(has, F.col("_last.embedding")).otherwise(F.col("embedding")).alias("embedding"),
+        "entities", F.lit(None).cast("string").alias("metadata"),
+        F.lit(None).cast("timestamp_ntz").alias("event_time"), F.lit(False).alias("is_temporal"),
+        F.when(has, F.col("_last.importance")).otherwise(F.col("importance")).alias("importance"),
+        F.coalesce("_extra", F.lit(0)).alias("access_count"), F.lit(1.0).alias("decay_factor"),
+        F.lit(None).cast("string").alias("supersedes"), F.lit(None).cast("string").alias("source_session"),
+        F.lit("conversation").alias("source_type"), F.lit(1.0).alias("confidence"),
+        as_of.alias("created_at"), F.when(has, as_of).alias("last_accessed"), as_of.alias("updated_at"),
+        F.lit(None).cast("timestamp_ntz").alias("deleted_at"))
+    out = updated.unionByName(inserted.select(*memories.columns), allowMissingColumns=False)
+    rep = (to_table.select("request_id", F.lit("updated").alias("action"), "memory_id")
+           .unionByName(new_rows.select("request_id",
+                                        F.when(F.col("leader") == F.col("request_id"), "inserted")
+                                        .otherwise("merged").alias("action"),
+                                        F.concat(F.lit("n-"), F.col("leader")).alias("memory_id"))))
+    return out, rep
+
+
+def _leaders(f: DataFrame, t: float, block_rows: int) -> DataFrame:
+    """leader = earliest (by ``_ord``) new row of the same user with cosine
+    >= t to this row, itself included.  Candidate pairs come from the blocked
+    user equi-join; only pairs at or above t with an earlier partner survive
+    the filter, and the min is a partial aggregate."""
+    from ..functions import vector as V
+    from ..plans.blocking import blocked_join
+    a = f.select(F.col("request_id").alias("_a"), "user_id", F.col("_ord").alias("_ao"),
+                 F.col("embedding").alias("_av"), V.norm("embedding").alias("_an"))
+    b = f.select(F.col("request_id").alias("_b"), "user_id", F.col("_ord").alias("_bo"),
+                 F.col("embedding").alias("_bv"), V.norm("embedding").alias("_bn"))
+    pairs = blocked_join(a, b, ["user_id"], "_a", "_b", block_rows)
+    pairs = pairs.where(F.col("_bo") < F.col("_ao"))
+    sim = V.cosine_from_parts(V.dot("_av", "_bv"), F.col("_an"), F.col("_bn"))
+    near = pairs.where(sim >= t).groupBy("_a").agg(F.min(F.struct("_bo", "_b")).alias("_m"))
+    return (f.select("request_id").join(near, F.col("request_id") == F.col("_a"), "left")
+            .select("request_id", F.coalesce(F.col("_m._b"), F.col("request_id")).alias("leader")))
+
+
+def reembed_stale(memories: DataFrame, cache: DataFrame, dim: int, embedder=None) -> DataFrame:
+    """Rows whose vector is missing or of another dimension get one: texts
+    already in ``cache`` (text_hash, embedding) are reused, distinct missing
+    texts are embedded once (``embed``), and the table is returned whole."""
+    from .gating import embed
+    stale = F.col("embedding").isNull() | (F.size("embedding") != dim)
+    m = memories.withColumn("_h", F.xxhash64("content")).withColumn("_stale", stale)
+    need = m.where("_stale").select("_h", "content").dropDuplicates(["_h"])
+    missing = need.join(cache.select(F.col("text_hash").alias("_h")), "_h", "left_anti")
+    fresh = embed(missing, "content", "_newvec", dim=dim, model=embedder).select("_h", F.col("_newvec").alias("_nv"))
+    vecs = cache.select(F.col("text_hash").alias("_h"), F.col("embedding").alias("_nv")).unionByName(fresh)
+    j = m.join(vecs.dropDuplicates(["_h"]), "_h", "left")
+    return (j.withColumn("embedding", F.when(F.col("_stale"), F.col("_nv")).otherwise(F.col("embedding")))
+            .select(*memories.columns))
+
+
+def checkpoint_candidates(items: DataFrame, classified_importance: str = "importance_cls") -> DataFrame:
+    """Unpinned, >= 20 tokens, relevance >= 0.3, not system / retrieved_memory,
+    classified importance >= 0.4."""
+    return items.where(~F.col("pinned") & (F.col("token_count") >= 20) & (F.col("relevance_score") >= 0.3)
+                       & ~F.col("content_type").isin("system", "retrieved_memory")
+                       & (F.col(classified_importance) >= 0.4))
+
+
+def checkpoint(items: DataFrame, memories: DataFrame, sessions: DataFrame, as_of: Column,
+               t: float = 0.9, dim: int = 64, embedder=None, block_rows: int | None = None):
+    """Promote worthy working items: classify, embed, match against the
+    user's live memories (best > t strictly -> access bump, else a new row
+    with source_type 'checkpoint'); promoted items leave working memory and
+    the session total drops by their tokens.  Returns (memories, items,
+    sessions, report per session: created, updated, tokens_freed)."""
+    from ..plans.blocking import BLOCK_ROWS
+    from .gating import classify, embed
+    from .search import knn_exact
+    br = block_rows or BLOCK_ROWS
+    cls = classify(items.select("item_id", "session_id", "user_id", "content", "content_type", "token_count",
+                                "relevance_score", "pinned"), "content")
+    cls = cls.withColumnRenamed("importance", "importance_cls")
+    cand = checkpoint_candidates(cls)
+    cand = embed(cand, "content", "embedding", dim=dim, model=embedder)
+    best = knn_exact(cand.withColumnRenamed("item_id", "request_id"), memories, 1, block_rows=br,
+                     score="similarity", tiebreak=())
+    hit = best.where(F.col("similarity") > t).select(F.col("request_id").alias("item_id"), "memory_id")
+    c2 = cand.join(hit, "item_id", "left")
+    bumps = c2.where(F.col("memory_id").isNotNull()).groupBy("memory_id").agg(
+        F.count(F.lit(1)).cast("int").alias("_n"))
+    j = memories.join(bumps, "memory_id", "left")
+    bumped = _set_cols(j, {
+        "access_count": F.when(F.col("_n").isNotNull(), F.col("access_count") + F.col("_n")).otherwise(F.col("access_count")),
+        "last_accessed": F.when(F.col("_n").isNotNull(), as_of).otherwise(F.col("last_accessed"))}) \
+        .select(*memories.columns)
+    new = c2.where(F.col("memory_id").isNull()).select(
+        F.concat(F.lit("c-"), F.col("item_id")).alias("memory_id"), "user_id", F.lit(None).cast("string").alias("org_id"),
+        "memory_category", "memory_subtype", "content", F.lit(None).cast("string").alias("summary"),
+        "embedding", "entities", F.lit(None).cast("string").alias("metadata"),
+        F.lit(None).cast("timestamp_ntz").alias("event_time"), "is_temporal",
+        F.col("importance_cls").alias("importance"), F.lit(0).alias("access_count"), F.lit(1.0).alias("decay_factor"),
+        F.lit(None).cast("string").alias("supersedes"), F.col("session_id").alias("source_session"),
+        F.lit("checkpoint").alias("source_type"), F.lit(1.0).alias("confidence"),
+        as_of.alias("created_at"), as_of.alias("last_accessed"), as_of.alias("updated_at"),
+        F.lit(None).cast("timestamp_ntz").alias("deleted_at"))
+    mem_out = bumped.unionByName(new.select(*memories.columns))
+    promoted = c2.select("item_id", "session_id", "token_count", F.col("memory_id").isNotNull().alias("_upd"))
+    items_out = items.join(promoted.select("item_id"), "item_id", "left_anti")
+    rep = promoted.groupBy("session_id").agg(
+        F.count_if(~F.col("_upd")).alias("memories_created"), F.count_if("_upd").alias("memories_updated"),
+        F.sum("token_count").cast("long").alias("tokens_freed"))
+    s = sessions.join(rep.select("session_id", "tokens_freed"), "session_id", "left")
+    ses_out = _set_cols(s, {"total_tokens": (F.col("total_tokens") - F.coalesce("tokens_freed", F.lit(0))).cast("int")}) \
+        .select(*sessions.columns)
+    return mem_out, items_out, ses_out, rep
+
+
+def extract_memories(turns: DataFrame, memories: DataFrame, as_of: Column, t: float = 0.9,
+                     dim: int = 64, embedder=None):
+    """Turn log (conv / session, turn, role, text) -> classified candidate
+    memories (user turns only), embedded and stored with ``dedup_upsert``."""
+    from .gating import classify, embed
+    c = classify(turns.where(F.col("role") == "user"), "text")
+    c = embed(c, "text", "embedding", dim=dim, model=embedder)
+    inc = c.select(F.concat_ws("-", F.lit("t"), F.lpad(F.col("conv_id").cast("string"), 8, "0"),
+                               F.lpad(F.col("turn").cast("string"), 5, "0")).alias("request_id"),
+                   "user_id", "memory_category", "memory_subtype", F.col("text").alias("content"),
+                   F.left("text", F.lit(200)).alias("summary"), "embedding", "importance", "entities")
+    return dedup_upsert(memories, inc, as_of, t=t)
+
+
+def recurring_issues(items: DataFrame, n: int = 3) -> DataFrame:
+    """Items shaped ``ISSUE_LOG: type | description | resolution``: issue types
+    seen at least n times per user, with the latest resolution."""
+    body = F.regexp_extract("content", r"^ISSUE_LOG:\s*(.*)$", 1)
+    parts = F.split(body, r"\s*\|\s*")
+    issues = (items.where(F.col("content").startswith("ISSUE_LOG:"))
+              .select("user_id", F.trim(parts[0]).alias("issue_type"), F.trim(F.element_at(parts, -1)).alias("resolution"),
+                      F.struct("sequence_num", "item_id").alias("_ord")))
+    return (issues.groupBy("user_id", "issue_type")
+            .agg(F.count(F.lit(1)).alias("occurrences"), F.max_by("resolution", "_ord").alias("latest_resolution"))
+            .where(F.col("occurrences") >= n))
