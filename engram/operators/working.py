@@ -180,15 +180,15 @@ REPLAY_OUT = T.StructType([
 ])
 
 
-def replay_fold(pdf: pd.DataFrame, max_tokens: int) -> pd.DataFrame:
-    """Apply the adds of one session in sequence order; each add first evicts
-    unpinned items (relevance asc, sequence asc) until the shortfall is
-    covered, then is added even if the total still exceeds the maximum."""
-    pdf = pdf.sort_values(["sequence_num", "item_id"])
-    live: dict[str, tuple] = {}
-    status: dict[str, tuple] = {}
-    total = 0
-    for r in pdf.itertuples(index=False):
+def fold_adds(live: dict, total: int, max_tokens: int, rows) -> tuple[dict, int, list]:
+    """Apply adds (iterable of objects with item_id, sequence_num,
+    relevance_score, pinned, token_count) in the given order.  Each add first
+    evicts unpinned items (relevance asc, sequence asc) until the shortfall
+    is covered, then is added even if the total still exceeds the maximum.
+    ``live`` maps item_id -> (item_id, seq, relevance, pinned, tokens).
+    Returns (live, total, events) with events (item_id, status, evicted_by)."""
+    events = []
+    for r in rows:
         tok = int(r.token_count)
         if total + tok > max_tokens:
             needed = tok - (max_tokens - total)
@@ -198,12 +198,22 @@ def replay_fold(pdf: pd.DataFrame, max_tokens: int) -> pd.DataFrame:
                 if freed >= needed:
                     break
                 del live[v[0]]
-                status[v[0]] = ("evicted", r.item_id)
+                events.append((v[0], "evicted", r.item_id))
                 freed += v[4]
                 total -= v[4]
         live[r.item_id] = (r.item_id, int(r.sequence_num), float(r.relevance_score), bool(r.pinned), tok)
-        status[r.item_id] = ("kept", None)
+        events.append((r.item_id, "kept", None))
         total += tok
+    return live, total, events
+
+
+def replay_fold(pdf: pd.DataFrame, max_tokens: int) -> pd.DataFrame:
+    """Replay one session's whole add history in sequence order."""
+    pdf = pdf.sort_values(["sequence_num", "item_id"])
+    live, total, events = fold_adds({}, 0, max_tokens, pdf.itertuples(index=False))
+    status: dict[str, tuple] = {}
+    for item, st, by in events:
+        status[item] = (st, by)
     sid = pdf["session_id"].iloc[0]
     seq = dict(zip(pdf["item_id"], pdf["sequence_num"]))
     toks = dict(zip(pdf["item_id"], pdf["token_count"]))

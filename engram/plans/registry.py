@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-MODULES = ["q_search", "q_stats", "q_quality", "q_text", "q_working", "q_context",
+MODULES = ["q_search", "q_stats", "q_quality", "q_text", "q_working", "q_context", "q_stream",
            "q_lifecycle", "q_links", "q_io"]
 
 

@@ -122,7 +122,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "conversations")
+    return items_from(read(spark, sf_dir, "conversations"))
+
+
+def items_from(c: DataFrame) -> DataFrame:
+    """Working items from a (batch or streaming) conversations frame."""
     conv, turn, role = F.col("conv_id"), F.col("turn"), F.col("role")
     created = F.timestamp_add("MINUTE", turn.cast("int"), ts(BASE_TS))
     return c.select(
@@ -176,7 +180,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read(spark, sf_dir, "events")
+    return metrics_from(read(spark, sf_dir, "events"))
+
+
+def metrics_from(ev: DataFrame) -> DataFrame:
+    """Service metrics from a (batch or streaming) events frame."""
     k = F.get_json_object("props", "$.k").cast("int")
     return ev.select(
         F.concat(F.lit("x"), F.col("event_id").cast("string")).alias("metric_id"),
@@ -207,7 +215,11 @@ def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read(spark, sf_dir, "events").where(F.col("event_type") == "view")
+    return access_log_from(read(spark, sf_dir, "events"))
+
+
+def access_log_from(events: DataFrame) -> DataFrame:
+    ev = events.where(F.col("event_type") == "view")
     return ev.select(
         F.concat(F.lit("a"), F.col("event_id").cast("string")).alias("access_id"),
         _id("m", F.col("event_id") % 2000).alias("memory_id"),
