@@ -124,69 +124,99 @@ def assemble_context(requests: DataFrame, items: DataFrame, memories: DataFrame,
     requests: request_id, session_id, user_id, embedding, intent,
     token_budget, focus_entities.  Returns one row per included item:
     request_id, source, position, item_id / memory_id, category, subtype,
-    token_count, relevance_score, why_included, plus per-request
-    total_tokens and budget_used_pct."""
+    token_count, relevance_score, why_included, similarity, plus per-request
+    total_tokens and budget_used_pct.
+
+    Plan: (1) working items of each request's session are folded under the
+    working budget; (2) typed top-k runs for every long-term key of the
+    profile (independent of (1), so the vector search never waits for or
+    recomputes the working fold) and keys whose type budget is under
+    ``min_type_budget`` are dropped afterwards; (3) candidates are scored and
+    folded per request.  Picked rows travel inside the fold's structs, so no
+    intermediate is joined back or computed twice."""
     from ..plans.blocking import BLOCK_ROWS
-    from .search import typed_topk
+    from .search import entity_boost, entity_matches, typed_topk
+    from .working import greedy_pick
     block_rows = block_rows or BLOCK_ROWS
     rw = request_weights(requests, weights)
     w_wm = rw.where(F.col("weight_key") == "working_memory").select("request_id", F.col("weight").alias("w_wm"))
-    req = (requests.select("request_id", "session_id", "user_id", "embedding", "token_budget", "focus_entities")
+    req = (requests.select("request_id", "session_id", "token_budget")
            .join(w_wm, "request_id", "left")
            .withColumn("working_budget",
                        (F.col("token_budget") * F.coalesce("w_wm", F.lit(0.35))).cast("int")))
-    # phase 1: working memory
-    wc = working_context(items, req.select("request_id", "session_id", "working_budget"))
-    used = wc.select("request_id", "working_used").dropDuplicates(["request_id"])
-    w_rows = wc.where(F.col("item_id").isNotNull()).join(
-        items.select("item_id", "content_type", "token_count", "relevance_score"), "item_id")
-    # phase 2: long-term budgets per type
+    # (1) working memory: one fold per request over its session's items
+    wkey = F.struct((~F.col("pinned")).alias("k0"), (-F.col("sequence_num")).alias("k1"),
+                    F.col("item_id").alias("id"), F.col("token_count").cast("long").alias("tok"),
+                    F.col("content_type").alias("content_type"),
+                    F.col("relevance_score").cast("double").alias("relevance_score"))
+    wl = items.groupBy("session_id").agg(F.sort_array(F.collect_list(wkey)).alias("_wxs"))
+    wempty = F.array().cast(wl.schema["_wxs"].dataType)
+    winit = F.struct(F.lit(0).cast("long").alias("used"), wempty.alias("picked"))
+    wfold = F.aggregate(
+        F.coalesce("_wxs", wempty), winit,
+        lambda acc, x: F.when(acc["used"] + x["tok"] <= F.col("working_budget"),
+                              F.struct((acc["used"] + x["tok"]).alias("used"),
+                                       F.concat(acc["picked"], F.array(x)).alias("picked")))
+        .otherwise(acc))
+    wpack = (req.join(wl, "session_id", "left")
+             .select("request_id", "token_budget", wfold.alias("_w")))
+    # (2) typed top-k for all long-term keys of the profile
     types = (rw.where(F.col("weight_key") != "working_memory")
-             .join(req.select("request_id", "token_budget"), "request_id")
-             .join(used, "request_id")
-             .withColumn("type_budget",
-                         ((F.col("token_budget") - F.col("working_used")) * F.col("weight")).cast("int"))
-             .where(F.col("type_budget") >= min_type_budget)
-             .select("request_id",
-                     F.split_part("weight_key", F.lit("."), F.lit(1)).alias("memory_category"),
+             .select("request_id", F.split_part("weight_key", F.lit("."), F.lit(1)).alias("memory_category"),
                      F.split_part("weight_key", F.lit("."), F.lit(2)).alias("memory_subtype"), "weight"))
-    hits = typed_topk(req, memories, types, n=n_per_type, min_similarity=min_similarity,
-                      block_rows=block_rows)
-    hits = (hits.join(req.select("request_id", "focus_entities", "token_budget"), "request_id")
-            .join(used, "request_id")
-            .withColumn("token_count", F.floor(F.length("content") / 4).cast("int")))
-    scored = score_candidates(hits)
-    per, fold = pack_context(scored)
-    bud = req.select("request_id", "token_budget").join(used, "request_id")
-    packed = (bud.join(per, "request_id", "left")
-              .withColumn("_xs", F.coalesce("_xs", F.array().cast(per.schema["_xs"].dataType)))
-              .withColumn("_r", fold)
-              .select("request_id", F.col("_r.used").alias("total_tokens"),
-                      F.posexplode_outer("_r.picked").alias("lt_position", "memory_id")))
-    totals = packed.select("request_id", "total_tokens").dropDuplicates(["request_id"])
-    lt_rows = packed.where(F.col("memory_id").isNotNull()).join(
-        scored.select("request_id", "memory_id", "memory_category", "memory_subtype", "token_count",
-                      "score", "entity_matches", "similarity"), ["request_id", "memory_id"])
-    n_working = w_rows.groupBy("request_id").agg(F.count(F.lit(1)).alias("_nw"))
-    working_out = w_rows.select(
-        "request_id", F.lit("working_memory").alias("source"), "position", "item_id",
-        F.lit(None).cast("string").alias("memory_id"),
-        F.lit(None).cast("string").alias("memory_category"), F.lit(None).cast("string").alias("memory_subtype"),
-        "token_count", F.col("relevance_score").cast("double").alias("relevance_score"),
-        F.concat(F.lit("Recent "), F.col("content_type"), F.lit(" from current session")).alias("why_included"),
-        F.lit(None).cast("double").alias("similarity"))
-    lt_out = (lt_rows.join(n_working, "request_id", "left").select(
-        "request_id", F.lit("long_term").alias("source"),
-        (F.coalesce("_nw", F.lit(0)) + F.col("lt_position")).cast("int").alias("position"),
-        F.lit(None).cast("string").alias("item_id"), "memory_id", "memory_category", "memory_subtype",
-        "token_count", F.round("score", 3).alias("relevance_score"),
-        explain_inclusion("memory_category", "memory_subtype", "entity_matches", "score").alias("why_included"),
-        "similarity"))
-    out = working_out.withColumn("position", F.col("position").cast("int")).unionByName(lt_out)
-    return (out.join(totals, "request_id", "left")
-            .join(req.select("request_id", "token_budget"), "request_id")
-            .withColumn("budget_used_pct", pct_2dp(F.col("total_tokens"), F.col("token_budget")))
-            .drop("token_budget"))
+    q = requests.select("request_id", "user_id", "embedding")
+    hits = typed_topk(q, memories, types, n=n_per_type, min_similarity=min_similarity, block_rows=block_rows)
+    focus = requests.select("request_id", "focus_entities")
+    m = entity_matches("focus_entities", "entities")
+    base = F.col("similarity") * F.col("weight") * (F.lit(1.0) + F.col("importance"))
+    cand = (hits.join(focus, "request_id")
+            .select("request_id", "memory_id", "memory_category", "memory_subtype", "weight", "similarity",
+                    F.floor(F.length("content") / 4).cast("int").alias("token_count"),
+                    F.left("content", F.lit(200)).alias("pfx"), m.alias("entity_matches"),
+                    entity_boost(base, m, "context").alias("score")))
+    ckey = F.struct((-F.col("score")).alias("k0"), F.col("memory_id").alias("id"),
+                    F.col("token_count").cast("long").alias("tok"), "pfx", "memory_category", "memory_subtype",
+                    "weight", "score", "entity_matches", "similarity")
+    cl = cand.groupBy("request_id").agg(F.sort_array(F.collect_list(ckey)).alias("_cxs"))
+    # (3) type budgets need the working tokens used: filter inside the fold
+    j = wpack.join(cl, "request_id", "left")
+    cempty = F.array().cast(cl.schema["_cxs"].dataType)
+    used_w = F.col("_w.used")
+    type_ok = lambda x: ((F.col("token_budget") - used_w) * x["weight"]).cast("int") >= min_type_budget
+    cinit = F.struct(used_w.alias("used"), F.array().cast("array<string>").alias("seen"), cempty.alias("picked"))
+    cfold = F.aggregate(
+        F.filter(F.coalesce("_cxs", cempty), type_ok), cinit,
+        lambda acc, x: F.when((acc["used"] + x["tok"] <= F.col("token_budget")) & ~F.array_contains(acc["seen"], x["pfx"]),
+                              F.struct((acc["used"] + x["tok"]).alias("used"),
+                                       F.concat(acc["seen"], F.array(x["pfx"])).alias("seen"),
+                                       F.concat(acc["picked"], F.array(x)).alias("picked")))
+        .otherwise(acc))
+    packed = j.select("request_id", "token_budget", "_w", cfold.alias("_c"))
+    # one explode over both picked lists (a union of two projections would
+    # evaluate the whole pipeline twice)
+    def as_row(x, source):
+        wm = source == "working_memory"
+        null_s, null_d = F.lit(None).cast("string"), F.lit(None).cast("double")
+        return F.struct(
+            F.lit(source).alias("source"),
+            (x["id"] if wm else null_s).alias("item_id"),
+            (null_s if wm else x["id"]).alias("memory_id"),
+            (null_s if wm else x["memory_category"]).alias("memory_category"),
+            (null_s if wm else x["memory_subtype"]).alias("memory_subtype"),
+            x["tok"].cast("int").alias("token_count"),
+            (x["relevance_score"] if wm else F.round(x["score"], 3)).alias("relevance_score"),
+            (F.concat(F.lit("Recent "), x["content_type"], F.lit(" from current session")) if wm else
+             explain_inclusion(x["memory_category"], x["memory_subtype"], x["entity_matches"], x["score"]))
+            .alias("why_included"),
+            (null_d if wm else x["similarity"]).alias("similarity"))
+    rows = F.concat(F.transform("_w.picked", lambda x: as_row(x, "working_memory")),
+                    F.transform("_c.picked", lambda x: as_row(x, "long_term")))
+    out = packed.select("request_id", F.col("_c.used").alias("total_tokens"),
+                        pct_2dp(F.col("_c.used"), F.col("token_budget")).alias("budget_used_pct"),
+                        F.posexplode(rows).alias("position", "x"))
+    return out.select("request_id", "x.source", F.col("position").cast("int").alias("position"), "x.item_id",
+                      "x.memory_id", "x.memory_category", "x.memory_subtype", "x.token_count", "x.relevance_score",
+                      "x.why_included", "x.similarity", "total_tokens", "budget_used_pct")
 
 
 def pct_2dp(part: Column, whole: Column) -> Column:

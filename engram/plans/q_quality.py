@@ -236,3 +236,12 @@ SELECT user_id, count(*) FILTER (WHERE decayed) AS memories_decayed FROM _d GROU
 """)
 def q_decay_counts(spark, sf):
     return qa.decay_counts(qa.decay(td.memories(spark, sf), td.as_of(), 0.95, 40))
+
+
+@register("daily_maintenance")
+def q_daily_maintenance(spark, sf):
+    import uuid
+    from ..session import shared_path
+    m = td.memories(spark, sf)
+    backup = m.where(F.substring("memory_id", 2, 10).cast("int") % 3 != 0)
+    return qa.daily_maintenance(m, backup, td.as_of(), shared_path(spark, f"maint-{uuid.uuid4().hex}"))
