@@ -106,3 +106,41 @@ IMPORTANCE_TRIGGERS = [
     (r"(?i)don't forget", 0.9),
 ]
 TEMPORAL_HINT = r"(?i)(today|tomorrow|yesterday|deadline|this week|next week)"
+
+
+# --------------------------------------------------------------------------
+# Literal pre-filters (our own optimisation, not part of the rule data): a
+# pattern can only match a text that contains one of these substrings.  For
+# case-sensitive patterns a plain substring search lets most texts skip the
+# regex while every result stays exactly the regex's.
+# --------------------------------------------------------------------------
+REQUIRED_LITERALS = {
+    "OpenAI API Key": ["sk-"],
+    "OpenAI Project Key": ["sk-proj-"],
+    "GitHub Token": ["ghp_"],
+    "GitHub OAuth Token": ["gho_"],
+    "GitHub App Token": ["ghu_"],
+    "AWS Access Key": ["AKIA"],
+    "AWS Secret Key": ["aws"],
+    "Slack Token": ["xox"],
+    "Stripe Key": ["sk_live_"],
+    "Stripe Test Key": ["sk_test_"],
+    "Google API Key": ["AIza"],
+    "Anthropic API Key": ["sk-ant-"],
+    "Bearer Token": ["bearer"],
+    "Authorization Header": ["authorization"],
+    "Private Key": ["-----BEGIN"],
+    "PGP Private Key": ["-----BEGIN"],
+    "Password Assignment": ["password"],
+    "Password Value": ["password", "passwd", "pwd"],
+    "Password in URL": ["://"],
+    "Database Connection String": ["://"],
+    "Env File Content": ["="],
+    "Secret Assignment": ["secret", "token", "apikey", "api_key", "password", "passwd", "pwd"],
+    "JWT Token": ["eyJ"],
+    "Firebolt Client Secret": ["firebolt"],
+}
+
+
+def case_insensitive(pattern: str) -> bool:
+    return pattern.startswith("(?i)")

@@ -60,7 +60,16 @@ def _plus_days(days: Column, base: str = BASE_TS) -> Column:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Read one fixture table.  A scan that yields fewer input splits than
+    the cluster's parallelism (the fixture files are single row groups, so
+    one task would read a whole table) is spread round-robin over the cores;
+    on real data the scan already has more splits than cores and this is a
+    no-op."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    par = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        df = df.repartition(par)
+    return df
 
 
 def _embedded_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
