@@ -11,6 +11,11 @@ from ..schemas import CATEGORIES
 from .filters import live, preview
 
 
+# Averages that are rounded for display are taken over exact decimals, so the
+# result cannot depend on the (partition-dependent) order of a float sum.
+EXACT = "decimal(20,6)"
+
+
 def memory_counts(memories: DataFrame, sessions: DataFrame, items: DataFrame,
                   access_log: DataFrame) -> DataFrame:
     """Headline counters as (metric, value) rows."""
@@ -113,7 +118,7 @@ def service_window(metrics: DataFrame, as_of: Column, minutes: int = 60) -> Data
     agg = m.groupBy("service").agg(
         F.count_if("_in").alias("calls_in_window"),
         F.count_if(F.col("_in") & ~F.col("success")).alias("errors_in_window"),
-        F.round(F.avg(F.when(F.col("_in"), F.col("latency_ms"))), 2).alias("avg_latency_ms"),
+        F.round(F.avg(F.when(F.col("_in"), F.col("latency_ms")).cast(EXACT)), 2).cast("double").alias("avg_latency_ms"),
         F.coalesce(F.sum(F.when(F.col("_in"), F.col("tokens_in"))), F.lit(0)).cast("long").alias("tokens_in_window"),
         F.coalesce(F.sum(F.when(F.col("_in"), F.col("tokens_out"))), F.lit(0)).cast("long").alias("tokens_out_window"),
         F.count(F.lit(1)).alias("total_calls"),

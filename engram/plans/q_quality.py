@@ -32,8 +32,8 @@ def _preview(c: str, n: int) -> str:
 
 STATS_SQL = """
 _qs AS (
-  SELECT user_id, count(*) AS total_memories, round(avg(importance), 2) AS avg_importance,
-         round(avg(access_count), 1) AS avg_access_count,
+  SELECT user_id, count(*) AS total_memories, CAST(round(avg(CAST(importance AS DECIMAL(20,6))), 2) AS DOUBLE) AS avg_importance,
+         CAST(round(avg(CAST(access_count AS DECIMAL(20,6))), 1) AS DOUBLE) AS avg_access_count,
          count(*) FILTER (WHERE access_count = 0) AS never_accessed,
          count(*) FILTER (WHERE importance < 0.3) AS low_importance
   FROM live GROUP BY user_id
@@ -47,8 +47,8 @@ def q_quality_stats(spark, sf):
 
 
 @register("quality_by_category", """
-SELECT user_id, memory_category, count(*) AS count, round(avg(importance), 2) AS avg_importance,
-       round(avg(access_count), 1) AS avg_access
+SELECT user_id, memory_category, count(*) AS count, CAST(round(avg(CAST(importance AS DECIMAL(20,6))), 2) AS DOUBLE) AS avg_importance,
+       CAST(round(avg(CAST(access_count AS DECIMAL(20,6))), 1) AS DOUBLE) AS avg_access
 FROM live GROUP BY 1, 2
 """)
 def q_quality_by_category(spark, sf):

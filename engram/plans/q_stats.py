@@ -137,7 +137,7 @@ _a AS (
   SELECT service,
          count(*) FILTER (WHERE _in) AS calls_in_window,
          count(*) FILTER (WHERE _in AND NOT success) AS errors_in_window,
-         round(avg(latency_ms) FILTER (WHERE _in), 2) AS avg_latency_ms,
+         CAST(round(avg(CAST(latency_ms AS DECIMAL(20,6))) FILTER (WHERE _in), 2) AS DOUBLE) AS avg_latency_ms,
          CAST(coalesce(sum(tokens_in) FILTER (WHERE _in), 0) AS BIGINT) AS tokens_in_window,
          CAST(coalesce(sum(tokens_out) FILTER (WHERE _in), 0) AS BIGINT) AS tokens_out_window,
          count(*) AS total_calls,
