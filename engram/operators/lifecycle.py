@@ -132,7 +132,10 @@ def dedup_upsert(memories: DataFrame, incoming: DataFrame, as_of: Column, t: flo
     br = block_rows or BLOCK_ROWS
     best = knn_exact(incoming, memories, 1, qid="request_id", block_rows=br, score="similarity")
     matched = best.where(F.col("similarity") >= t).select("request_id", "memory_id")
-    inc = incoming.join(matched, "request_id", "left")
+    # the match result feeds four branches (updates, inserts, merges,
+    # report): materialise it once in the shared checkpoint folder instead of
+    # re-running the vector search per branch
+    inc = incoming.join(matched, "request_id", "left").checkpoint(eager=True)
     to_table = inc.where(F.col("memory_id").isNotNull())
     fresh = inc.where(F.col("memory_id").isNull()).drop("memory_id")
     # 1. table updates
@@ -189,21 +192,12 @@ def dedup_upsert(memories: DataFrame, incoming: DataFrame, as_of: Column, t: flo
 
 def _leaders(f: DataFrame, t: float, block_rows: int) -> DataFrame:
     """leader = earliest (by ``_ord``) new row of the same user with cosine
-    >= t to this row, itself included.  Candidate pairs come from the blocked
-    user equi-join; only pairs at or above t with an earlier partner survive
-    the filter, and the min is a partial aggregate."""
-    from ..functions import vector as V
-    from ..plans.blocking import blocked_join
-    a = f.select(F.col("request_id").alias("_a"), "user_id", F.col("_ord").alias("_ao"),
-                 F.col("embedding").alias("_av"), V.norm("embedding").alias("_an"))
-    b = f.select(F.col("request_id").alias("_b"), "user_id", F.col("_ord").alias("_bo"),
-                 F.col("embedding").alias("_bv"), V.norm("embedding").alias("_bn"))
-    pairs = blocked_join(a, b, ["user_id"], "_a", "_b", block_rows)
-    pairs = pairs.where(F.col("_bo") < F.col("_ao"))
-    sim = V.cosine_from_parts(V.dot("_av", "_bv"), F.col("_an"), F.col("_bn"))
-    near = pairs.where(sim >= t).groupBy("_a").agg(F.min(F.struct("_bo", "_b")).alias("_m"))
-    return (f.select("request_id").join(near, F.col("request_id") == F.col("_a"), "left")
-            .select("request_id", F.coalesce(F.col("_m._b"), F.col("request_id")).alias("leader")))
+    >= t to this row, itself when there is none (blocked matrix kernel, no
+    pair ever becomes a row)."""
+    from .search import first_similar_earlier
+    first = first_similar_earlier(f, t, rid="request_id", order="_ord", block_rows=block_rows)
+    return (f.select("request_id").join(first, "request_id", "left")
+            .select("request_id", F.coalesce("first_id", "request_id").alias("leader")))
 
 
 def reembed_stale(memories: DataFrame, cache: DataFrame, dim: int, embedder=None) -> DataFrame:

@@ -103,7 +103,10 @@ def _block_topk_fn(k: int, q_out: list[str], m_out: list[str], mid: str, tiebrea
                    exclude_col: str | None = None):
     def fn(qdf: pd.DataFrame, mdf: pd.DataFrame) -> pd.DataFrame:
         if len(qdf) == 0 or len(mdf) == 0:
-            return pd.DataFrame({c: [] for c in q_out + m_out + [score]})
+            out = pd.concat([qdf[q_out].iloc[:0].reset_index(drop=True),
+                             mdf[m_out].iloc[:0].reset_index(drop=True)], axis=1)
+            out[score] = pd.Series([], dtype="float64")
+            return out
         Q = np.stack(qdf[Q_VEC].to_numpy()).astype(np.float64)
         M = np.stack(mdf[M_VEC].to_numpy()).astype(np.float64)
         den = np.outer(qdf[Q_NORM].to_numpy(dtype=np.float64), mdf[M_NORM].to_numpy(dtype=np.float64))
@@ -271,3 +274,51 @@ def near_duplicates(incoming: DataFrame, memories: DataFrame, t: float = 0.95, n
     return (hits.withColumn("dup_rank", F.row_number().over(w)).where(F.col("dup_rank") <= n)
             .select(qid, "user_id", "memory_id", "similarity", "dup_rank",
                     preview("content", 100).alias("content_preview")))
+
+
+def first_similar_earlier(rows: DataFrame, t: float, *, keys: Sequence[str] = ("user_id",),
+                          rid: str = "request_id", order: str = "_ord", vec: str = "embedding",
+                          block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """For each row: the earliest (by ``order``) other row of the same key
+    group that comes before it and has cosine >= t, or none.
+
+    Computed as blocked matrix products: each (group, block, block) pair is
+    one Arrow batch pair, masked to (similar and earlier), and reduced to at
+    most one candidate per row before anything leaves the task; a final
+    min-by over blocks picks the earliest.  Output: rid, first_id, first_ord."""
+    keys = list(keys)
+    q = rows.select(*[F.col(c).alias(c) for c in [*keys, rid, order]], F.col(vec).alias(Q_VEC),
+                    V.norm(vec).alias(Q_NORM))
+    m = rows.select(*[F.col(c).alias(c) for c in keys], F.col(rid).alias("_cid"), F.col(order).alias("_cord"),
+                    F.col(vec).alias(M_VEC), V.norm(vec).alias(M_NORM))
+    q2, m2, on = blocked(q, m, keys, rid, "_cid", block_rows)
+    schema = T.StructType([q.schema[rid], T.StructField("first_id", m.schema["_cid"].dataType),
+                           T.StructField("first_ord", m.schema["_cord"].dataType)])
+
+    def fn(qdf: pd.DataFrame, mdf: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({rid: qdf[rid].iloc[:0], "first_id": mdf["_cid"].iloc[:0],
+                              "first_ord": mdf["_cord"].iloc[:0]})
+        if len(qdf) == 0 or len(mdf) == 0:
+            return empty
+        Q = np.stack(qdf[Q_VEC].to_numpy()).astype(np.float64)
+        M = np.stack(mdf[M_VEC].to_numpy()).astype(np.float64)
+        den = np.outer(qdf[Q_NORM].to_numpy(dtype=np.float64), mdf[M_NORM].to_numpy(dtype=np.float64))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            S = np.where(den > 0, (Q @ M.T) / den, -np.inf)
+        qo = qdf[order].to_numpy()
+        mo = mdf["_cord"].to_numpy()
+        ok = (S >= t) & (mo[None, :] < qo[:, None])
+        has = ok.any(axis=1)
+        if not has.any():
+            return empty
+        rank = np.argsort(np.argsort(mo, kind="stable"), kind="stable").astype(np.int64)
+        big = np.iinfo(np.int64).max
+        pick = np.where(ok, rank[None, :], big).argmin(axis=1)
+        qi = np.nonzero(has)[0]
+        mj = pick[qi]
+        return pd.DataFrame({rid: qdf[rid].to_numpy()[qi], "first_id": mdf["_cid"].to_numpy()[mj],
+                             "first_ord": mo[mj]})
+
+    part = q2.groupBy(*on).cogroup(m2.groupBy(*on)).applyInPandas(fn, schema)
+    return part.groupBy(rid).agg(F.min(F.struct("first_ord", "first_id")).alias("_m")) \
+               .select(rid, F.col("_m.first_id").alias("first_id"), F.col("_m.first_ord").alias("first_ord"))

@@ -65,13 +65,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     one task would read a whole table) is spread round-robin over the cores;
     on real data the scan already has more splits than cores and this is a
     no-op."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
     par = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SPLITS:
+        _SPLITS[key] = df.rdd.getNumPartitions()
+    if _SPLITS[key] < par:
         df = df.repartition(par)
     return df
 
 
+_SPLITS: dict = {}  # (application, path) -> input splits of the scan (files are immutable)
+
+
 def _embedded_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings")
     d = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
