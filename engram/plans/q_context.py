@@ -193,3 +193,55 @@ def q_assemble_unified(spark, sf):
                                       min_similarity=T_TYPED)
     return out.select("request_id", "position", "id", "source", "token_count", F.round("score", 6).alias("score"),
                       "total_tokens")
+
+
+def _attach():
+    from .registry import attach_sql
+    attach_sql("assemble_context_unified", f"""
+_rw AS (
+  SELECT r.request_id, w.weight_key, w.weight FROM requests r
+  JOIN intent_weights w ON w.intent = CASE WHEN r.intent IN ({_KNOWN}) THEN r.intent ELSE 'general' END
+),
+_types AS (
+  SELECT request_id, split_part(weight_key, '.', 1) AS memory_category, split_part(weight_key, '.', 2) AS memory_subtype,
+         weight FROM _rw WHERE weight_key <> 'working_memory'
+),
+_hits AS (
+  SELECT t.request_id, t.weight, m.memory_id, m.content, m.entities, m.importance, q.focus_entities,
+         t.memory_category, t.memory_subtype, {cosine('q.embedding', 'm.embedding')} AS similarity
+  FROM _types t JOIN requests q USING (request_id)
+  JOIN live m ON m.user_id = q.user_id AND m.memory_category = t.memory_category AND m.memory_subtype = t.memory_subtype
+),
+_top AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, memory_category, memory_subtype
+                                              ORDER BY similarity DESC NULLS LAST, memory_id) AS rk FROM _hits)
+  WHERE rk <= 20 AND similarity >= {T_TYPED}
+),
+_all AS (
+  SELECT request_id, memory_id AS id, CAST(length(content) // 4 AS INTEGER) AS token_count,
+         CASE WHEN coalesce(len(list_intersect(focus_entities, entities)), 0) > 0
+              THEN similarity * weight * (1.0 + importance) * (1.0 + 0.3 * len(list_intersect(focus_entities, entities)))
+              ELSE similarity * weight * (1.0 + importance) END AS score, 'long_term' AS source
+  FROM _top
+  UNION ALL
+  SELECT q.request_id, i.item_id, i.token_count, i.relevance_score * w.weight, 'working_memory'
+  FROM requests q JOIN _rw w ON w.request_id = q.request_id AND w.weight_key = 'working_memory'
+  JOIN items i ON i.session_id = q.session_id
+),
+_l AS (SELECT request_id, list_sort(list({{'k0': -score, 'id': id, 'tok': CAST(token_count AS BIGINT)}})) AS xs
+       FROM _all GROUP BY 1),
+_f AS (
+  SELECT q.request_id, list_reduce(l.xs, lambda acc, x: CASE WHEN acc.used + x.tok <= q.token_budget
+                THEN {{'used': acc.used + x.tok, 'picked': list_append(acc.picked, x.id)}} ELSE acc END,
+                {{'used': CAST(0 AS BIGINT), 'picked': CAST([] AS VARCHAR[])}}) AS r
+  FROM requests q JOIN _l l USING (request_id)
+),
+_x AS (SELECT request_id, r.used AS total_tokens, unnest(r.picked) AS id, generate_subscripts(r.picked, 1) - 1 AS position
+       FROM _f)
+SELECT x.request_id, CAST(x.position AS INTEGER) AS position, x.id, a.source, a.token_count,
+       round(a.score, 6) AS score, x.total_tokens
+FROM _x x JOIN _all a ON a.request_id = x.request_id AND a.id = x.id
+""")
+
+
+_attach()

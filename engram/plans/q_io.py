@@ -200,3 +200,20 @@ def q_export(spark, sf):
     users = td.sessions(spark, sf).where(F.col("total_tokens") > 1000).select("user_id")
     io.export_user_memories(td.memories(spark, sf).drop("embedding"), users, path)
     return spark.read.json(path).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- oracles
+def _attach():
+    from .registry import attach_sql
+    attach_sql("append_rows", f"""
+SELECT user_id, count(*) + count(*) FILTER (WHERE {VID_SQL} % 2 = 0) AS n FROM memories GROUP BY 1
+""")
+    attach_sql("export_user_memories", """
+SELECT user_id, count(*) AS n FROM memories
+WHERE user_id IN (SELECT user_id FROM sessions WHERE total_tokens > 1000) GROUP BY 1
+""")
+    attach_sql("write_snapshot", "SELECT memory_id, user_id, importance / 2 AS importance FROM memories")
+    attach_sql("mirror_write", "SELECT memory_id, 'copied' AS status FROM memories")
+
+
+_attach()

@@ -265,3 +265,60 @@ FROM _p GROUP BY 1, 2 HAVING count(*) >= 3
 """)
 def q_recurring_issues(spark, sf):
     return lc.recurring_issues(_issue_items(spark, sf), 3)
+
+
+# ---------------------------------------------------------------- oracles
+def _attach():
+    from .oracle import cosine
+    from .registry import attach_sql
+    t = 0.45
+    base = f"""
+_incf AS (
+  SELECT r.request_id, r.user_id, r.embedding, m.importance
+  FROM requests r JOIN memories m ON 'q' || substr(m.memory_id, 2) = r.request_id
+),
+_k AS (
+  SELECT i.request_id, m.memory_id, {cosine('i.embedding', 'm.embedding')} AS sim,
+         row_number() OVER (PARTITION BY i.request_id ORDER BY {cosine('i.embedding', 'm.embedding')} DESC NULLS LAST,
+                            m.importance DESC NULLS LAST, m.memory_id) AS r
+  FROM _incf i JOIN live m ON m.user_id = i.user_id
+),
+_best AS (SELECT request_id, memory_id FROM _k WHERE r = 1 AND sim >= {t}),
+_fresh AS (SELECT * FROM _incf WHERE request_id NOT IN (SELECT request_id FROM _best)),
+_lead AS (
+  SELECT a.request_id, min(b.request_id) AS first_id
+  FROM _fresh a JOIN _fresh b ON a.user_id = b.user_id AND b.request_id < a.request_id
+  WHERE {cosine('a.embedding', 'b.embedding')} >= {t} GROUP BY 1
+),
+_new AS (
+  SELECT coalesce(l.first_id, f.request_id) AS leader, f.request_id, f.user_id, f.importance,
+         l.first_id IS NOT NULL AS merged
+  FROM _fresh f LEFT JOIN _lead l USING (request_id)
+)
+"""
+    attach_sql("dedup_upsert", base + """
+SELECT request_id, 'updated' AS action, memory_id FROM _best
+UNION ALL
+SELECT request_id, CASE WHEN merged THEN 'merged' ELSE 'inserted' END, 'n-' || leader FROM _new
+""")
+    attach_sql("dedup_upsert_table", base + f"""
+, _upd AS (
+  SELECT b.memory_id, count(*) AS hits, arg_max(i.importance, b.request_id) AS imp
+  FROM _best b JOIN _incf i USING (request_id) GROUP BY 1
+),
+_grp AS (SELECT leader, count(*) AS extra, arg_max(importance, request_id) AS imp FROM _new WHERE merged GROUP BY 1)
+SELECT m.memory_id, m.user_id,
+       CASE WHEN u.hits IS NOT NULL THEN m.access_count + CAST(u.hits AS INTEGER) ELSE m.access_count END AS access_count,
+       CASE WHEN u.hits IS NOT NULL THEN u.imp ELSE m.importance END AS importance,
+       CASE WHEN u.hits IS NOT NULL THEN {AS_OF_SQL} ELSE m.last_accessed END AS last_accessed
+FROM memories m LEFT JOIN _upd u USING (memory_id)
+UNION ALL
+SELECT 'n-' || n.leader, n.user_id, CAST(coalesce(g.extra, 0) AS INTEGER),
+       CASE WHEN g.extra IS NOT NULL THEN g.imp ELSE n.importance END,
+       CASE WHEN g.extra IS NOT NULL THEN {AS_OF_SQL} END
+FROM _new n LEFT JOIN _grp g USING (leader) WHERE NOT n.merged
+""")
+    attach_sql("reembed_stale", "SELECT memory_id, 64 AS dim FROM memories")
+
+
+_attach()

@@ -245,3 +245,25 @@ def q_daily_maintenance(spark, sf):
     m = td.memories(spark, sf)
     backup = m.where(F.substring("memory_id", 2, 10).cast("int") % 3 != 0)
     return qa.daily_maintenance(m, backup, td.as_of(), shared_path(spark, f"maint-{uuid.uuid4().hex}"))
+
+
+def _attach():
+    from .registry import attach_sql
+    vid = "CAST(substr(memory_id, 2) AS INTEGER)"
+    attach_sql("daily_maintenance", f"""
+_d AS (
+  SELECT *, coalesce(deleted_at IS NULL AND (last_accessed IS NULL OR last_accessed < {AS_OF_SQL} - INTERVAL 7 DAY)
+                     AND importance > 0.1, false) AS decayed
+  FROM memories
+)
+SELECT 'backup_added' AS task, CAST(NULL AS VARCHAR) AS user_id, CAST(count(*) AS DOUBLE) AS value
+FROM memories WHERE {vid} % 3 = 0
+UNION ALL SELECT 'backup_refreshed', CAST(NULL AS VARCHAR), CAST(0 AS DOUBLE)
+UNION ALL SELECT 'decayed', user_id, CAST(count(*) FILTER (WHERE decayed) AS DOUBLE) FROM _d GROUP BY user_id
+UNION ALL SELECT 'avg_importance', user_id,
+       CAST(round(avg(CAST(CASE WHEN decayed THEN importance * 0.98 ELSE importance END AS DECIMAL(20,6))), 2) AS DOUBLE)
+FROM _d WHERE deleted_at IS NULL GROUP BY user_id
+""")
+
+
+_attach()

@@ -280,7 +280,12 @@ def q_bump_access(spark, sf):
     return rc.bump_access(mem, rec, td.as_of()).select("memory_id", "access_count", "last_accessed")
 
 
-@register("log_access")
+@register("log_access", RECALL_SQL + f"""
+SELECT r.memory_id, q.session_id, r.user_id, left(q.query, 500) AS query_text,
+       CAST(r.similarity AS DOUBLE) AS similarity_score, CAST(NULL AS BOOLEAN) AS was_useful,
+       CAST(NULL AS BOOLEAN) AS was_used, {AS_OF_SQL} AS accessed_at
+FROM recalled r JOIN requests q USING (request_id)
+""")
 def q_log_access(spark, sf):
     req = td.requests(spark, sf)
     rec = rc.recall(req, td.memories(spark, sf), limit=10, min_similarity=0.2)

@@ -49,3 +49,18 @@ def q_stream_access_counts(spark, sf):
     # latest running value per memory across micro-batches
     return out.groupBy("memory_id").agg(F.max("access_count").alias("access_count"),
                                         F.max("last_accessed").alias("last_accessed"))
+
+
+# ---------------------------------------------------------------- oracles
+def _attach():
+    from .q_text import _gate_sql
+    from .registry import attach_sql
+    attach_sql("stream_access_counts", """
+SELECT memory_id, count(*) AS access_count, max(accessed_at) AS last_accessed FROM access_log GROUP BY 1
+""")
+    attach_sql("stream_ingest", _gate_sql("documents", "doc_id", "text").rstrip().replace(
+        "SELECT doc_id, violation_count, error_message, error_message IS NULL AS is_safe FROM _m",
+        "SELECT doc_id, error_message IS NULL AS accepted FROM _m"))
+
+
+_attach()

@@ -29,6 +29,13 @@ MODULES = ["q_search", "q_stats", "q_quality", "q_text", "q_working", "q_context
            "q_lifecycle", "q_links", "q_io"]
 
 
+def attach_sql(name: str, sql: str) -> None:
+    """Give an already registered query its DuckDB twin."""
+    if name not in QUERIES:
+        raise KeyError(name)
+    ORACLE[name] = with_adapters(sql)
+
+
 def load_all() -> None:
     """Import the query modules (importing fills the registry)."""
     import importlib
