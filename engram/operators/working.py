@@ -176,7 +176,7 @@ REPLAY_OUT = T.StructType([
     T.StructField("token_count", T.IntegerType()),
     T.StructField("status", T.StringType()),       # kept | evicted
     T.StructField("evicted_by", T.StringType()),   # item whose add evicted it
-    T.StructField("total_after", T.LongType()),    # session total after the last add
+    T.StructField("total_after", T.LongType()),    # session total after the add that settled the row
 ])
 
 
@@ -207,36 +207,53 @@ def fold_adds(live: dict, total: int, max_tokens: int, rows) -> tuple[dict, int,
     return live, total, events
 
 
-def replay_fold(pdf: pd.DataFrame, max_tokens: int) -> pd.DataFrame:
-    """Replay one session's whole add history in sequence order."""
-    pdf = pdf.sort_values(["sequence_num", "item_id"])
-    live, total, events = fold_adds({}, 0, max_tokens, pdf.itertuples(index=False))
-    status: dict[str, tuple] = {}
-    for item, st, by in events:
-        status[item] = (st, by)
-    sid = pdf["session_id"].iloc[0]
-    seq = dict(zip(pdf["item_id"], pdf["sequence_num"]))
-    toks = dict(zip(pdf["item_id"], pdf["token_count"]))
-    return pd.DataFrame({
-        "session_id": sid,
-        "item_id": list(status),
-        "sequence_num": [int(seq[i]) for i in status],
-        "token_count": [int(toks[i]) for i in status],
-        "status": [s for s, _ in status.values()],
-        "evicted_by": [b for _, b in status.values()],
-        "total_after": total,
-    })
-
-
-def replay_sessions(adds: DataFrame, sessions: DataFrame) -> DataFrame:
+def _replay_partitions(batches):
+    """Fold sessions that arrive sorted by (session, sequence, item) through
+    Arrow batches.  Only the current session's live items are held; an
+    evicted item is emitted when it is evicted, live ones when the session
+    ends, so memory is bounded by live state, not by history or partition."""
+    cur, mx, live, total = None, 0, {}, 0
+    out = {k: [] for k in REPLAY_OUT.fieldNames()}
+
+    def emit(sid, item, seq, tok, status, by, tot):
+        for k, v in zip(REPLAY_OUT.fieldNames(), (sid, item, seq, tok, status, by, tot)):
+            out[k].append(v)
+
+    def flush_session():
+        for v in live.values():
+            emit(cur, v[0], v[1], v[4], "kept", None, total)
+
+    for pdf in batches:
+        for r in pdf.itertuples(index=False):
+            if r.session_id != cur:
+                if cur is not None:
+                    flush_session()
+                cur, mx, live, total = r.session_id, int(r.max_tokens), {}, 0
+            before = dict(live)
+            live, total, events = fold_adds(live, total, mx, [r])
+            for item, status, by in events:
+                if status == "evicted":
+                    v = before[item]
+                    emit(cur, item, v[1], v[4], "evicted", by, total)
+        if out["item_id"]:
+            yield pd.DataFrame(out)
+            out = {k: [] for k in REPLAY_OUT.fieldNames()}
+    if cur is not None:
+        flush_session()
+    if out["item_id"]:
+        yield pd.DataFrame(out)
+
+
+def replay_sessions(adds: DataFrame, sessions: DataFrame, partitions: int | None = None) -> DataFrame:
     """Replay every session's full add history (items with sequence numbers)
-    with eviction.  Order-dependent, so it is a per-session fold
-    (``applyInPandas``), not a window.  Sessions are independent and spread
-    over tasks by the group shuffle."""
+    with eviction.  Order-dependent, so it is a fold, not a window: rows are
+    hash-partitioned by session and sorted by (session, sequence) inside each
+    partition (spillable sort), then folded batch by batch in
+    ``mapInPandas``.  Sessions are independent, so they spread over tasks;
+    one session's history is necessarily folded in order by one task."""
     mx = sessions.select("session_id", "max_tokens")
     data = adds.select("session_id", "item_id", "sequence_num", "token_count", "relevance_score", "pinned") \
                .join(mx, "session_id")
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        return replay_fold(pdf, int(pdf["max_tokens"].iloc[0]))
-    return data.groupBy("session_id").applyInPandas(fn, REPLAY_OUT)
+    n = partitions or int(adds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    data = data.repartition(n, "session_id").sortWithinPartitions("session_id", "sequence_num", "item_id")
+    return data.mapInPandas(_replay_partitions, REPLAY_OUT)
