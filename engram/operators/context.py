@@ -35,6 +35,19 @@ def normalize_intent(col) -> Column:
             .otherwise("general"))
 
 
+def profile_types(spark: SparkSession, weights: DataFrame | None = None) -> DataFrame:
+    """(intent, memory_category, memory_subtype, weight) for the long-term
+    keys of every profile (a fixed-size table)."""
+    w = weights if weights is not None else intent_weights(spark)
+    return (w.where(F.col("weight_key") != "working_memory")
+            .select("intent", F.split_part("weight_key", F.lit("."), F.lit(1)).alias("memory_category"),
+                    F.split_part("weight_key", F.lit("."), F.lit(2)).alias("memory_subtype"), "weight"))
+
+
+def known_intent(col: str = "intent") -> Column:
+    return F.when(F.col(col).isin(list(INTENT_WEIGHTS)), F.col(col)).otherwise(F.lit("general"))
+
+
 def request_weights(requests: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """(request_id, weight_key, weight) for each request's intent; unknown
     intents use the general profile.  The profile table is a fixed 33-row
@@ -161,11 +174,9 @@ def assemble_context(requests: DataFrame, items: DataFrame, memories: DataFrame,
     wpack = (req.join(wl, "session_id", "left")
              .select("request_id", "token_budget", wfold.alias("_w")))
     # (2) typed top-k for all long-term keys of the profile
-    types = (rw.where(F.col("weight_key") != "working_memory")
-             .select("request_id", F.split_part("weight_key", F.lit("."), F.lit(1)).alias("memory_category"),
-                     F.split_part("weight_key", F.lit("."), F.lit(2)).alias("memory_subtype"), "weight"))
-    q = requests.select("request_id", "user_id", "embedding")
-    hits = typed_topk(q, memories, types, n=n_per_type, min_similarity=min_similarity, block_rows=block_rows)
+    q = requests.select("request_id", "user_id", "embedding", known_intent().alias("intent"))
+    hits = typed_topk(q, memories, profile_types(requests.sparkSession, weights), n=n_per_type,
+                      min_similarity=min_similarity, block_rows=block_rows)
     focus = requests.select("request_id", "focus_entities")
     m = entity_matches("focus_entities", "entities")
     base = F.col("similarity") * F.col("weight") * (F.lit(1.0) + F.col("importance"))
@@ -251,10 +262,9 @@ def assemble_context_unified(requests: DataFrame, items: DataFrame, memories: Da
     from .search import typed_topk
     rw = request_weights(requests, weights)
     req = requests.select("request_id", "session_id", "user_id", "embedding", "token_budget", "focus_entities")
-    types = (rw.where(F.col("weight_key") != "working_memory")
-             .select("request_id", F.split_part("weight_key", F.lit("."), F.lit(1)).alias("memory_category"),
-                     F.split_part("weight_key", F.lit("."), F.lit(2)).alias("memory_subtype"), "weight"))
-    hits = typed_topk(req, memories, types, n=per_type, min_similarity=min_similarity)
+    q = requests.select("request_id", "user_id", "embedding", known_intent().alias("intent"))
+    hits = typed_topk(q, memories, profile_types(requests.sparkSession, weights), n=per_type,
+                      min_similarity=min_similarity)
     lt = (hits.join(req.select("request_id", "focus_entities"), "request_id")
           .withColumn("token_count", F.floor(F.length("content") / 4).cast("int")))
     lt = score_candidates(lt).select("request_id", F.col("memory_id").alias("id"), "token_count", "score",

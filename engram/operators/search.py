@@ -243,7 +243,7 @@ def hybrid_relevance(scored: DataFrame, as_of: Column, *, score: str = "score",
     return scored.withColumn("relevance_score", rel)
 
 
-def typed_topk(requests: DataFrame, memories: DataFrame, weights: DataFrame, n: int = 5,
+def typed_topk(requests: DataFrame, memories: DataFrame, weights: DataFrame | None = None, n: int = 5,
                min_similarity: float = 0.5, *, qid: str = "request_id",
                carry: Sequence[str] = ("content", "entities", "importance"),
                block_rows: int | None = BLOCK_ROWS) -> DataFrame:
@@ -251,9 +251,18 @@ def typed_topk(requests: DataFrame, memories: DataFrame, weights: DataFrame, n:
     the top ``n`` live memories of that type by similarity, then drop those
     below ``min_similarity`` (filter after the cut, as the per-type query did).
 
-    ``weights`` has (request_id, memory_category, memory_subtype, weight)."""
-    q = (requests.select(qid, "user_id", "embedding").join(weights, qid)
-         .withColumn("_qk", F.concat_ws("|", qid, "memory_category", "memory_subtype")))
+    ``weights`` is either per intent (intent, memory_category,
+    memory_subtype, weight) -- joined to ``requests`` on intent, a broadcast
+    of a fixed-size profile table -- or per request (request_id, ...).  With
+    ``weights=None`` the ``requests`` rows already carry the type columns."""
+    if weights is None:
+        q = requests
+    elif "intent" in weights.columns:
+        q = requests.join(F.broadcast(weights), "intent")
+    else:
+        q = requests.select(qid, "user_id", "embedding").join(weights, qid)
+    q = q.select(qid, "user_id", "embedding", "memory_category", "memory_subtype", "weight") \
+         .withColumn("_qk", F.concat_ws("|", qid, "memory_category", "memory_subtype"))
     hits = knn_exact(q, memories, n, keys=["user_id", "memory_category", "memory_subtype"],
                      qid="_qk", tiebreak=(), carry=list(carry), block_rows=block_rows,
                      score="similarity", qcarry=[qid, "weight"])

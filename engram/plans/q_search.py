@@ -70,6 +70,13 @@ SELECT request_id, user_id, memory_id, round(score, 6) AS score, rank FROM _kr W
 
 @register("knn_exact", KNN_SQL + KNN_OUT)
 def q_knn_exact(spark, sf):
+    out = S.knn_exact(td.requests(spark, sf), td.memories(spark, sf), 10)
+    return out.select("request_id", "user_id", "memory_id", _r(F.col("score")).alias("score"), "rank")
+
+
+@register("knn_exact_sql", KNN_SQL + KNN_OUT)
+def q_knn_exact_sql(spark, sf):
+    """The same search scored by the native dot-product expression."""
     out = S.knn_exact(td.requests(spark, sf), td.memories(spark, sf), 10, method="sql")
     return out.select("request_id", "user_id", "memory_id", _r(F.col("score")).alias("score"), "rank")
 
@@ -153,16 +160,6 @@ def q_hybrid(spark, sf):
     return out.select("request_id", "memory_id", _r(F.col("relevance_score")).alias("relevance_score"))
 
 
-def _weights_for(spark, req):
-    """(request_id, memory_category, memory_subtype, weight) for the request's
-    intent profile, long-term keys only."""
-    from ..operators.context import intent_weights
-    w = intent_weights(spark).where(F.col("weight_key") != "working_memory")
-    w = (w.withColumn("memory_category", F.split_part("weight_key", F.lit("."), F.lit(1)))
-         .withColumn("memory_subtype", F.split_part("weight_key", F.lit("."), F.lit(2))))
-    return req.select("request_id", "intent").join(F.broadcast(w), "intent").drop("intent", "weight_key")
-
-
 @register("typed_topk", f"""
 _w AS (
   SELECT r.request_id, r.user_id, r.embedding, split_part(w.weight_key, '.', 1) AS memory_category,
@@ -184,8 +181,9 @@ SELECT request_id, memory_category, memory_subtype, weight, memory_id, round(sim
 FROM _r WHERE rank <= 5 AND similarity >= 0.2
 """)
 def q_typed_topk(spark, sf):
-    req = td.requests(spark, sf)
-    out = S.typed_topk(req, td.memories(spark, sf), _weights_for(spark, req), n=5, min_similarity=0.2)
+    from ..operators.context import known_intent, profile_types
+    req = td.requests(spark, sf).select("request_id", "user_id", "embedding", known_intent().alias("intent"))
+    out = S.typed_topk(req, td.memories(spark, sf), profile_types(spark), n=5, min_similarity=0.2)
     return out.select("request_id", "memory_category", "memory_subtype", "weight", "memory_id",
                       _r(F.col("similarity")).alias("similarity"), "rank")
 
