@@ -245,3 +245,59 @@ FROM _x x JOIN _all a ON a.request_id = x.request_id AND a.id = x.id
 
 
 _attach()
+
+
+# ------------------------------------------------- per-step views of the assembly
+SCORE_SQL = f"""
+_rw AS (
+  SELECT r.request_id, w.weight_key, w.weight FROM requests r
+  JOIN intent_weights w ON w.intent = CASE WHEN r.intent IN ({_KNOWN}) THEN r.intent ELSE 'general' END
+),
+_hits AS (
+  SELECT q.request_id, w.weight, m.memory_id, m.entities, m.importance, q.focus_entities,
+         m.memory_category, m.memory_subtype, {cosine('q.embedding', 'm.embedding')} AS similarity
+  FROM _rw w JOIN requests q USING (request_id)
+  JOIN live m ON m.user_id = q.user_id AND m.memory_category = split_part(w.weight_key, '.', 1)
+             AND m.memory_subtype = split_part(w.weight_key, '.', 2)
+  WHERE w.weight_key <> 'working_memory'
+),
+_top AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, memory_category, memory_subtype
+                                              ORDER BY similarity DESC NULLS LAST, memory_id) AS rk FROM _hits)
+  WHERE rk <= 5 AND similarity >= {T_TYPED}
+)
+SELECT request_id, memory_id, CAST(coalesce(len(list_intersect(focus_entities, entities)), 0) AS INTEGER) AS entity_matches,
+       round(CASE WHEN coalesce(len(list_intersect(focus_entities, entities)), 0) > 0
+                  THEN similarity * weight * (1.0 + importance) * (1.0 + 0.3 * len(list_intersect(focus_entities, entities)))
+                  ELSE similarity * weight * (1.0 + importance) END, 6) AS score
+FROM _top
+"""
+
+
+@register("score_candidates", SCORE_SQL)
+def q_score_candidates(spark, sf):
+    from ..operators.context import known_intent, profile_types, score_candidates
+    from ..operators.search import typed_topk
+    req = td.requests(spark, sf)
+    q = req.select("request_id", "user_id", "embedding", known_intent().alias("intent"))
+    hits = typed_topk(q, td.memories(spark, sf), profile_types(spark), n=5, min_similarity=T_TYPED)
+    hits = hits.join(req.select("request_id", "focus_entities"), "request_id")
+    out = score_candidates(hits)
+    return out.select("request_id", "memory_id", F.col("entity_matches").cast("int").alias("entity_matches"),
+                      F.round("score", 6).alias("score"))
+
+
+@register("pack_context", CONTEXT_SQL + """
+SELECT request_id, memory_id, position, token_count FROM assembled WHERE source = 'long_term'
+""")
+def q_pack_context(spark, sf):
+    a = _assemble(spark, sf)
+    return a.where(F.col("source") == "long_term").select("request_id", "memory_id", "position", "token_count")
+
+
+@register("explain_inclusion", CONTEXT_SQL + """
+SELECT request_id, memory_id, why_included FROM assembled WHERE source = 'long_term'
+""")
+def q_explain_inclusion(spark, sf):
+    a = _assemble(spark, sf)
+    return a.where(F.col("source") == "long_term").select("request_id", "memory_id", "why_included")

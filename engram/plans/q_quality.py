@@ -267,3 +267,9 @@ FROM _d WHERE deleted_at IS NULL GROUP BY user_id
 
 
 _attach()
+
+
+@register("recommend_action", _full_sql(5) + "SELECT memory_1, memory_2, recommendation FROM contradictions")
+def q_recommend_action(spark, sf):
+    return qa.contradictions_full(td.memories(spark, sf), t=T_CONTRA, k=5).select(
+        "memory_1", "memory_2", "recommendation")
