@@ -69,17 +69,16 @@ def budget_split(requests: DataFrame, weights: DataFrame | None = None) -> DataF
 
 def working_context(items: DataFrame, req: DataFrame) -> DataFrame:
     """req (request_id, session_id, working_budget) -> picked working items
-    (pinned desc, sequence desc, greedy skip under the working budget), with
-    the tokens used."""
-    from .working import greedy_pick
-    key = F.struct((~F.col("pinned")).alias("k0"), (-F.col("sequence_num")).alias("k1"),
-                   F.col("item_id").alias("id"), F.col("token_count").cast("long").alias("tok"))
-    lists = items.groupBy("session_id").agg(F.sort_array(F.collect_list(key)).alias("_xs"))
-    j = req.join(lists, "session_id", "left")
-    empty = F.array().cast(lists.schema["_xs"].dataType)
-    folded = j.withColumn("_r", greedy_pick(F.coalesce("_xs", empty), F.col("working_budget")))
-    return folded.select("request_id", "session_id", F.col("_r.used").alias("working_used"),
-                         F.posexplode_outer("_r.picked").alias("position", "item_id"))
+    (pinned desc, sequence desc, greedy skip under the working budget) with
+    the tokens used.  Streamed ordered fold: no session is gathered whole."""
+    from ..plans.ordered_fold import greedy_pack
+    rows = req.select("request_id", "session_id", F.col("working_budget").cast("long").alias("_budget")).join(
+        items.select("session_id", "item_id", "pinned", "sequence_num", "token_count", "content_type",
+                     "relevance_score"), "session_id")
+    order = [(~F.col("pinned")), (-F.col("sequence_num")), F.col("item_id")]
+    picked = greedy_pack(rows, "request_id", order, "token_count", "_budget",
+                         keep=["session_id", "item_id", "token_count", "content_type", "relevance_score"])
+    return picked.withColumnRenamed("used", "working_used")
 
 
 def score_candidates(hits: DataFrame, focus_col: str = "focus_entities") -> DataFrame:
@@ -157,22 +156,19 @@ def assemble_context(requests: DataFrame, items: DataFrame, memories: DataFrame,
            .join(w_wm, "request_id", "left")
            .withColumn("working_budget",
                        (F.col("token_budget") * F.coalesce("w_wm", F.lit(0.35))).cast("int")))
-    # (1) working memory: one fold per request over its session's items
-    wkey = F.struct((~F.col("pinned")).alias("k0"), (-F.col("sequence_num")).alias("k1"),
-                    F.col("item_id").alias("id"), F.col("token_count").cast("long").alias("tok"),
-                    F.col("content_type").alias("content_type"),
+    # (1) working memory: streamed ordered fold per request; the picks (at
+    #     most working_budget of them) are then gathered per request
+    wc = working_context(items, req)
+    wkey = F.struct(F.col("position").alias("p"), F.col("item_id").alias("id"),
+                    F.col("token_count").cast("long").alias("tok"), F.col("content_type").alias("content_type"),
                     F.col("relevance_score").cast("double").alias("relevance_score"))
-    wl = items.groupBy("session_id").agg(F.sort_array(F.collect_list(wkey)).alias("_wxs"))
+    wl = wc.groupBy("request_id").agg(F.max("working_used").alias("_used"),
+                                      F.sort_array(F.collect_list(wkey)).alias("_wxs"))
     wempty = F.array().cast(wl.schema["_wxs"].dataType)
-    winit = F.struct(F.lit(0).cast("long").alias("used"), wempty.alias("picked"))
-    wfold = F.aggregate(
-        F.coalesce("_wxs", wempty), winit,
-        lambda acc, x: F.when(acc["used"] + x["tok"] <= F.col("working_budget"),
-                              F.struct((acc["used"] + x["tok"]).alias("used"),
-                                       F.concat(acc["picked"], F.array(x)).alias("picked")))
-        .otherwise(acc))
-    wpack = (req.join(wl, "session_id", "left")
-             .select("request_id", "token_budget", wfold.alias("_w")))
+    wpack = (req.select("request_id", "token_budget").join(wl, "request_id", "left")
+             .select("request_id", "token_budget",
+                     F.struct(F.coalesce("_used", F.lit(0)).cast("long").alias("used"),
+                              F.coalesce("_wxs", wempty).alias("picked")).alias("_w")))
     # (2) typed top-k for all long-term keys of the profile
     q = requests.select("request_id", "user_id", "embedding", known_intent().alias("intent"))
     hits = typed_topk(q, memories, profile_types(requests.sparkSession, weights), n=n_per_type,

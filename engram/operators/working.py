@@ -103,7 +103,12 @@ def read_working_memory(items: DataFrame, sessions: DataFrame, budgets: DataFram
     """Per session: items in order pinned desc, relevance desc, sequence desc,
     packed greedily under the budget (budgets: session_id, token_budget;
     default the session's max_tokens).  Returns the picked items with
-    ``used_tokens`` and ``truncated`` (= used < session total)."""
+    ``position``, ``used_tokens`` and ``truncated`` (= used < session total).
+
+    The packing is an ordered fold over a sorted stream
+    (``plans.ordered_fold``), so a session of any size is never gathered
+    into one array."""
+    from ..plans.ordered_fold import greedy_pack
     it = items if not types else items.where(F.col("content_type").isin(types))
     s = sessions.select("session_id", "total_tokens", "max_tokens")
     if budgets is not None:
@@ -111,16 +116,14 @@ def read_working_memory(items: DataFrame, sessions: DataFrame, budgets: DataFram
         budget = F.coalesce(F.col("token_budget"), F.col("max_tokens"))
     else:
         budget = F.col("max_tokens")
-    key = F.struct((~F.col("pinned")).alias("k0"), (-F.col("relevance_score")).alias("k1"),
-                   (-F.col("sequence_num")).alias("k2"), F.col("item_id").alias("id"),
-                   F.col("token_count").cast("long").alias("tok"))
-    lists = it.groupBy("session_id").agg(F.sort_array(F.collect_list(key)).alias("_xs"))
-    folded = (s.join(lists, "session_id", "left")
-              .withColumn("_r", greedy_pick(F.coalesce("_xs", F.array().cast(lists.schema["_xs"].dataType)), budget))
-              .select("session_id", F.col("_r.used").alias("used_tokens"),
-                      (F.col("_r.used") < F.col("total_tokens")).alias("truncated"),
-                      F.posexplode_outer("_r.picked").alias("position", "item_id")))
-    return folded.join(it.drop("session_id"), "item_id", "left")
+    rows = it.join(s.select("session_id", budget.cast("long").alias("_budget")), "session_id")
+    order = [(~F.col("pinned")), (-F.col("relevance_score")), (-F.col("sequence_num")), F.col("item_id")]
+    picked = greedy_pack(rows, "session_id", order, "token_count", "_budget",
+                         keep=[c for c in it.columns if c != "session_id"])
+    return (picked.join(s.select("session_id", "total_tokens"), "session_id")
+            .withColumn("used_tokens", F.col("used"))
+            .withColumn("truncated", F.col("used") < F.col("total_tokens"))
+            .drop("used", "total_tokens"))
 
 
 def update_item_flags(items: DataFrame, changes: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:

@@ -1,0 +1,68 @@
+"""Greedy skip-and-continue packing as an ordered, streamed fold.
+
+Rows are hash-partitioned by group and sorted by (group, order) inside each
+partition (a spillable sort); ``mapInPandas`` then walks the Arrow batches
+once.  Only the current group's picked rows are held (at most ``budget`` of
+them when every row costs >= 1 token), so no group is ever collected whole,
+however many rows it has.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import types as T
+
+
+def greedy_pack(df: DataFrame, group: str, order: Sequence[Column], tok: str, budget: str,
+                keep: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """Per ``group``: walk rows in ``order``; take a row when ``used + tok <=
+    budget`` (``budget`` is a per-row column, constant within a group), else
+    skip it and continue.  Returns the picked rows (``keep`` columns) with
+    ``position`` (0-based among picks) and the group's final ``used``."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cols = list(dict.fromkeys([group, tok, budget, *keep]))
+    data = df.select(*cols, *[o.alias(f"_o{i}") for i, o in enumerate(order)])
+    data = data.repartition(n, group).sortWithinPartitions(group, *[f"_o{i}" for i in range(len(order))])
+    data = data.select(*cols)
+    out_fields = [data.schema[c] for c in dict.fromkeys([group, *keep])]
+    schema = T.StructType(out_fields + [T.StructField("position", T.IntegerType()),
+                                        T.StructField("used", T.LongType())])
+    names = [f.name for f in out_fields]
+
+    def run(batches):
+        cur, used, limit, picked = None, 0, 0, []
+
+        def flush():
+            if not picked:
+                return None
+            frame = pd.DataFrame(picked, columns=names)
+            frame["position"] = range(len(picked))
+            frame["used"] = used
+            return frame
+
+        for pdf in batches:
+            frames = []
+            g = pdf[group].to_numpy()
+            t = pdf[tok].to_numpy()
+            b = pdf[budget].to_numpy()
+            rows = pdf[names].itertuples(index=False, name=None)
+            for i, row in enumerate(rows):
+                if g[i] != cur:
+                    f = flush()
+                    if f is not None:
+                        frames.append(f)
+                    cur, used, limit, picked = g[i], 0, int(b[i]), []
+                cost = int(t[i])
+                if used + cost <= limit:
+                    used += cost
+                    picked.append(row)
+            # groups finished inside this batch are emitted now; the open one waits
+            if frames:
+                yield pd.concat(frames, ignore_index=True)
+        f = flush()
+        if f is not None:
+            yield f
+    return data.mapInPandas(run, schema)

@@ -144,7 +144,7 @@ def q_working_context(spark, sf):
          .withColumn("working_budget", (F.col("token_budget") * F.coalesce("weight", F.lit(0.35))).cast("int"))
          .select("request_id", "session_id", "working_budget"))
     out = cx.working_context(td.items(spark, sf), r)
-    return out.where(F.col("item_id").isNotNull()).select("request_id", "working_used", "item_id", "position")
+    return out.select("request_id", "working_used", "item_id", "position")
 
 
 @register("budget_split", CONTEXT_SQL + """
@@ -159,7 +159,10 @@ def q_budget_split(spark, sf):
     r = (req.join(wm, "request_id", "left")
          .withColumn("working_budget", (F.col("token_budget") * F.coalesce("w_wm", F.lit(0.35))).cast("int"))
          .select("request_id", "session_id", "working_budget"))
-    used = cx.working_context(td.items(spark, sf), r).select("request_id", "working_used").dropDuplicates()
+    used = (r.select("request_id").join(cx.working_context(td.items(spark, sf), r)
+                                         .groupBy("request_id").agg(F.max("working_used").alias("working_used")),
+                                         "request_id", "left")
+            .select("request_id", F.coalesce("working_used", F.lit(0)).alias("working_used")))
     out = (rw.where(F.col("weight_key") != "working_memory").join(used, "request_id")
            .withColumn("type_budget", ((F.col("token_budget") - F.col("working_used")) * F.col("weight")).cast("int"))
            .where(F.col("type_budget") >= 50))
