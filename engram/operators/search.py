@@ -22,6 +22,9 @@ from ..plans.blocking import BLOCK_ROWS, blocked, blocked_join
 from .filters import live
 
 Q_VEC, M_VEC, Q_NORM, M_NORM = "_q_vec", "_m_vec", "_q_norm", "_m_norm"
+# query rows scored per matrix product inside a block (bounds the score matrix
+# to QUERY_CHUNK x BLOCK_ROWS doubles per task)
+QUERY_CHUNK = 512
 
 
 def _prep(queries: DataFrame, memories: DataFrame, keys, qid, mid, qvec, mvec,
@@ -107,9 +110,18 @@ def _block_topk_fn(k: int, q_out: list[str], m_out: list[str], mid: str, tiebrea
                              mdf[m_out].iloc[:0].reset_index(drop=True)], axis=1)
             out[score] = pd.Series([], dtype="float64")
             return out
-        Q = np.stack(qdf[Q_VEC].to_numpy()).astype(np.float64)
         M = np.stack(mdf[M_VEC].to_numpy()).astype(np.float64)
-        den = np.outer(qdf[Q_NORM].to_numpy(dtype=np.float64), mdf[M_NORM].to_numpy(dtype=np.float64))
+        mn = mdf[M_NORM].to_numpy(dtype=np.float64)
+        mid_rank = np.argsort(np.argsort(mdf[mid].to_numpy().astype(str), kind="stable"), kind="stable")
+        ties = [mdf[t].to_numpy(dtype=np.float64) for t in tiebreak]
+        # score the query rows in chunks so a block's score matrix stays small
+        parts = [_topk_chunk(qdf.iloc[i:i + QUERY_CHUNK], mdf, M, mn, mid_rank, ties)
+                 for i in range(0, len(qdf), QUERY_CHUNK)]
+        return pd.concat(parts, ignore_index=True)
+
+    def _topk_chunk(qdf, mdf, M, mn, mid_rank, ties):
+        Q = np.stack(qdf[Q_VEC].to_numpy()).astype(np.float64)
+        den = np.outer(qdf[Q_NORM].to_numpy(dtype=np.float64), mn)
         with np.errstate(divide="ignore", invalid="ignore"):
             S = np.where(den > 0, (Q @ M.T) / den, np.nan)
         fill = np.where(np.isnan(S), -np.inf, S)
@@ -125,10 +137,8 @@ def _block_topk_fn(k: int, q_out: list[str], m_out: list[str], mid: str, tiebrea
             cand &= allowed
         qi, mj = np.nonzero(cand)
         # order: query, score desc, tiebreaks desc (nulls last), id asc
-        mid_rank = np.argsort(np.argsort(mdf[mid].to_numpy().astype(str), kind="stable"), kind="stable")
         sort_keys = [mid_rank[mj]]
-        for t in reversed(tiebreak):
-            tv = mdf[t].to_numpy(dtype=np.float64)
+        for tv in reversed(ties):
             sort_keys.append(np.where(np.isnan(tv[mj]), np.inf, -tv[mj]))
         sort_keys += [-fill[qi, mj], qi]
         order = np.lexsort(sort_keys)
@@ -309,24 +319,29 @@ def first_similar_earlier(rows: DataFrame, t: float, *, keys: Sequence[str] = ("
                               "first_ord": mdf["_cord"].iloc[:0]})
         if len(qdf) == 0 or len(mdf) == 0:
             return empty
-        Q = np.stack(qdf[Q_VEC].to_numpy()).astype(np.float64)
         M = np.stack(mdf[M_VEC].to_numpy()).astype(np.float64)
-        den = np.outer(qdf[Q_NORM].to_numpy(dtype=np.float64), mdf[M_NORM].to_numpy(dtype=np.float64))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            S = np.where(den > 0, (Q @ M.T) / den, -np.inf)
-        qo = qdf[order].to_numpy()
+        mn = mdf[M_NORM].to_numpy(dtype=np.float64)
         mo = mdf["_cord"].to_numpy()
-        ok = (S >= t) & (mo[None, :] < qo[:, None])
-        has = ok.any(axis=1)
-        if not has.any():
-            return empty
         rank = np.argsort(np.argsort(mo, kind="stable"), kind="stable").astype(np.int64)
         big = np.iinfo(np.int64).max
-        pick = np.where(ok, rank[None, :], big).argmin(axis=1)
-        qi = np.nonzero(has)[0]
-        mj = pick[qi]
-        return pd.DataFrame({rid: qdf[rid].to_numpy()[qi], "first_id": mdf["_cid"].to_numpy()[mj],
-                             "first_ord": mo[mj]})
+        parts = []
+        for i in range(0, len(qdf), QUERY_CHUNK):
+            qc = qdf.iloc[i:i + QUERY_CHUNK]
+            Q = np.stack(qc[Q_VEC].to_numpy()).astype(np.float64)
+            den = np.outer(qc[Q_NORM].to_numpy(dtype=np.float64), mn)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                S = np.where(den > 0, (Q @ M.T) / den, -np.inf)
+            qo = qc[order].to_numpy()
+            ok = (S >= t) & (mo[None, :] < qo[:, None])
+            has = ok.any(axis=1)
+            if not has.any():
+                continue
+            pick = np.where(ok, rank[None, :], big).argmin(axis=1)
+            qi = np.nonzero(has)[0]
+            mj = pick[qi]
+            parts.append(pd.DataFrame({rid: qc[rid].to_numpy()[qi], "first_id": mdf["_cid"].to_numpy()[mj],
+                                       "first_ord": mo[mj]}))
+        return pd.concat(parts, ignore_index=True) if parts else empty
 
     part = q2.groupBy(*on).cogroup(m2.groupBy(*on)).applyInPandas(fn, schema)
     return part.groupBy(rid).agg(F.min(F.struct("first_ord", "first_id")).alias("_m")) \

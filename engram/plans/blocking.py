@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .sizing import broadcast_if_small
 
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 4096
 QBLK, MBLK = "_qblk", "_mblk"
 
 

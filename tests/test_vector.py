@@ -88,3 +88,12 @@ def test_first_similar_earlier(spark):
         "request_id string, user_id string, _ord string, embedding array<float>")
     out = {r["request_id"]: r["first_id"] for r in S.first_similar_earlier(rows, 0.9, block_rows=2).collect()}
     assert out == {"b": "a", "c": "a"}
+
+
+def test_query_chunks_equal_whole_blocks(spark, monkeypatch):
+    q, m = _frames(spark)
+    monkeypatch.setattr(S, "QUERY_CHUNK", 3)
+    a = _rows(S.knn_exact(q, m, 4, method="block", block_rows=16))
+    monkeypatch.setattr(S, "QUERY_CHUNK", 10_000)
+    b = _rows(S.knn_exact(q, m, 4, method="sql"))
+    assert a == b
