@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sizing import broadcast_if_small
+from .sizing import small_or_none
 
 BLOCK_ROWS = 4096
 QBLK, MBLK = "_qblk", "_mblk"
@@ -33,7 +33,8 @@ def block_sizes(q: DataFrame, m: DataFrame, keys: Sequence[str], block_rows: int
         F.ceil(F.col("_qn") / block_rows).cast("int").alias("_qb"),
         F.ceil(F.col("_mn") / block_rows).cast("int").alias("_mb"),
     )
-    return broadcast_if_small(sizes)
+    small = small_or_none(sizes)
+    return small if small is not None else sizes
 
 
 def blocked(q: DataFrame, m: DataFrame, keys: Sequence[str], qid: str, mid: str,

@@ -23,6 +23,18 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
+def small_or_none(df: DataFrame, max_rows: int = 50_000) -> DataFrame | None:
+    """Materialise a side proven to have at most ``max_rows`` rows (the probe
+    reads at most ``max_rows + 1``) as a broadcast of its rows, so the
+    consuming job neither recomputes nor re-shuffles it; None when it is
+    larger."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return None
+    spark = df.sparkSession
+    return F.broadcast(spark.createDataFrame(rows, df.schema))
+
+
 def broadcast_fixed(df: DataFrame) -> DataFrame:
     """Broadcast a side whose row count is a compile-time constant
     (taxonomy, intent profiles, pattern lists)."""
