@@ -135,6 +135,8 @@ def dedup_upsert(memories: DataFrame, incoming: DataFrame, as_of: Column, t: flo
     # the match result feeds four branches (updates, inserts, merges,
     # report): materialise it once in the shared checkpoint folder instead of
     # re-running the vector search per branch
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(incoming.sparkSession)
     inc = incoming.join(matched, "request_id", "left").checkpoint(eager=True)
     to_table = inc.where(F.col("memory_id").isNotNull())
     fresh = inc.where(F.col("memory_id").isNull()).drop("memory_id")

@@ -66,17 +66,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     on real data the scan already has more splits than cores and this is a
     no-op."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    par = spark.sparkContext.defaultParallelism
     key = (spark.sparkContext.applicationId, path)
-    if key not in _SPLITS:
-        _SPLITS[key] = df.rdd.getNumPartitions()
-    if _SPLITS[key] < par:
-        df = df.repartition(par)
-    return df
-
-
-_SPLITS: dict = {}  # (application, path) -> input splits of the scan (files are immutable)
+    if key not in _TABLES:
+        df = spark.read.parquet(path)
+        par = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < par:
+            df = df.repartition(par)
+        _TABLES[key] = df
+    return _TABLES[key]
+
+
+# (application, path) -> the table's DataFrame: listing and footer reads happen
+# once per session (the fixture files are immutable; DataFrames are lazy)
+_TABLES: dict = {}
 
 
 def _embedded_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
