@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.gating import gate_secrets
 from ..operators.working import fold_adds
@@ -73,16 +74,58 @@ def _wm_step(key, pdfs, state):
     })
 
 
-def stream_working_memory(adds: DataFrame, sessions: DataFrame) -> DataFrame:
+class SessionWorkingMemory(StatefulProcessor):
+    """transformWithState processor: per session, the live items and the
+    token total live in one value state (RocksDB-backed); each micro-batch
+    of adds is folded in sequence order."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("live", "live_json string, total long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        if self.state.exists():
+            live_json, total = self.state.get()
+            live = {k: tuple(v) for k, v in json.loads(live_json).items()}
+        else:
+            live, total = {}, 0
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["sequence_num", "item_id"])
+        max_tokens = int(batch["max_tokens"].iloc[0])
+        live, total, events = fold_adds(live, int(total), max_tokens, batch.itertuples(index=False))
+        self.state.update((json.dumps(live), int(total)))
+        yield pd.DataFrame({
+            "session_id": key[0],
+            "item_id": [e[0] for e in events],
+            "status": [e[1] for e in events],
+            "evicted_by": [e[2] for e in events],
+            "total_after": int(total),
+        })
+
+    def close(self) -> None:
+        pass
+
+
+def stream_working_memory(adds: DataFrame, sessions: DataFrame, api: str = "transform") -> DataFrame:
     """Per-session working-memory state with eviction.  ``adds`` streams
     (session_id, item_id, sequence_num, token_count, relevance_score,
     pinned); the static ``sessions`` table gives max_tokens.  Inside a
     micro-batch adds are applied in sequence order, across micro-batches in
-    arrival order.  Emits one event per add (kept) and per eviction."""
+    arrival order.  Emits one event per add (kept) and per eviction.
+
+    api="transform" uses transformWithStateInPandas on the RocksDB state
+    store (set when the session has no provider configured); api="legacy"
+    uses applyInPandasWithState."""
     a = adds.select("session_id", "item_id", "sequence_num", "token_count", "relevance_score", "pinned") \
             .join(sessions.select("session_id", "max_tokens"), "session_id")
-    return a.groupBy("session_id").applyInPandasWithState(
-        _wm_step, WM_OUT, WM_STATE, "append", GroupStateTimeout.NoTimeout)
+    if api == "legacy":
+        return a.groupBy("session_id").applyInPandasWithState(
+            _wm_step, WM_OUT, WM_STATE, "append", GroupStateTimeout.NoTimeout)
+    spark = adds.sparkSession
+    key = "spark.sql.streaming.stateStore.providerClass"
+    rocks = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    if spark.conf.get(key, None) in (None, "", rocks) or "HDFSBacked" in spark.conf.get(key, ""):
+        spark.conf.set(key, rocks)
+    return a.groupBy("session_id").transformWithStateInPandas(
+        SessionWorkingMemory(), WM_OUT, "Append", "None")
 
 
 def final_item_status(events: DataFrame) -> DataFrame:

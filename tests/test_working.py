@@ -83,3 +83,13 @@ def test_clear_and_totals(spark):
     assert rep == {"s": (1, 5), "t": (1, 0)}
     tot = {r["session_id"]: r["total_tokens"] for r in wk.session_totals(items).collect()}
     assert tot[None] == 22 and tot["s"] == 15
+
+
+def test_legacy_state_api_equals_replay(spark):
+    from engram.sources import testdata as td
+    from engram.streaming import jobs as sj
+    sf = "/root/testdata/sf0.001"
+    batch = {(r["item_id"], r["status"]) for r in wk.replay_sessions(td.items(spark, sf), td.sessions(spark, sf)).collect()}
+    adds = td.items_from(sj.file_stream(spark, sf, "conversations"))
+    ev = sj.run_available(sj.stream_working_memory(adds, td.sessions(spark, sf), api="legacy"), "wmlegacy")
+    assert {(r["item_id"], r["status"]) for r in sj.final_item_status(ev).collect()} == batch
