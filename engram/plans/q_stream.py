@@ -64,3 +64,12 @@ SELECT memory_id, count(*) AS access_count, max(accessed_at) AS last_accessed FR
 
 
 _attach()
+
+
+def _attach_replay():
+    from .q_working import REPLAY_SQL
+    from .registry import attach_sql
+    attach_sql("stream_working_memory", REPLAY_SQL + "SELECT session_id, item_id, status FROM replayed")
+
+
+_attach_replay()

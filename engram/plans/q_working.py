@@ -186,3 +186,51 @@ SELECT session_id, CAST(sum(token_count) AS BIGINT) AS total_tokens FROM items G
 def q_sessions_due(spark, sf):
     from ..operators.lifecycle import sessions_due
     return sessions_due(td.items(spark, sf), threshold=900)
+
+
+# ---------------------------------------------------------------- replay oracle
+_EVICT = """list_reduce(
+      list_sort(list_transform(list_filter(st.live, lambda v: NOT v.pinned),
+                               lambda v: {'rel': v.rel, 'seq': v.seq, 'id': v.id, 'tok': v.tok})),
+      lambda a, v: CASE WHEN a.freed >= x.tok - (max_tokens - st.total) THEN a
+                        ELSE {'freed': a.freed + v.tok, 'ids': list_append(a.ids, v.id)} END,
+      {'freed': CAST(0 AS BIGINT), 'ids': CAST([] AS VARCHAR[])})"""
+
+REPLAY_SQL = f"""
+_seqs AS (
+  SELECT i.session_id, s.max_tokens,
+         list({{'id': i.item_id, 'seq': i.sequence_num, 'rel': i.relevance_score, 'pinned': i.pinned,
+                'tok': CAST(i.token_count AS BIGINT)}} ORDER BY i.sequence_num, i.item_id) AS xs
+  FROM items i JOIN sessions s USING (session_id) GROUP BY i.session_id, s.max_tokens
+),
+_fold AS (
+  SELECT session_id, list_reduce(xs, lambda st, x:
+      CASE WHEN st.total + x.tok > max_tokens THEN
+        {{'live': list_append(list_filter(st.live, lambda v: NOT list_contains(({_EVICT}).ids, v.id)), x),
+         'total': st.total - ({_EVICT}).freed + x.tok,
+         'evicted': list_concat(st.evicted, list_transform(({_EVICT}).ids,
+                      lambda i: {{'id': i, 'evby': x.id, 'tot': st.total - ({_EVICT}).freed + x.tok}}))}}
+      ELSE {{'live': list_append(st.live, x), 'total': st.total + x.tok, 'evicted': st.evicted}} END,
+      {{'live': CAST([] AS STRUCT(id VARCHAR, seq INTEGER, rel DOUBLE, pinned BOOLEAN, tok BIGINT)[]),
+        'total': CAST(0 AS BIGINT),
+        'evicted': CAST([] AS STRUCT(id VARCHAR, evby VARCHAR, tot BIGINT)[])}}) AS st
+  FROM _seqs
+),
+_kept AS (SELECT session_id, unnest(st.live) AS v, st.total AS total FROM _fold),
+_ev AS (SELECT session_id, unnest(st.evicted) AS e FROM _fold),
+replayed AS (
+  SELECT session_id, v.id AS item_id, v.seq AS sequence_num, CAST(v.tok AS INTEGER) AS token_count,
+         'kept' AS status, CAST(NULL AS VARCHAR) AS evicted_by, total AS total_after FROM _kept
+  UNION ALL
+  SELECT e.session_id, e.e.id, i.sequence_num, i.token_count, 'evicted', e.e.evby, e.e.tot
+  FROM _ev e JOIN items i ON i.item_id = e.e.id
+)
+"""
+
+
+def _attach():
+    from .registry import attach_sql
+    attach_sql("replay_sessions", REPLAY_SQL + "SELECT * FROM replayed")
+
+
+_attach()
