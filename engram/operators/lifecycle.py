@@ -141,11 +141,13 @@ def dedup_upsert(memories: DataFrame, incoming: DataFrame, as_of: Column, t: flo
     to_table = inc.where(F.col("memory_id").isNotNull())
     fresh = inc.where(F.col("memory_id").isNull()).drop("memory_id")
     # 1. table updates
-    w = Window.partitionBy("memory_id").orderBy(F.col(order_col).desc())
-    upd = (to_table.withColumn("_hits", F.count(F.lit(1)).over(Window.partitionBy("memory_id")))
-           .withColumn("_r", F.row_number().over(w)).where("_r = 1")
-           .select("memory_id", F.col("content").alias("_c"), F.col("summary").alias("_s"),
-                   F.col("embedding").alias("_v"), F.col("importance").alias("_i"), "_hits"))
+    # hits per target and the latest values: a partial aggregate, so a row hit
+    # by a third of the batch is combined map-side before the shuffle
+    last = F.struct(F.col("content").alias("_c"), F.col("summary").alias("_s"),
+                    F.col("embedding").alias("_v"), F.col("importance").alias("_i"))
+    upd = (to_table.groupBy("memory_id")
+           .agg(F.count(F.lit(1)).alias("_hits"), F.max_by(last, F.col(order_col)).alias("_last"))
+           .select("memory_id", "_hits", "_last._c", "_last._s", "_last._v", "_last._i"))
     j = memories.join(upd, "memory_id", "left")
     hit = F.col("_hits").isNotNull()
     updated = _set_cols(j, {
