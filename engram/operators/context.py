@@ -235,18 +235,23 @@ def pct_2dp(part: Column, whole: Column) -> Column:
 
 
 def context_stats(assembled: DataFrame) -> DataFrame:
-    """Per request: working / long-term item counts and counts per category
-    and per subtype, as (request_id, dimension, value, n)."""
-    a = assembled
-    src = a.groupBy("request_id", F.col("source").alias("value")).agg(F.count(F.lit(1)).alias("n")) \
-           .withColumn("dimension", F.lit("source"))
-    lt = a.where(F.col("source") == "long_term")
-    cat = lt.groupBy("request_id", F.col("memory_category").alias("value")).agg(F.count(F.lit(1)).alias("n")) \
-            .withColumn("dimension", F.lit("category"))
-    sub = lt.groupBy("request_id", F.col("memory_subtype").alias("value")).agg(F.count(F.lit(1)).alias("n")) \
-            .withColumn("dimension", F.lit("subtype"))
-    cols = ["request_id", "dimension", "value", "n"]
-    return src.select(*cols).unionByName(cat.select(*cols)).unionByName(sub.select(*cols))
+    """Per request: working / long-term item counts and long-term counts per
+    category and per subtype, as (request_id, dimension, value, n), from one
+    grouping-sets aggregate."""
+    g = (assembled.groupingSets([["request_id", "source"], ["request_id", "memory_category"],
+                                 ["request_id", "memory_subtype"]],
+                                "request_id", "source", "memory_category", "memory_subtype")
+         .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("source") == "long_term").alias("n_lt"),
+              F.grouping_id().alias("gid")))
+    # grouping_id bits (source, category, subtype): 3 -> by source, 5 -> category, 6 -> subtype
+    out = g.select(
+        "request_id",
+        F.when(F.col("gid") == 3, "source").when(F.col("gid") == 5, "category").otherwise("subtype").alias("dimension"),
+        F.when(F.col("gid") == 3, F.col("source")).when(F.col("gid") == 5, F.col("memory_category"))
+         .otherwise(F.col("memory_subtype")).alias("value"),
+        F.when(F.col("gid") == 3, F.col("n")).otherwise(F.col("n_lt")).alias("n"))
+    # category / subtype counts cover long-term rows only (working rows have no type)
+    return out.where((F.col("dimension") == "source") | (F.col("n") > 0))
 
 
 def assemble_context_unified(requests: DataFrame, items: DataFrame, memories: DataFrame, *,

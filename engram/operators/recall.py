@@ -39,24 +39,24 @@ def recall(requests: DataFrame, memories: DataFrame, limit: int = 10, min_simila
 
 
 def retrieval_breakdown(recalled: DataFrame, qid: str = "request_id") -> DataFrame:
-    """Per request: counts by category, by subtype, and the number of rows with
-    an entity match, as one grouping-sets aggregate.
-
-    Output rows: (qid, dimension, value, n) with dimension in
+    """Per request: counts by category, by subtype, the total and the number
+    of rows with an entity match, from ONE grouping-sets aggregate (a single
+    shuffle).  Output rows: (qid, dimension, value, n) with dimension in
     {category, subtype, total, entity_matches}."""
-    g = recalled.groupBy(qid).agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("entity_matches") > 0).alias("entity_matches"))
-    by_cat = recalled.groupBy(qid, F.col("memory_category").alias("value")).agg(
-        F.count(F.lit(1)).alias("n")).withColumn("dimension", F.lit("category"))
-    by_sub = recalled.groupBy(qid, F.col("memory_subtype").alias("value")).agg(
-        F.count(F.lit(1)).alias("n")).withColumn("dimension", F.lit("subtype"))
-    tot = g.select(qid, F.lit("total").alias("dimension"), F.lit(None).cast("string").alias("value"),
-                   F.col("total").alias("n"))
-    ent = g.select(qid, F.lit("entity_matches").alias("dimension"), F.lit(None).cast("string").alias("value"),
-                   F.col("entity_matches").alias("n"))
-    cols = [qid, "dimension", "value", "n"]
-    return by_cat.select(*cols).unionByName(by_sub.select(*cols)).unionByName(tot).unionByName(ent)
+    g = (recalled.groupingSets([[qid, "memory_category"], [qid, "memory_subtype"], [qid]],
+                               qid, "memory_category", "memory_subtype")
+         .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("entity_matches") > 0).alias("em"),
+              F.grouping_id().alias("gid")))
+    # grouping_id bits (category, subtype): 1 -> by category, 2 -> by subtype, 3 -> per request
+    null = F.lit(None).cast("string")
+    rows = (F.when(F.col("gid") == 1, F.array(F.struct(F.lit("category").alias("dimension"),
+                                                      F.col("memory_category").alias("value"), F.col("n").alias("n"))))
+            .when(F.col("gid") == 2, F.array(F.struct(F.lit("subtype").alias("dimension"),
+                                                     F.col("memory_subtype").alias("value"), F.col("n").alias("n"))))
+            .otherwise(F.array(F.struct(F.lit("total").alias("dimension"), null.alias("value"), F.col("n").alias("n")),
+                               F.struct(F.lit("entity_matches").alias("dimension"), null.alias("value"),
+                                        F.col("em").alias("n")))))
+    return g.select(qid, F.explode(rows).alias("r")).select(qid, "r.dimension", "r.value", "r.n")
 
 
 def bump_access(memories: DataFrame, recalled: DataFrame, as_of: Column) -> DataFrame:
