@@ -171,15 +171,19 @@ def assemble_context(requests: DataFrame, items: DataFrame, memories: DataFrame,
                               F.coalesce("_wxs", wempty).alias("picked")).alias("_w")))
     # (2) typed top-k for all long-term keys of the profile
     q = requests.select("request_id", "user_id", "embedding", known_intent().alias("intent"))
-    hits = typed_topk(q, memories, profile_types(requests.sparkSession, weights), n=n_per_type,
-                      min_similarity=min_similarity, block_rows=block_rows)
+    # only what packing needs travels with the vectors: the token estimate and
+    # the 200-char dedup prefix, never the whole text
+    mem = (memories.withColumn("_tok", F.floor(F.length("content") / 4).cast("int"))
+           .withColumn("_pfx", F.left("content", F.lit(200))))
+    hits = typed_topk(q, mem, profile_types(requests.sparkSession, weights), n=n_per_type,
+                      min_similarity=min_similarity, block_rows=block_rows,
+                      carry=("_tok", "_pfx", "entities", "importance"))
     focus = requests.select("request_id", "focus_entities")
     m = entity_matches("focus_entities", "entities")
     base = F.col("similarity") * F.col("weight") * (F.lit(1.0) + F.col("importance"))
     cand = (hits.join(focus, "request_id")
             .select("request_id", "memory_id", "memory_category", "memory_subtype", "weight", "similarity",
-                    F.floor(F.length("content") / 4).cast("int").alias("token_count"),
-                    F.left("content", F.lit(200)).alias("pfx"), m.alias("entity_matches"),
+                    F.col("_tok").alias("token_count"), F.col("_pfx").alias("pfx"), m.alias("entity_matches"),
                     entity_boost(base, m, "context").alias("score")))
     ckey = F.struct((-F.col("score")).alias("k0"), F.col("memory_id").alias("id"),
                     F.col("token_count").cast("long").alias("tok"), "pfx", "memory_category", "memory_subtype",
@@ -264,10 +268,10 @@ def assemble_context_unified(requests: DataFrame, items: DataFrame, memories: Da
     rw = request_weights(requests, weights)
     req = requests.select("request_id", "session_id", "user_id", "embedding", "token_budget", "focus_entities")
     q = requests.select("request_id", "user_id", "embedding", known_intent().alias("intent"))
-    hits = typed_topk(q, memories, profile_types(requests.sparkSession, weights), n=per_type,
-                      min_similarity=min_similarity)
-    lt = (hits.join(req.select("request_id", "focus_entities"), "request_id")
-          .withColumn("token_count", F.floor(F.length("content") / 4).cast("int")))
+    mem = memories.withColumn("token_count", F.floor(F.length("content") / 4).cast("int"))
+    hits = typed_topk(q, mem, profile_types(requests.sparkSession, weights), n=per_type,
+                      min_similarity=min_similarity, carry=("token_count", "entities", "importance"))
+    lt = hits.join(req.select("request_id", "focus_entities"), "request_id")
     lt = score_candidates(lt).select("request_id", F.col("memory_id").alias("id"), "token_count", "score",
                                      F.lit("long_term").alias("source"))
     w_wm = rw.where(F.col("weight_key") == "working_memory").select("request_id", F.col("weight").alias("w"))

@@ -286,13 +286,14 @@ def near_duplicates(incoming: DataFrame, memories: DataFrame, t: float = 0.95, n
     """For each incoming row: among its ``fetch`` nearest live rows of the same
     user, up to ``n`` with similarity >= t, with a 100-char preview."""
     from .filters import preview
-    hits = knn_exact(incoming, memories, fetch, qid=qid, carry=["content"], block_rows=block_rows,
+    # the 100-char preview is cut before the search, so texts never travel
+    mem = memories.withColumn("content_preview", preview("content", 100))
+    hits = knn_exact(incoming, mem, fetch, qid=qid, carry=["content_preview"], block_rows=block_rows,
                      score="similarity")
     hits = hits.where(F.col("similarity") >= t)
     w = Window.partitionBy(qid).orderBy("rank")
     return (hits.withColumn("dup_rank", F.row_number().over(w)).where(F.col("dup_rank") <= n)
-            .select(qid, "user_id", "memory_id", "similarity", "dup_rank",
-                    preview("content", 100).alias("content_preview")))
+            .select(qid, "user_id", "memory_id", "similarity", "dup_rank", "content_preview"))
 
 
 def first_similar_earlier(rows: DataFrame, t: float, *, keys: Sequence[str] = ("user_id",),
