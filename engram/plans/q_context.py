@@ -304,3 +304,19 @@ SELECT request_id, memory_id, why_included FROM assembled WHERE source = 'long_t
 def q_explain_inclusion(spark, sf):
     a = _assemble(spark, sf)
     return a.where(F.col("source") == "long_term").select("request_id", "memory_id", "why_included")
+
+
+# per-request weight overrides (a user-tuned profile for one intent)
+OVERRIDES = {"how_to": {"working_memory": 0.4, "procedural.workflow": 0.1}}
+
+
+@register("intent_weights_override", f"""
+SELECT r.request_id, w.weight_key,
+       CASE WHEN w.intent = 'how_to' AND w.weight_key = 'working_memory' THEN CAST(0.4 AS DOUBLE)
+            WHEN w.intent = 'how_to' AND w.weight_key = 'procedural.workflow' THEN CAST(0.1 AS DOUBLE)
+            ELSE w.weight END AS weight
+FROM requests r
+JOIN intent_weights w ON w.intent = CASE WHEN r.intent IN ({_KNOWN}) THEN r.intent ELSE 'general' END
+""")
+def q_intent_weights_override(spark, sf):
+    return cx.request_weights(td.requests(spark, sf), cx.intent_weights(spark, OVERRIDES))
