@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.blocking import BLOCK_ROWS
-from .filters import live, taxonomy_filter
+from .filters import taxonomy_filter
 from .search import entity_boost, entity_matches, knn_exact
 
 RECALL_CARRY = ["memory_category", "memory_subtype", "entities", "access_count", "content", "summary"]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.quantiles import order_stat
-from ..plans.sizing import broadcast_fixed, broadcast_if_small
+from ..plans.sizing import broadcast_fixed
 from ..schemas import CATEGORIES
 from .filters import live, preview
 
