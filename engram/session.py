@@ -57,6 +57,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            # a private temp folder would live on one machine only
+            raise ValueError("set spark.checkpoint.dir to a shared folder (HDFS/S3/ABFS) for cluster runs")
         path = tempfile.mkdtemp(prefix="engram-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
