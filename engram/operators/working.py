@@ -192,7 +192,7 @@ def fold_adds(live: dict, total: int, max_tokens: int, rows) -> tuple[dict, int,
     Returns (live, total, events) with events (item_id, status, evicted_by)."""
     events = []
     for r in rows:
-        tok = int(r.token_count)
+        tok = 0 if r.token_count is None or r.token_count != r.token_count else int(r.token_count)
         if total + tok > max_tokens:
             needed = tok - (max_tokens - total)
             order = sorted((v for v in live.values() if not v[3]), key=lambda v: (v[2], v[1], v[0]))

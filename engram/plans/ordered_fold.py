@@ -16,6 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
 
+def _as_int(v) -> int:
+    """NULL (NaN after Arrow) counts as 0: a row without a token estimate
+    costs nothing, a group without a budget takes nothing that costs."""
+    return 0 if v is None or v != v else int(v)
+
+
 def greedy_pack(df: DataFrame, group: str, order: Sequence[Column], tok: str, budget: str,
                 keep: Sequence[str], partitions: int | None = None) -> DataFrame:
     """Per ``group``: walk rows in ``order``; take a row when ``used + tok <=
@@ -54,8 +60,8 @@ def greedy_pack(df: DataFrame, group: str, order: Sequence[Column], tok: str, bu
                     f = flush()
                     if f is not None:
                         frames.append(f)
-                    cur, used, limit, picked = g[i], 0, int(b[i]), []
-                cost = int(t[i])
+                    cur, used, limit, picked = g[i], 0, _as_int(b[i]), []
+                cost = _as_int(t[i])
                 if used + cost <= limit:
                     used += cost
                     picked.append(row)
