@@ -189,7 +189,8 @@ def fold_adds(live: dict, total: int, max_tokens: int, rows) -> tuple[dict, int,
     evicts unpinned items (relevance asc, sequence asc) until the shortfall
     is covered, then is added even if the total still exceeds the maximum.
     ``live`` maps item_id -> (item_id, seq, relevance, pinned, tokens).
-    Returns (live, total, events) with events (item_id, status, evicted_by)."""
+    Returns (live, total, events) with events
+    (item_id, status, evicted_by, sequence_num, token_count)."""
     events = []
     for r in rows:
         tok = 0 if r.token_count is None or r.token_count != r.token_count else int(r.token_count)
@@ -201,11 +202,11 @@ def fold_adds(live: dict, total: int, max_tokens: int, rows) -> tuple[dict, int,
                 if freed >= needed:
                     break
                 del live[v[0]]
-                events.append((v[0], "evicted", r.item_id))
+                events.append((v[0], "evicted", r.item_id, v[1], v[4]))
                 freed += v[4]
                 total -= v[4]
         live[r.item_id] = (r.item_id, int(r.sequence_num), float(r.relevance_score), bool(r.pinned), tok)
-        events.append((r.item_id, "kept", None))
+        events.append((r.item_id, "kept", None, int(r.sequence_num), tok))
         total += tok
     return live, total, events
 
@@ -232,12 +233,10 @@ def _replay_partitions(batches):
                 if cur is not None:
                     flush_session()
                 cur, mx, live, total = r.session_id, int(r.max_tokens), {}, 0
-            before = dict(live)
             live, total, events = fold_adds(live, total, mx, [r])
-            for item, status, by in events:
+            for item, status, by, seq, tok in events:
                 if status == "evicted":
-                    v = before[item]
-                    emit(cur, item, v[1], v[4], "evicted", by, total)
+                    emit(cur, item, seq, tok, "evicted", by, total)
         if out["item_id"]:
             yield pd.DataFrame(out)
             out = {k: [] for k in REPLAY_OUT.fieldNames()}
