@@ -72,16 +72,16 @@ def q_normalize_entities(spark, sf):
 
 
 @register("insert_or_replace", f"""
-_d AS (SELECT memory_id, user_id, importance + 1 AS importance FROM memories WHERE {VID_SQL} % 5 = 0
-       UNION ALL SELECT 'x' || request_id, user_id, 0.5 FROM requests WHERE CAST(substr(request_id, 2) AS INTEGER) % 7 = 0)
+_d AS (SELECT memory_id, user_id, importance + 1 AS importance FROM memories WHERE importance >= 0.8
+       UNION ALL SELECT 'x' || request_id, user_id, 0.5 FROM requests WHERE intent = 'debug')
 SELECT memory_id, user_id, importance FROM memories WHERE memory_id NOT IN (SELECT memory_id FROM _d)
 UNION ALL SELECT * FROM _d
 """)
 def q_insert_or_replace(spark, sf):
     m = td.memories(spark, sf).select("memory_id", "user_id", "importance")
     r = td.requests(spark, sf)
-    delta = (m.where(_vid() % 5 == 0).withColumn("importance", F.col("importance") + 1)
-             .unionByName(r.where(F.substring("request_id", 2, 10).cast("int") % 7 == 0)
+    delta = (m.where(F.col("importance") >= 0.8).withColumn("importance", F.col("importance") + 1)
+             .unionByName(r.where(F.col("intent") == "debug")
                           .select(F.concat(F.lit("x"), "request_id").alias("memory_id"), "user_id",
                                   F.lit(0.5).alias("importance"))))
     return io.insert_or_replace(m, delta, "memory_id")
@@ -89,9 +89,10 @@ def q_insert_or_replace(spark, sf):
 
 @register("parity_check", f"""
 _p AS (SELECT memory_id, user_id, importance, access_count FROM memories),
-_s AS (SELECT memory_id, user_id, CASE WHEN {VID_SQL} % 10 = 0 THEN importance + 0.01 ELSE importance END AS importance,
-              access_count FROM memories WHERE {VID_SQL} % 9 <> 0
-       UNION ALL SELECT 'extra-' || memory_id, user_id, importance, access_count FROM memories WHERE {VID_SQL} % 50 = 1)
+_s AS (SELECT memory_id, user_id, CASE WHEN memory_subtype = 'project' THEN importance + 0.01 ELSE importance END AS importance,
+              access_count FROM memories WHERE memory_category <> 'preference'
+       UNION ALL SELECT 'extra-' || memory_id, user_id, importance, access_count FROM memories
+       WHERE memory_subtype = 'decision')
 SELECT coalesce(p.memory_id, s.memory_id) AS memory_id,
        CASE WHEN s.memory_id IS NULL THEN 'missing_in_secondary' WHEN p.memory_id IS NULL THEN 'missing_in_primary'
             ELSE 'different' END AS status
@@ -100,18 +101,21 @@ WHERE s.memory_id IS NULL OR p.memory_id IS NULL OR p.user_id IS DISTINCT FROM s
    OR p.importance IS DISTINCT FROM s.importance OR p.access_count IS DISTINCT FROM s.access_count
 """)
 def q_parity_check(spark, sf):
-    m = td.memories(spark, sf).select("memory_id", "user_id", "importance", "access_count")
-    v = _vid()
-    sec = (m.where(v % 9 != 0).withColumn("importance", F.when(v % 10 == 0, F.col("importance") + 0.01)
-                                          .otherwise(F.col("importance")))
-           .unionByName(m.where(v % 50 == 1).withColumn("memory_id", F.concat(F.lit("extra-"), "memory_id"))))
+    full = td.memories(spark, sf)
+    m = full.select("memory_id", "user_id", "importance", "access_count")
+    cols = ["memory_id", "user_id", "importance", "access_count"]
+    sec = (full.where(F.col("memory_category") != "preference")
+           .withColumn("importance", F.when(F.col("memory_subtype") == "project", F.col("importance") + 0.01)
+                       .otherwise(F.col("importance"))).select(*cols)
+           .unionByName(full.where(F.col("memory_subtype") == "decision")
+                        .withColumn("memory_id", F.concat(F.lit("extra-"), "memory_id")).select(*cols)))
     return io.parity_check(m, sec, "memory_id")
 
 
 BACKUP_SQL = f"""
 _b AS (
-  SELECT memory_id, CASE WHEN {VID_SQL} % 5 = 0 THEN updated_at - INTERVAL 1 DAY ELSE updated_at END AS updated_at
-  FROM memories WHERE {VID_SQL} % 3 <> 0
+  SELECT memory_id, CASE WHEN memory_category = 'semantic' THEN updated_at - INTERVAL 1 DAY ELSE updated_at END AS updated_at
+  FROM memories WHERE created_at < TIMESTAMP '2024-05-01 00:00:00'
 ),
 _new AS (SELECT m.memory_id, m.updated_at FROM memories m WHERE m.memory_id NOT IN (SELECT memory_id FROM _b)),
 _newer AS (SELECT m.memory_id, m.updated_at FROM memories m JOIN _b b USING (memory_id) WHERE m.updated_at > b.updated_at)
@@ -120,8 +124,9 @@ _newer AS (SELECT m.memory_id, m.updated_at FROM memories m JOIN _b b USING (mem
 
 def _backup(spark, sf):
     m = td.memories(spark, sf)
-    v = _vid()
-    b = (m.where(v % 3 != 0).withColumn("updated_at", F.when(v % 5 == 0, F.timestamp_add("DAY", F.lit(-1), "updated_at"))
+    b = (m.where(F.col("created_at") < td.ts("2024-05-01 00:00:00"))
+         .withColumn("updated_at", F.when(F.col("memory_category") == "semantic",
+                                          F.timestamp_add("DAY", F.lit(-1), "updated_at"))
                                         .otherwise(F.col("updated_at"))))
     return io.incremental_backup(m, b)
 
@@ -171,7 +176,7 @@ def q_append_rows(spark, sf):
     path = shared_path(spark, f"append-{uuid.uuid4().hex}")
     m = td.memories(spark, sf).drop("embedding")
     io.append_rows(m, path)
-    io.append_rows(m.where(_vid() % 2 == 0), path)
+    io.append_rows(m.where(F.col("memory_category") == "semantic"), path)
     return spark.read.parquet(path).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -206,7 +211,7 @@ def q_export(spark, sf):
 def _attach():
     from .registry import attach_sql
     attach_sql("append_rows", f"""
-SELECT user_id, count(*) + count(*) FILTER (WHERE {VID_SQL} % 2 = 0) AS n FROM memories GROUP BY 1
+SELECT user_id, count(*) + count(*) FILTER (WHERE memory_category = 'semantic') AS n FROM memories GROUP BY 1
 """)
     attach_sql("export_user_memories", """
 SELECT user_id, count(*) AS n FROM memories

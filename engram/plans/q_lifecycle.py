@@ -66,13 +66,13 @@ def q_update(spark, sf):
 
 
 @register("set_embeddings", f"""
-SELECT m.memory_id, round(CAST(CASE WHEN {VID_SQL} % 2 = 0 THEN list_reverse(m.embedding) ELSE m.embedding END AS DOUBLE[])[1], 6) AS first_component,
-       CASE WHEN {VID_SQL} % 2 = 0 THEN {AS_OF_SQL} ELSE m.updated_at END AS updated_at
+SELECT m.memory_id, round(CAST(CASE WHEN m.memory_category = 'procedural' THEN list_reverse(m.embedding) ELSE m.embedding END AS DOUBLE[])[1], 6) AS first_component,
+       CASE WHEN m.memory_category = 'procedural' THEN {AS_OF_SQL} ELSE m.updated_at END AS updated_at
 FROM memories m
 """)
 def q_set_embeddings(spark, sf):
     m = td.memories(spark, sf)
-    vec = m.where(_vid() % 2 == 0).select("memory_id", F.reverse("embedding").alias("embedding"))
+    vec = m.where(F.col("memory_category") == "procedural").select("memory_id", F.reverse("embedding").alias("embedding"))
     out = lc.set_embeddings(m, vec, td.as_of())
     return out.select("memory_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first_component"),
                       "updated_at")
@@ -201,9 +201,9 @@ def q_dedup_upsert_table(spark, sf):
 @register("reembed_stale")
 def q_reembed(spark, sf):
     m = td.memories(spark, sf)
-    m = m.withColumn("embedding", F.when(_vid() % 4 == 0, F.lit(None).cast("array<float>"))
+    m = m.withColumn("embedding", F.when(F.col("memory_category") == "episodic", F.lit(None).cast("array<float>"))
                      .otherwise(F.col("embedding")))
-    cache = m.where(_vid() % 8 == 0).select(F.xxhash64("content").alias("text_hash"),
+    cache = m.where(F.col("memory_subtype") == "decision").select(F.xxhash64("content").alias("text_hash"),
                                             F.array_repeat(F.lit(0.125).cast("float"), 64).alias("embedding"))
     out = lc.reembed_stale(m, cache, 64)
     return out.select("memory_id", F.size("embedding").alias("dim"))

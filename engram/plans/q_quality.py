@@ -243,7 +243,7 @@ def q_daily_maintenance(spark, sf):
     import uuid
     from ..session import shared_path
     m = td.memories(spark, sf)
-    backup = m.where(F.substring("memory_id", 2, 10).cast("int") % 3 != 0)
+    backup = m.where(F.col("created_at") < td.ts("2024-05-01 00:00:00"))
     return qa.daily_maintenance(m, backup, td.as_of(), shared_path(spark, f"maint-{uuid.uuid4().hex}"))
 
 
@@ -257,7 +257,7 @@ _d AS (
   FROM memories
 )
 SELECT 'backup_added' AS task, CAST(NULL AS VARCHAR) AS user_id, CAST(count(*) AS DOUBLE) AS value
-FROM memories WHERE {vid} % 3 = 0
+FROM memories WHERE created_at >= TIMESTAMP '2024-05-01 00:00:00'
 UNION ALL SELECT 'backup_refreshed', CAST(NULL AS VARCHAR), CAST(0 AS DOUBLE)
 UNION ALL SELECT 'decayed', user_id, CAST(count(*) FILTER (WHERE decayed) AS DOUBLE) FROM _d GROUP BY user_id
 UNION ALL SELECT 'avg_importance', user_id,
