@@ -44,3 +44,15 @@ def test_tenant_join_is_an_equi_join(spark):
     p = plan(out)
     assert "FlatMapCoGroupsInPandas" in p
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_context_assembly_has_no_cross_products(spark):
+    from engram.operators import context as cx
+    out = cx.assemble_context(td.requests(spark, SF), td.items(spark, SF), td.memories(spark, SF),
+                              min_similarity=0.2)
+    p = plan(out)
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+    # the vector search is one cogrouped kernel in the tree (the formatted
+    # plan lists each node again in its details section)
+    tree = p.split("\n\n(1)")[0]
+    assert tree.count("FlatMapCoGroupsInPandas") == 1
