@@ -1,18 +1,62 @@
-"""Corpus pipeline: the stages are added with their operators."""
+"""Corpus pipeline: from raw documents to the token ids of a training mix.
+
+Each stage works on all rows that the one before kept; its result is written as
+Parquet to the shared folder and read again.  All but the last return the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from engram.llm import mixing
+from engram.llm import bpe, jaccard, langid, mixing, suffix
 from engram.llm.common import table, written
 
+#: A text whose likeliest language has less than this is in no known language.
+LEAST_SCORE = 0.4
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a known language: not those without text or letters,
+    and not those whose best language is below LEAST_SCORE."""
+    found = langid.predict(docs, langid.train(docs), keep=["text", "lang", "source", "n_chars"])
+    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)) \
+                .select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates (five words, 0.8): the
+    one with the smallest doc_id.  Repeated rows of it stay one row."""
+    found = jaccard.similar_components(docs).where("doc_id = component_id").select(
+        F.col("doc_id").alias("_id")).distinct()
+    # a document without an id cannot stand for a group, but must not be lost either
+    kept = docs.join(found, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes out what repeats for 400 bytes or more, in the same document or
+    others; documents left without text go."""
+    kept = suffix.without_repeats(docs)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_documents(docs)
+    """The mix: documents as often, and as far, as their source's share takes them."""
+    mixed = mixing.mixed_documents(docs)
+    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text of the mix."""
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), with_ids=True)
 
 
-STAGES = [("mix_sources", mix_sources)]
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages),
+          ("mix_sources", mix_sources), ("encode", encode)]
+#: Training a network, connected components and merges are not SQL; tests/llm holds each stage to brute force.
 ORACLE_SQL = None
 
 
