@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"']++)*+)>""")
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*"|'[^']*'|[^>"']++)*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"']+))?""")
 
@@ -114,14 +115,20 @@ def parse(page: str) -> list[Node]:
     nodes, stack = [root], [root]
     at, n = 0, len(page)
     lower = None
+    last_tag = page.rfind(">")                            # no tag ends after it
+    open_: Counter[str] = Counter()                       # of the stack, so that nothing is looked for in vain
 
     def close(to: int) -> None:
+        for x in stack[to:]:
+            open_[x.tag] -= 1
         del stack[to:]
 
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
             lt = n
+        if lt > last_tag:
+            lt = n
         if lt > at:
             stack[-1].children.append(page[at:lt])
         if lt == n:
@@ -144,14 +151,14 @@ def parse(page: str) -> list[Node]:
             continue
         at, tag = m.end(), m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in () if not open_[tag] else range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     close(i)
                     break
                 if tag not in BLOCKS and stack[i].tag in BLOCKS:
                     break
             continue
-        if tag in CLOSE_P:
+        if tag in CLOSE_P and open_["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
                     close(i)
@@ -160,14 +167,14 @@ def parse(page: str) -> list[Node]:
                     break
         if tag in ENDS:
             ended, shields = ENDS[tag]
-            for i in range(len(stack) - 1, 0, -1):
+            for i in () if not any(open_[x] for x in ended) else range(len(stack) - 1, 0, -1):
                 if stack[i].tag in shields:
                     break
                 if stack[i].tag in ended:
                     close(i)
                     if not (tag in ("tr", "tbody")):
                         break
-        elif tag not in ("html", "head", "meta", "link", "title", "style", "script", "base", "noscript"):
+        elif open_["head"] and tag not in ("head", "meta", "link", "title", "style", "script", "base", "noscript"):
             for i in range(len(stack) - 1, 0, -1):        # an open head ends where content begins
                 if stack[i].tag == "head":
                     close(i)
@@ -187,6 +194,7 @@ def parse(page: str) -> list[Node]:
             at = n if stop < 0 else stop + 1
         elif tag not in VOID and not (m[3].endswith("/") and tag not in BLOCKS):
             stack.append(node)
+            open_[tag] += 1
     return nodes
 
 
@@ -294,7 +302,7 @@ def main_text(page: str | None) -> str:
         return "\n".join(_blocks([around]))
     if best.tag in ("#root", "html", "body") or best.parent is None:
         return "\n".join(_blocks([best]))
-    least = max(5.0, 0.2 * best.score)
+    least = 0.2 * best.score
     kept = []
     for x in best.parent.children:
         if isinstance(x, str) or x.junk or not x.size:

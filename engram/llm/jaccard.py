@@ -346,7 +346,7 @@ def similar_components(docs: DataFrame, words: int = WORDS, threshold: tuple[int
 
     long = lists.where(F.col("size") > SHORT).join(roots.withColumnRenamed("node", "cid"), "cid", "left")
     long = long.withColumn("label", F.coalesce("root", "cid")).drop("root")
-    mixed = long.groupBy("token").agg((F.min("label") <> F.max("label")).alias("mixed")).where("mixed").select("token")
+    mixed = long.groupBy("token").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("token")
     second = _pairs(long.join(mixed, "token", "left_semi"), threshold, labelled=True)
     more = _verified(second, sets, threshold)
     # links within what is known are stars already
