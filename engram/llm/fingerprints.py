@@ -106,22 +106,22 @@ def likeness(a: Column, b: Column) -> Column:
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), (both - apart) / (both + apart))))
 
 
-def with_next(keys: DataFrame, cols: list[str]) -> DataFrame:
-    """Adds ``next``, the struct of ``cols`` of the following row in their
-    order; the last row is followed by the first.
+def in_a_ring(keys: DataFrame, cols: list[str], also: str) -> DataFrame:
+    """Adds ``prev``, the struct of ``cols`` and ``also`` of the row before in the
+    order of ``cols``; the first row comes after the last.
 
     The keys are dealt out by range and written with the number of their range,
-    so a window holds one range, and only the first key of each range meets in
+    so a window holds one range, and only the last key of each range meets in
     one task."""
-    struct = F.struct(*cols)
+    struct = F.struct(*cols, also)
     t = written(keys.repartitionByRange(*cols).withColumn("_range", F.spark_partition_id()), "ranges")
-    first = t.groupBy("_range").agg(F.min(struct).alias("_first"))
+    last = t.groupBy("_range").agg(F.max(struct).alias("_last"))
     order = Window.orderBy("_range")
-    wrap = F.first("_first").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    first = first.select("_range", F.coalesce(F.lead("_first").over(order), wrap).alias("_after"))
-    lead = F.lead(struct).over(Window.partitionBy("_range").orderBy(*cols))
-    return t.withColumn("_lead", lead).join(first, "_range") \
-            .withColumn("next", F.coalesce("_lead", "_after")).drop("_range", "_lead", "_after")
+    wrap = F.last("_last").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    last = last.select("_range", F.coalesce(F.lag("_last").over(order), wrap).alias("_before"))
+    lag = F.lag(struct).over(Window.partitionBy("_range").orderBy(*cols))
+    return t.withColumn("_lag", lag).join(last, "_range") \
+            .withColumn("prev", F.coalesce("_lag", "_before")).drop("_range", "_lag", "_before")
 
 
 def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -141,29 +141,28 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     key = ["k_null", "k", "h"]
     keys = base.withColumn("n", F.length("text").cast("long")).groupBy(*key).agg(
         F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
-    nxt = written(with_next(keys, key), "next").withColumn("need", F.floor(F.col("n") / 4).cast("int"))
-
-    wanted = nxt.select(*[F.col(f"next.{c}").alias(c) for c in key], F.struct(*key).alias("prev"), "need")
-    one = F.col("prev")
-    heads = base.join(wanted, key).select(*[one[c].alias(c) for c in key],
-                                          F.substring("text", F.lit(1), F.col("need")).alias("head"))
-    heads = heads.groupBy(*key).agg(F.max("head").alias("head"))  # equal for repeated next rows
-    rows = base.join(nxt, key).join(heads, key)
+    ring = written(in_a_ring(keys, key, "n"), "ring").withColumn("need", F.floor(F.col("n") / 4).cast("int"))
+
+    to_prev = [F.col(f"prev.{c}").alias(c) for c in key]
+    rows = base.join(ring, key)
+    heads = rows.select(*to_prev, F.substring("text", F.lit(1), F.floor(F.col("prev.n") / 4).cast("int")).alias("head"))
+    heads = heads.groupBy(*key).agg(F.max("head").alias("head"))  # equal for repeated rows
+    rows = rows.join(heads, key)
     rows = rows.withColumn("edited", F.concat(
         F.substring("text", F.lit(1), (F.col("n") - F.col("need")).cast("int")), F.col("head")))
     rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
-    both = rows.select(*key, "n", "copies", "next", F.explode(F.array(
+    both = rows.select(*key, "n", "copies", "prev", F.explode(F.array(
         F.struct(F.lit(0).alias("which"), F.lit("").alias("sha"), F.col("text").alias("text")),
         F.struct(F.lit(1).alias("which"), F.col("edited_sha256").alias("sha"), F.col("edited").alias("text")),
-    )).alias("t")).select(*key, "n", "copies", "next", "t.which", "t.sha", "t.text")
-    v = vectors(both, [*key, "n", "copies", "next", "which", "sha"], copies=F.col("copies"))
-    v = v.groupBy(*key, "n", "copies", "next").agg(
+    )).alias("t")).select(*key, "n", "copies", "prev", "t.which", "t.sha", "t.text")
+    v = vectors(both, [*key, "n", "copies", "prev", "which", "sha"], copies=F.col("copies"))
+    v = v.groupBy(*key, "n", "copies", "prev").agg(
         F.max("sha").alias("edited_sha256"),
         F.max(F.when(F.col("which") == 0, F.col("vector"))).alias("vector"),
         F.max(F.when(F.col("which") == 1, F.col("vector"))).alias("edited_vector"))
-    v = written(v, "vectors")
-    after = v.select(*[F.col(c).alias(f"next_{c}") for c in key], F.col("vector").alias("next_vector"))
-    v = v.join(after, [F.col(f"next.{c}") == F.col(f"next_{c}") for c in key])
+    # rows lie by key already; only each vector moves, to the document before
+    v = v.join(vectors(rows.select(*key, "copies", "prev", "text"), [*key, "prev"], copies=F.col("copies")).select(
+        *to_prev, F.col("vector").alias("next_vector")), key)
     v = v.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return v.select(
         F.when(~F.col("k_null"), F.col("k")).alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256",
