@@ -152,7 +152,8 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_
     place = place.withColumn("n_blocks", n_blocks).withColumn(
         "block", F.floor(F.col("rank") * F.col("n_blocks") / F.col("n_curve")))
     data = written(place.join(classes.select("class_id", "vec"), "class_id"), "index")
-    asked = data.join(queries.select("class_id").distinct(), "class_id", "left_semi")
+    asked = data.select(*[F.col(c).alias(c) for c in data.columns]).join(
+        queries.select("class_id").distinct(), "class_id", "left_semi")
     n_queries = asked.groupBy("dim", "curve").agg(F.count(F.lit(1)).alias("n_asked"))
     reach = F.ceil(F.col("n_blocks") * F.lit(window)).cast("long")
     # so many groups of queries that those meeting a block stay few
