@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 #: Bytes in a window.
 LENGTH = 64
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 16, 4
-#: The sample that is learned from: texts of a language, and windows of a text.
-TEXTS_PER_LANGUAGE, WINDOWS_PER_TEXT = 1200, 4
+#: The sample that is learned from: texts of a language (up to 1000, so that Spark cuts the ranks before the
+#: shuffle already), and windows of a text.
+TEXTS_PER_LANGUAGE, WINDOWS_PER_TEXT = 1000, 4
 EPOCHS, BATCH, STEP = 4, 128, 0.01
 #: Windows that go through the network together.
 WINDOWS_AT_ONCE = 2048
