@@ -105,14 +105,15 @@ def _col(x) -> Column:
 
 
 def pack_context(cands: DataFrame, budget_col: str = "token_budget", start_col: str = "working_used",
-                 dedup_prefix: int = 200) -> DataFrame:
+                 dedup_prefix: int | None = None) -> DataFrame:
     """Per request: candidates by score desc (then id); an item is skipped if
     it does not fit the budget (which starts at the working tokens used), then
-    skipped if its first ``dedup_prefix`` characters were already taken; else
-    taken.  The two checks run in that order."""
+    skipped if the same text was already taken (with ``dedup_prefix``: the same
+    first characters); else taken.  The two checks run in that order."""
+    same = F.sha2("content", 256) if dedup_prefix is None else F.left(F.col("content"), F.lit(dedup_prefix))
     key = F.struct((-F.col("score")).alias("k0"), F.col("memory_id").alias("id"),
                    F.col("token_count").cast("long").alias("tok"),
-                   F.left(F.col("content"), F.lit(dedup_prefix)).alias("pfx"))
+                   same.alias("pfx"))
     per = cands.groupBy("request_id").agg(F.sort_array(F.collect_list(key)).alias("_xs"))
     init = F.struct(F.col(start_col).cast("long").alias("used"),
                     F.array().cast("array<string>").alias("seen"),
@@ -172,9 +173,9 @@ def assemble_context(requests: DataFrame, items: DataFrame, memories: DataFrame,
     # (2) typed top-k for all long-term keys of the profile
     q = requests.select("request_id", "user_id", "embedding", known_intent().alias("intent"))
     # only what packing needs travels with the vectors: the token estimate and
-    # the 200-char dedup prefix, never the whole text
+    # a hash of the whole text (equal texts are taken once), never the text
     mem = (memories.withColumn("_tok", F.floor(F.length("content") / 4).cast("int"))
-           .withColumn("_pfx", F.left("content", F.lit(200))))
+           .withColumn("_pfx", F.sha2("content", 256)))
     hits = typed_topk(q, mem, profile_types(requests.sparkSession, weights), n=n_per_type,
                       min_similarity=min_similarity, block_rows=block_rows,
                       carry=("_tok", "_pfx", "entities", "importance"))

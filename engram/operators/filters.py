@@ -8,7 +8,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.sizing import broadcast_fixed, broadcast_if_small
+from ..plans.sizing import broadcast_fixed
 from ..schemas import TAXONOMY_PAIRS
 
 
@@ -21,7 +21,7 @@ def scope_users(df: DataFrame, users, key: str = "user_id") -> DataFrame:
     """Tenant isolation: keep rows of the given users (a list or a DataFrame
     with a ``key`` column)."""
     if isinstance(users, DataFrame):
-        return df.join(broadcast_if_small(users.select(key).distinct()), key, "left_semi")
+        return df.join(users.select(key).distinct(), key, "left_semi")
     return df.where(F.col(key).isin(list(users)))
 
 
@@ -62,7 +62,7 @@ def lookup_by_ids(memories: DataFrame, ids: DataFrame, check_owner: bool = True,
     """Multi-get of live rows whose id is in ``ids`` (and, with
     ``check_owner``, whose owner equals the requesting ``user_id``)."""
     keys = [id_col, "user_id"] if check_owner else [id_col]
-    want = broadcast_if_small(ids.select(*keys).distinct())
+    want = ids.select(*keys).distinct()
     return live(memories).join(want, keys, "left_semi")
 
 

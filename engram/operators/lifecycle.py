@@ -18,28 +18,38 @@ def _set_cols(df: DataFrame, updates: dict) -> DataFrame:
     return df.select(*[updates[c].alias(c) if c in updates else F.col(c) for c in df.columns])
 
 
-def update_memories(memories: DataFrame, changes: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+def update_memories(memories: DataFrame, changes: DataFrame, as_of: Column, dim: int = 64,
+                    embedder=None) -> tuple[DataFrame, DataFrame]:
     """changes (request_id, memory_id, user_id, content?, importance?,
     entities?, metadata?): partial update of live rows owned by the
     requester; ``updated_at`` = as_of.  Returns (table after, report with
-    status ok / not_found / unauthorized / empty and re_embedded)."""
+    status ok / not_found / unauthorized / empty / blocked and re_embedded).
+
+    Of several changes to a row each field takes the last value that is not
+    null, in the order of request_id.  New contents pass the secret gate first
+    (a change that fails it is ``blocked`` as a whole), and rows whose content
+    changes are embedded anew (``embedder`` as in ``gating.embed``)."""
+    from .gating import embed, gate_secrets
     owners = memories.where(F.col("deleted_at").isNull()).select(
         "memory_id", F.col("user_id").alias("_owner"))
-    c = changes.join(owners, "memory_id", "left")
+    c = gate_secrets(changes, "content").drop("violation_count", "error_message").join(owners, "memory_id", "left")
     empty = (F.col("content").isNull() & F.col("importance").isNull() & F.col("entities").isNull()
              & F.col("metadata").isNull())
     status = (F.when(F.col("_owner").isNull(), "not_found")
               .when(F.col("_owner") != F.col("user_id"), "unauthorized")
-              .when(empty, "empty").otherwise("ok"))
+              .when(empty, "empty").when(~F.col("is_safe"), "blocked").otherwise("ok"))
     rep = c.select("request_id", "memory_id", "user_id", status.alias("status"),
                    (F.col("content").isNotNull() & (status == "ok")).alias("re_embedded"))
-    # one change per row: the last request wins
-    w = Window.partitionBy("memory_id").orderBy(F.col("request_id").desc())
-    ok = (c.where(status == "ok").withColumn("_r", F.row_number().over(w)).where("_r = 1")
-          .select("memory_id", F.col("content").alias("_c"), F.col("importance").alias("_i"),
-                  F.col("entities").alias("_e"), F.col("metadata").alias("_m"), F.lit(True).alias("_hit")))
-    j = memories.join(ok, "memory_id", "left")
+    def last(f: str) -> Column:
+        return F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.col("request_id")))
+
+    ok = c.where(status == "ok").groupBy("memory_id").agg(
+        last("content").alias("_c"), last("importance").alias("_i"), last("entities").alias("_e"),
+        last("metadata").alias("_m"), F.lit(True).alias("_hit"))
+    vectors = embed(ok.where(F.col("_c").isNotNull()).select("memory_id", "_c"), "_c", "_v", dim=dim, model=embedder)
+    j = memories.join(ok, "memory_id", "left").join(vectors.select("memory_id", "_v"), "memory_id", "left")
     out = _set_cols(j, {
+        "embedding": F.coalesce("_v", "embedding"),
         "content": F.coalesce("_c", "content"), "importance": F.coalesce("_i", "importance"),
         "entities": F.coalesce("_e", "entities"), "metadata": F.coalesce("_m", "metadata"),
         "updated_at": F.when(F.col("_hit"), as_of).otherwise(F.col("updated_at")),
@@ -47,9 +57,12 @@ def update_memories(memories: DataFrame, changes: DataFrame, as_of: Column) -> t
     return out, rep
 
 
-def set_embeddings(memories: DataFrame, vectors: DataFrame, as_of: Column) -> DataFrame:
-    """vectors (memory_id, embedding): replace the vector and stamp updated_at."""
-    v = vectors.select("memory_id", F.col("embedding").alias("_v"), F.lit(True).alias("_hit"))
+def set_embeddings(memories: DataFrame, vectors: DataFrame, as_of: Column, order: str | None = None) -> DataFrame:
+    """vectors (memory_id, embedding): replace the vector and stamp updated_at.
+    Of several vectors for a row the last by ``order`` counts (else the greatest)."""
+    last = F.max_by("embedding", order) if order else F.max("embedding")
+    v = vectors.where(F.col("embedding").isNotNull()).groupBy("memory_id").agg(
+        last.alias("_v"), F.lit(True).alias("_hit"))
     j = memories.join(v, "memory_id", "left")
     return _set_cols(j, {"embedding": F.coalesce("_v", "embedding"),
                          "updated_at": F.when(F.col("_hit"), as_of).otherwise(F.col("updated_at"))}) \
@@ -75,9 +88,8 @@ def forget_users(tables: dict, users: DataFrame, confirm_col: str = "confirmatio
     """Erase every row of the confirmed users from access log, relationships,
     working items, memories (deleted ones too) and sessions.  Returns (tables
     after, per-user report with memories and sessions removed)."""
-    from ..plans.sizing import broadcast_if_small
     u = users.where(F.col(confirm_col) == confirmation).select("user_id").distinct()
-    ub = broadcast_if_small(u)
+    ub = u
     out = {name: df.join(ub, "user_id", "left_anti") for name, df in tables.items()}
     mem = tables["memories"].join(ub, "user_id", "left_semi").groupBy("user_id").agg(
         F.count(F.lit(1)).alias("memories_deleted"))
@@ -107,7 +119,10 @@ def supersede(memories: DataFrame, pairs: DataFrame, as_of: Column) -> tuple[Dat
     dead = good.select(F.col("old_id").alias("memory_id"), F.lit(True).alias("_dead")).distinct()
     j = memories.join(sup, "memory_id", "left").join(dead, "memory_id", "left")
     out = _set_cols(j, {"supersedes": F.coalesce("_sup", "supersedes"),
-                        "deleted_at": F.when(F.col("_dead"), as_of).otherwise(F.col("deleted_at"))})
+                        "deleted_at": F.when(F.col("_dead"), as_of).otherwise(F.col("deleted_at")),
+                        # stamped like any other change, so that the backup sees it
+                        "updated_at": F.when(F.col("_dead") | F.col("_sup").isNotNull(), as_of)
+                        .otherwise(F.col("updated_at"))})
     return out.select(*memories.columns), rep
 
 
@@ -124,8 +139,14 @@ def dedup_upsert(memories: DataFrame, incoming: DataFrame, as_of: Column, t: flo
          = as_of; category and entities kept).  Several incoming rows hitting
          one row: the latest in request order supplies the values and
          access_count grows by the number of hits;
-      2. the rest become new rows, except that a new row whose earliest
-         similar (>= t) earlier new row exists merges into that leader.
+      2. the rest become new rows, except that a new row merges into the
+         earliest earlier new row similar to it (>= t).  If that one merged
+         itself, both belong to the same root (as one after the other: a merge
+         replaces the vector that the next row meets), so every row reported
+         ends in a row that exists, with the last content, and access_count is
+         the number of merges.
+    event_time, is_temporal, metadata, source_session, source_type,
+    confidence and org_id are kept where ``incoming`` has them.
     Returns (table after, report: request_id, action, memory_id)."""
     from ..plans.blocking import BLOCK_ROWS
     from .search import knn_exact
@@ -171,18 +192,23 @@ def dedup_upsert(memories: DataFrame, incoming: DataFrame, as_of: Column, t: flo
                                                 F.col(order_col)).alias("_last"))
     ins = leaders.join(agg, "leader", "left")
     has = F.col("_extra").isNotNull()
+
+    def given(c: str, default: Column) -> Column:
+        return (F.coalesce(F.col(c), default) if c in incoming.columns else default).alias(c)
+
     inserted = ins.select(
         F.concat(F.lit("n-"), F.col("request_id")).alias("memory_id"), "user_id",
-        F.lit(None).cast("string").alias("org_id"), "memory_category", "memory_subtype",
+        given("org_id", F.lit(None).cast("string")), "memory_category", "memory_subtype",
         F.when(has, F.col("_last.content")).otherwise(F.col("content")).alias("content"),
         F.when(has, F.col("_last.summary")).otherwise(F.col("summary")).alias("summary"),
         F.when(has, F.col("_last.embedding")).otherwise(F.col("embedding")).alias("embedding"),
-        "entities", F.lit(None).cast("string").alias("metadata"),
-        F.lit(None).cast("timestamp_ntz").alias("event_time"), F.lit(False).alias("is_temporal"),
+        "entities", given("metadata", F.lit(None).cast("string")),
+        given("event_time", F.lit(None).cast("timestamp_ntz")),
+        given("is_temporal", F.col("event_time").isNotNull() if "event_time" in incoming.columns else F.lit(False)),
         F.when(has, F.col("_last.importance")).otherwise(F.col("importance")).alias("importance"),
         F.coalesce("_extra", F.lit(0)).alias("access_count"), F.lit(1.0).alias("decay_factor"),
-        F.lit(None).cast("string").alias("supersedes"), F.lit(None).cast("string").alias("source_session"),
-        F.lit("conversation").alias("source_type"), F.lit(1.0).alias("confidence"),
+        F.lit(None).cast("string").alias("supersedes"), given("source_session", F.lit(None).cast("string")),
+        given("source_type", F.lit("conversation")), given("confidence", F.lit(1.0)),
         as_of.alias("created_at"), F.when(has, as_of).alias("last_accessed"), as_of.alias("updated_at"),
         F.lit(None).cast("timestamp_ntz").alias("deleted_at"))
     out = updated.unionByName(inserted.select(*memories.columns), allowMissingColumns=False)
@@ -195,22 +221,32 @@ def dedup_upsert(memories: DataFrame, incoming: DataFrame, as_of: Column, t: flo
 
 
 def _leaders(f: DataFrame, t: float, block_rows: int) -> DataFrame:
-    """leader = earliest (by ``_ord``) new row of the same user with cosine
-    >= t to this row, itself when there is none (blocked matrix kernel, no
-    pair ever becomes a row)."""
+    """leader = the root over "earliest (by ``_ord``) earlier new row of the same
+    user with cosine >= t", itself when there is none (blocked matrix kernel,
+    no pair ever becomes a row).  Pointers are doubled until none changes; each
+    round ends in the shared checkpoint folder."""
     from .search import first_similar_earlier
     first = first_similar_earlier(f, t, rid="request_id", order="_ord", block_rows=block_rows)
-    return (f.select("request_id").join(first, "request_id", "left")
-            .select("request_id", F.coalesce("first_id", "request_id").alias("leader")))
+    lead = (f.select("request_id").join(first, "request_id", "left")
+            .select("request_id", F.coalesce("first_id", "request_id").alias("leader"))).checkpoint(eager=True)
+    while True:
+        up = lead.select(F.col("request_id").alias("leader"), F.col("leader").alias("_up"))
+        lead = lead.join(up, "leader").select("request_id", F.col("_up").alias("leader"),
+                                              (F.col("_up") != F.col("leader")).alias("_moved")).checkpoint(eager=True)
+        if lead.where("_moved").limit(1).count() == 0:
+            return lead.drop("_moved")
+        lead = lead.drop("_moved")
 
 
 def reembed_stale(memories: DataFrame, cache: DataFrame, dim: int, embedder=None) -> DataFrame:
     """Rows whose vector is missing or of another dimension get one: texts
-    already in ``cache`` (text_hash, embedding) are reused, distinct missing
+    already in ``cache`` (text_hash = SHA-256 of the text in hex, embedding of
+    ``dim`` components; other entries are ignored) are reused, distinct missing
     texts are embedded once (``embed``), and the table is returned whole."""
     from .gating import embed
     stale = F.col("embedding").isNull() | (F.size("embedding") != dim)
-    m = memories.withColumn("_h", F.xxhash64("content")).withColumn("_stale", stale)
+    cache = cache.where(F.size("embedding") == dim)
+    m = memories.withColumn("_h", F.sha2("content", 256)).withColumn("_stale", stale)
     need = m.where("_stale").select("_h", "content").dropDuplicates(["_h"])
     missing = need.join(cache.select(F.col("text_hash").alias("_h")), "_h", "left_anti")
     fresh = embed(missing, "content", "_newvec", dim=dim, model=embedder).select("_h", F.col("_newvec").alias("_nv"))
@@ -281,13 +317,14 @@ def extract_memories(turns: DataFrame, memories: DataFrame, as_of: Column, t: fl
                      dim: int = 64, embedder=None):
     """Turn log (conv / session, turn, role, text) -> classified candidate
     memories (user turns only), embedded and stored with ``dedup_upsert``."""
-    from .gating import classify, embed
+    from .gating import classify, embed, summarize_fallback
     c = classify(turns.where(F.col("role") == "user"), "text")
     c = embed(c, "text", "embedding", dim=dim, model=embedder)
     inc = c.select(F.concat_ws("-", F.lit("t"), F.lpad(F.col("conv_id").cast("string"), 8, "0"),
                                F.lpad(F.col("turn").cast("string"), 5, "0")).alias("request_id"),
                    "user_id", "memory_category", "memory_subtype", F.col("text").alias("content"),
-                   F.left("text", F.lit(200)).alias("summary"), "embedding", "importance", "entities")
+                   summarize_fallback(F.lit(None).cast("string"), F.col("text")).alias("summary"), "embedding",
+                   "importance", "entities")
     return dedup_upsert(memories, inc, as_of, t=t)
 
 

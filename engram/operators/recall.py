@@ -72,11 +72,13 @@ def bump_access(memories: DataFrame, recalled: DataFrame, as_of: Column) -> Data
           for c in memories.columns])
 
 
-def log_access(selected: DataFrame, as_of: Column, query_col: str = "query") -> DataFrame:
-    """Access-log rows for selected memories (query text cut to 500 chars)."""
+def log_access(selected: DataFrame, as_of: Column, query_col: str = "query",
+               max_chars: int | None = None) -> DataFrame:
+    """Access-log rows for selected memories, with the whole query text (or its
+    first ``max_chars`` characters, if the log must stay narrow)."""
     return selected.select(
         F.expr("uuid()").alias("access_id"), "memory_id", "session_id", "user_id",
-        F.left(F.col(query_col), F.lit(500)).alias("query_text"),
+        (F.left(F.col(query_col), F.lit(max_chars)) if max_chars else F.col(query_col)).alias("query_text"),
         F.col("similarity").cast("double").alias("similarity_score"),
         F.lit(None).cast("boolean").alias("was_useful"),
         F.lit(None).cast("boolean").alias("was_used"),

@@ -21,7 +21,7 @@ from ..functions import vector as V
 from ..plans.blocking import BLOCK_ROWS, blocked, blocked_join
 from .filters import live
 
-Q_VEC, M_VEC, Q_NORM, M_NORM = "_q_vec", "_m_vec", "_q_norm", "_m_norm"
+Q_VEC, M_VEC, Q_NORM, M_NORM, DIM = "_q_vec", "_m_vec", "_q_norm", "_m_norm", "_dim"
 # query rows scored per matrix product inside a block (bounds the score matrix
 # to QUERY_CHUNK x BLOCK_ROWS doubles per task)
 QUERY_CHUNK = 512
@@ -35,14 +35,23 @@ def _prep(queries: DataFrame, memories: DataFrame, keys, qid, mid, qvec, mvec,
     def fresh(names):
         return [F.col(c).alias(c) for c in names]
     qextra = list(dict.fromkeys(c for c in qcarry if c not in keys and c != qid))
-    q = queries.select(*fresh([*keys, qid, *qextra]), F.col(qvec).alias(Q_VEC), V.norm(qvec).alias(Q_NORM))
+    # a row without a vector cannot be near anything; vectors of different lengths never meet
+    q = queries.where(has_vector(qvec)).select(*fresh([*keys, qid, *qextra]), F.size(qvec).alias(DIM),
+                                               F.col(qvec).alias(Q_VEC), V.norm(qvec).alias(Q_NORM))
     m = live(memories) if live_only else memories
     extra = [c for c in list(tiebreak) + list(carry or []) if c not in keys and c != mid]
     extra = list(dict.fromkeys(extra))
-    m = m.select(*fresh([*keys, mid]), F.col(mvec).alias(M_VEC), V.norm(mvec).alias(M_NORM), *fresh(extra))
+    m = m.where(has_vector(mvec)).select(*fresh([*keys, mid]), F.size(mvec).alias(DIM), F.col(mvec).alias(M_VEC),
+                                         V.norm(mvec).alias(M_NORM), *fresh(extra))
     return q, m
 
 
+def has_vector(vec: str) -> Column:
+    """Whether a row can take part in a search: its vector is there, not empty,
+    and without null components."""
+    return F.col(vec).isNotNull() & (F.size(vec) > 0) & F.forall(F.col(vec), lambda x: x.isNotNull())
+
+
 def _order(score: str, tiebreak: Sequence[str], mid: str) -> list[Column]:
     return ([F.col(score).desc_nulls_last()] + [F.col(t).desc_nulls_last() for t in tiebreak]
             + [F.col(mid).asc()])
@@ -71,11 +80,11 @@ def knn_exact(queries: DataFrame, memories: DataFrame, k: int, *,
     qcarry = list(qcarry) + ([exclude_col] if exclude_col and exclude_col not in qcarry else [])
     q, m = _prep(queries, memories, keys, qid, mid, qvec, mvec, tiebreak, carry, live_only, qcarry)
     if method == "sql":
-        pairs = blocked_join(q, m, keys, qid, mid, block_rows)
+        pairs = blocked_join(q, m, [*keys, DIM], qid, mid, block_rows)
         if exclude_col:
             pairs = pairs.where(F.col(mid) != F.col(exclude_col))
         scored = pairs.withColumn(score, V.cosine_from_parts(V.dot(Q_VEC, M_VEC), F.col(Q_NORM), F.col(M_NORM)))
-        scored = scored.drop(Q_VEC, M_VEC, Q_NORM, M_NORM)
+        scored = scored.drop(Q_VEC, M_VEC, Q_NORM, M_NORM, DIM)
     elif method == "block":
         scored = _block_scores(q, m, k, keys, qid, mid, tiebreak, score, block_rows or BLOCK_ROWS,
                                exclude_col)
@@ -93,9 +102,9 @@ def knn_block(queries: DataFrame, memories: DataFrame, k: int, **kw) -> DataFram
 
 def _block_scores(q: DataFrame, m: DataFrame, k: int, keys, qid, mid, tiebreak, score, block_rows,
                   exclude_col=None):
-    q2, m2, on = blocked(q, m, keys, qid, mid, block_rows)
-    q_out = [c for c in q.columns if c not in (Q_VEC, Q_NORM)]
-    m_out = [c for c in m.columns if c not in (M_VEC, M_NORM) and c not in keys]
+    q2, m2, on = blocked(q, m, [*keys, DIM], qid, mid, block_rows)
+    q_out = [c for c in q.columns if c not in (Q_VEC, Q_NORM, DIM)]
+    m_out = [c for c in m.columns if c not in (M_VEC, M_NORM, DIM) and c not in keys]
     schema = T.StructType([q.schema[c] for c in q_out] + [m.schema[c] for c in m_out]
                           + [T.StructField(score, T.DoubleType())])
     fn = _block_topk_fn(k, q_out, m_out, mid, list(tiebreak), score, exclude_col)
@@ -176,30 +185,35 @@ def knn_post_filter(queries: DataFrame, memories: DataFrame, k: int, *,
 
 def ann_lsh(queries: DataFrame, memories: DataFrame, k: int, *, threshold: float = 0.0,
             qid: str = "request_id", mid: str = "memory_id", qvec: str = "embedding",
-            mvec: str = "embedding", bucket_length: float = 0.7, num_tables: int = 8,
-            seed: int = 7) -> DataFrame:
-    """Approximate neighbours via random-projection LSH on unit vectors.
-
-    For unit vectors ``|a-b|^2 = 2 - 2cos``, so cosine >= t is the distance
-    bound ``sqrt(2 - 2t)``.  Candidate pairs come from MLlib's bucketed join;
-    same-tenant and live filters and an exact re-rank follow."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    q = queries.select(qid, F.col("user_id").alias("_q_user"),
-                       array_to_vector(V.unit(qvec)).alias("features"))
-    m = live(memories).select(mid, F.col("user_id").alias("_m_user"), "importance",
-                              array_to_vector(V.unit(mvec)).alias("features"))
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes",
-                                      bucketLength=bucket_length, numHashTables=num_tables, seed=seed)
-    model = lsh.fit(m)
-    dist = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold)))
-    pairs = model.approxSimilarityJoin(q, m, dist, distCol="_dist")
-    flat = pairs.select(F.col(f"datasetA.{qid}").alias(qid), F.col("datasetA._q_user").alias("user_id"),
-                        F.col(f"datasetB.{mid}").alias(mid), F.col("datasetB._m_user").alias("_m_user"),
-                        F.col("datasetB.importance").alias("importance"), "_dist")
-    flat = flat.where(F.col("user_id") == F.col("_m_user")).drop("_m_user")
-    flat = flat.withColumn("score", F.lit(1.0) - F.col("_dist") * F.col("_dist") / 2).drop("_dist")
+            mvec: str = "embedding", bands: int = 16, bits: int = 8, seed: int = 7) -> DataFrame:
+    """Approximate neighbours of the same user by bands of random-projection
+    signs, then the exact cosine: up to ``k`` live rows with cosine >=
+    ``threshold``.
+
+    Two vectors at angle a agree in a sign with probability 1 - a / pi, and are
+    candidates when all ``bits`` signs of one of ``bands`` bands agree: nearly
+    always at cosine 0.9, in 94 % of cases at 0.8, in 6 % for unrelated ones.
+    Candidates meet by an equi-join on (user, band, signs), each pair once."""
+    dim = memories.where(has_vector(mvec)).agg(F.max(F.size(mvec)).alias("n")).first()["n"] or 1
+    normals = F.lit(np.random.default_rng(seed).normal(size=(bands, bits, dim)).round(6).tolist())
+
+    def signs(vec: str) -> Column:
+        return F.transform(normals, lambda band: F.aggregate(
+            F.transform(band, lambda w: (V.dot(F.col(vec), w) > 0).cast("long")),
+            F.lit(0).cast("long"), lambda acc, bit: acc * 2 + bit))
+
+    q, m = _prep(queries, memories, ["user_id"], qid, mid, qvec, mvec, ["importance"], None, True)
+    q = q.where(F.col(DIM) == F.lit(dim)).select("*", F.posexplode(signs(Q_VEC)).alias("_band", "_signs"))
+    m = m.where(F.col(DIM) == F.lit(dim)).select("*", F.posexplode(signs(M_VEC)).alias("_band", "_signs"))
+    met = q.select("user_id", "_band", "_signs", qid).join(
+        m.select("user_id", "_band", "_signs", mid), ["user_id", "_band", "_signs"]).select(
+        "user_id", qid, mid).distinct()
+    vectors = queries.select(F.col(qid).alias(qid), F.col(qvec).alias(Q_VEC), V.norm(qvec).alias(Q_NORM))
+    found = live(memories).select(F.col(mid).alias(mid), "importance", F.col(mvec).alias(M_VEC),
+                                  V.norm(mvec).alias(M_NORM))
+    flat = met.join(vectors, qid).join(found, mid).withColumn("score", V.cosine_from_parts(
+        V.dot(Q_VEC, M_VEC), F.col(Q_NORM), F.col(M_NORM)))
+    flat = flat.where(F.col("score") >= threshold).select(qid, "user_id", mid, "importance", "score")
     w = Window.partitionBy(qid).orderBy(*_order("score", ["importance"], mid))
     return flat.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -307,6 +321,8 @@ def first_similar_earlier(rows: DataFrame, t: float, *, keys: Sequence[str] = ("
     most one candidate per row before anything leaves the task; a final
     min-by over blocks picks the earliest.  Output: rid, first_id, first_ord."""
     keys = list(keys)
+    rows = rows.where(has_vector(vec)).withColumn(DIM, F.size(vec))
+    keys = [*keys, DIM]
     q = rows.select(*[F.col(c).alias(c) for c in [*keys, rid, order]], F.col(vec).alias(Q_VEC),
                     V.norm(vec).alias(Q_NORM))
     m = rows.select(*[F.col(c).alias(c) for c in keys], F.col(rid).alias("_cid"), F.col(order).alias("_cord"),

@@ -20,10 +20,16 @@ from ..schemas import DEFAULT_MAX_TOKENS
 def init_sessions(sessions: DataFrame, reqs: DataFrame, as_of: Column) -> DataFrame:
     """Requests (session_id, user_id) -> the requested sessions after the call:
     existing ones get last_activity = as_of (created = false); missing ones
-    are created with 0 tokens and the default maximum (created = true); a
-    NULL session_id gets a fresh uuid."""
-    r = reqs.select(F.coalesce(F.col("session_id"), F.expr("uuid()")).alias("session_id"),
-                    F.col("user_id").alias("_req_user")).dropDuplicates(["session_id"])
+    are created with 0 tokens and the default maximum (created = true).  A
+    session that several requests ask for belongs to the smallest user_id of
+    them.  A request without a session_id gets one of its own, named by a hash
+    of its user and place, so that a task that runs again gives the same name."""
+    named = reqs.where(F.col("session_id").isNotNull()).groupBy("session_id").agg(F.min("user_id").alias("_req_user"))
+    nameless = reqs.where(F.col("session_id").isNull()).groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
+    nameless = nameless.select(F.col("user_id").alias("_req_user"), F.explode(F.sequence(
+        F.lit(1).cast("long"), F.col("_n"))).alias("_k"))
+    fresh = F.sha2(F.concat_ws(":", F.lit("session"), "_req_user", F.col("_k").cast("string"), as_of.cast("string")), 256)
+    r = named.unionByName(nameless.select(F.left(fresh, F.lit(32)).alias("session_id"), "_req_user"))
     j = r.join(sessions, "session_id", "left")
     exists = F.col("max_tokens").isNotNull()
     return j.select(
@@ -126,14 +132,20 @@ def read_working_memory(items: DataFrame, sessions: DataFrame, budgets: DataFram
             .drop("used", "total_tokens"))
 
 
-def update_item_flags(items: DataFrame, changes: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+def update_item_flags(items: DataFrame, changes: DataFrame, as_of: Column, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """changes (item_id, session_id, pinned?, relevance_score?) -> (items
-    after the update, error rows for changes with neither field)."""
+    after the update, error rows for changes with neither field).  Of several
+    changes to an item each field takes the greatest value asked for (there is
+    no order among them unless ``order`` names one: then the last not null)."""
     bad = changes.where(F.col("pinned").isNull() & F.col("relevance_score").isNull()) \
                  .select("item_id", "session_id", F.lit("No updates provided").alias("error"))
+
+    def last(c: str) -> Column:
+        return F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))) if order else F.max(c)
+
     ok = changes.where(F.col("pinned").isNotNull() | F.col("relevance_score").isNotNull()) \
-                .select("item_id", "session_id", F.col("pinned").alias("_p"), F.col("relevance_score").alias("_r"),
-                        F.lit(True).alias("_hit"))
+                .groupBy("item_id", "session_id").agg(last("pinned").alias("_p"), last("relevance_score").alias("_r"),
+                                                      F.lit(True).alias("_hit"))
     j = items.join(ok, ["item_id", "session_id"], "left")
     out = (j.withColumn("pinned", F.coalesce("_p", "pinned"))
            .withColumn("relevance_score", F.coalesce("_r", "relevance_score"))
@@ -144,8 +156,9 @@ def update_item_flags(items: DataFrame, changes: DataFrame, as_of: Column) -> tu
 
 def clear_sessions(items: DataFrame, sessions: DataFrame, reqs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """reqs (session_id, preserve_pinned) -> (items left, sessions with new
-    totals, per-session report: items_cleared, remaining_tokens)."""
-    r = reqs.select("session_id", F.col("preserve_pinned").alias("_keep_pinned"))
+    totals, per-session report: items_cleared, remaining_tokens).  A session
+    asked for more than once keeps its pinned items only if every request does."""
+    r = reqs.groupBy("session_id").agg(F.min("preserve_pinned").alias("_keep_pinned"))
     j = items.join(r, "session_id", "left")
     gone = F.col("_keep_pinned").isNotNull() & (~F.col("_keep_pinned") | ~F.col("pinned"))
     marked = j.withColumn("_gone", gone)

@@ -19,8 +19,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sizing import small_or_none
-
 BLOCK_ROWS = 4096
 QBLK, MBLK = "_qblk", "_mblk"
 
@@ -28,13 +26,13 @@ QBLK, MBLK = "_qblk", "_mblk"
 def block_sizes(q: DataFrame, m: DataFrame, keys: Sequence[str], block_rows: int) -> DataFrame:
     qn = q.groupBy(*keys).agg(F.count(F.lit(1)).alias("_qn"))
     mn = m.groupBy(*keys).agg(F.count(F.lit(1)).alias("_mn"))
+    # one narrow row per key: Spark joins it by broadcast or shuffle, as its measured size allows
     sizes = qn.join(mn, list(keys)).select(
         *keys,
         F.ceil(F.col("_qn") / block_rows).cast("int").alias("_qb"),
         F.ceil(F.col("_mn") / block_rows).cast("int").alias("_mb"),
     )
-    small = small_or_none(sizes)
-    return small if small is not None else sizes
+    return sizes
 
 
 def blocked(q: DataFrame, m: DataFrame, keys: Sequence[str], qid: str, mid: str,

@@ -31,9 +31,10 @@ TAXONOMY_ROWS = ", ".join(f"('{c}', '{s}')" for c, s in TAXONOMY_PAIRS)
 
 ADAPTERS = f"""
 _ed AS (
-  SELECT e.vec_id, e.embedding, e.label, d.text, d.lang, d.source,
-         TIMESTAMP '{BASE_TS}' - to_days(CAST(e.vec_id % 60 AS INTEGER)) AS created
-  FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id
+  SELECT coalesce(e.vec_id, d.doc_id) AS vec_id, e.embedding,
+         coalesce(e.label, d.doc_id % {len(LABEL_TYPES)}) AS label, d.text, d.lang, d.source,
+         TIMESTAMP '{BASE_TS}' - to_days(CAST(coalesce(e.vec_id, d.doc_id) % 60 AS INTEGER)) AS created
+  FROM embeddings e FULL JOIN documents d ON e.vec_id = d.doc_id
 ),
 memories AS (
   SELECT {_id('m', 'vec_id')} AS memory_id,
@@ -75,7 +76,7 @@ requests AS (
          CASE WHEN vec_id % 3 = 0 THEN ['lang:en']
               WHEN vec_id % 3 = 1 THEN ['lang:en', 'source:src1']
               ELSE CAST([] AS VARCHAR[]) END AS focus_entities
-  FROM _ed
+  FROM _ed WHERE embedding IS NOT NULL
 ),
 items AS (
   SELECT {_id('i', 'conv_id')} || '_' || lpad(CAST(turn AS VARCHAR), 3, '0') AS item_id,

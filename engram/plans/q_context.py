@@ -69,7 +69,7 @@ _sc AS (
 ),
 _cl AS (
   SELECT request_id, list_sort(list({{'k0': -score, 'id': memory_id, 'tok': CAST(token_count AS BIGINT),
-                                      'pfx': left(content, 200)}})) AS xs
+                                      'pfx': content}})) AS xs
   FROM _sc GROUP BY 1
 ),
 _pk AS (

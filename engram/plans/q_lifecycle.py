@@ -67,7 +67,7 @@ def q_update(spark, sf):
 
 @register("set_embeddings", f"""
 SELECT m.memory_id, round(CAST(CASE WHEN m.memory_category = 'procedural' THEN list_reverse(m.embedding) ELSE m.embedding END AS DOUBLE[])[1], 6) AS first_component,
-       CASE WHEN m.memory_category = 'procedural' THEN {AS_OF_SQL} ELSE m.updated_at END AS updated_at
+       CASE WHEN m.memory_category = 'procedural' AND m.embedding IS NOT NULL THEN {AS_OF_SQL} ELSE m.updated_at END AS updated_at
 FROM memories m
 """)
 def q_set_embeddings(spark, sf):
@@ -203,7 +203,7 @@ def q_reembed(spark, sf):
     m = td.memories(spark, sf)
     m = m.withColumn("embedding", F.when(F.col("memory_category") == "episodic", F.lit(None).cast("array<float>"))
                      .otherwise(F.col("embedding")))
-    cache = m.where(F.col("memory_subtype") == "decision").select(F.xxhash64("content").alias("text_hash"),
+    cache = m.where(F.col("memory_subtype") == "decision").select(F.sha2("content", 256).alias("text_hash"),
                                             F.array_repeat(F.lit(0.125).cast("float"), 64).alias("embedding"))
     out = lc.reembed_stale(m, cache, 64)
     return out.select("memory_id", F.size("embedding").alias("dim"))

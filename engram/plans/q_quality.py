@@ -195,16 +195,14 @@ def q_health(spark, sf):
 
 @register("quality_report", STATS_SQL + "," + _full_sql(3) + "," + HEALTH_SQL + f"""
 , _st AS (
-  SELECT user_id, count(*) AS stale_listed FROM (
-    SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY importance, access_count, memory_id) AS r
-    FROM live WHERE (last_accessed IS NULL OR last_accessed < {AS_OF_SQL} - INTERVAL 30 DAY) AND access_count < 2
-  ) WHERE r <= 5 GROUP BY 1
+  SELECT user_id, count(*) AS stale FROM live
+  WHERE (last_accessed IS NULL OR last_accessed < {AS_OF_SQL} - INTERVAL 30 DAY) AND access_count < 2 GROUP BY 1
 )
 SELECT h.user_id, total_memories, avg_importance, avg_access_count, never_accessed, low_importance,
        contradictions, health_score,
        CASE WHEN health_score >= 90 THEN 'Excellent' WHEN health_score >= 70 THEN 'Good'
             WHEN health_score >= 50 THEN 'Fair' ELSE 'Needs Attention' END AS health_status,
-       coalesce(s.stale_listed, 0) AS stale_listed
+       coalesce(s.stale, 0) AS stale
 FROM _hs h LEFT JOIN _st s USING (user_id)
 """)
 def q_quality_report(spark, sf):

@@ -30,11 +30,12 @@ SELECT r.request_id, m.memory_id,
        round(greatest(0.0, least(1.0, 1 - (1 - {cosine('r.embedding', 'm.embedding')}) / 2)), 6) AS score_half,
        round(1.0 / (1.0 + greatest(0.0, sqrt(list_sum(list_transform(list_zip(CAST(r.embedding AS DOUBLE[]), CAST(m.embedding AS DOUBLE[])),
              lambda x: (x[1] - x[2]) * (x[1] - x[2])))))), 6) AS score_inverse
-FROM requests r JOIN memories m ON r.user_id = m.user_id
+FROM requests r JOIN memories m ON r.user_id = m.user_id WHERE m.embedding IS NOT NULL
 """)
 def q_vector_functions(spark, sf):
     r = td.requests(spark, sf).select("request_id", "user_id", F.col("embedding").alias("a"))
-    m = td.memories(spark, sf).select("memory_id", "user_id", F.col("embedding").alias("b"))
+    m = td.memories(spark, sf).where(S.has_vector("embedding")).select("memory_id", "user_id",
+                                                                       F.col("embedding").alias("b"))
     j = r.join(m, "user_id")
     cos = V.cosine_similarity("a", "b")
     l2 = V.euclidean_distance("a", "b")
@@ -53,7 +54,7 @@ KNN_SQL = f"""
 _k AS (
   SELECT r.request_id, r.user_id, m.memory_id, m.importance,
          {cosine('r.embedding', 'm.embedding')} AS score
-  FROM requests r JOIN live m ON r.user_id = m.user_id
+  FROM requests r JOIN live m ON r.user_id = m.user_id WHERE m.embedding IS NOT NULL
 ),
 _kr AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY request_id
@@ -87,7 +88,7 @@ _g AS (
          {cosine('r.embedding', 'm.embedding')} AS score,
          row_number() OVER (PARTITION BY r.request_id ORDER BY {cosine('r.embedding', 'm.embedding')} DESC NULLS LAST,
                             m.importance DESC NULLS LAST, m.memory_id) AS global_rank
-  FROM requests r CROSS JOIN memories m
+  FROM requests r CROSS JOIN memories m WHERE m.embedding IS NOT NULL
 )
 SELECT request_id, user_id, memory_id, round(score, 6) AS score, CAST(global_rank AS INTEGER) AS global_rank,
        CAST(row_number() OVER (PARTITION BY request_id ORDER BY global_rank) AS INTEGER) AS rank
@@ -279,7 +280,7 @@ def q_bump_access(spark, sf):
 
 
 @register("log_access", RECALL_SQL + f"""
-SELECT r.memory_id, q.session_id, r.user_id, left(q.query, 500) AS query_text,
+SELECT r.memory_id, q.session_id, r.user_id, q.query AS query_text,
        CAST(r.similarity AS DOUBLE) AS similarity_score, CAST(NULL AS BOOLEAN) AS was_useful,
        CAST(NULL AS BOOLEAN) AS was_used, {AS_OF_SQL} AS accessed_at
 FROM recalled r JOIN requests q USING (request_id)

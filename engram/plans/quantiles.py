@@ -21,7 +21,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizing import broadcast_if_small
 
 BUCKETS_PER_E = 256  # log-scale resolution: buckets per factor e
 
@@ -44,9 +43,11 @@ def order_stat(df: DataFrame, group: Sequence[str], value: str, targets: DataFra
     hit = (hist.join(targets.select(*group, F.col(target).alias("_t")), group)
            .where((F.col("_before") <= F.col("_t")) & (F.col("_t") < F.col("_before") + F.col("_c")))
            .select(*group, "_b", (F.col("_t") - F.col("_before")).alias("_local")))
-    hit = broadcast_if_small(hit)
-    cand = rows.join(hit, group + ["_b"], "inner")
-    wr = Window.partitionBy(*group).orderBy("_v")
-    return (cand.withColumn("_r", F.row_number().over(wr) - 1)
-            .where(F.col("_r") == F.col("_local"))
+    # inside the bucket equal values are counted first, so a value that most rows
+    # have is one row of the window
+    cand = rows.join(hit, group + ["_b"], "inner").groupBy(*group, "_v").agg(
+        F.count(F.lit(1)).alias("_c"), F.max("_local").alias("_local"))
+    upto = F.sum("_c").over(Window.partitionBy(*group).orderBy("_v"))
+    return (cand.withColumn("_upto", upto)
+            .where((F.col("_upto") > F.col("_local")) & (F.col("_upto") - F.col("_c") <= F.col("_local")))
             .select(*group, F.col("_v").alias(out)))

@@ -1,9 +1,7 @@
-"""Size checks that guard every explicit broadcast.
+"""The one broadcast that is asked for by hand: tables of constants.
 
-A side is broadcast only after a bounded probe proved it small: the probe
-reads at most ``max_rows + 1`` rows (the limit is pushed into the scan), so the
-check costs O(max_rows) whatever the size of the input.  Above the bound the
-caller's DataFrame is returned unchanged and Catalyst plans a shuffle join.
+All other joins are left to Spark, which broadcasts a side when the size that
+it measures is below ``spark.sql.autoBroadcastJoinThreshold``.
 """
 
 from __future__ import annotations
@@ -11,29 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows we are willing to ship to every executor for a dimension-like side.
-BROADCAST_MAX_ROWS = 200_000
-
-
-def fits(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    return F.broadcast(df) if fits(df, max_rows) else df
-
-
-def small_or_none(df: DataFrame, max_rows: int = 50_000) -> DataFrame | None:
-    """Materialise a side proven to have at most ``max_rows`` rows (the probe
-    reads at most ``max_rows + 1``) as a broadcast of its rows, so the
-    consuming job neither recomputes nor re-shuffles it; None when it is
-    larger."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return None
-    spark = df.sparkSession
-    return F.broadcast(spark.createDataFrame(rows, df.schema))
-
 
 def broadcast_fixed(df: DataFrame) -> DataFrame:
     """Broadcast a side whose row count is a compile-time constant

@@ -20,8 +20,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Keep the automatic broadcast threshold at a fixed, small size.  Sides we
-    # broadcast explicitly are checked by ``plans.sizing.broadcast_if_small``.
+    # Keep the automatic broadcast threshold at a fixed, small size.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }
 

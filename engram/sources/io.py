@@ -4,13 +4,13 @@ storage estimates."""
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.sizing import broadcast_if_small
 from ..schemas import MEMORY_DEFAULTS
 
 N_USER_BUCKETS = 64
@@ -78,25 +78,34 @@ def append_rows(df: DataFrame, path: str, bucket_col: str | None = "user_id") ->
 
 
 def write_snapshot(df: DataFrame, root: str) -> str:
-    """Write a new immutable snapshot folder, then point ``root/_CURRENT``
-    at it.  A reader of the previous snapshot is never overwritten."""
+    """Write a new immutable snapshot folder, then add a pointer to it under
+    ``root/current``.  A reader of the previous snapshot is never overwritten."""
     spark = df.sparkSession
     snap = f"{root.rstrip('/')}/snap-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(snap)
-    spark.createDataFrame([(snap,)], "path string").coalesce(1).write.mode("overwrite").text(
-        f"{root.rstrip('/')}/_CURRENT")
+    # pointers are only ever added, numbered by time: there is no moment without one
+    pointer = f"{root.rstrip('/')}/current/at={time.time_ns():020d}"
+    spark.createDataFrame([(snap,)], "path string").coalesce(1).write.mode("errorifexists").parquet(pointer)
     return snap
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    ptr = spark.read.text(f"{root.rstrip('/')}/_CURRENT").first()[0]
-    return spark.read.parquet(ptr)
+    """The snapshot that the newest pointer names."""
+    pointers = spark.read.schema("path string, at string").parquet(f"{root.rstrip('/')}/current")
+    return spark.read.parquet(pointers.agg(F.max_by("path", "at")).first()[0])
 
 
-def insert_or_replace(target: DataFrame, delta: DataFrame, key: Sequence[str] | str) -> DataFrame:
-    """Primary-key overwrite: rows of ``delta`` replace rows with the same key."""
+def insert_or_replace(target: DataFrame, delta: DataFrame, key: Sequence[str] | str,
+                      order: str | None = None) -> DataFrame:
+    """Primary-key overwrite: rows of ``delta`` replace rows with the same key.
+    A key that ``delta`` repeats gets one row: the last by ``order`` if given,
+    else the greatest row (column by column)."""
     key = [key] if isinstance(key, str) else list(key)
-    return target.join(delta.select(*key), key, "left_anti").unionByName(delta.select(*target.columns))
+    rest = [c for c in target.columns if c not in key]
+    one = F.struct(*rest)
+    last = F.max_by(one, F.col(order)) if order else F.max(one)
+    d = delta.groupBy(*key).agg(last.alias("_last")).select(*key, *[F.col("_last")[c].alias(c) for c in rest])
+    return target.join(d.select(*key), key, "left_anti").unionByName(d.select(*target.columns))
 
 
 def mirror_write(df: DataFrame, primary: str, secondary: str, fmt: str = "parquet") -> None:
@@ -110,8 +119,12 @@ def mirror_write(df: DataFrame, primary: str, secondary: str, fmt: str = "parque
 def mirror_write_stream(stream: DataFrame, primary: str, secondary: str, checkpoint: str):
     """Streaming form: each micro-batch is appended to both sinks."""
     def both(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("append").parquet(primary)
-        batch.write.mode("append").parquet(secondary)
+        # a folder for each epoch: a batch that is tried again replaces what it wrote before,
+        # and the copy is made from the files, so the batch itself runs once
+        part = f"{primary.rstrip('/')}/epoch={epoch}"
+        batch.write.mode("overwrite").parquet(part)
+        batch.sparkSession.read.schema(batch.schema).parquet(part).write.mode("overwrite").parquet(
+            f"{secondary.rstrip('/')}/epoch={epoch}")
     return stream.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint)
 
 
@@ -137,10 +150,12 @@ def incremental_backup(memories: DataFrame, backup: DataFrame) -> tuple[DataFram
     """Backup after the run: ids missing from the backup are added, rows whose
     ``updated_at`` is newer than the backed-up copy replace it.  Returns
     (backup after, report with added / refreshed counts)."""
-    b = backup.select("memory_id", F.col("updated_at").alias("_bu"))
+    b = backup.select("memory_id", F.col("updated_at").alias("_bu"), F.lit(True).alias("_there"))
     j = memories.join(b, "memory_id", "left")
-    new = j.where(F.col("_bu").isNull()).drop("_bu")
-    newer = j.where(F.col("_bu").isNotNull() & (F.col("updated_at") > F.col("_bu"))).drop("_bu")
+    new = j.where(F.col("_there").isNull()).drop("_bu", "_there")
+    # a copy without a time stamp is older than any that has one
+    newer = j.where(F.col("_there") & F.col("updated_at").isNotNull()
+                    & (F.col("_bu").isNull() | (F.col("updated_at") > F.col("_bu")))).drop("_bu", "_there")
     delta = new.unionByName(newer)
     out = backup.join(newer.select("memory_id"), "memory_id", "left_anti").unionByName(delta.select(*backup.columns))
     rep = memories.sparkSession.createDataFrame([("added",), ("refreshed",)], "kind string")
@@ -150,18 +165,26 @@ def incremental_backup(memories: DataFrame, backup: DataFrame) -> tuple[DataFram
     return out, rep
 
 
-def seed_if_absent(memories: DataFrame, seeds: DataFrame) -> DataFrame:
+def seed_if_absent(memories: DataFrame, seeds: DataFrame, order: str | None = None) -> DataFrame:
     """Seed rows to insert: those without a live row of the same
-    (user_id, summary)."""
+    (user_id, summary); of seeds with the same pair, the first by ``order``
+    (else the smallest row)."""
     have = memories.where(F.col("deleted_at").isNull()).select("user_id", "summary")
-    return seeds.join(have, ["user_id", "summary"], "left_anti")
+    rest = [c for c in seeds.columns if c not in ("user_id", "summary")]
+    new = seeds.join(have, ["user_id", "summary"], "left_anti")
+    if not rest:
+        return new.distinct()
+    one = F.struct(*rest)
+    first = F.min_by(one, F.col(order)) if order else F.min(one)
+    return new.groupBy("user_id", "summary").agg(first.alias("_first")).select(
+        *[F.col(c) if c in ("user_id", "summary") else F.col("_first")[c].alias(c) for c in seeds.columns])
 
 
 def export_user_memories(memories: DataFrame, users: DataFrame, path: str) -> DataFrame:
     """All rows (deleted ones too) of the given users, written as JSON lines
     partitioned by user; returns the exported rows."""
-    rows = memories.join(broadcast_if_small(users.select("user_id").distinct()), "user_id", "left_semi")
-    rows.write.mode("overwrite").partitionBy("user_id").json(path)
+    rows = memories.join(users.select("user_id").distinct(), "user_id", "left_semi")
+    rows.repartition("user_id").write.mode("overwrite").partitionBy("user_id").json(path)
     return rows
 
 

@@ -2,7 +2,7 @@
 
 The driver data is a generic analytics fixture (``embeddings``, ``documents``,
 ``conversations``, ``events``).  These adapters turn it into the tables the
-operators work on, using only per-row expressions and one join, so every
+operators work on, using only per-row expressions and one full join, so every
 derived table grows with its source.  ``plans.oracle`` holds the same rules as
 DuckDB SQL; both must change together.
 """
@@ -81,17 +81,22 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _TABLES: dict = {}
 
 
-def _embedded_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _docs_and_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and all vectors: a document without a vector has a NULL
+    vector, a vector without a document NULL text."""
     e = read(spark, sf_dir, "embeddings")
     d = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return e.join(d, e.vec_id == d.doc_id, "inner")
+    return e.join(d, e.vec_id == d.doc_id, "full_outer").select(
+        F.coalesce("vec_id", "doc_id").alias("vec_id"), "embedding",
+        F.coalesce(F.col("label"), (F.col("doc_id") % len(LABEL_TYPES)).cast("int")).alias("label"),
+        "text", "lang", "source")
 
 
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("vec_id")
     created = _plus_days(-(v % 60))
     label = F.col("label")
-    return _embedded_docs(spark, sf_dir).select(
+    return _docs_and_vectors(spark, sf_dir).select(
         _id("m", v).alias("memory_id"),
         _user(v % N_USERS).alias("user_id"),
         F.lit(None).cast("string").alias("org_id"),
@@ -125,7 +130,7 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One retrieval request per embedding row, asked by the *next* user."""
     v = F.col("vec_id")
-    return _embedded_docs(spark, sf_dir).select(
+    return _docs_and_vectors(spark, sf_dir).where(F.col("embedding").isNotNull()).select(
         _id("q", v).alias("request_id"),
         _id("s", v).alias("session_id"),
         _user((v + 1) % N_USERS).alias("user_id"),

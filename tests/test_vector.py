@@ -64,11 +64,21 @@ def test_post_filter_may_return_fewer(spark):
     assert any(r["count"] < 5 for r in out)
 
 
-def test_lsh_recall(spark):
-    q, m = _frames(spark, n_mem=300, n_q=30, dim=16)
+def test_lsh_recall_and_candidates(spark):
+    import numpy as np
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(200, 64))
+    near = lambda c: (c / np.linalg.norm(c) + rng.normal(size=64) * 0.05).tolist()
+    m = spark.createDataFrame([(f"m{i}", "u", near(centres[i % 200]), 0.5, None) for i in range(1000)],
+                              "memory_id string, user_id string, embedding array<float>, importance double, "
+                              "deleted_at timestamp_ntz")
+    q = spark.createDataFrame([(f"q{i}", "u", near(centres[i])) for i in range(100)],
+                              "request_id string, user_id string, embedding array<float>")
     exact = {(r["request_id"], r["memory_id"]) for r in S.knn_exact(q, m, 5).collect()}
-    approx = {(r["request_id"], r["memory_id"]) for r in S.ann_lsh(q, m, 5, threshold=-1.0, bucket_length=2.0).collect()}
-    assert len(exact & approx) / len(exact) >= 0.5
+    approx = {(r["request_id"], r["memory_id"]) for r in S.ann_lsh(q, m, 5).collect()}
+    assert len(exact & approx) / len(exact) >= 0.9
+    met = S.ann_lsh(q, m, 10 ** 6, threshold=-1.0).count()
+    assert met < 0.1 * 100 * 1000
 
 
 def test_self_exclusion(spark):
