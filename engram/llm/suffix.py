@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _U, SpanHasher, _mix
@@ -39,7 +39,7 @@ from .common import written
 LENGTH = 400
 GRAM = 24
 #: Bytes of text that are hashed together.
-BUFFER = 1 << 21
+BUFFER = 1 << 19
 #: Distinct surroundings of one anchor that one task holds; beyond, see ``_windows``.
 GROUP = 1 << 15
 
@@ -78,8 +78,8 @@ def _smallest(x: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(raw: list[bytes], hasher: SpanHasher, length: int = LENGTH, gram: int = GRAM) -> Iterator[dict]:
     """The anchors of some texts: arrays text, pos, first and last (the starts
-    of the windows that it is the anchor of), anchor (its hash), ahead and back
-    (hashes of the half windows after and before it, 0 if the text ends there)."""
+    of the windows that it is the anchor of), ahead and back (hashes of the half
+    windows after and before it, 0 if the text ends there)."""
     half = length // 2
     for group in _segments(raw, length):
         buffer = np.frombuffer(b"".join(raw[i][a:b] for i, a, b in group), dtype=np.uint8)
@@ -108,8 +108,21 @@ def anchors(raw: list[bytes], hasher: SpanHasher, length: int = LENGTH, gram: in
         back = np.where(pos - half >= begins[part], hasher(buffer, np.maximum(pos - half, 0), pos), _U(0))
         shift = np.array([a for _, a, _ in group], dtype=np.int64)[part] - begins[part]
         yield {"text": np.array([i for i, _, _ in group], dtype=np.int64)[part], "pos": pos + shift,
-               "first": first + shift, "last": last + shift, "anchor": h[pos].view(np.int64),
-               "ahead": ahead.view(np.int64), "back": back.view(np.int64)}
+               "first": first + shift, "last": last + shift,
+               # the two sides never meet each other
+               "ahead": ahead.view(np.int64), "back": np.where(back > 0, _mix(back ^ _U(1)), back).view(np.int64)}
+
+
+def packed(pos: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """An anchor's place in one number: position, and how far before and after
+    it its windows begin (both less than 2^14)."""
+    return (pos << 28) | ((pos - first) << 14) | (last - first)
+
+
+def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    pos = place >> 28
+    first = pos - ((place >> 14) & 0x3FFF)
+    return pos, first, first + (place & 0x3FFF)
 
 
 # ------------------------------------------------- enhanced suffix array
@@ -187,54 +200,48 @@ def repeats(group: np.ndarray, left: list[bytes], right: list[bytes], length: in
 # -------------------------------------------------------------------- Spark
 
 def _candidates(docs: DataFrame, length: int) -> DataFrame:
-    """(h, hits): for each text (by SHA-256) the anchors that go on."""
+    """(ha, hb, places): for each text the anchors that go on, packed."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = SpanHasher()
         for pdf in batches:
             raw = [t.encode("utf-8", "replace") for t in pdf["text"].tolist()]
-            h = pdf["h"].to_numpy()
+            ha, hb = pdf["ha"].to_numpy(), pdf["hb"].to_numpy()
             for a in anchors(raw, hasher, length):
-                yield pd.DataFrame({"h": h[a["text"]], **{c: a[c] for c in (
-                    "pos", "first", "last", "anchor", "ahead", "back")}})
-
-    found = written(docs.select("h", "text").where(F.octet_length("text") >= length).mapInPandas(
-        run, "h binary, pos long, first long, last long, anchor long, ahead long, back long"), "anchors")
-    here = F.xxhash64("h", "pos")
-    halves = found.select(here.alias("here"), F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("ahead").alias("half")),
-        F.struct(F.lit(1).alias("side"), F.col("back").alias("half")))).alias("x")).select("here", "x.side", "x.half")
-    shared = halves.where("half <> 0").groupBy("side", "half").agg(
-        F.min("here").alias("a"), F.max("here").alias("b")).where("a <> b")
-    ahead = shared.where("side = 0").select(F.col("half").alias("ahead"), F.lit(True).alias("_ahead"))
-    back = shared.where("side = 1").select(F.col("half").alias("back"), F.lit(True).alias("_back"))
-    hits = found.join(ahead, "ahead", "left").join(back, "back", "left").where("_ahead OR _back")
-    return hits.dropDuplicates(["h", "pos"]).groupBy("h").agg(
-        F.collect_list(F.struct("pos", "first", "last", "anchor")).alias("hits"))
+                place = packed(a["pos"], a["first"], a["last"])
+                for side in ("ahead", "back"):
+                    on = a[side] != 0
+                    text = a["text"][on]
+                    yield pd.DataFrame({"half": a[side][on], "ha": ha[text], "hb": hb[text], "place": place[on]})
+
+    found = written(docs.select("ha", "hb", "text").where(F.octet_length("text") >= length).mapInPandas(
+        run, "half long, ha long, hb long, place long"), "halves")
+    here = F.xxhash64("ha", "hb", "place")
+    shared = found.groupBy("half").agg(F.min(here).alias("a"), F.max(here).alias("b")).where("a <> b").select("half")
+    return found.join(shared, "half", "left_semi").groupBy("ha", "hb").agg(F.collect_set("place").alias("places"))
 
 
 def _surroundings(texts: DataFrame, length: int) -> DataFrame:
-    """(anchor, ctx, left, right, h, pos): the bytes before (backwards) and from
-    each candidate, as far as its windows go; ctx names equal ones."""
+    """(anchor, ctx, left, right, ha, hb, pos): the bytes before (backwards) and
+    from each candidate, as far as its windows go; ctx names equal ones."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows, size = [], 0
-            for h, text, hits in zip(pdf["h"], pdf["text"], pdf["hits"], strict=True):
+            for ha, hb, text, places in zip(pdf["ha"], pdf["hb"], pdf["text"], pdf["places"], strict=True):
                 b = text.encode("utf-8", "replace")
-                for x in hits:
-                    pos = x["pos"]
-                    left, right = b[x["first"]:pos][::-1], b[pos:x["last"] + length]
-                    digest = hashlib.blake2b(right, digest_size=16, key=left[:64] or b"-")
-                    digest.update(b"|" + left)
-                    rows.append((x["anchor"], digest.digest(), left, right, h, pos))
+                for pos, first, last in zip(*(x.tolist() for x in unpacked(np.sort(places))), strict=True):
+                    left, right = b[first:pos][::-1], b[pos:last + length]
+                    gram = hashlib.blake2b(right[:GRAM], digest_size=8).digest()
+                    digest = hashlib.blake2b(len(left).to_bytes(4, "big") + left + right, digest_size=16).digest()
+                    rows.append((int.from_bytes(gram, "big", signed=True), digest, left, right, ha, hb, pos))
                     size += len(left) + len(right)
-                if size > 1 << 23:
+                if size > 1 << 22:
                     yield pd.DataFrame(rows, columns=cols)
                     rows, size = [], 0
             if rows:
                 yield pd.DataFrame(rows, columns=cols)
 
-    cols = ["anchor", "ctx", "left", "right", "h", "pos"]
-    return texts.mapInPandas(run, "anchor long, ctx binary, left binary, right binary, h binary, pos long")
+    cols = ["anchor", "ctx", "left", "right", "ha", "hb", "pos"]
+    return texts.mapInPandas(run, "anchor long, ctx binary, left binary, right binary, ha long, hb long, pos long")
 
 
 def _tree(members: DataFrame, length: int) -> DataFrame:
@@ -287,45 +294,50 @@ def _windows(members: DataFrame, length: int) -> DataFrame:
         F.max("back").alias("lo"), (F.lit(length) - F.min("back")).alias("hi"))
 
 
+def _named(text: Column) -> dict[str, Column]:
+    """Two numbers that name a text: hashes of its SHA-256."""
+    sha = F.sha2(F.coalesce(text, F.lit("")), 256)
+    return {"ha": F.xxhash64(sha), "hb": F.xxhash64(F.lit("b"), sha)}
+
+
 def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     length: int = LENGTH, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
-    """(texts, ranges).  ``texts`` has a row for each distinct text: h (its
-    SHA-256), n_bytes, copies.  ``ranges`` has h, text and spans, the sorted
-    maximal byte ranges (lo, hi) to remove, of the texts that occur once and
-    have any."""
+    """(texts, ranges).  ``texts`` has a row for each distinct text: its name
+    (ha, hb), n_bytes, copies.  ``ranges`` has ha, hb, text and spans, the
+    sorted byte ranges (lo, hi) to remove, of the texts that occur once and have
+    any."""
     base = docs.select(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("k"),
-                       F.coalesce(F.col(text), F.lit("")).alias("text"))
-    base = base.withColumn("h", F.unhex(F.sha2("text", 256)))
-    texts = written(base.groupBy("h").agg(
+                       F.coalesce(F.col(text), F.lit("")).alias("text")).withColumns(_named(F.col("text")))
+    texts = written(base.groupBy("ha", "hb").agg(
         F.count(F.lit(1)).alias("copies"), F.min("k").alias("k"),
         F.max(F.octet_length("text")).cast("long").alias("n_bytes")), "texts")
-    # each text once: copies have no partner under (h, k), so they spread over the tasks
-    hits = _candidates(base, length).join(texts.select("h", "k", "copies"), "h")
-    held = written(base.join(hits, ["h", "k"]), "held")
-
-    around = written(_surroundings(held.select("h", "text", "hits"), length), "surroundings")
-    here = F.xxhash64("h", "pos")
-    members = around.groupBy("anchor", "ctx").agg(
-        F.first("left").alias("left"), F.first("right").alias("right"), (F.min(here) != F.max(here)).alias("many"))
+    # each text once: copies have no partner under (ha, hb, k), so they spread over the tasks
+    hits = _candidates(base, length).join(texts.select("ha", "hb", "k", "copies"), ["ha", "hb"])
+    held = written(base.join(hits, ["ha", "hb", "k"]), "held")
+
+    around = written(_surroundings(held.select("ha", "hb", "text", "places"), length), "surroundings")
+    here = F.xxhash64("ha", "hb", "pos")
     # a text with copies repeats as a whole
-    of_copies = around.join(texts.where("copies > 1").select("h"), "h", "left_semi").select("anchor", "ctx").distinct()
-    members = written(members.join(of_copies.withColumn("copied", F.lit(True)), ["anchor", "ctx"], "left").select(
-        "anchor", "ctx", "left", "right", (F.col("many") | F.coalesce("copied", F.lit(False))).alias("many")), "members")
+    whole = texts.where("copies > 1").select("ha", "hb", F.lit(True).alias("copied"))
+    places = around.select("anchor", "ctx", "ha", "hb", "pos").join(whole, ["ha", "hb"], "left").groupBy(
+        "anchor", "ctx").agg(((F.min(here) != F.max(here)) | F.coalesce(F.max("copied"), F.lit(False))).alias("many"))
+    members = around.groupBy("anchor", "ctx").agg(F.first("left").alias("left"), F.first("right").alias("right"))
+    members = written(members.join(places, ["anchor", "ctx"]), "members")
     large = members.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group).select("anchor")
     found = _tree(members.join(large, "anchor", "left_anti"), length).unionByName(
         _windows(members.join(large, "anchor", "left_semi"), length))
-    spans = around.select("anchor", "ctx", "h", "pos").join(found, ["anchor", "ctx"]).select(
-        "h", (F.col("pos") - F.col("lo")).alias("lo"), (F.col("pos") + F.col("hi")).alias("hi")).distinct()
-    spans = spans.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
-    return texts, held.where("copies = 1").select("h", "text").join(spans, "h")
+    spans = around.select("anchor", "ctx", "ha", "hb", "pos").join(found, ["anchor", "ctx"]).select(
+        "ha", "hb", (F.col("pos") - F.col("lo")).alias("lo"), (F.col("pos") + F.col("hi")).alias("hi")).distinct()
+    spans = spans.groupBy("ha", "hb").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    return texts, held.where("copies = 1").select("ha", "hb", "text").join(spans, ["ha", "hb"])
 
 
 def _cut(ranges: DataFrame, with_text: bool) -> DataFrame:
-    """Per text: merged spans, what is left of it, and its figures."""
+    """Per text: its figures after the cut and, if asked for, what is left."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for h, text, spans in zip(pdf["h"], pdf["text"], pdf["spans"], strict=True):
+            for ha, hb, text, spans in zip(pdf["ha"], pdf["hb"], pdf["text"], pdf["spans"], strict=True):
                 b = text.encode("utf-8", "replace")
                 parts, n_spans, removed, at = [], 0, 0, 0
                 for s in spans:
@@ -340,11 +352,12 @@ def _cut(ranges: DataFrame, with_text: bool) -> DataFrame:
                     at = hi
                 parts.append(b[at:])
                 left = b"".join(parts)
-                rows.append((h, removed, n_spans, hashlib.sha256(left).hexdigest(),
+                rows.append((ha, hb, removed, n_spans, hashlib.sha256(left).hexdigest(),
                              left.decode("utf-8", "ignore") if with_text else None))
-            yield pd.DataFrame(rows, columns=["h", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pd.DataFrame(rows, columns=["ha", "hb", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return ranges.mapInPandas(run, "h binary, n_removed long, n_spans long, kept_sha256 string, kept string")
+    return ranges.mapInPandas(
+        run, "ha long, hb long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -361,16 +374,16 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     null doc_id stays null, other columns are ignored, an empty table gives an
     empty result."""
     texts, ranges = repeated_ranges(docs, doc_id, text, length, group)
-    cut = _cut(ranges, False).drop("kept")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    result = texts.join(cut, "h", "left").select(
-        "h", "n_bytes",
+    result = texts.join(_cut(ranges, False).drop("kept"), ["ha", "hb"], "left").select(
+        "ha", "hb", "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, F.lit(EMPTY_SHA)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("h")))).alias("kept_sha256"))
-    rows = docs.select(F.col(doc_id).alias("doc_id"),
-                       F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("h"))
-    return rows.join(result, "h").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        F.when(whole, F.lit(EMPTY_SHA)).otherwise(F.col("kept_sha256")).alias("cut_sha256"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("sha"),
+                       *[c.alias(n) for n, c in _named(F.col(text)).items()])
+    return rows.join(result, ["ha", "hb"]).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.coalesce("cut_sha256", "sha").alias("kept_sha256"))
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -378,10 +391,11 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     all columns kept.  Documents of which nothing but white space is left, and
     had more, are gone; others all stay."""
     texts, ranges = repeated_ranges(docs, doc_id, text, length)
-    cut = _cut(ranges, True).select(F.col("h").alias("_h"), "kept")
-    gone = texts.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("h")
-    d = docs.withColumn("_key", F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
-    d = d.join(gone, d["_key"] == gone["h"], "left_anti").join(cut, F.col("_key") == F.col("_h"), "left")
-    new = F.coalesce("kept", F.col(text))
-    d = d.where(F.col("kept").isNull() | (F.trim("kept") != ""))
-    return d.withColumn(text, new).select(*docs.columns)
+    gone = texts.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select(
+        F.col("ha").alias("_ha"), F.col("hb").alias("_hb"), F.lit("").alias("_kept"))
+    cut = _cut(ranges, True).select(F.col("ha").alias("_ha"), F.col("hb").alias("_hb"), F.col("kept").alias("_kept"))
+    name = _named(F.col(text))
+    d = docs.withColumns({"_a": name["ha"], "_b": name["hb"]})
+    d = d.join(cut.unionByName(gone), (F.col("_a") == F.col("_ha")) & (F.col("_b") == F.col("_hb")), "left")
+    d = d.where(F.col("_kept").isNull() | (F.trim("_kept") != ""))
+    return d.withColumn(text, F.coalesce("_kept", F.col(text))).select(*docs.columns)

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,9 @@ def test_texts_without_repeats_keep_whole_characters(spark):
     assert got[3] == "clean" and got[4] is None and got[7] == " " and not {5, 6} & set(got)
     assert got[1].startswith("one") and got[1].endswith("end") and len(got[1]) < 20
     assert got[2].startswith("two") and got[2].endswith("end") and len(got[2]) < 20
+
+
+def test_places_are_packed_without_loss():
+    pos, back, ahead = np.array([0, 5, 2 ** 31]), np.array([0, 5, 399]), np.array([0, 399, 16000])
+    got = suffix.unpacked(suffix.packed(pos, pos - back, pos - back + ahead))
+    assert [x.tolist() for x in got] == [x.tolist() for x in (pos, pos - back, pos - back + ahead)]
