@@ -152,8 +152,12 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     cut = F.transform(F.array_distinct(starts), lambda s: F.substring(
         F.col(text), (s + 1).cast("int"), F.lit(LENGTH)))
     d = d.select(F.col(lang).alias("lang"), F.xxhash64(doc_id).alias("h"), cut.alias("windows"))
-    d = d.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "windows")))
-    sample = d.where(F.col("r") <= TEXTS_PER_LANGUAGE).orderBy("lang", "r").select("lang", "windows").collect()
+    # only the hashes are ranked; a row per language then says how far the sample goes
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    last = d.select("lang", "h").withColumn("r", rank).where(F.col("r") <= TEXTS_PER_LANGUAGE).groupBy("lang").agg(
+        F.max("h").alias("last"))
+    d = d.join(F.broadcast(last), "lang").where(F.col("h") <= F.col("last"))
+    sample = sorted(d.select("lang", "h", "windows").collect())
     if not sample:
         return None
     labels = sorted({r["lang"] for r in sample})
