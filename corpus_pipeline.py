@@ -31,9 +31,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     one with the smallest doc_id.  Repeated rows of it stay one row."""
     found = jaccard.similar_components(docs).where("doc_id = component_id").select(
         F.col("doc_id").alias("_id")).distinct()
-    # a document without an id cannot stand for a group, but must not be lost either
     kept = docs.join(found, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    # a document without an id cannot stand for a group; it is kept, each text of such once
+    return kept.unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"])).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -93,7 +93,8 @@ def _key(*parts) -> Column:
 
 def block_choices(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
                   weights=WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS,
-                  block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
+                  block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED,
+                  name: Column | None = None) -> DataFrame:
     """One row per document and block: which words of the document lie in the
     block (``first_word``, ``n_words``) and how often the mix takes it
     (``times``).  Documents without words have one row without a block.
@@ -101,10 +102,10 @@ def block_choices(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     Null texts count as empty, null sources are one source of their own, and
     repeated rows are documents of their own (``place`` tells them apart; among
     equal rows it does not matter which is which).  An empty table gives an
-    empty result.
+    empty result.  ``name``, if given, comes along as a column of that name.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
-                    word_count(F.col(text)).alias("size"))
+                    word_count(F.col(text)).alias("size"), *([] if name is None else [name.alias("name")]))
     targets = source_targets(d, weights, share, max_repeats)
     n_blocks = F.round(F.sum("target").over(Window.partitionBy()) / block_words).cast("long")
     quotas = sainte_lague(targets.withColumn("n_blocks", n_blocks), [], ["source"], "target", "n_blocks",
@@ -144,7 +145,7 @@ def block_choices(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
                    + (rank <= quota % F.col("blocks")).cast("long"))
     return d.withColumn("times", F.coalesce(times, F.lit(0).cast("long"))).select(
         "doc_id", "source", "size", "source_size", "target", "shard", "place", "block", "first_word", "n_words",
-        "times")
+        "times", *([] if name is None else ["name"]))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -157,21 +158,23 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     ).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-def mixed_documents(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a document comes back once
     for each pass over it, its text the words of the blocks taken in that pass
     (the whole text if all are).  A document of which nothing is taken is gone.
-    ``key`` must tell documents apart."""
-    c = block_choices(docs, **options).where("times > 0")
+    Rows that repeat both id and text count as one document here (collapse them
+    first if they should not); a null id is an id like any other."""
+    name = F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")),
+                       F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    c = block_choices(docs, doc_id=doc_id, text=text, name=name, **options).where("times > 0")
     c = c.withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    passes = c.groupBy("doc_id", "pass").agg(
-        F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("spans"),
-        F.sum("n_words").alias("kept"), F.first("size").alias("size")
-    ).withColumnRenamed("doc_id", "_key")
-    d = docs.withColumnRenamed("text", "_text").join(passes, F.col(key) == F.col("_key"))
-    words = F.regexp_extract_all("_text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    d = d.withColumn("_words", F.when(F.col("kept") < F.col("size"), words))
-    cut = F.array_join(F.transform("spans", lambda s: F.array_join(
+    passes = c.groupBy("name", "pass").agg(
+        F.sort_array(F.collect_set(F.struct("first_word", "n_words"))).alias("_spans"), F.first("size").alias("_size"))
+    passes = passes.withColumn("_kept", F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["n_words"]))
+    passes = passes.select(F.col("name").alias("_name"), "_spans", "_size", "_kept")
+    d = docs.withColumn("_key", name).join(passes, F.col("_key") == F.col("_name"))
+    words = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    d = d.withColumn("_words", F.when(F.col("_kept") < F.col("_size"), words))
+    cut = F.array_join(F.transform("_spans", lambda s: F.array_join(
         F.slice("_words", (s["first_word"] + 1).cast("int"), s["n_words"].cast("int")), "")), "")
-    d = d.withColumn("text", F.when(F.col("kept") < F.col("size"), cut).otherwise(F.col("_text")))
-    return d.select(*docs.columns)
+    return d.withColumn(text, F.when(F.col("_kept") < F.col("_size"), cut).otherwise(F.col(text))).select(*docs.columns)
