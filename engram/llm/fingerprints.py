@@ -9,10 +9,9 @@ subtracting its vector (``insert``, ``delete``).
 The vector has three parts:
 
 * 8 lanes of 32 random bits, for equality;
-* 128 lanes of one random bit, two lanes to a long.  With signs for bits, the
-  mean square difference of two sums estimates the number of paragraphs that
-  are in one text and not in the other (a linear second-moment sketch), which
-  gives the likeness;
+* 128 lanes of one random bit, two lanes to a long.  With signs for bits, mean
+  products of lanes estimate the inner products of the vectors of counts (a
+  linear second-moment sketch), which give the likeness;
 * the number of paragraphs.
 """
 
@@ -91,19 +90,25 @@ def fingerprint(vector: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard likeness of two multisets of paragraphs from their
-    vectors, 0 to 1; exactly 1 for equal vectors (two empty texts too)."""
+    """Likeness of two multisets of paragraphs from their vectors, 0 to 1:
+    estimated x.y / (x.x + y.y - x.y) for their vectors of counts x and y, which
+    is the Jaccard similarity if no paragraph repeats.  Exactly 1 for equal
+    vectors (two empty texts too)."""
+    def signed(x: Column, shift: int, n: Column) -> Column:
+        return (F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(LOW)) * 2 - n).cast("double")
+
     n_a, n_b = a.getItem(0), b.getItem(0)
-    lane = lambda x, shift: F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(LOW))
-    diff = n_a - n_b
-    square = lambda x, y, s: ((lane(x, s) - lane(y, s)) * 2 - diff).cast("double") * (
-        (lane(x, s) - lane(y, s)) * 2 - diff).cast("double")
-    signs = F.zip_with(F.slice(a, 2 + STRONG, 32 * SIGNS), F.slice(b, 2 + STRONG, 32 * SIGNS),
-                       lambda x, y: square(x, y, 0) + square(x, y, 32))
-    apart = F.aggregate(signs, F.lit(0.0), lambda s, x: s + x) / (64.0 * SIGNS)
-    both = (n_a + n_b).cast("double")
-    return F.when(a == b, F.lit(1.0)).when(both + apart <= 0, F.lit(0.0)).otherwise(
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), (both - apart) / (both + apart))))
+    lanes = F.zip_with(
+        F.slice(a, 2 + STRONG, 32 * SIGNS), F.slice(b, 2 + STRONG, 32 * SIGNS),
+        lambda x, y: F.struct(signed(x, 0, n_a).alias("p"), signed(x, 32, n_a).alias("q"),
+                              signed(y, 0, n_b).alias("r"), signed(y, 32, n_b).alias("s")))
+    zero = F.struct(F.lit(0.0).alias("ab"), F.lit(0.0).alias("aa"), F.lit(0.0).alias("bb"))
+    sums = F.aggregate(lanes, zero, lambda t, v: F.struct(
+        (t["ab"] + v["p"] * v["r"] + v["q"] * v["s"]).alias("ab"),
+        (t["aa"] + v["p"] * v["p"] + v["q"] * v["q"]).alias("aa"),
+        (t["bb"] + v["r"] * v["r"] + v["s"] * v["s"]).alias("bb")),
+        lambda t: F.when(t["aa"] + t["bb"] - t["ab"] > 0, t["ab"] / (t["aa"] + t["bb"] - t["ab"])).otherwise(0.0))
+    return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), sums)))
 
 
 def in_a_ring(keys: DataFrame, cols: list[str], also: str) -> DataFrame:
