@@ -2,17 +2,21 @@
 
 Each stage works on all rows that the one before kept; its result is written as
 Parquet to the shared folder and read again.  All but the last return the
-columns of ``documents``.
+columns of ``documents``.  When a stage is called the one before has been written,
+so the scratch tables that it left are deleted first.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm import bpe, jaccard, langid, mixing, suffix
-from engram.llm.common import table, written
+from engram.llm.common import release, table
+from engram.session import shared_path
 
 #: A text whose likeliest language has less than this is in no known language.  Texts of a word or two score
 #: about 0.4 even when right, so the bar is little above chance.
@@ -22,6 +26,7 @@ LEAST_SCORE = 0.3
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a known language: not those without text or letters,
     and not those whose best language is below LEAST_SCORE."""
+    release(spark)
     found = langid.predict(docs, langid.train(docs), keep=["text", "lang", "source", "n_chars"])
     return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)) \
                 .select(*docs.columns)
@@ -30,6 +35,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates (five words, 0.8): the
     one with the smallest doc_id.  Repeated rows of it stay one row."""
+    release(spark)
     found = jaccard.similar_components(docs).where("doc_id = component_id").select(
         F.col("doc_id").alias("_id")).distinct()
     kept = docs.join(found, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
@@ -40,18 +46,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out what repeats for 400 bytes or more, in the same document or
     others; documents left without text go."""
+    release(spark)
     kept = suffix.without_repeats(docs)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents as often, and as far, as their source's share takes them."""
+    release(spark)
     mixed = mixing.mixed_documents(docs)
     return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text of the mix."""
+    release(spark)
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), with_ids=True)
 
 
@@ -62,7 +71,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents.  The results of the stages stay in the
+    shared checkpoint folder."""
+    folder = shared_path(spark, f"pipeline-{uuid.uuid4().hex}")
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES):
+        out = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
     return docs

@@ -18,9 +18,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Scratch folders of this driver that nobody has released yet.
+_SCRATCH: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared checkpoint folder."""
-    return shared_path(spark, f"llm-{name}-{uuid.uuid4().hex}")
+    path = shared_path(spark, f"llm-{name}-{uuid.uuid4().hex}")
+    _SCRATCH.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the scratch tables written so far.  Only for a caller who knows
+    that every result built on them is written elsewhere, as between the stages
+    of a pipeline."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -156,7 +156,11 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     last = d.select("lang", "h").withColumn("r", rank).where(F.col("r") <= TEXTS_PER_LANGUAGE).groupBy("lang").agg(
         F.max("h").alias("last"))
-    d = d.join(F.broadcast(last), "lang").where(F.col("h") <= F.col("last"))
+    last = {r["lang"]: r["last"] for r in last.collect()}
+    if not last:
+        return None
+    upto = F.create_map(*[F.lit(x) for pair in sorted(last.items()) for x in pair])
+    d = d.where(F.col("h") <= upto[F.col("lang")])
     sample = sorted(d.select("lang", "h", "windows").collect())
     if not sample:
         return None

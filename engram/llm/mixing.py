@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, word_count
+from .common import WORD, word_count, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -106,6 +106,7 @@ def block_choices(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
                     word_count(F.col(text)).alias("size"), *([] if name is None else [name.alias("name")]))
+    d = written(d, "sizes")                               # words are counted once
     targets = source_targets(d, weights, share, max_repeats)
     n_blocks = F.round(F.sum("target").over(Window.partitionBy()) / block_words).cast("long")
     quotas = sainte_lague(targets.withColumn("n_blocks", n_blocks), [], ["source"], "target", "n_blocks",

@@ -1,5 +1,7 @@
 """Each stage of the pipeline on the rows that the one before kept."""
 
+import uuid
+
 import public_tokenizers
 import pytest
 import tiktoken
@@ -7,7 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from engram.llm import bpe, mixing
-from engram.llm.common import table, written
+from engram.llm.common import table
+from engram.session import shared_path
 
 from .test_jaccard import brute as similar
 from .test_suffix import brute as removed
@@ -15,6 +18,13 @@ from .test_suffix import brute as removed
 SF = "/root/testdata/sf0.001"
 
 
+def kept(df, name):
+    """As the pipeline does it: written, and read again."""
+    path = shared_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     docs = table(spark, SF, "documents")
@@ -22,7 +32,7 @@ def stages(spark):
                                  (None, "the document without an id and with words of its own here", "en", None, 9)], docs.schema)
     out = [docs.unionByName(odd)]
     for name, stage in cp.STAGES:
-        out.append(written(stage(spark, out[-1], SF), name))
+        out.append(kept(stage(spark, out[-1], SF), name))
     return out
 
 
@@ -75,5 +85,5 @@ def test_ids_are_those_of_the_mix(stages):
 def test_empty_documents(spark):
     docs = table(spark, SF, "documents").where(F.lit(False))
     for _, stage in cp.STAGES:
-        docs = written(stage(spark, docs, SF), "empty")
+        docs = kept(stage(spark, docs, SF), "empty")
     assert docs.collect() == []
