@@ -19,7 +19,8 @@ Linked documents are wanted as components, so:
 * equal sets are one class;
 * first, lists are joined to neighbours only (all pairs in short lists), and
   what is verified gives components;
-* then all pairs of the long lists are tried, but only between components.
+* then pairs of the long lists are tried, but only between components: first a
+  few of each row, at last all.
 
 A group of thousands of near copies costs about as many verified pairs as it
 has members, and no link between different components is left out.  A long
@@ -44,11 +45,13 @@ WORDS, THRESHOLD = 5, (4, 5)
 FREQUENT = 1 << 17
 #: A task counts tokens in portions of so many, and reports those seen this often.
 PORTION, REPORTED = 1 << 22, 3
-#: Lists up to this length have all pairs tried at once.
-SHORT = 8
+#: Lists up to this length have all pairs tried at once; in longer ones rows are first paired with the next few.
+SHORT, NEIGHBOURS = 8, 2
 #: Rows of a list in one block.
 BLOCK = 4096
-SETS, PARITY = 128, 256               # bits
+SETS, PARITY, WIDE = 128, 256, 1024   # bits
+#: Bits of the filter for the documents whose whole sets are wanted (4 MB).
+FILTER = 1 << 25
 CHUNK = 1 << 21
 
 
@@ -133,23 +136,49 @@ def bit_row(tokens: np.ndarray, second: np.ndarray, third: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def parity_row(tokens: np.ndarray) -> bytes:
+    """The parities of the counts of tokens in at least as many cells as there are
+    tokens (a power of two, so that a longer row folds onto a shorter one)."""
+    cells = max(WIDE, 1 << (len(tokens) - 1).bit_length())
+    count = np.bincount(((tokens >> _U(13)) % _U(cells)).astype(np.int64), minlength=cells)
+    return np.packbits((count & 1).astype(bool)).tobytes()
+
+
+def folded(parity: bytes, cells: int) -> bytes:
+    """A row of parities folded to fewer cells."""
+    x = np.frombuffer(parity, dtype=np.uint8)
+    while len(x) > cells // 8:
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    return x.tobytes()
+
+
+def parity_distance(a: bytes, b: bytes) -> int:
+    """A lower bound on the number of tokens that are in one set alone."""
+    cells = 8 * min(len(a), len(b))
+    x, y = (np.frombuffer(folded(p, cells), dtype=np.uint8) for p in (a, b))
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
 # ----------------------------------------------------------- pairs in lists
 
 def list_pairs(key: np.ndarray, n: np.ndarray, pos: np.ndarray, bits: np.ndarray, block: np.ndarray,
                cross: np.ndarray, threshold: tuple[int, int], label: np.ndarray | None,
-               reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (i, j) of the same list that may be similar enough.  Rows are sorted
-    by (key, n).  ``cross`` lists only pair rows of different blocks, ``label``
-    (if given) must differ, and i pairs with at most the ``reach[i]`` rows that
-    follow it."""
+               reach: np.ndarray, most_each: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of the same list that may be similar enough, of those not
+    more than ``reach[i]`` rows apart; i takes part in ``most_each`` pairs with
+    later rows at most, if given.  Rows are sorted by (key, n).  ``cross`` lists
+    only pair rows of different blocks, and ``label`` (if given) must differ."""
     num, den = threshold
     half = SETS // 64
     out_i, out_j = [], []
+    taken = np.zeros(len(key), dtype=np.int64)
     i = np.arange(len(key))
     d = 0
     while len(i):
         d += 1
         i = i[(i + d < len(key)) & (reach[i] >= d)]
+        if most_each is not None:
+            i = i[taken[i] < most_each]
         j = i + d
         go = (key[i] == key[j]) & (den * n[i] >= num * n[j])
         i, j = i[go], j[go]
@@ -166,16 +195,19 @@ def list_pairs(key: np.ndarray, n: np.ndarray, pos: np.ndarray, bits: np.ndarray
             ok = common[:, :half].any(axis=1) & common[:, half:].any(axis=1)
             apart = np.bitwise_count(bits[a, 2 * half:] ^ bits[b, 2 * half:]).sum(axis=1, dtype=np.int64)
             ok &= apart <= most
-            out_i.append(a[ok])
-            out_j.append(b[ok])
+            a, b = a[ok], b[ok]
+            taken[a] += 1
+            out_i.append(a)
+            out_j.append(b)
     empty = np.empty(0, dtype=np.int64)
     return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (empty, empty)
 
 
-def _pairs(lists: DataFrame, threshold: tuple[int, int], labelled: bool) -> DataFrame:
+def _pairs(lists: DataFrame, threshold: tuple[int, int], labelled: bool, most_each: int | None = None) -> DataFrame:
     """Distinct candidate pairs (a, b) of the list rows (token, bi, bj, block, n,
     pos, cid, bits, size and, if ``labelled``, label).  Without labels long lists
-    only pair neighbours, and rows of them that have any candidate come as (a, a)."""
+    only pair neighbours; with them rows of different labels, however far, but
+    none with more than ``most_each`` later ones of its list."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def done(pdf: pd.DataFrame) -> pd.DataFrame:
             token, bi, bj = (pdf[c].to_numpy() for c in ("token", "bi", "bj"))
@@ -186,12 +218,9 @@ def _pairs(lists: DataFrame, threshold: tuple[int, int], labelled: bool) -> Data
             bits = np.frombuffer(b"".join(pdf["bits"]), dtype=_U).reshape(len(pdf), -1)
             long = pdf["size"].to_numpy() > SHORT
             label = pdf["label"].to_numpy() if labelled else None
-            reach = np.full(len(pdf), len(pdf)) if labelled else np.where(long, 2, SHORT)
-            i, j = list_pairs(key, n, pos, bits, block, bi != bj, threshold, label, reach)
+            reach = np.full(len(pdf), len(pdf)) if labelled else np.where(long, NEIGHBOURS, SHORT)
+            i, j = list_pairs(key, n, pos, bits, block, bi != bj, threshold, label, reach, most_each)
             out = pd.DataFrame({"a": np.minimum(cid[i], cid[j]), "b": np.maximum(cid[i], cid[j])})
-            if not labelled:
-                own = np.unique(cid[long])
-                out = pd.concat([out, pd.DataFrame({"a": own, "b": own})])
             return out.drop_duplicates()
 
         kept = None
@@ -246,8 +275,9 @@ def _frequent(docs: DataFrame, words: int) -> Orders:
 
 
 def _described(docs: DataFrame, words: int, threshold: tuple[int, int], orders: Orders) -> DataFrame:
-    """(k, n, s1, s2, prefix, bits) of each document: the size of its set, two
-    hashes that name the set, the prefix under the first order, and the bits."""
+    """(k, n, s1, s2, prefix, bits, parity) of each document: the size of its
+    set, two hashes that name the set, the prefix under the first order, the bits
+    that go along with each prefix token, and the longer row of parities."""
     shared = docs.sparkSession.sparkContext.broadcast(orders)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -256,35 +286,69 @@ def _described(docs: DataFrame, words: int, threshold: tuple[int, int], orders:
             rows = []
             for s in shingle_sets(pdf["text"].tolist(), words, hasher):
                 if not len(s):
-                    rows.append((0, 0, 0, [], b""))
+                    rows.append((0, 0, 0, [], b"", b"", b""))
                     continue
                 level, size = order.level(s), prefix_size(len(s), threshold)
                 p = [order.prefix(s, level, k, size) for k in range(3)]
                 rows.append((len(s), int(_mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U).view(np.int64)),
                              int(_mix(s ^ _U(0x14057B7EF767814F)).sum(dtype=_U).view(np.int64)),
-                             p[0].view(np.int64), bit_row(s, p[1], p[2])))
-            out = pd.DataFrame(rows, columns=["n", "s1", "s2", "prefix", "bits"])
+                             p[0].view(np.int64), bit_row(s, p[1], p[2]), parity := parity_row(s),
+                             folded(parity, WIDE)))
+            out = pd.DataFrame(rows, columns=["n", "s1", "s2", "prefix", "bits", "parity", "wide"])
             out.insert(0, "k", pdf["k"].to_numpy())
             yield out
 
-    return docs.mapInPandas(run, "k string, n long, s1 long, s2 long, prefix array<long>, bits binary")
+    return docs.mapInPandas(
+        run, "k string, n long, s1 long, s2 long, prefix array<long>, bits binary, parity binary, wide binary")
 
 
 def _sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
-    """(cid, grams): the whole sets of the classes in ``wanted`` (cid, k, s1, s2)."""
+    """(cid, grams): the whole sets of the classes in ``wanted`` (cid, k, s1, s2),
+    once for each row that has the class's id and set.
+
+    The texts are not shuffled: a bit set of fixed size (FILTER bits) tells the
+    scan which documents may be wanted, and only sets of those go on.  Were it
+    full, it would let all pass and still nothing be lost."""
+    bit = lambda k: F.xxhash64(k).bitwiseAND(F.lit(FILTER - 1))
+    held = wanted.select(bit("k").alias("bit")).groupBy(F.shiftright("bit", 5).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("bits")).toPandas()
+    table = np.zeros(FILTER >> 5, dtype=np.int64)
+    table[held["word"].to_numpy(dtype=np.int64)] = held["bits"].to_numpy(dtype=np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = SpanHasher()
+        hasher, bits = SpanHasher(), shared.value
         for pdf in batches:
-            rows = []
-            sets = shingle_sets(pdf["text"].tolist(), words, hasher)
-            for cid, s1, s2, s in zip(pdf["cid"], pdf["s1"], pdf["s2"], sets, strict=True):
-                if int(_mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U).view(np.int64)) == s1 and \
-                        int(_mix(s ^ _U(0x14057B7EF767814F)).sum(dtype=_U).view(np.int64)) == s2:
-                    rows.append((cid, s.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["cid", "grams"])
+            at = pdf["bit"].to_numpy()
+            pdf = pdf[((bits[at >> 5] >> (at & 31)) & 1).astype(bool)]
+            rows = [(int(_mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U).view(np.int64)),
+                     int(_mix(s ^ _U(0x14057B7EF767814F)).sum(dtype=_U).view(np.int64)), s.view(np.int64))
+                    for s in shingle_sets(pdf["text"].tolist(), words, hasher)]
+            out = pd.DataFrame(rows, columns=["s1", "s2", "grams"])
+            out.insert(0, "k", pdf["k"].to_numpy())
+            yield out
 
-    return docs.join(wanted, "k").select("cid", "s1", "s2", "text").mapInPandas(
-        run, "cid long, grams array<long>").dropDuplicates(["cid"])
+    found = docs.select("k", bit("k").alias("bit"), "text").mapInPandas(
+        run, "k string, s1 long, s2 long, grams array<long>")
+    return found.join(wanted, ["k", "s1", "s2"]).select("cid", "grams")
+
+
+def _close(pairs: DataFrame, classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose parities do not prove them too far apart, so that
+    few whole sets are moved."""
+    num, den = threshold
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            both = (pdf["na"] + pdf["nb"]).to_numpy()
+            most = both - 2 * -(-num * both // (num + den))
+            near = [parity_distance(x, y) for x, y in zip(pdf["pa"], pdf["pb"], strict=True)]
+            yield pdf.loc[np.array(near, dtype=np.int64) <= most, ["a", "b"]]
+
+    side = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"),
+                                    F.col("parity").alias(f"p{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInPandas(
+        run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -295,14 +359,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) ->
     p = pairs.join(left, "a").join(right, "b")
     p = p.withColumn("both", F.size(F.array_intersect("ga", "gb")).cast("long"))
     union = F.size("ga") + F.size("gb") - F.col("both")
-    return p.where(F.col("both") * den >= union * num).select("a", "b")
+    return p.where(F.col("both") * den >= union * num).select("a", "b").distinct()
 
 
 def _lists(postings: DataFrame, bits: DataFrame) -> DataFrame:
     """Postings (token, cid, n, pos) in lists of at least two, with the bits; rows
     of long lists once for each pair of blocks that theirs is in."""
     size = postings.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    p = postings.join(size, "token")
+    p = written(postings.join(size, "token"), "postings")
     short = p.where(F.col("size") <= BLOCK).withColumns({c: F.lit(0).cast("long") for c in ("bi", "bj", "block")})
     place = F.row_number().over(Window.partitionBy("token").orderBy("n", "cid")) - 1
     long = p.where(F.col("size") > BLOCK).withColumn("block", F.floor(place / BLOCK))
@@ -332,26 +396,33 @@ def similar_components(docs: DataFrame, words: int = WORDS, threshold: tuple[int
     own_id = F.when(F.col("k") != "n", F.expr("substring(k, 2)")).cast(kind)
     classes = described.where("n > 0").groupBy("s1", "s2", "n").agg(
         F.min(own_id).alias("id"), F.min("k").alias("k"),
-        F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+        *[F.first(c).alias(c) for c in ("prefix", "bits", "parity", "wide")])
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     postings = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
     lists = written(_lists(postings, classes.select("cid", "bits")), "lists")
 
-    first = written(_pairs(lists, threshold, labelled=False), "pairs")
-    wanted = first.select(F.col("a").alias("cid")).union(first.select("b")).distinct().join(
-        classes.select("cid", "k", "s1", "s2"), "cid")
-    sets = written(_sets(base, words, wanted), "sets")
-    links = written(_verified(first.where("a < b"), sets, threshold), "links")
-    roots = components(links)
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = written(_close(pairs, classes, threshold), "pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(
+            classes.select("cid", "k", "s1", "s2"), "cid")
+        sets = written(_sets(base, words, wanted), "sets")
+        return written(_verified(pairs, sets, threshold), "links")
 
-    long = lists.where(F.col("size") > SHORT).join(roots.withColumnRenamed("node", "cid"), "cid", "left")
-    long = long.withColumn("label", F.coalesce("root", "cid")).drop("root")
-    mixed = long.groupBy("token").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("token")
-    second = _pairs(long.join(mixed, "token", "left_semi"), threshold, labelled=True)
-    more = _verified(second, sets, threshold)
-    # links within what is known are stars already
-    known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    roots = written(components(known.unionByName(written(more, "links"))), "roots")
+    links = linked(_pairs(lists, threshold, labelled=False))
+    roots = components(links)
+    # long lists, with a wider row of parities: first a few pairs of each row, then all that still lie apart
+    long = lists.where(F.col("size") > SHORT)
+    long = long.join(classes.select("cid", "wide"), "cid").withColumn(
+        "bits", F.concat(F.substring("bits", 1, 2 * SETS // 8), "wide")).drop("wide")
+    long = written(long, "long")
+    for most_each in (4, None):
+        now = long.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn(
+            "label", F.coalesce("root", "cid")).drop("root")
+        mixed = now.groupBy("token").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("token")
+        more = linked(_pairs(now.join(mixed, "token", "left_semi"), threshold, labelled=True, most_each=most_each))
+        # links within what is known are stars already
+        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = written(components(known.unionByName(more)), "roots")
 
     named = classes.select("cid", "s1", "s2", "n", "id").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
     named = named.withColumn("root", F.coalesce("root", "cid"))

@@ -117,3 +117,13 @@ def test_long_chain_is_one_component(spark):
     got = components(df.union(spark.createDataFrame([(1000, 1001), (1002, 1001)], "a long, b long"))).collect()
     assert {r["root"] for r in got if r["node"] < n} == {0} and sum(r["node"] < n for r in got) == n
     assert {r["root"] for r in got if r["node"] >= n} == {1000}
+
+
+def test_parities_never_exceed_the_difference():
+    rnd = np.random.default_rng(5)
+    for _ in range(200):
+        a = np.unique(rnd.integers(0, 1 << 62, rnd.integers(1, 900)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rnd.random(len(a)) < rnd.random()], rnd.integers(0, 1 << 62, rnd.integers(1, 900)).astype(np.uint64)]))
+        apart = len(np.setxor1d(a, b))
+        assert jaccard.parity_distance(jaccard.parity_row(a), jaccard.parity_row(b)) <= apart
+        assert jaccard.parity_distance(jaccard.parity_row(a), jaccard.parity_row(a)) == 0
