@@ -108,7 +108,8 @@ def q_knn_block(spark, sf):
 
 @register("ann_lsh")
 def q_ann_lsh(spark, sf):
-    out = S.ann_lsh(td.requests(spark, sf), td.memories(spark, sf), 10, threshold=0.0)
+    out = S.ann_lsh(td.requests(spark, sf), td.memories(spark, sf), 10, threshold=0.0,
+                    bands=S.UNCLUSTERED_BANDS, bits=None)
     return out.select("request_id", "user_id", "memory_id", _r(F.col("score")).alias("score"), "rank")
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from engram.operators import search as S
@@ -81,6 +82,27 @@ def test_lsh_recall_and_candidates(spark):
     assert met < 0.1 * 100 * 1000
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_lsh_recall_on_the_registered_table(spark, sf):
+    from engram.plans import q_search
+    from engram.sources import testdata as td
+    path = f"/root/testdata/{sf}"
+    exact = S.knn_exact(td.requests(spark, path), td.memories(spark, path), 10).where("score >= 0")
+    exact = {(r["request_id"], r["memory_id"]) for r in exact.collect()}
+    approx = {(r["request_id"], r["memory_id"]) for r in q_search.q_ann_lsh(spark, path).collect()}
+    assert len(exact & approx) / len(exact) >= 0.9
+
+
+def test_lsh_with_a_common_vector_equals_exact(spark):
+    q, m = _frames(spark)
+    one = [0.5, -1.0, 2.0, 0.0, 1.0, 1.0, -3.0, 0.25]
+    m = m.unionByName(spark.createDataFrame(
+        [(f"c{i:03d}", "u0", float(i % 4), one, None) for i in range(50)], m.schema))
+    q = q.unionByName(spark.createDataFrame([(f"qc{i}", "u0", one) for i in range(6)], q.schema))
+    exact = S.knn_exact(q, m, 7).where("score >= 0.9")
+    assert _rows(S.ann_lsh(q, m, 7, threshold=0.9, bands=S.UNCLUSTERED_BANDS, bits=None)) == _rows(exact)
+
+
 def test_self_exclusion(spark):
     _, m = _frames(spark)
     q = m.where("deleted_at IS NULL").select(F.col("memory_id").alias("request_id"), "user_id", "embedding",
