@@ -93,6 +93,17 @@ def test_lsh_recall_on_the_registered_table(spark, sf):
     assert len(exact & approx) / len(exact) >= 0.9
 
 
+def test_lsh_takes_vectors_of_every_length(spark):
+    q, m = _frames(spark)
+    rows = [(f"w{i}", f"u{i % 3}", 0.5, [1.0 + i, 2.0, 3.0] * 5, "2024-01-01" if i == 9 else None) for i in range(10)]
+    m = m.unionByName(spark.createDataFrame(rows, m.schema))
+    q = q.unionByName(spark.createDataFrame([("qwide", "u0", [1.0, 2.0, 3.0] * 5)], q.schema))
+    keep = "score >= 0.9"
+    exact = _rows(S.knn_exact(q, m, 5).where(keep))
+    assert {r[0] for r in exact} >= {"qself", "qwide"}
+    assert _rows(S.ann_lsh(q, m, 5, threshold=0.9, bands=S.UNCLUSTERED_BANDS, bits=None)) == exact
+
+
 def test_lsh_with_a_common_vector_equals_exact(spark):
     q, m = _frames(spark)
     one = [0.5, -1.0, 2.0, 0.0, 1.0, 1.0, -3.0, 0.25]
