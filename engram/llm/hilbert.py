@@ -10,7 +10,8 @@ Equal vectors are one class with one place on the curves.  A class remembers
 its k + 1 smallest ids, which is all that k nearest neighbours can need of it,
 so a vector that a third of the rows share is one row of the index.
 
-The window is a share of the curve.  For vectors without structure (the
+The window is a share of the curve, and never fewer than LEAST_CLASSES classes
+on each side, so small tables are searched whole.  For vectors without structure (the
 neighbours hardly closer than the rest) a fixed number of rows around a query
 cannot hold the nearest ones at any size, so recall stays only if the window
 grows with the table.
@@ -32,6 +33,9 @@ CURVES, DIMENSIONS, BITS = 4, 2, 12
 WINDOW = 0.18
 #: Rows of the index in a block; blocks on a curve at least.
 BLOCK_ROWS, LEAST_BLOCKS = 2048, 32
+#: Classes that are searched on each side of a query at least, however small the window; a curve of no more is
+#: searched whole.
+LEAST_CLASSES = 64
 #: Queries that meet a block in one task.
 QUERY_ROWS = 4096
 #: Classes that a block hands on for each query, besides the k wanted: what the rounding of a matrix product may swap.
@@ -155,7 +159,9 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_
     asked = data.select(*[F.col(c).alias(c) for c in data.columns]).join(
         queries.select("class_id").distinct(), "class_id", "left_semi")
     n_queries = asked.groupBy("dim", "curve").agg(F.count(F.lit(1)).alias("n_asked"))
-    reach = F.ceil(F.col("n_blocks") * F.lit(window)).cast("long")
+    # blocks that hold the window, and those that hold the least number of classes whose places spread over the blocks
+    least = F.ceil(F.lit(max(LEAST_CLASSES, k + SLACK)) * F.col("n_blocks") / F.col("n_curve"))
+    reach = F.least(F.col("n_blocks"), F.greatest(F.ceil(F.col("n_blocks") * F.lit(window)), least)).cast("long")
     # so many groups of queries that those meeting a block stay few
     n_groups = F.greatest(F.lit(1).cast("long"), F.ceil(
         F.col("n_asked") * (2 * reach + 1) / F.col("n_blocks") / QUERY_ROWS))

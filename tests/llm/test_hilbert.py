@@ -79,6 +79,19 @@ def test_small_table_is_exact_with_ties_and_odd_rows(spark):
             assert [r[1] for r in own] == [j for _, j in w], i
 
 
+@pytest.mark.parametrize("n_vectors", [2, 3, 4, 5, 6, 10, 40])
+def test_few_distinct_vectors_are_exact_with_the_default_window(spark, n_vectors):
+    rng = np.random.default_rng(n_vectors)
+    base = rng.normal(size=(n_vectors, 8)).astype(np.float32).tolist()
+    rows = [(50 * i, v) for i, v in enumerate(base)] + [(10001 + 50 * i, base[1]) for i in range(20)]
+    rows += [(20000, [1.0, 2.0]), (20001, [2.0, -1.0]), (20002, [-1.0, 0.5])]
+    got = {}
+    for r in hilbert.nearest(spark.createDataFrame(rows, SCHEMA)).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    want = {i: [j for _, j in w] for i, w in brute(rows).items()}
+    assert {i: [j for _, j in sorted(g)] for i, g in got.items()} == want
+
+
 def test_common_vector(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(400)] + [(1000 + i, [1.0, 2.0, 3.0 + i]) for i in range(1, 30)]
     got = {}
