@@ -3,8 +3,8 @@
 A page becomes a light tree.  Every paragraph earns points for its length and
 its commas and passes them on to its ancestors, fewer the farther they are.
 Points of a container count less the more of its text lies in links.  The best
-container is kept, with those of its siblings that score well, or the article
-around it; menus, forms, adverts and the like are cut off before.
+container is kept, with the text and the elements beside it that score well or
+are poor in links, or the article around it; menus, forms, adverts and the like are cut off before.
 
 Work is per page (``mapInPandas``) without a shuffle; time and memory follow
 the length of the page.
@@ -60,6 +60,9 @@ HEADER_WORDS = {"header", "topbar", "masthead"}
 TEXT_TAGS = {"p", "pre", "blockquote", "td", "th", "li", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6",
              "figcaption", "caption", "summary"}
 
+#: A part beside the best container stays if less of its text than this is in links.
+LINK_POOR = 0.5
+
 
 class Node:
     __slots__ = ("tag", "parent", "children", "junk", "in_article", "landmark", "size", "links", "commas", "score",
@@ -300,20 +303,48 @@ def main_text(page: str | None) -> str:
                 break
             around = outer
         return "\n".join(_blocks([around]))
+    while best.parent is not None and not _others(best):     # a wrapper without text of its own
+        best = best.parent
     if best.tag in ("#root", "html", "body") or best.parent is None:
         return "\n".join(_blocks([best]))
     least = 0.2 * best.score
     kept = []
-    for x in best.parent.children:
-        if isinstance(x, str) or x.junk or not x.size:
-            continue
-        loose = x.links / x.size
-        if x is best or x.score * (1 - loose) >= least or x.tag in TEXT_TAGS and loose < 0.25 \
-                and (x.size > 80 or x.tag[0] == "h"):
+    for x in _parts(best.parent):
+        loose = x.links / max(x.size, 1)
+        if x is best or x.size and (loose < LINK_POOR or x.score * (1 - loose) >= least):
             kept.append(x)
     return "\n".join(_blocks(kept))
 
 
+def _others(node: Node) -> bool:
+    """Whether any text stands beside a node in its parent."""
+    return any(_plain(x) if isinstance(x, str) else x.size and not x.junk
+               for x in node.parent.children if x is not node)
+
+
+def _parts(node: Node) -> list[Node]:
+    """What a container holds but for junk: its blocks, and between them each
+    run of direct text and inline elements as one part."""
+    out: list[Node] = []
+    run = None
+    for x in node.children:
+        if not isinstance(x, str) and (x.tag in BLOCKS or x.score > 0):
+            run = None
+            if not x.junk:
+                out.append(x)
+            continue
+        if run is None:
+            run = Node("#run", node)
+            out.append(run)
+        run.children.append(x)
+        if isinstance(x, str):
+            run.size += len(_plain(x))
+        elif not x.junk:
+            run.size += x.size
+            run.links += x.links
+    return out
+
+
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Per row: page_id, url, text and n_chars, as :func:`main_text` has it.
     Null ids and urls stay null, repeated rows each give a row, other columns

@@ -46,6 +46,27 @@ def test_scores_choose_the_container_and_its_siblings():
     assert "The long one" in got and "A sibling" in got and "x, y" not in got
 
 
+LONG = "<p>The long one with many words and not a single comma.</p>" * 20
+
+
+def test_short_parts_beside_the_best_container_stay():
+    page = (f"<body><div id=w>Lead text. <div>{LONG}</div> Text <b>in</b> bold, see <a href=x>this</a>."
+            "<section><h3>Small</h3><p>One line.</p></section><p>The end.</p>"
+            "<div class=sidebar><p>Not this.</p></div><ul><li><a href=1>m1</a><li><a href=2>m2</a><li><a href=3>m3</a></ul>"
+            "<a href=4>next</a></div></body>")
+    got = main_text(page).split("\n")
+    assert got[0] == "Lead text." and got[21:] == ["Text in bold, see this.", "Small", "One line.", "The end."]
+
+
+def test_wrapped_container_keeps_what_stands_beside_its_wrapper():
+    assert main_text(f"<body><div><div>{LONG}</div></div><p>The end.</p></body>").endswith("\nThe end.")
+
+
+def test_unequal_sections_stay():
+    page = f"<body><section><h2>A</h2>{LONG}</section><section><h2>B</h2><p>Short.</p></section></body>"
+    assert main_text(page).endswith("\nB\nShort.")
+
+
 @pytest.mark.parametrize("page", ["<div" * 30000, "<a x='" * 9000, "<b>" * 30000 + "deep", "<div>" * 30000 + "deep",
                                   "<p>x, y" * 20000, "</p>" * 30000, "<a x='>" * 5000, "&" * 100000])
 def test_hostile_pages_end(page):
