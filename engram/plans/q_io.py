@@ -102,14 +102,12 @@ WHERE s.memory_id IS NULL OR p.memory_id IS NULL OR p.user_id IS DISTINCT FROM s
 """)
 def q_parity_check(spark, sf):
     full = td.memories(spark, sf)
-    m = full.select("memory_id", "user_id", "importance", "access_count")
-    cols = ["memory_id", "user_id", "importance", "access_count"]
     sec = (full.where(F.col("memory_category") != "preference")
            .withColumn("importance", F.when(F.col("memory_subtype") == "project", F.col("importance") + 0.01)
-                       .otherwise(F.col("importance"))).select(*cols)
+                       .otherwise(F.col("importance")))
            .unionByName(full.where(F.col("memory_subtype") == "decision")
-                        .withColumn("memory_id", F.concat(F.lit("extra-"), "memory_id")).select(*cols)))
-    return io.parity_check(m, sec, "memory_id")
+                        .withColumn("memory_id", F.concat(F.lit("extra-"), "memory_id"))))
+    return io.parity_check(full, sec, "memory_id")
 
 
 BACKUP_SQL = f"""
@@ -159,8 +157,10 @@ def q_seed_if_absent(spark, sf):
     r = td.requests(spark, sf)
     n = F.substring("request_id", 2, 10).cast("int")
     seeds = r.select("request_id", F.when(n % 2 == 0, F.concat(F.lit("u"), (n % 8).cast("string")))
-                     .otherwise(F.col("user_id")).alias("user_id"), F.left("query", F.lit(80)).alias("summary"))
-    return io.seed_if_absent(td.memories(spark, sf), seeds).select("request_id", "user_id", "summary")
+                     .otherwise(F.col("user_id")).alias("user_id"), F.col("query").alias("content"))
+    # the same seed is the same whole text; its first 80 characters are only shown
+    new = io.seed_if_absent(td.memories(spark, sf), seeds, text="content")
+    return new.select("request_id", "user_id", F.left("content", F.lit(80)).alias("summary"))
 
 
 @register("storage_estimate")
@@ -193,8 +193,7 @@ def q_write_snapshot(spark, sf):
 def q_mirror_write(spark, sf):
     a = shared_path(spark, f"mirror-a-{uuid.uuid4().hex}")
     b = shared_path(spark, f"mirror-b-{uuid.uuid4().hex}")
-    m = td.memories(spark, sf).select("memory_id", "user_id", "importance", "access_count")
-    io.mirror_write(m, a, b)
+    io.mirror_write(td.memories(spark, sf), a, b)
     return io.parity_check(spark.read.parquet(a), spark.read.parquet(b), "memory_id") \
         .unionByName(spark.read.parquet(b).select("memory_id", F.lit("copied").alias("status")))
 
@@ -203,7 +202,7 @@ def q_mirror_write(spark, sf):
 def q_export(spark, sf):
     path = shared_path(spark, f"export-{uuid.uuid4().hex}")
     users = td.sessions(spark, sf).where(F.col("total_tokens") > 1000).select("user_id")
-    io.export_user_memories(td.memories(spark, sf).drop("embedding"), users, path)
+    io.export_user_memories(td.memories(spark, sf), users, path)
     return spark.read.json(path).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -165,19 +165,21 @@ def incremental_backup(memories: DataFrame, backup: DataFrame) -> tuple[DataFram
     return out, rep
 
 
-def seed_if_absent(memories: DataFrame, seeds: DataFrame, order: str | None = None) -> DataFrame:
-    """Seed rows to insert: those without a live row of the same
-    (user_id, summary); of seeds with the same pair, the first by ``order``
-    (else the smallest row)."""
-    have = memories.where(F.col("deleted_at").isNull()).select("user_id", "summary")
-    rest = [c for c in seeds.columns if c not in ("user_id", "summary")]
-    new = seeds.join(have, ["user_id", "summary"], "left_anti")
+def seed_if_absent(memories: DataFrame, seeds: DataFrame, order: str | None = None,
+                   text: str = "summary") -> DataFrame:
+    """Seed rows to insert: those without a live row of the same user and the
+    same whole ``text``; of seeds with the same pair, the first by ``order``
+    (else the smallest row).  A seed without text is like no other."""
+    have = memories.where(F.col("deleted_at").isNull()).select("user_id", text)
+    rest = [c for c in seeds.columns if c not in ("user_id", text)]
+    new = seeds.join(have, ["user_id", text], "left_anti").select(*seeds.columns)
     if not rest:
-        return new.distinct()
+        return new.where(F.col(text).isNotNull()).distinct().unionByName(new.where(F.col(text).isNull()))
     one = F.struct(*rest)
     first = F.min_by(one, F.col(order)) if order else F.min(one)
-    return new.groupBy("user_id", "summary").agg(first.alias("_first")).select(
-        *[F.col(c) if c in ("user_id", "summary") else F.col("_first")[c].alias(c) for c in seeds.columns])
+    once = new.where(F.col(text).isNotNull()).groupBy("user_id", text).agg(first.alias("_first")).select(
+        *[F.col(c) if c in ("user_id", text) else F.col("_first")[c].alias(c) for c in seeds.columns])
+    return once.unionByName(new.where(F.col(text).isNull()))
 
 
 def export_user_memories(memories: DataFrame, users: DataFrame, path: str) -> DataFrame:

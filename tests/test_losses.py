@@ -130,3 +130,33 @@ def test_quantile_of_a_constant_group(spark):
     t = spark.createDataFrame([(0, 2000), (1, 2400)], "g long, target long")
     got = {r["g"]: r["order_stat"] for r in quantiles.order_stat(rows, ["g"], "v", t).collect()}
     assert got == {0: 1.0, 1: 4801.0}
+
+
+def test_whole_texts_decide_which_seed_is_there(spark, memories):
+    head = "x" * 80
+    one = memories.where(F.col("deleted_at").isNull()).limit(1).withColumn("user_id", F.lit("uX")) \
+                  .withColumn("content", F.lit(head + " stored")).withColumn("summary", F.lit(head))
+    seeds = spark.createDataFrame([("q1", "uX", head + " stored"), ("q2", "uX", head + " a"), ("q3", "uX", head + " b"),
+                                   ("q4", "uX", head + " b"), ("q5", "uX", None), ("q6", "uX", None)],
+                                  "request_id string, user_id string, content string")
+    got = io.seed_if_absent(one, seeds, text="content").collect()
+    assert sorted(r["request_id"] for r in got) == ["q2", "q3", "q5", "q6"]
+
+
+def test_seed_query_and_copies_use_whole_rows(spark, monkeypatch):
+    from engram.plans import q_io
+    seen = {}
+    monkeypatch.setattr(q_io.io, "parity_check", lambda p, s, key, f=io.parity_check: (
+        seen.setdefault("parity", []).extend([p.columns, s.columns]), f(p, s, key))[1])
+    monkeypatch.setattr(q_io.io, "export_user_memories", lambda m, u, path, f=io.export_user_memories: (
+        seen.setdefault("export", m.columns), f(m, u, path))[1])
+    whole = td.memories(spark, SF).columns
+    q_io.q_parity_check(spark, SF)
+    q_io.q_mirror_write(spark, SF)
+    q_io.q_export(spark, SF)
+    assert all(set(c) == set(whole) for c in seen["parity"]) and len(seen["parity"]) == 4
+    assert set(seen["export"]) == set(whole)
+    requests = td.requests(spark, SF)
+    monkeypatch.setattr(q_io.td, "requests", lambda *a: requests.withColumn("query", F.concat(
+        F.lit("y" * 80), F.col("request_id"))))
+    assert q_io.q_seed_if_absent(spark, SF).count() == requests.count()
