@@ -34,13 +34,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates (five words, 0.8): the
-    one with the smallest doc_id.  Repeated rows of it stay one row."""
+    one with the smallest doc_id, one without an id only where no other has one.
+    Documents that share an id and differ in text are documents of their own;
+    repeated rows stay one row."""
     release(spark)
-    found = jaccard.similar_components(docs).where("doc_id = component_id").select(
-        F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(found, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    # a document without an id cannot stand for a group; it is kept, each text of such once
-    return kept.unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"])).select(*docs.columns)
+    # a name for each id and text, in the order of the ids, those without an id last
+    place = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(str(2 ** 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    of_text = F.coalesce(F.concat(F.hex(F.xxhash64("text")), F.lit("."), F.hex(F.xxhash64("text", F.lit(1)))), F.lit("-"))
+    named = docs.withColumn("_row", F.concat(F.coalesce(place, F.lit("~")), F.lit(":"), of_text))
+    found = jaccard.similar_components(named, doc_id="_row").where("doc_id = component_id").select(
+        F.col("doc_id").alias("_kept")).distinct()
+    return named.join(found, F.col("_row") == F.col("_kept"), "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

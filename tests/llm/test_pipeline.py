@@ -87,3 +87,15 @@ def test_empty_documents(spark):
     for _, stage in cp.STAGES:
         docs = kept(stage(spark, docs, SF), "empty")
     assert docs.collect() == []
+
+
+def test_near_duplicates_goes_by_rows(spark):
+    import corpus_pipeline
+    text = lambda n: " ".join(f"w{n}x{i}" for i in range(60))
+    rows = [(1, text(1)), (1, text(2)), (1, text(1)), (None, text(3) + " a"), (None, text(3) + " b"), (5, text(4)),
+            (None, text(4) + " c"), (12, text(5)), (7, text(5) + " d"), (-3, text(6)), (2, text(6) + " e"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    ids = sorted((r[0] is None, r[0] or 0) for r in got)
+    assert ids == [(False, -3), (False, 1), (False, 1), (False, 5), (False, 7), (False, 9), (True, 0)]
+    assert {r[1] for r in got if r[0] == 1} == {text(1), text(2)}
