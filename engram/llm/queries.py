@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, hilbert, html, jaccard, langid, license, mixing, suffix, tokencount
+from . import bpe, fingerprints, hilbert, html, jaccard, langid, license, merkle, mixing, suffix, tokencount
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,69 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_manifest(table(spark, sf_dir, "documents"))
+
+
+# Levels by repeated grouping of runs, proofs by a walk from every leaf; CRC-32 bit by bit.
+ORACLE["op13_merkle_manifest"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, lang, n_chars, text,
+         xor(4294967295, list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+           lambda h, c: list_reduce(list_prepend(xor(h, c), range(8)),
+             lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))) AS crc
+  FROM documents),
+f AS (
+  SELECT *, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other,
+         coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-')
+         || coalesce(octet_length(encode(source)) || ':' || source, '-')
+         || coalesce(octet_length(encode(lang)) || ':' || lang, '-')
+         || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head
+  FROM d),
+leaf AS (
+  SELECT doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS digest,
+         sha256(head || coalesce(octet_length(encode(other)) || ':' || other, '-')) AS start
+  FROM f),
+placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, digest) - 1 AS idx,
+         count(*) OVER (PARTITION BY source) AS size
+  FROM leaf),
+low AS (
+  SELECT tree, 0 AS level, idx, digest, size FROM placed
+  UNION ALL
+  SELECT tree, level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (size + 2) // 3
+  FROM low WHERE size > 1 GROUP BY tree, level, idx // 3, size),
+high AS (
+  SELECT -1 AS tree, 0 AS level, tree AS idx, digest, (SELECT count(DISTINCT tree) FROM placed) AS size
+  FROM low WHERE size = 1
+  UNION ALL
+  SELECT tree, level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (size + 2) // 3
+  FROM high WHERE size > 1 GROUP BY tree, level, idx // 3, size),
+nodes AS (SELECT * FROM low UNION ALL SELECT * FROM high),
+segments AS (
+  SELECT tree, level, idx, size,
+         coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM nodes WINDOW w AS (PARTITION BY tree, level, idx // 3 ORDER BY idx)),
+walk AS (
+  SELECT row_number() OVER () AS leaf_no, doc_id, digest AS leaf, tree AS own, tree, 0 AS level, idx, start AS h, '' AS siblings
+  FROM placed
+  UNION ALL
+  SELECT leaf_no, doc_id, leaf, own, CASE WHEN s.size = 1 THEN -1 ELSE w.tree END,
+         CASE WHEN s.size = 1 THEN 0 ELSE w.level + 1 END, CASE WHEN s.size = 1 THEN w.tree ELSE w.idx // 3 END,
+         CASE WHEN s.size = 1 THEN h ELSE sha256(s.l || h || s.r) END,
+         CASE WHEN s.size = 1 THEN siblings ELSE siblings || s.l || s.r END
+  FROM walk w JOIN segments s ON s.tree = w.tree AND s.level = w.level AND s.idx = w.idx
+  WHERE NOT (s.size = 1 AND s.tree = -1)),
+ended AS (
+  SELECT w.* FROM walk w JOIN segments s ON s.tree = w.tree AND s.level = w.level AND s.idx = w.idx
+  WHERE s.size = 1 AND s.tree = -1)
+SELECT doc_id, leaf, t.digest AS subroot, r.digest AS root, sha256(siblings) AS proof_sha256, h AS folded_root,
+       h = r.digest AS verified
+FROM ended JOIN low t ON t.tree = ended.own AND t.size = 1 JOIN (SELECT digest FROM high WHERE size = 1) r ON true
+"""
