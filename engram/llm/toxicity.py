@@ -222,9 +222,9 @@ class Model:
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and middle of a logistic curve by Newton steps.  A surplus is a
     logarithm of odds already, so the slope is pulled towards 1, and the
-    intercept weakly towards 0, so that separated labels have a curve too."""
+    intercept weakly towards -1, so that separated labels have a curve too."""
     X = np.column_stack([x, np.ones(len(x))])
-    pull, home = np.array([100.0, 0.5]), np.array([1.0, 0.0])
+    pull, home = np.array([100.0, 0.5]), np.array([1.0, -1.0])
 
     def loss(w: np.ndarray) -> float:
         z = X @ w

@@ -1,6 +1,7 @@
 """Toxic passages: segments by brute force, weights by hand, held-out accuracy, odd rows."""
 
 import math
+import random
 import zlib
 
 import numpy as np
@@ -80,7 +81,7 @@ def test_held_out_accuracy(spark):
 def test_odd_rows(spark):
     ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
     held = next(i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0)
-    pad = lambda i: " ".join(f"w{'abcdefghij'[i * k % 10]}x{'klmnopqrst'[(i + k) % 10]}" for k in range(20))
+    pad = lambda i: " ".join("".join(random.Random(100 * i + k).choices("bdfgk", k=3)) for k in range(20))
     rows = [(i, pad(i) + (" vile scum " if i % 3 == 0 else " fine ") + pad(i + 1)) for i in ids]
     odd = [(held, pad(2) + " vile scum"), (1001, None), (1002, ""), (1003, "12 !\n"), (None, "vile scum"),
            (1004, (pad(5) + "\n") * 20000 + "vile scum, vile " * 9), (1005, "vile scum"), (1005, "vile scum")]
