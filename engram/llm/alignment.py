@@ -32,7 +32,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 from typing import NamedTuple
 
 import numpy as np
@@ -43,11 +43,11 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Characters in a batch of texts, and distinct units that a task remembers from batch to batch.
-BATCH, REMEMBERED = 1 << 24, 1 << 18
+BATCH, REMEMBERED = 1 << 22, 1 << 18
 #: Units that are encoded and aligned together.
-LINE = 1 << 16
+LINE = 1 << 14
 #: Links whose (text, pair) are sorted together.
-LINKS = 1 << 22
+LINKS = 1 << 21
 _MARK = "▁"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 
@@ -231,40 +231,50 @@ class Aligner:
     def learn(self) -> None:
         """Encodes and aligns the numbered units that are not known yet."""
         new = list(islice(self.number, len(self.groups), None))
-        for i in range(0, len(new), LINE):
-            self._line(new[i:i + LINE])
-
-    def _line(self, new: list[str]) -> None:
-        ids_a = [np.array(x, dtype=np.int64) for x in self.a.encode(new)]
-        ids_b = [np.array(x, dtype=np.int64) for x in self.b.encode(new)]
+        done = [self._line(new[i:i + LINE]) for i in range(0, len(new), LINE)]
+        if done:
+            figures, failed, sizes, flat = (np.concatenate(x) for x in zip(*done, strict=True))
+            self.figures, self.failed = np.vstack([self.figures, figures]), np.append(self.failed, failed)
+            self.pairs.add(sizes, flat)
+
+    def _line(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Figures, failures, sizes and pairs of the links of some units."""
         raw = [(" " + u).encode("utf-8", "replace") for u in new]
-        bad = np.array([self.table_a.joined(x).tobytes() != r or self.table_b.joined(y).tobytes() != r
-                        for x, y, r in zip(ids_a, ids_b, raw, strict=True)])
-        good = np.flatnonzero(~bad)
-        n = len(new)
+        n, size = len(new), np.array([len(r) for r in raw], dtype=np.int64)
+        whole, ends = np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum(size)
+        bad = np.zeros(n, dtype=bool)
+        sides = []
+        for encoder, tokens in ((self.a, self.table_a), (self.b, self.table_b)):
+            lists = encoder.encode(new)
+            unit = np.repeat(np.arange(n), np.fromiter(map(len, lists), dtype=np.int64, count=n))
+            ids = np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=len(unit))
+            del lists
+            # the bytes of units of the right length are compared with theirs, all at once
+            bad |= np.bincount(unit, tokens.length[ids], n).astype(np.int64) != size
+            on = ~bad[unit]
+            own = np.repeat(~bad, size)
+            differ = np.flatnonzero(own)[tokens.joined(ids[on]) != whole[own]]
+            bad[np.searchsorted(ends, differ, side="right")] = True
+            sides.append((ids, unit))
         figures, sizes, texts = np.zeros((n, 4), dtype=np.int64), np.zeros(n, dtype=np.int64), [b""] * n
         flat = np.empty(0, dtype=np.int64)
-        if len(good):
-            a, b = (np.concatenate([ids[k] for k in good.tolist()]) for ids in (ids_a, ids_b))
-            unit_a = np.repeat(good, [len(ids_a[k]) for k in good.tolist()])
+        if not bad.all():
+            (a, unit_a), (b, unit_b) = ((ids[~bad[unit]], unit[~bad[unit]]) for ids, unit in sides)
             end_a, end_b = np.cumsum(self.table_a.length[a]), np.cumsum(self.table_b.length[b])
             group_a, group_b = components(end_a, end_b)
             link_a, link_b = overlaps(end_a, end_b)
             of_group = unit_a[np.append(np.flatnonzero(group_a[1:] != group_a[:-1]), len(a) - 1)]
             sizes = np.bincount(unit_a[link_a], minlength=n)
-            figures = np.column_stack([
-                np.bincount(unit_a, minlength=n), [0 if x else len(y) for x, y in zip(bad.tolist(), ids_b, strict=True)],
-                np.bincount(of_group, minlength=n), sizes])
+            figures = np.column_stack([np.bincount(x, minlength=n) for x in (unit_a, unit_b, of_group)] + [sizes])
             flat = a[link_a] * self.n_b + b[link_b]
             line, ends = written_groups(a, b, group_a, group_b, self.table_a.digits, self.table_b.digits)
-            whole, at = line.tobytes(), 0
+            line, at = line.tobytes(), 0
             last = np.append(of_group[1:] != of_group[:-1], True)
             for k, to in zip(of_group[last].tolist(), ends[last].tolist(), strict=True):
-                texts[k] = whole[at + 1:to]             # without the ; before the first group
+                texts[k] = line[at + 1:to]             # without the ; before the first group
                 at = to
         self.groups += texts
-        self.figures, self.failed = np.vstack([self.figures, figures]), np.append(self.failed, bad)
-        self.pairs.add(sizes, flat)
+        return figures, bad, sizes, flat
 
     def batch(self, texts: list[str]) -> Batch:
         """Aligns the texts of a batch."""
