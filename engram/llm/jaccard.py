@@ -8,7 +8,10 @@ put the corpus's most frequent tokens last, by their count, and shuffle the rest
 by hashes of their own.
 
 The first order is joined for real: documents meet in the lists of its prefix
-tokens.  The prefixes under the other orders travel along as bit sets, and so
+tokens, one list per token and class of sizes, as only sets of comparable size can
+be similar.  A set near the upper end of its class is in the list of the next class
+too.  Tokens shared by chance mostly belong to texts of other lengths, so their
+lists end up with one row and are gone.  The prefixes under the other orders travel along as bit sets, and so
 does the parity of the counts of tokens in some cells (sets that differ in few
 tokens differ in no more parities).  Size, place of the token, the other
 prefixes and parity are all necessary conditions; what passes them all is
@@ -29,6 +32,7 @@ list is cut into blocks, and pairs of blocks are tasks of their own.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +51,8 @@ FREQUENT = 1 << 17
 PORTION, REPORTED = 1 << 22, 3
 #: Lists up to this length have all pairs tried at once; in longer ones rows are first paired with the next few.
 SHORT, NEIGHBOURS = 8, 2
+#: A class of sizes spans so many steps of 1 / threshold.
+CLASS = 4
 #: Rows of a list in one block.
 BLOCK = 4096
 SETS, PARITY, WIDE = 128, 256, 1024   # bits
@@ -163,11 +169,13 @@ def parity_distance(a: bytes, b: bytes) -> int:
 
 def list_pairs(key: np.ndarray, n: np.ndarray, pos: np.ndarray, bits: np.ndarray, block: np.ndarray,
                cross: np.ndarray, threshold: tuple[int, int], label: np.ndarray | None,
-               reach: np.ndarray, most_each: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+               reach: np.ndarray, most_each: int | None = None, below: np.ndarray | None = None
+               ) -> tuple[np.ndarray, np.ndarray]:
     """Rows (i, j) of the same list that may be similar enough, of those not
     more than ``reach[i]`` rows apart; i takes part in ``most_each`` pairs with
     later rows at most, if given.  Rows are sorted by (key, n).  ``cross`` lists
-    only pair rows of different blocks, and ``label`` (if given) must differ."""
+    only pair rows of different blocks, ``label`` (if given) must differ, and of two rows
+    one at least must not be ``below`` (if given) the class of the list."""
     num, den = threshold
     half = SETS // 64
     out_i, out_j = [], []
@@ -183,6 +191,8 @@ def list_pairs(key: np.ndarray, n: np.ndarray, pos: np.ndarray, bits: np.ndarray
         go = (key[i] == key[j]) & (den * n[i] >= num * n[j])
         i, j = i[go], j[go]
         ok = ~cross[i] | (block[i] != block[j])
+        if below is not None:
+            ok &= ~(below[i] & below[j])
         if label is not None:
             ok &= label[i] != label[j]
         a, b = i[ok], j[ok]
@@ -205,7 +215,7 @@ def list_pairs(key: np.ndarray, n: np.ndarray, pos: np.ndarray, bits: np.ndarray
 
 def _pairs(lists: DataFrame, threshold: tuple[int, int], labelled: bool, most_each: int | None = None) -> DataFrame:
     """Distinct candidate pairs (a, b) of the list rows (token, bi, bj, block, n,
-    pos, cid, bits, size and, if ``labelled``, label).  Without labels long lists
+    pos, below, cid, bits, size and, if ``labelled``, label).  Without labels long lists
     only pair neighbours; with them rows of different labels, however far, but
     none with more than ``most_each`` later ones of its list."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,7 +229,8 @@ def _pairs(lists: DataFrame, threshold: tuple[int, int], labelled: bool, most_ea
             long = pdf["size"].to_numpy() > SHORT
             label = pdf["label"].to_numpy() if labelled else None
             reach = np.full(len(pdf), len(pdf)) if labelled else np.where(long, NEIGHBOURS, SHORT)
-            i, j = list_pairs(key, n, pos, bits, block, bi != bj, threshold, label, reach, most_each)
+            i, j = list_pairs(key, n, pos, bits, block, bi != bj, threshold, label, reach, most_each,
+                              pdf["below"].to_numpy())
             out = pd.DataFrame({"a": np.minimum(cid[i], cid[j]), "b": np.maximum(cid[i], cid[j])})
             return out.drop_duplicates()
 
@@ -237,7 +248,7 @@ def _pairs(lists: DataFrame, threshold: tuple[int, int], labelled: bool, most_ea
         if kept is not None and len(kept):
             yield done(kept)
 
-    cols = ["token", "bi", "bj", "block", "n", "pos", "cid", "bits", "size"] + ["label"] * labelled
+    cols = ["token", "bi", "bj", "block", "n", "pos", "below", "cid", "bits", "size"] + ["label"] * labelled
     dealt = lists.select(*cols).repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj", "n", "cid")
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
@@ -362,11 +373,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) ->
     return p.where(F.col("both") * den >= union * num).select("a", "b").distinct()
 
 
-def _lists(postings: DataFrame, bits: DataFrame) -> DataFrame:
+def classed(postings: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Postings (token, cid, n, pos) under a key of token and class of sizes, and
+    again, marked ``below``, under the next class if sets of that may be similar."""
+    step = CLASS * math.log(threshold[1] / threshold[0])
+    at = F.ln("n") / step
+    own = F.floor(at).cast("int")
+    # the largest set that may be similar is 1 / threshold times as large
+    top = F.floor(at + 1 / CLASS + 1e-9).cast("int")
+    kind = F.explode(F.when(top > own, F.array(own, top)).otherwise(F.array(own)))
+    p = postings.withColumn("own", own).select("token", "cid", "n", "pos", "own", kind.alias("class"))
+    return p.select(F.xxhash64("token", "class").alias("token"), "cid", "n", "pos", (F.col("class") > F.col("own")).alias("below"))
+
+
+def _lists(postings: DataFrame, bits: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Postings (token, cid, n, pos) in lists of at least two, with the bits; rows
     of long lists once for each pair of blocks that theirs is in."""
-    size = postings.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    p = written(postings.join(size, "token"), "postings")
+    postings = classed(postings, threshold)
+    size = postings.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.bool_and("below").alias("idle"))
+    p = written(postings.join(size.where("size > 1 AND NOT idle").drop("idle"), "token"), "postings")
     short = p.where(F.col("size") <= BLOCK).withColumns({c: F.lit(0).cast("long") for c in ("bi", "bj", "block")})
     place = F.row_number().over(Window.partitionBy("token").orderBy("n", "cid")) - 1
     long = p.where(F.col("size") > BLOCK).withColumn("block", F.floor(place / BLOCK))
@@ -399,7 +424,7 @@ def similar_components(docs: DataFrame, words: int = WORDS, threshold: tuple[int
         *[F.first(c).alias(c) for c in ("prefix", "bits", "parity", "wide")])
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     postings = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
-    lists = written(_lists(postings, classes.select("cid", "bits")), "lists")
+    lists = written(_lists(postings, classes.select("cid", "bits"), threshold), "lists")
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = written(_close(pairs, classes, threshold), "pairs")
@@ -411,15 +436,15 @@ def similar_components(docs: DataFrame, words: int = WORDS, threshold: tuple[int
     links = linked(_pairs(lists, threshold, labelled=False))
     roots = components(links)
     # long lists, with a wider row of parities: first a few pairs of each row, then all that still lie apart
-    long = lists.where(F.col("size") > SHORT)
-    long = long.join(classes.select("cid", "wide"), "cid").withColumn(
-        "bits", F.concat(F.substring("bits", 1, 2 * SETS // 8), "wide")).drop("wide")
-    long = written(long, "long")
+    long = lists.where(F.col("size") > SHORT).drop("bits")
+    wide = classes.select("cid", F.concat(F.substring("bits", 1, 2 * SETS // 8), "wide").alias("bits"))
     for most_each in (4, None):
         now = long.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn(
             "label", F.coalesce("root", "cid")).drop("root")
         mixed = now.groupBy("token").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("token")
-        more = linked(_pairs(now.join(mixed, "token", "left_semi"), threshold, labelled=True, most_each=most_each))
+        # bits are fetched for the rows that are left
+        now = now.join(mixed, "token", "left_semi").join(wide, "cid")
+        more = linked(_pairs(now, threshold, labelled=True, most_each=most_each))
         # links within what is known are stars already
         known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = written(components(known.unionByName(more)), "roots")
