@@ -5,9 +5,10 @@ vocabulary resolves every pre-token that is a token itself, for whole batches
 of texts at once.  Tier two: the distinct pre-tokens that miss it are merged
 pair by pair, lowest rank first, with a heap over linked bytes.
 
-Work is per row (``mapInPandas``): no shuffle, one batch of texts in memory at
-a time, and a lost task only repeats its own rows.  The tables are built once
-on the driver and broadcast; their size is that of the vocabulary.
+Work is per row (``mapInPandas``): no shuffle, some CHUNK_BYTES of text at a time,
+and a lost task only repeats its own rows.  A longer text is taken in parts that
+begin where a pre-token does, so the ids are those of the whole.  The tables are
+built once on the driver and broadcast; their size is that of the vocabulary.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that are split and looked up together.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 18
 #: Merged pre-tokens that a task remembers between batches.
 REMEMBERED = 1 << 18
 _U = np.uint64
@@ -62,7 +63,7 @@ class SpanHasher:
     def __call__(self, buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         n = len(buffer) + 1
         if len(self.up) < n:
-            self.up, self.down = _powers(2 * n, _ROOT), _powers(2 * n, _ROOT_INVERSE)
+            self.up, self.down = _powers(n, _ROOT), _powers(n, _ROOT_INVERSE)
         sums = np.zeros(n, dtype=_U)
         np.cumsum(self.values[buffer] * self.up[: n - 1], out=sums[1:])
         return _mix((sums[end] - sums[start]) * self.down[start] + (end - start).astype(_U))
@@ -128,13 +129,14 @@ def _classes() -> np.ndarray:
     global _CLASSES
     if _CLASSES is None:
         import regex
-        points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-        text = "".join(map(chr, points))
         table = np.zeros(0x110000, dtype=np.uint8)
-        at = np.array(points)
-        for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\p{White_Space}+")):
-            for m in regex.finditer(pattern, text):
-                table[at[m.start():m.end()]] = kind
+        for first in range(0, 0x110000, 1 << 12):                 # some at a time, so that nothing large is left behind
+            if 0xD800 <= first < 0xE000:
+                continue
+            text = "".join(map(chr, range(first, first + (1 << 12))))
+            for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\p{White_Space}+")):
+                for m in regex.finditer(pattern, text):
+                    table[first + m.start():first + m.end()] = kind
         _CLASSES = table
     return _CLASSES
 
@@ -301,17 +303,54 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-def chunks(texts: list[str], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``limit`` characters together; one text is
-    never split."""
-    first, size = 0, 0
+class Open:
+    """What is known of a text whose parts are still coming."""
+
+    def __init__(self, text: int) -> None:
+        self.text, self.n, self.ids = text, 0, []
+        self.decimal, self.decoded = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, ids: np.ndarray, decimal: list[str], encoder: Encoder, keep: bool) -> None:
+        own = ids.tolist()
+        if own:
+            self.decimal.update(("," * (self.n > 0) + ",".join(map(decimal.__getitem__, own))).encode())
+            self.decoded.update(encoder.decode(own))
+            self.n += len(own)
+            if keep:
+                self.ids.append(ids.astype(np.int32))
+
+
+def parts(text: str, limit: int = CHUNK_BYTES) -> Iterator[str]:
+    """The text in parts of about ``limit`` characters that begin with a blank after
+    a character that is no white space: a pre-token always begins there."""
+    at = 0
+    while len(text) - at > limit:
+        to = text.find(" ", at + limit)
+        while to > 0 and text[to - 1].isspace():
+            to = text.find(" ", to + 1)
+        if to < 0:
+            break
+        yield text[at:to]
+        at = to
+    yield text[at:]
+
+
+def chunks(texts: list[str], limit: int = CHUNK_BYTES) -> Iterator[tuple[list[int], list[str]]]:
+    """Texts of about ``limit`` characters together, with their numbers; a longer one
+    comes in parts, one after the other."""
+    which: list[int] = []
+    some: list[str] = []
+    size = 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
-            yield first, i
-            first, size = i, 0
-        size += len(t)
-    if first < len(texts):
-        yield first, len(texts)
+        for part in parts(t, limit) if len(t) > limit else (t,):
+            which.append(i)
+            some.append(part)
+            size += len(part)
+            if size >= limit:
+                yield which, some
+                which, some, size = [], [], 0
+    if some:
+        yield which, some
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: str = "text",
@@ -333,18 +372,34 @@ def encode_documents(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", t
         encoder = Encoder(*shared.value)
         decimal = list(map(str, range(max(encoder.ranks.values(), default=-1) + 1)))
         for pdf in batches:
-            texts = pdf["text"].tolist()
-            for a, b in chunks(texts):
-                ids, counts = encoder.encode(texts[a:b])
-                rows, at = [], 0
-                for n in counts.tolist():
-                    own = ids[at:at + n].tolist()
+            doc_ids, rows, size, open_ = pdf["doc_id"].tolist(), [], 0, None
+
+            def frame(rows: list) -> pd.DataFrame:
+                out = pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+                return out if with_ids else out.drop(columns="ids")
+
+            def ended(o: Open) -> tuple:
+                ids = np.concatenate(o.ids) if len(o.ids) > 1 else o.ids[0] if o.ids else np.empty(0, dtype=np.int32)
+                return doc_ids[o.text], o.n, o.decimal.hexdigest(), o.decoded.hexdigest(), ids
+
+            for which, some in chunks(pdf["text"].tolist()):
+                ids, counts = encoder.encode(some)
+                at = 0
+                for text, n in zip(which, counts.tolist(), strict=True):
+                    if open_ is None or open_.text != text:
+                        if open_ is not None:
+                            rows.append(ended(open_))
+                            size += open_.n
+                        open_ = Open(text)
+                    open_.add(ids[at:at + n], decimal, encoder, with_ids)
                     at += n
-                    rows.append((n, hashlib.sha256(",".join(map(decimal.__getitem__, own)).encode()).hexdigest(),
-                                 hashlib.sha256(encoder.decode(own)).hexdigest(), own if with_ids else None))
-                out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
-                out.insert(0, "doc_id", pdf["doc_id"].iloc[a:b].to_numpy())
-                yield out if with_ids else out.drop(columns="ids")
+                if size > 1 << 16:
+                    yield frame(rows)
+                    rows, size = [], 0
+            if open_ is not None:
+                rows.append(ended(open_))
+            if rows:
+                yield frame(rows)
 
     schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * with_ids
     kind = docs.schema[doc_id].dataType

@@ -59,14 +59,19 @@ def write_token_files(docs: DataFrame, ranks_path: str, folder: str, separator:
         with store.open_output_stream(f"{path}/{name}") as out:
             for pdf in batches:
                 texts = pdf["text"].tolist()
-                for a, b in chunks(texts):
-                    ids, counts = encoder.encode(texts[a:b])
-                    flat = np.full(len(ids) + b - a, end, dtype=kind)
-                    ends = np.cumsum(counts + 1) - 1
+                before = 0
+                for which, some in chunks(texts):
+                    ids, counts = encoder.encode(some)
+                    # a separator ends a text where the next one begins, and the last one below
+                    begins = np.diff(np.array(which), prepend=before) > 0
+                    before = which[-1]
+                    flat = np.full(len(ids) + begins.sum(), end, dtype=kind)
                     own = np.ones(len(flat), dtype=bool)
-                    own[ends] = False
+                    own[(np.cumsum(counts) - counts + np.cumsum(begins) - 1)[begins]] = False
                     flat[own] = ids
                     out.write(flat.tobytes())
+                if texts:
+                    out.write(np.array([end], dtype=kind).tobytes())
                 yield pd.DataFrame({"file": name, "ordinal": np.arange(n, n + len(pdf)), "doc_id": pdf["doc_id"]})
                 n += len(pdf)
 

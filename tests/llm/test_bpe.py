@@ -64,3 +64,13 @@ def test_documents(spark):
 def test_large_ids_stay_exact(spark, big):
     df = spark.createDataFrame([(big, "a"), (None, "b")], "doc_id long, text string")
     assert {r["doc_id"] for r in bpe.encode_documents(df, PATH).collect()} == {big, None}
+
+
+def test_parts_of_a_long_text():
+    """Texts in parts of a few characters give the ids of whole texts."""
+    encoder = bpe.Encoder(bpe.load_ranks(PATH))
+    for text in ("it's  a \n b  'll\t12 x  \n\n é日本 word ", "nospaceatall" * 9, " " * 40, "a  " * 30, "", "x " * 50):
+        whole = encoder.encode([text, "next"])[0].tolist()
+        got = [i for which, some in bpe.chunks([text, "next"], 5) for i in encoder.encode(some)[0].tolist()]
+        assert got == whole
+        assert "".join(bpe.parts(text, 5)) == text
