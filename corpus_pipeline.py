@@ -2,8 +2,8 @@
 
 Each stage works on all rows that the one before kept; its result is written as
 Parquet to the shared folder and read again.  All but the last return the
-columns of ``documents``.  When a stage is called the one before has been written,
-so the scratch tables that it left are deleted first.
+columns of their input, whatever else these are.  A stage deletes the scratch
+tables that it has written itself, and nothing else.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm import bpe, jaccard, langid, mixing, suffix
-from engram.llm.common import release, table
+from engram.llm.common import settled, table
 from engram.session import shared_path
 
 #: A text whose likeliest language has less than this is in no known language.  Texts of a word or two score
@@ -23,48 +23,36 @@ from engram.session import shared_path
 LEAST_SCORE = 0.3
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """The documents with ``n_chars`` (if there is such a column) as their texts have it now."""
+    now = F.length("text").cast("long")
+    return docs.select(*[now.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a known language: not those without text or letters,
     and not those whose best language is below LEAST_SCORE."""
-    release(spark)
-    found = langid.predict(docs, langid.train(docs), keep=["text", "lang", "source", "n_chars"])
-    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)) \
-                .select(*docs.columns)
+    return langid.in_known_language(docs, LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates (five words, 0.8): the
-    one with the smallest doc_id, one without an id only where no other has one.
-    Documents that share an id and differ in text are documents of their own;
-    repeated rows stay one row."""
-    release(spark)
-    # a name for each id and text, in the order of the ids, those without an id last
-    place = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(str(2 ** 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
-    of_text = F.coalesce(F.concat(F.hex(F.xxhash64("text")), F.lit("."), F.hex(F.xxhash64("text", F.lit(1)))), F.lit("-"))
-    named = docs.withColumn("_row", F.concat(F.coalesce(place, F.lit("~")), F.lit(":"), of_text))
-    found = jaccard.similar_components(named, doc_id="_row").where("doc_id = component_id").select(
-        F.col("doc_id").alias("_kept")).distinct()
-    return named.join(found, F.col("_row") == F.col("_kept"), "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    """Keeps one document of each group of near duplicates (five words, 0.8)."""
+    return settled(spark, lambda: jaccard.one_per_component(docs), "near-duplicates")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out what repeats for 400 bytes or more, in the same document or
     others; documents left without text go."""
-    release(spark)
-    kept = suffix.without_repeats(docs)
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return settled(spark, lambda: _counted(suffix.without_repeats(docs)), "repeated-passages")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents as often, and as far, as their source's share takes them."""
-    release(spark)
-    mixed = mixing.mixed_documents(docs)
-    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return settled(spark, lambda: _counted(mixing.mixed_documents(docs)), "mix")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text of the mix."""
-    release(spark)
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), with_ids=True)
 
 
