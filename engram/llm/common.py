@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,26 +19,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-#: Scratch folders of this driver that nobody has released yet.
-_SCRATCH: list[str] = []
+#: Lists that collect the scratch folders written while they are open, the innermost last.
+_OPEN: list[list[str]] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared checkpoint folder."""
     path = shared_path(spark, f"llm-{name}-{uuid.uuid4().hex}")
-    _SCRATCH.append(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
     return path
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the scratch tables written so far.  Only for a caller who knows
-    that every result built on them is written elsewhere, as between the stages
-    of a pipeline."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _SCRATCH:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The result of ``build()`` as a table of its own in the shared folder.  The
+    scratch tables that ``build`` wrote, and only those, are deleted then; tables
+    that other results read are never touched."""
+    mine: list[str] = []
+    _OPEN.append(mine)
+    try:
+        df = build()
+    finally:
+        _OPEN.remove(mine)
+    out = written(df, name)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in mine:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+    return out
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -51,3 +60,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def packed_rows(docs: DataFrame, **columns: Column) -> DataFrame:
+    """Every row as one struct ``row``, beside the given columns, so that names
+    of the input and of the operator never meet."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       *[c.alias(n) for n, c in columns.items()])
+
+
+def unpacked_rows(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The input's columns out of ``row``, some of them changed."""
+    return df.select(*[(changed[c] if c in changed else F.col("row")[c]).alias(c) for c in columns])

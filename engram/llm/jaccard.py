@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import _U, SpanHasher, _mix
-from .common import written
+from .common import packed_rows, unpacked_rows, written
 from .graph import components
 
 WORDS, THRESHOLD = 5, (4, 5)
@@ -457,3 +457,17 @@ def similar_components(docs: DataFrame, words: int = WORDS, threshold: tuple[int
     return rows.join(named, ["s1", "s2", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_per_component(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int] = THRESHOLD,
+                      doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component, with all its columns: the one with the smallest
+    id, one without an id only where no other has one.  Rows that share an id
+    and differ in text are documents of their own; rows that repeat both are one."""
+    # a name for each id and text, in the order of the ids, those without an id last
+    place = F.lpad((F.col(doc_id).cast("decimal(20,0)") + F.lit(str(2 ** 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    of_text = F.coalesce(F.concat(F.hex(F.xxhash64(text)), F.lit("."), F.hex(F.xxhash64(text, F.lit(1)))), F.lit("-"))
+    named = packed_rows(docs, name=F.concat(F.coalesce(place, F.lit("~")), F.lit(":"), of_text), text=F.col(text))
+    found = similar_components(named, words, threshold, doc_id="name").where("doc_id = component_id")
+    found = found.select(F.col("doc_id").alias("name")).distinct()
+    return unpacked_rows(named.join(found, "name", "left_semi").dropDuplicates(["name"]), docs.columns)

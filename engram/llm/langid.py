@@ -4,7 +4,7 @@ Bytes are embedded, filters of several widths slide over a window of fixed
 length, the largest answer of each filter in the window is kept, and a softmax
 over these gives the language.  The network is written and trained in numpy, on
 the driver, from a bounded sample of labelled texts; prediction covers every
-window of every whole text, in batches, inside ``mapInPandas``.
+window of every whole text, in batches, in a pandas UDF over the texts.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import packed_rows, unpacked_rows
+
 #: Bytes in a window.
 LENGTH = 64
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 16, 4
@@ -143,27 +145,27 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """Learns from text and lang of the documents that are not held out.
 
     The sample: of each language the TEXTS_PER_LANGUAGE documents with the
-    lowest hash of their id, of each text up to WINDOWS_PER_TEXT windows, evenly
-    spread over it.  None if there is no labelled text."""
+    lowest hash of id and text, rows that repeat both taken as one, of each text
+    up to WINDOWS_PER_TEXT windows, evenly spread over it.  None if there is no
+    labelled text."""
     d = docs.where(~held_out(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     size = F.length(F.col(text))
     starts = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_PER_TEXT - 1)),
                          lambda i: F.floor(i * F.greatest(size - LENGTH, F.lit(0)) / (WINDOWS_PER_TEXT - 1)))
     cut = F.transform(F.array_distinct(starts), lambda s: F.substring(
         F.col(text), (s + 1).cast("int"), F.lit(LENGTH)))
-    d = d.select(F.col(lang).alias("lang"), F.xxhash64(doc_id).alias("h"), cut.alias("windows"))
-    # only the hashes are ranked; a row per language then says how far the sample goes
+    d = d.select(F.col(lang).alias("lang"), F.xxhash64(doc_id, text).alias("h"), cut.alias("windows"))
+    # only distinct hashes of id and text are ranked; a row per language then says how far the sample goes
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    last = d.select("lang", "h").withColumn("r", rank).where(F.col("r") <= TEXTS_PER_LANGUAGE).groupBy("lang").agg(
-        F.max("h").alias("last"))
+    last = d.select("lang", "h").distinct().withColumn("r", rank).where(F.col("r") <= TEXTS_PER_LANGUAGE).groupBy(
+        "lang").agg(F.max("h").alias("last"))
     last = {r["lang"]: r["last"] for r in last.collect()}
     if not last:
         return None
     upto = F.create_map(*[F.lit(x) for pair in sorted(last.items()) for x in pair])
-    d = d.where(F.col("h") <= upto[F.col("lang")])
+    # repeated rows are one row of the sample
+    d = d.where(F.col("h") <= upto[F.col("lang")]).dropDuplicates(["lang", "h"])
     sample = sorted(d.select("lang", "h", "windows").collect())
-    if not sample:
-        return None
     labels = sorted({r["lang"] for r in sample})
     raw = [w.encode("utf-8", "replace")[:LENGTH] for r in sample for w in r["windows"]]
     target = np.array([labels.index(r["lang"]) for r in sample for _ in r["windows"]])
@@ -171,30 +173,18 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return ByteCNN(labels).fit(windows, target[text_no])
 
 
-def predict(docs: DataFrame, model: ByteCNN | None, doc_id: str = "doc_id", text: str = "text",
-            keep: list[str] | None = None) -> DataFrame:
-    """Per row: doc_id, held_out, lang_pred and score (and the columns ``keep``
-    of the input, which are never looked at).
-
-    Probabilities of a text are the mean over its windows, by their bytes; the
-    prediction is the likeliest language (ties: the first by name) and score
-    its probability.  Null and empty texts and texts without a letter are
-    ``und`` with score 0; so is everything if there is no model.  Repeated rows
-    are predicted alike; an empty table gives an empty result."""
-    keep = keep or []
-    lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), *keep,
-                       F.when(lettered, F.col(text)).alias("_text"))
+def language_of(docs: DataFrame, model: ByteCNN | None, text: str = "text") -> Column:
+    """The language of a text as a struct (lang_pred, score): for rows of
+    ``docs``, of which only the text goes to Python."""
     if model is None:
-        return rows.select("doc_id", "held_out", F.lit(UNDETERMINED).alias("lang_pred"),
-                           F.lit(0.0).alias("score"), *keep)
+        return F.struct(F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    carried = [c for c in rows.columns if c not in keep and c != "_text"] + keep
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double")
+    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         net = shared.value
-        for pdf in batches:
-            raw = [b"" if t is None else t.encode("utf-8", "replace") for t in pdf["_text"].tolist()]
+        for texts in batches:
+            raw = [b"" if t is None else t.encode("utf-8", "replace") for t in texts.tolist()]
             total = np.zeros((len(raw), len(net.labels)))
             for a, b in _groups(raw):
                 windows, text_no, real = windows_of(raw[a:b])
@@ -205,14 +195,37 @@ def predict(docs: DataFrame, model: ByteCNN | None, doc_id: str = "doc_id", text
                         total[a:b, c] += np.bincount(text_no[s], p[:, c], b - a)
             weight = total.sum(axis=1)
             best = total.argmax(axis=1)
-            out = pdf[carried].copy()
-            out["lang_pred"] = [net.labels[k] if w > 0 else UNDETERMINED for k, w in zip(best, weight, strict=True)]
-            out["score"] = np.where(weight > 0, total[np.arange(len(best)), best] / np.maximum(weight, 1e-9), 0.0)
-            yield out
-
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in carried) + ", lang_pred string, score double"
-    return rows.mapInPandas(run, schema).select("doc_id", "held_out", "lang_pred", "score", *keep)
+            yield pd.DataFrame({
+                "lang_pred": [net.labels[k] if w > 0 else UNDETERMINED for k, w in zip(best, weight, strict=True)],
+                "score": np.where(weight > 0, total[np.arange(len(best)), best] / np.maximum(weight, 1e-9), 0.0)})
+
+    lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    return predicted(F.when(lettered, F.col(text)))
+
+
+def predict(docs: DataFrame, model: ByteCNN | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: doc_id, held_out, lang_pred and score.
+
+    Probabilities of a text are the mean over its windows, by their bytes; the
+    prediction is the likeliest language (ties: the first by name) and score
+    its probability.  Null and empty texts and texts without a letter are
+    ``und`` with score 0; so is everything if there is no model.  Repeated rows
+    are predicted alike; other columns are never looked at; an empty table gives
+    an empty result."""
+    found = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"),
+                        language_of(docs, model, text).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
+def in_known_language(docs: DataFrame, least: float, doc_id: str = "doc_id", text: str = "text",
+                      lang: str = "lang") -> DataFrame:
+    """The rows whose text is in one of the languages learned from them: not
+    those without letters, nor those whose best language scores below ``least``.
+    All columns are kept."""
+    model = train(docs, doc_id, text, lang)
+    found = packed_rows(docs, found=language_of(docs, model, text))
+    found = found.where((F.col("found.lang_pred") != UNDETERMINED) & (F.col("found.score") >= least))
+    return unpacked_rows(found, docs.columns)
 
 
 def _groups(raw: list[bytes], limit: int = 1 << 22) -> Iterator[tuple[int, int]]:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, word_count, written
+from .common import WORD, packed_rows, unpacked_rows, word_count, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -170,12 +170,11 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     c = block_choices(docs, doc_id=doc_id, text=text, name=name, **options).where("times > 0")
     c = c.withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     passes = c.groupBy("name", "pass").agg(
-        F.sort_array(F.collect_set(F.struct("first_word", "n_words"))).alias("_spans"), F.first("size").alias("_size"))
-    passes = passes.withColumn("_kept", F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["n_words"]))
-    passes = passes.select(F.col("name").alias("_name"), "_spans", "_size", "_kept")
-    d = docs.withColumn("_key", name).join(passes, F.col("_key") == F.col("_name"))
-    words = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    d = d.withColumn("_words", F.when(F.col("_kept") < F.col("_size"), words))
-    cut = F.array_join(F.transform("_spans", lambda s: F.array_join(
-        F.slice("_words", (s["first_word"] + 1).cast("int"), s["n_words"].cast("int")), "")), "")
-    return d.withColumn(text, F.when(F.col("_kept") < F.col("_size"), cut).otherwise(F.col(text))).select(*docs.columns)
+        F.sort_array(F.collect_set(F.struct("first_word", "n_words"))).alias("spans"), F.first("size").alias("size"))
+    passes = passes.withColumn("kept", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["n_words"]))
+    d = packed_rows(docs, name=name).join(passes.select("name", "spans", "size", "kept"), "name")
+    whole, part = F.col("row")[text], F.col("kept") < F.col("size")
+    d = d.withColumn("words", F.when(part, F.regexp_extract_all(whole, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))))
+    cut = F.array_join(F.transform("spans", lambda s: F.array_join(
+        F.slice("words", (s["first_word"] + 1).cast("int"), s["n_words"].cast("int")), "")), "")
+    return unpacked_rows(d, docs.columns, **{text: F.when(part, cut).otherwise(whole)})

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _U, SpanHasher, _mix
-from .common import written
+from .common import packed_rows, unpacked_rows, written
 
 LENGTH = 400
 GRAM = 24
@@ -392,10 +392,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     had more, are gone; others all stay."""
     texts, ranges = repeated_ranges(docs, doc_id, text, length)
     gone = texts.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select(
-        F.col("ha").alias("_ha"), F.col("hb").alias("_hb"), F.lit("").alias("_kept"))
-    cut = _cut(ranges, True).select(F.col("ha").alias("_ha"), F.col("hb").alias("_hb"), F.col("kept").alias("_kept"))
-    name = _named(F.col(text))
-    d = docs.withColumns({"_a": name["ha"], "_b": name["hb"]})
-    d = d.join(cut.unionByName(gone), (F.col("_a") == F.col("_ha")) & (F.col("_b") == F.col("_hb")), "left")
-    d = d.where(F.col("_kept").isNull() | (F.trim("_kept") != ""))
-    return d.withColumn(text, F.coalesce("_kept", F.col(text))).select(*docs.columns)
+        "ha", "hb", F.lit("").alias("kept"))
+    cut = _cut(ranges, True).select("ha", "hb", "kept")
+    d = packed_rows(docs, **_named(F.col(text))).join(cut.unionByName(gone), ["ha", "hb"], "left")
+    d = d.where(F.col("kept").isNull() | (F.trim("kept") != ""))
+    return unpacked_rows(d, docs.columns, **{text: F.coalesce("kept", F.col("row")[text])})

@@ -65,3 +65,17 @@ def test_windows_cover_the_text():
     raw = [b"", b"a" * 64, b"b" * 65, b"c"]
     w, text, real = langid.windows_of(raw)
     assert w.shape == (64, 4) and text.tolist() == [1, 2, 2, 3] and real.tolist() == [64, 64, 1, 1]
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    """20,000 rows of one id and text are one text of the sample; many texts of one id are ranked like others."""
+    seen = []
+    monkeypatch.setattr(langid.ByteCNN, "fit", lambda self, w, t: seen.append(w.shape[1]) or self)
+    monkeypatch.setattr(langid, "TEXTS_PER_LANGUAGE", 50)
+    one = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5)
+    same = spark.range(20000).select(F.lit(one).cast("long").alias("doc_id"), F.lit("some words " * 30).alias("text"),
+                                     F.lit("en").alias("lang"))
+    langid.train(same)
+    assert seen.pop() <= langid.WINDOWS_PER_TEXT
+    langid.train(same.withColumn("text", F.concat("text", F.col("doc_id").cast("string"), F.rand(3).cast("string"))))
+    assert seen.pop() <= 50 * 2 * langid.WINDOWS_PER_TEXT

@@ -90,12 +90,44 @@ def test_empty_documents(spark):
 
 
 def test_near_duplicates_goes_by_rows(spark):
-    import corpus_pipeline
     text = lambda n: " ".join(f"w{n}x{i}" for i in range(60))
     rows = [(1, text(1)), (1, text(2)), (1, text(1)), (None, text(3) + " a"), (None, text(3) + " b"), (5, text(4)),
             (None, text(4) + " c"), (12, text(5)), (7, text(5) + " d"), (-3, text(6)), (2, text(6) + " e"), (9, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    got = [tuple(r) for r in cp.near_duplicates(spark, docs, "").collect()]
     ids = sorted((r[0] is None, r[0] or 0) for r in got)
     assert ids == [(False, -3), (False, 1), (False, 1), (False, 5), (False, 7), (False, 9), (True, 0)]
     assert {r[1] for r in got if r[0] == 1} == {text(1), text(2)}
+
+
+def test_extra_and_clashing_columns(spark):
+    """Columns that the operators use themselves come through every stage untouched."""
+    names = ["_row", "_a", "_b", "_kept", "_text", "row", "name", "found", "ha", "hb", "kept", "size", "words", "extra.x"]
+    text = lambda n: " ".join(f"word{n}letter{i}" for i in range(40))
+    docs = spark.createDataFrame([(i, text(i % 6), "en", "s", 1) for i in range(12)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *[F.concat(F.lit(f"{n}-"), F.col("doc_id").cast("string")).alias(n) for n in names])
+    out = docs
+    for name, stage in cp.STAGES[:-1]:
+        out = kept(stage(spark, out, ""), "extra")
+        assert out.columns == docs.columns, name
+        rows_ = out.collect()
+        assert rows_ and all(r[n] == f"{n}-{r['doc_id']}" for r in rows_ for n in names), name
+    assert kept(cp.encode(spark, out, ""), "extra").count() == out.count()
+
+
+def test_a_stage_leaves_other_results_alone(spark):
+    from engram.llm import fingerprints
+    docs = table(spark, SF, "documents").limit(40)
+    other = fingerprints.edited_fingerprints(docs)
+    for _, stage in cp.STAGES[1:4]:
+        stage(spark, docs, SF).count()
+    assert other.count() == 40
+
+
+def test_large_ids_beside_nulls_stay_exact(spark):
+    docs = spark.createDataFrame([(2 ** 60 + 1, "the words of this text are english words", "en", "s", None),
+                                  (None, "some more words of an english text", "en", "s", 2 ** 60 + 3)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.language(spark, docs, "").collect()
+    assert sorted(got, key=str) == sorted(docs.collect(), key=str)
