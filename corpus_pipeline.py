@@ -2,7 +2,7 @@
 
 Each stage works on all rows that the one before kept; its result is written as
 Parquet to the shared folder and read again.  All but the last return the
-columns of their input, whatever else these are.  A stage deletes the scratch
+columns of their input, whatever else these are.  An operator deletes the scratch
 tables that it has written itself, and nothing else.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm import bpe, jaccard, langid, mixing, suffix
-from engram.llm.common import settled, table
+from engram.llm.common import table
 from engram.session import shared_path
 
 #: A text whose likeliest language has less than this is in no known language.  Texts of a word or two score
@@ -37,18 +37,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates (five words, 0.8)."""
-    return settled(spark, lambda: jaccard.one_per_component(docs), "near-duplicates")
+    return jaccard.one_per_component(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out what repeats for 400 bytes or more, in the same document or
     others; documents left without text go."""
-    return settled(spark, lambda: _counted(suffix.without_repeats(docs)), "repeated-passages")
+    return _counted(suffix.without_repeats(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents as often, and as far, as their source's share takes them."""
-    return settled(spark, lambda: _counted(mixing.mixed_documents(docs)), "mix")
+    return _counted(mixing.mixed_documents(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
