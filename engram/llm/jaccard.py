@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import _U, SpanHasher, _mix
-from .common import packed_rows, unpacked_rows, written
+from .common import packed_rows, settled, unpacked_rows, written
 from .graph import components
 
 WORDS, THRESHOLD = 5, (4, 5)
@@ -468,6 +468,7 @@ def one_per_component(docs: DataFrame, words: int = WORDS, threshold: tuple[int,
     place = F.lpad((F.col(doc_id).cast("decimal(20,0)") + F.lit(str(2 ** 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
     of_text = F.coalesce(F.concat(F.hex(F.xxhash64(text)), F.lit("."), F.hex(F.xxhash64(text, F.lit(1)))), F.lit("-"))
     named = packed_rows(docs, name=F.concat(F.coalesce(place, F.lit("~")), F.lit(":"), of_text), text=F.col(text))
-    found = similar_components(named, words, threshold, doc_id="name").where("doc_id = component_id")
-    found = found.select(F.col("doc_id").alias("name")).distinct()
+    # only the names that stay are kept as a table
+    found = settled(docs.sparkSession, lambda: similar_components(named, words, threshold, doc_id="name").where(
+        "doc_id = component_id").select(F.col("doc_id").alias("name")).distinct(), "kept-names")
     return unpacked_rows(named.join(found, "name", "left_semi").dropDuplicates(["name"]), docs.columns)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, packed_rows, unpacked_rows, word_count, written
+from .common import WORD, packed_rows, settled, unpacked_rows, word_count, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -167,12 +167,16 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first if they should not); a null id is an id like any other."""
     name = F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")),
                        F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    c = block_choices(docs, doc_id=doc_id, text=text, name=name, **options).where("times > 0")
-    c = c.withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    passes = c.groupBy("name", "pass").agg(
-        F.sort_array(F.collect_set(F.struct("first_word", "n_words"))).alias("spans"), F.first("size").alias("size"))
-    passes = passes.withColumn("kept", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["n_words"]))
-    d = packed_rows(docs, name=name).join(passes.select("name", "spans", "size", "kept"), "name")
+
+    def passes() -> DataFrame:
+        c = block_choices(docs, doc_id=doc_id, text=text, name=name, **options).where("times > 0")
+        c = c.withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+        c = c.groupBy("name", "pass").agg(
+            F.sort_array(F.collect_set(F.struct("first_word", "n_words"))).alias("spans"), F.first("size").alias("size"))
+        return c.withColumn("kept", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["n_words"])).select(
+            "name", "spans", "size", "kept")
+
+    d = packed_rows(docs, name=name).join(settled(docs.sparkSession, passes, "passes"), "name")
     whole, part = F.col("row")[text], F.col("kept") < F.col("size")
     d = d.withColumn("words", F.when(part, F.regexp_extract_all(whole, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))))
     cut = F.array_join(F.transform("spans", lambda s: F.array_join(

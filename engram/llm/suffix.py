@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _U, SpanHasher, _mix
-from .common import packed_rows, unpacked_rows, written
+from .common import packed_rows, settled, unpacked_rows, written
 
 LENGTH = 400
 GRAM = 24
@@ -390,10 +390,12 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """The documents with what is left of their texts (whole characters only),
     all columns kept.  Documents of which nothing but white space is left, and
     had more, are gone; others all stay."""
-    texts, ranges = repeated_ranges(docs, doc_id, text, length)
-    gone = texts.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select(
-        "ha", "hb", F.lit("").alias("kept"))
-    cut = _cut(ranges, True).select("ha", "hb", "kept")
-    d = packed_rows(docs, **_named(F.col(text))).join(cut.unionByName(gone), ["ha", "hb"], "left")
+    def cuts() -> DataFrame:
+        texts, ranges = repeated_ranges(docs, doc_id, text, length)
+        gone = texts.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("ha", "hb", F.lit("").alias("kept"))
+        return _cut(ranges, True).select("ha", "hb", "kept").unionByName(gone)
+
+    # only texts that change are kept as a table
+    d = packed_rows(docs, **_named(F.col(text))).join(settled(docs.sparkSession, cuts, "cuts"), ["ha", "hb"], "left")
     d = d.where(F.col("kept").isNull() | (F.trim("kept") != ""))
     return unpacked_rows(d, docs.columns, **{text: F.coalesce("kept", F.col("row")[text])})
