@@ -18,26 +18,31 @@ def _set_cols(df: DataFrame, updates: dict) -> DataFrame:
     return df.select(*[updates[c].alias(c) if c in updates else F.col(c) for c in df.columns])
 
 
-def update_memories(memories: DataFrame, changes: DataFrame, as_of: Column, dim: int = 64,
+def update_memories(memories: DataFrame, changes: DataFrame, as_of: Column, dim: int,
                     embedder=None) -> tuple[DataFrame, DataFrame]:
     """changes (request_id, memory_id, user_id, content?, importance?,
     entities?, metadata?): partial update of live rows owned by the
     requester; ``updated_at`` = as_of.  Returns (table after, report with
-    status ok / not_found / unauthorized / empty / blocked and re_embedded).
+    status ok / not_found / unauthorized / empty / blocked / dimension and
+    re_embedded).
 
     Of several changes to a row each field takes the last value that is not
     null, in the order of request_id.  New contents pass the secret gate first
     (a change that fails it is ``blocked`` as a whole), and rows whose content
-    changes are embedded anew (``embedder`` as in ``gating.embed``)."""
+    changes are embedded anew (``embedder`` as in ``gating.embed``) with ``dim``
+    components.  A new content for a row whose vector has another length is
+    refused (``dimension``): the row would drop out of every search."""
     from .gating import embed, gate_secrets
     owners = memories.where(F.col("deleted_at").isNull()).select(
-        "memory_id", F.col("user_id").alias("_owner"))
+        "memory_id", F.col("user_id").alias("_owner"), F.size("embedding").alias("_dim"))
     c = gate_secrets(changes, "content").drop("violation_count", "error_message").join(owners, "memory_id", "left")
     empty = (F.col("content").isNull() & F.col("importance").isNull() & F.col("entities").isNull()
              & F.col("metadata").isNull())
     status = (F.when(F.col("_owner").isNull(), "not_found")
               .when(F.col("_owner") != F.col("user_id"), "unauthorized")
-              .when(empty, "empty").when(~F.col("is_safe"), "blocked").otherwise("ok"))
+              .when(empty, "empty").when(~F.col("is_safe"), "blocked")
+              .when(F.col("content").isNotNull() & (F.col("_dim") > 0) & (F.col("_dim") != dim), "dimension")
+              .otherwise("ok"))
     rep = c.select("request_id", "memory_id", "user_id", status.alias("status"),
                    (F.col("content").isNotNull() & (status == "ok")).alias("re_embedded"))
     def last(f: str) -> Column:
@@ -103,20 +108,36 @@ def forget_users(tables: dict, users: DataFrame, confirm_col: str = "confirmatio
 
 def supersede(memories: DataFrame, pairs: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """pairs (old_id, new_id, user_id): when both are live rows of that user,
-    new.supersedes = old and old.deleted_at = as_of; otherwise an error row."""
+    new.supersedes = old and old.deleted_at = as_of; otherwise an error row.
+
+    A row names one predecessor, and a row has one successor.  Of several new rows
+    for one old row the one with the smallest id takes it (for the others it is
+    deleted already), and of several old rows for one new row the one with the
+    smallest id is taken; the others stay live and are reported, so no row is
+    deleted without one that names it."""
     lv = memories.where(F.col("deleted_at").isNull()).select("memory_id", "user_id")
     old_ok = lv.select(F.col("memory_id").alias("old_id"), "user_id", F.lit(True).alias("_old"))
     new_ok = lv.select(F.col("memory_id").alias("new_id"), "user_id", F.lit(True).alias("_new"))
-    p = pairs.join(old_ok, ["old_id", "user_id"], "left").join(new_ok, ["new_id", "user_id"], "left")
-    status = (F.when(F.col("_old").isNull(), F.concat(F.lit("Old memory "), F.col("old_id"),
-                                                      F.lit(" not found or already deleted")))
-              .when(F.col("_new").isNull(), F.concat(F.lit("New memory "), F.col("new_id"), F.lit(" not found"))))
-    rep = p.select("old_id", "new_id", "user_id", status.alias("error"))
-    good = p.where(status.isNull())
-    w1 = Window.partitionBy("new_id").orderBy("old_id")
-    sup = (good.withColumn("_r", F.row_number().over(w1)).where("_r = 1")
-           .select(F.col("new_id").alias("memory_id"), F.col("old_id").alias("_sup")))
-    dead = good.select(F.col("old_id").alias("memory_id"), F.lit(True).alias("_dead")).distinct()
+    p = pairs.select("old_id", "new_id", "user_id").join(old_ok, ["old_id", "user_id"], "left").join(
+        new_ok, ["new_id", "user_id"], "left")
+    shown = {c: F.coalesce(F.col(c), F.lit("(none)")) for c in ("old_id", "new_id")}
+    gone = F.concat(F.lit("Old memory "), shown["old_id"], F.lit(" not found or already deleted"))
+    p = p.withColumn("_error", F.when(F.col("_old").isNull(), gone)
+                     .when(F.col("_new").isNull(), F.concat(F.lit("New memory "), shown["new_id"], F.lit(" not found")))
+                     .when(F.col("old_id") == F.col("new_id"),
+                           F.concat(F.lit("Memory "), shown["old_id"], F.lit(" cannot supersede itself"))))
+    fine = F.col("_error").isNull()
+    p = p.withColumn("_turn", F.when(fine, F.row_number().over(Window.partitionBy("old_id", fine).orderBy("new_id"))))
+    taker = F.coalesce(F.col("_turn") == 1, F.lit(False))
+    first = Window.partitionBy("new_id", taker).orderBy("old_id")
+    p = p.withColumn("_place", F.when(taker, F.row_number().over(first))).withColumn(
+        "_first", F.when(taker, F.first("old_id").over(first)))
+    p = p.withColumn("_error", F.when(~fine, F.col("_error")).when(F.col("_turn") > 1, gone).when(
+        F.col("_place") > 1, F.concat(F.lit("New memory "), shown["new_id"], F.lit(" already supersedes "), "_first")))
+    rep = p.select("old_id", "new_id", "user_id", F.col("_error").alias("error"))
+    good = p.where(F.col("_error").isNull())
+    sup = good.select(F.col("new_id").alias("memory_id"), F.col("old_id").alias("_sup"))
+    dead = good.select(F.col("old_id").alias("memory_id"), F.lit(True).alias("_dead"))
     j = memories.join(sup, "memory_id", "left").join(dead, "memory_id", "left")
     out = _set_cols(j, {"supersedes": F.coalesce("_sup", "supersedes"),
                         "deleted_at": F.when(F.col("_dead"), as_of).otherwise(F.col("deleted_at")),
@@ -265,7 +286,7 @@ def checkpoint_candidates(items: DataFrame, classified_importance: str = "import
 
 
 def checkpoint(items: DataFrame, memories: DataFrame, sessions: DataFrame, as_of: Column,
-               t: float = 0.9, dim: int = 64, embedder=None, block_rows: int | None = None):
+               dim: int, t: float = 0.9, embedder=None, block_rows: int | None = None):
     """Promote worthy working items: classify, embed, match against the
     user's live memories (best > t strictly -> access bump, else a new row
     with source_type 'checkpoint'); promoted items leave working memory and
@@ -313,8 +334,8 @@ def checkpoint(items: DataFrame, memories: DataFrame, sessions: DataFrame, as_of
     return mem_out, items_out, ses_out, rep
 
 
-def extract_memories(turns: DataFrame, memories: DataFrame, as_of: Column, t: float = 0.9,
-                     dim: int = 64, embedder=None):
+def extract_memories(turns: DataFrame, memories: DataFrame, as_of: Column, dim: int, t: float = 0.9,
+                     embedder=None):
     """Turn log (conv / session, turn, role, text) -> classified candidate
     memories (user turns only), embedded and stored with ``dedup_upsert``."""
     from .gating import classify, embed, summarize_fallback

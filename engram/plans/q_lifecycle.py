@@ -49,7 +49,7 @@ SELECT request_id, memory_id, user_id, status, (content IS NOT NULL AND status =
 """)
 def q_update_report(spark, sf):
     m = td.memories(spark, sf)
-    _, rep = lc.update_memories(m, _changes(m), td.as_of())
+    _, rep = lc.update_memories(m, _changes(m), td.as_of(), 64)
     return rep
 
 
@@ -61,7 +61,7 @@ FROM memories m LEFT JOIN _st s USING (memory_id)
 """)
 def q_update(spark, sf):
     m = td.memories(spark, sf)
-    out, _ = lc.update_memories(m, _changes(m), td.as_of())
+    out, _ = lc.update_memories(m, _changes(m), td.as_of(), 64)
     return out.select("memory_id", "content", "importance", "updated_at")
 
 
@@ -145,11 +145,22 @@ def q_forget_remaining(spark, sf):
 
 SUP_SQL = f"""
 _pairs AS (SELECT target_id AS old_id, source_id AS new_id, user_id FROM edges WHERE relationship = 'updates'),
-_ps AS (
+_pe AS (
   SELECT p.*, CASE WHEN o.memory_id IS NULL THEN 'Old memory ' || p.old_id || ' not found or already deleted'
-                   WHEN n.memory_id IS NULL THEN 'New memory ' || p.new_id || ' not found' END AS error
+                   WHEN n.memory_id IS NULL THEN 'New memory ' || p.new_id || ' not found'
+                   WHEN p.old_id = p.new_id THEN 'Memory ' || p.old_id || ' cannot supersede itself' END AS e0
   FROM _pairs p LEFT JOIN live o ON o.memory_id = p.old_id AND o.user_id = p.user_id
   LEFT JOIN live n ON n.memory_id = p.new_id AND n.user_id = p.user_id
+),
+_po AS (SELECT *, CASE WHEN e0 IS NULL THEN row_number() OVER (PARTITION BY old_id, e0 IS NULL ORDER BY new_id) END AS turn
+        FROM _pe),
+_pn AS (SELECT *, CASE WHEN turn = 1 THEN row_number() OVER w END AS place, CASE WHEN turn = 1 THEN min(old_id) OVER w END AS first_old
+        FROM _po WINDOW w AS (PARTITION BY new_id, coalesce(turn = 1, false) ORDER BY old_id)),
+_ps AS (
+  SELECT old_id, new_id, user_id, CASE WHEN e0 IS NOT NULL THEN e0
+         WHEN turn > 1 THEN 'Old memory ' || old_id || ' not found or already deleted'
+         WHEN place > 1 THEN 'New memory ' || new_id || ' already supersedes ' || first_old END AS error
+  FROM _pn
 )
 """
 
@@ -224,7 +235,7 @@ def q_checkpoint_candidates(spark, sf):
 @register("checkpoint")
 def q_checkpoint(spark, sf):
     _, _, _, rep = lc.checkpoint(td.items(spark, sf), td.memories(spark, sf), td.sessions(spark, sf),
-                                 td.as_of(), t=0.9)
+                                 td.as_of(), 64, t=0.9)
     return rep
 
 
@@ -232,7 +243,7 @@ def q_checkpoint(spark, sf):
 def q_extract_memories(spark, sf):
     turns = td.read(spark, sf, "conversations").withColumn(
         "user_id", F.concat(F.lit("u"), ((F.col("conv_id") + 1) % td.N_USERS).cast("string")))
-    _, rep = lc.extract_memories(turns, td.memories(spark, sf), td.as_of(), t=0.9)
+    _, rep = lc.extract_memories(turns, td.memories(spark, sf), td.as_of(), 64, t=0.9)
     return rep
 
 

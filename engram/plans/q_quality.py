@@ -143,14 +143,13 @@ _g AS (
 contradictions AS (
   SELECT user_id, _qid AS memory_1, memory_id AS memory_2, round(similarity, 4) AS similarity,
          round(content_overlap, 4) AS content_overlap,
-         CASE WHEN similarity > 0.9 THEN 'MERGE: Very similar - consider merging into one comprehensive memory'
-              WHEN _qa = 0 AND _na > 2 THEN 'SUPERSEDE: Keep ' || (CASE WHEN _qa > _na THEN _qid ELSE memory_id END)
-                   || ' (more useful), mark ' || _qid || ' as superseded'
-              WHEN _na = 0 AND _qa > 2 THEN 'SUPERSEDE: Keep ' || (CASE WHEN _qa > _na THEN _qid ELSE memory_id END)
-                   || ' (more useful), mark ' || memory_id || ' as superseded'
-              WHEN _qt > _nt THEN 'REVIEW: ' || _qid || ' is newer - verify if it supersedes ' || memory_id
-              ELSE 'REVIEW: Manual review needed - both memories may be valid' END AS recommendation
-  FROM _g WHERE _first = 1
+         CASE _case WHEN 1 THEN 'merge' WHEN 2 THEN 'supersede' WHEN 3 THEN 'supersede' ELSE 'review' END AS action,
+         CASE _case WHEN 2 THEN memory_id WHEN 3 THEN _qid WHEN 4 THEN _qid END AS keep_id,
+         CASE _case WHEN 2 THEN _qid WHEN 3 THEN memory_id WHEN 4 THEN memory_id END AS other_id,
+         CASE _case WHEN 1 THEN 'same_content' WHEN 2 THEN 'never_read' WHEN 3 THEN 'never_read'
+                    WHEN 4 THEN 'newer' ELSE 'undecided' END AS reason
+  FROM (SELECT *, CASE WHEN similarity > 0.9 THEN 1 WHEN _qa = 0 AND _na > 2 THEN 2 WHEN _na = 0 AND _qa > 2 THEN 3
+                       WHEN _qt > _nt THEN 4 ELSE 5 END AS _case FROM _g WHERE _first = 1)
 )
 """
 
@@ -267,7 +266,7 @@ FROM _d WHERE deleted_at IS NULL GROUP BY user_id
 _attach()
 
 
-@register("recommend_action", _full_sql(5) + "SELECT memory_1, memory_2, recommendation FROM contradictions")
+@register("recommend_action", _full_sql(5) + "SELECT memory_1, memory_2, action, keep_id, other_id, reason FROM contradictions")
 def q_recommend_action(spark, sf):
     return qa.contradictions_full(td.memories(spark, sf), t=T_CONTRA, k=5).select(
-        "memory_1", "memory_2", "recommendation")
+        "memory_1", "memory_2", "action", "keep_id", "other_id", "reason")

@@ -52,18 +52,18 @@ def q_scan_secrets_pages(spark, sf):
 def _gate_sql(table: str, id_col: str, text: str) -> str:
     crit = "list_filter(v, lambda x: x.severity = 'critical')"
     high = "list_filter(v, lambda x: x.severity = 'high')"
+
+    def message(severity: str, found: str) -> str:
+        before, between, after = map(_q, g.GATE_MESSAGES[severity])
+        return (f"{before} || CAST(len({found}) AS VARCHAR) || {between} || "
+                f"array_to_string(list_transform({found}, lambda x: x.pattern_name), ', ') || {after}")
+
     return f"""
 _v AS (SELECT {id_col}, {_viol_sql(text)} AS v FROM {table}),
 _m AS (
   SELECT {id_col}, CAST(len(v) AS INTEGER) AS violation_count,
-         CASE WHEN len({crit}) > 0 THEN 'SECURITY BLOCK: Content contains ' || CAST(len({crit}) AS VARCHAR)
-                   || ' critical security violation(s). Detected: '
-                   || array_to_string(list_transform({crit}, lambda x: x.pattern_name), ', ')
-                   || '. Sensitive data like API keys, tokens, and private keys cannot be stored in memory.'
-              WHEN len({high}) > 0 THEN 'SECURITY WARNING: Content contains ' || CAST(len({high}) AS VARCHAR)
-                   || ' high-severity security issue(s). Detected: '
-                   || array_to_string(list_transform({high}, lambda x: x.pattern_name), ', ')
-                   || '. This content appears to contain credentials or secrets and has been blocked.'
+         CASE WHEN len({crit}) > 0 THEN {message('critical', crit)}
+              WHEN len({high}) > 0 THEN {message('high', high)}
          END AS error_message
   FROM _v
 )

@@ -128,22 +128,77 @@ def mirror_write_stream(stream: DataFrame, primary: str, secondary: str, checkpo
     return stream.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint)
 
 
-def row_hash(df: DataFrame, exclude: Sequence[str] = ()) -> Column:
-    cols = [c for c in df.columns if c not in exclude]
-    return F.xxhash64(*[F.col(c) for c in cols])
+def row_hash(columns: Sequence[Column], seed: int = 0) -> Column:
+    """64-bit hash of values in which a null is a value like any other."""
+    marked = [x for c in columns for x in (c.isNull(), c)]
+    return F.xxhash64(F.lit(seed), *marked)
 
 
-def parity_check(primary: DataFrame, secondary: DataFrame, key: Sequence[str] | str) -> DataFrame:
-    """Rows missing on either side or differing in any column:
-    (key..., status in {missing_in_secondary, missing_in_primary, different})."""
+def _comparable(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """Columns to hash: nested ones as JSON, so that nulls inside count too; one
+    that the table lacks as a mark, so that it differs from any value."""
+    from pyspark.sql import types as T
+    out = []
+    for c in columns:
+        if c not in df.columns:
+            out.append(F.lit("no such column"))
+        elif isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType)):
+            out.append(F.when(F.col(c).isNotNull(), F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"})))
+        else:
+            out.append(F.col(c))
+    return out
+
+
+#: Ranges of hashed keys whose digests are compared before any row is moved.
+PARITY_RANGES = 1 << 12
+
+
+def parity_check(primary: DataFrame, secondary: DataFrame, key: Sequence[str] | str,
+                 ranges: int = PARITY_RANGES) -> DataFrame:
+    """Keys missing on either side or whose rows differ in any column:
+    (key..., status in {missing_in_secondary, missing_in_primary, different}),
+    one row per key.
+
+    Null keys match null keys, and the rows of a repeated key are compared as a
+    multiset.  A column that only one side has makes all its rows differ.
+
+    Both sides are first summed up to order-free digests (row count and sums of
+    two hashes) of ``ranges`` ranges of hashed keys; only rows of ranges whose
+    digests differ are shuffled and compared."""
     key = [key] if isinstance(key, str) else list(key)
-    p = primary.select(*key, row_hash(primary, key).alias("_hp"))
-    s = secondary.select(*key, row_hash(secondary.select(*primary.columns), key).alias("_hs"))
-    j = p.join(s, key, "full_outer")
-    status = (F.when(F.col("_hs").isNull(), "missing_in_secondary")
-              .when(F.col("_hp").isNull(), "missing_in_primary")
-              .when(F.col("_hp") != F.col("_hs"), "different"))
-    return j.select(*key, status.alias("status")).where(F.col("status").isNotNull())
+    rest = sorted({*primary.columns, *secondary.columns} - set(key))
+    digest = [F.count(F.lit(1)).alias("n"), *[F.sum(F.col(h).cast("decimal(38,0)")).alias(h) for h in ("h1", "h2")]]
+
+    def side(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        values = [F.col(c) for c in key] + _comparable(df, rest)
+        rows = df.select(*key, F.pmod(row_hash([F.col(c) for c in key], 7), F.lit(ranges)).alias("range"),
+                         row_hash(values, 1).alias("h1"), row_hash(values, 2).alias("h2"))
+        return rows, rows.groupBy("range").agg(*digest)
+
+    def named(df: DataFrame, mark: str, by: list[str]) -> DataFrame:
+        return df.select(*[F.col(c).alias(f"{mark}{i}") for i, c in enumerate(by)],
+                         *[F.col(c).alias(f"{mark}{c}") for c in ("n", "h1", "h2")])
+
+    def unlike() -> Column:
+        same = F.lit(True)
+        for c in ("n", "h1", "h2"):
+            same = same & F.col(f"p_{c}").eqNullSafe(F.col(f"s_{c}"))
+        return ~same
+
+    (p, p_sum), (s, s_sum) = side(primary), side(secondary)
+    differ = named(p_sum, "p_", ["range"]).join(named(s_sum, "s_", ["range"]), F.col("p_0") == F.col("s_0"), "full_outer")
+    differ = differ.where(unlike()).select(F.coalesce("p_0", "s_0").alias("range"))
+    # at most ``ranges`` numbers
+    p, s = (named(x.join(F.broadcast(differ), "range", "left_semi").groupBy(*key).agg(*digest), mark, key)
+            for x, mark in ((p, "p_"), (s, "s_")))
+    on = F.lit(True)
+    for i in range(len(key)):
+        on = on & F.col(f"p_{i}").eqNullSafe(F.col(f"s_{i}"))
+    status = F.when(F.col("s_n").isNull(), "missing_in_secondary").when(F.col("p_n").isNull(), "missing_in_primary") \
+              .otherwise("different")
+    return p.join(s, on, "full_outer").where(unlike()).select(
+        *[F.when(F.col("p_n").isNotNull(), F.col(f"p_{i}")).otherwise(F.col(f"s_{i}")).alias(c) for i, c in enumerate(key)],
+        status.alias("status"))
 
 
 def incremental_backup(memories: DataFrame, backup: DataFrame) -> tuple[DataFrame, DataFrame]:

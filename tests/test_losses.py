@@ -53,7 +53,7 @@ def test_two_changes_to_one_row_both_apply(spark, memories):
           ("5", c, uc, secret + " AKIA" + "IOSFODNN7EXAMPLE", None), ("6", "none", ua, "x", None), ("7", b, ub, None, None)]
     df = spark.createDataFrame(ch, "request_id string, memory_id string, user_id string, content string, importance double") \
               .withColumn("entities", F.lit(None).cast("array<string>")).withColumn("metadata", F.lit(None).cast("string"))
-    out, rep = lc.update_memories(m, df, td.as_of())
+    out, rep = lc.update_memories(m, df, td.as_of(), 64)
     status = {r["request_id"]: r["status"] for r in rep.collect()}
     assert status == {"1": "ok", "2": "ok", "3": "ok", "4": "ok", "5": "blocked", "6": "not_found", "7": "empty"}
     before, after = ({r["memory_id"]: r for r in x.collect()} for x in (m, out))
@@ -160,3 +160,62 @@ def test_seed_query_and_copies_use_whole_rows(spark, monkeypatch):
     monkeypatch.setattr(q_io.td, "requests", lambda *a: requests.withColumn("query", F.concat(
         F.lit("y" * 80), F.col("request_id"))))
     assert q_io.q_seed_if_absent(spark, SF).count() == requests.count()
+
+
+def test_superseded_rows_are_all_named_or_reported(spark, memories):
+    m = memories.where("deleted_at IS NULL").select("*").orderBy("memory_id").limit(5)
+    ids = sorted(r["memory_id"] for r in m.collect())
+    user = "u-one"
+    m = m.withColumn("user_id", F.lit(user)).withColumn("supersedes", F.lit(None).cast("string"))
+    a, b, c, d, e = ids
+    pairs = spark.createDataFrame([(a, c, user), (b, c, user), (d, e, user), (d, a, user), (e, e, user), (None, c, user),
+                                   ("x", c, user), (b, "y", user)], "old_id string, new_id string, user_id string")
+    out, rep = lc.supersede(m, pairs, td.as_of())
+    after = {r["memory_id"]: r for r in out.collect()}
+    errors = {(r["old_id"], r["new_id"]): r["error"] for r in rep.collect()}
+    dead = {i for i, r in after.items() if r["deleted_at"] is not None}
+    named = {r["supersedes"] for r in after.values()} - {None}
+    assert dead == named == {a, d} and after[c]["supersedes"] == a and after[a]["supersedes"] == d
+    assert errors[a, c] is None and errors[d, a] is None and errors[b, c] == f"New memory {c} already supersedes {a}"
+    assert all(errors[k] for k in ((d, e), (e, e), (None, c), ("x", c), (b, "y"))) and len(errors) == 8
+
+
+def test_a_vector_of_another_length_is_refused(spark, memories):
+    m = memories.where("deleted_at IS NULL AND embedding IS NOT NULL").orderBy("memory_id").limit(2).withColumn(
+        "embedding", F.array_repeat(F.lit(0.5).cast("float"), 128))
+    changes = m.select(F.concat(F.lit("c"), "memory_id").alias("request_id"), "memory_id", "user_id",
+                       F.lit("another text").alias("content"), F.lit(None).cast("double").alias("importance"),
+                       F.lit(None).cast("array<string>").alias("entities"), F.lit(None).cast("string").alias("metadata"))
+    out, rep = lc.update_memories(m, changes, td.as_of(), 64)
+    assert {r["status"] for r in rep.collect()} == {"dimension"}
+    assert sorted(map(str, out.collect())) == sorted(map(str, m.collect()))
+    out, rep = lc.update_memories(m, changes, td.as_of(), 128)
+    assert {r["status"] for r in rep.collect()} == {"ok"} and {len(r["embedding"]) for r in out.collect()} == {128}
+
+
+def test_parity_sees_nulls_repeats_and_columns(spark):
+    def differ(left, right, schema="k string, a string, b string", ranges=4):
+        p, s = (spark.createDataFrame(x, schema) for x in (left, right))
+        return sorted((r["k"], r["status"]) for r in io.parity_check(p, s, "k", ranges).collect())
+
+    assert differ([("1", "x", None)], [("1", None, "x")]) == [("1", "different")]
+    same = [("1", "x", "y"), ("1", "x", "y"), ("1", "z", None), (None, "n", None)]
+    assert differ(same, same[::-1]) == []
+    assert differ(same, same[1:]) == [("1", "different")]
+    assert sorted(map(str, differ(same, same[:3]))) == ["(None, 'missing_in_secondary')"]
+    assert differ([("1", "x", "y")], [("1", "x", "y"), ("2", None, None)]) == [("2", "missing_in_primary")]
+    p = spark.createDataFrame([("1", [1, None])], "k string, a array<int>")
+    s = spark.createDataFrame([("1", [None, 1])], "k string, a array<int>")
+    assert io.parity_check(p, s, "k").collect()[0]["status"] == "different"
+    assert io.parity_check(p, p, "k").collect() == []
+    assert [r["status"] for r in io.parity_check(p, p.withColumn("more", F.lit(1)), "k").collect()] == ["different"]
+    assert io.parity_check(p.limit(0), s.limit(0), "k").collect() == []
+
+
+def test_only_differing_ranges_are_moved(spark):
+    """One changed row of 20,000: the rows that are grouped by key are those of its range."""
+    p = spark.range(20000).select(F.col("id").cast("string").alias("k"), (F.col("id") * 7).alias("v"))
+    s = p.withColumn("v", F.when(F.col("k") == "123", F.lit(0)).otherwise(F.col("v")))
+    assert [tuple(r) for r in io.parity_check(p, s, "k").collect()] == [("123", "different")]
+    plan = io.parity_check(p, s, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and "CartesianProduct" not in plan
