@@ -58,7 +58,8 @@ BLOCK = 4096
 SETS, PARITY, WIDE = 128, 256, 1024   # bits
 #: Bits of the filter for the documents whose whole sets are wanted (4 MB).
 FILTER = 1 << 25
-CHUNK = 1 << 21
+#: Bytes of text whose words are hashed together.
+CHUNK = 1 << 18
 
 
 # ------------------------------------------------------------------- tokens

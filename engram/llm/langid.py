@@ -228,7 +228,7 @@ def in_known_language(docs: DataFrame, least: float, doc_id: str = "doc_id", tex
     return unpacked_rows(found, docs.columns)
 
 
-def _groups(raw: list[bytes], limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def _groups(raw: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``limit`` bytes together."""
     first, size = 0, 0
     for i, b in enumerate(raw):
