@@ -377,7 +377,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
     rows of their own; a null doc_id stays null; other columns are ignored; an
     empty table gives an empty result."""
     rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    aligned = written(_aligned(rows, path_a, path_b, batch), "aligned")
+    aligned = written(_aligned(rows, path_a, path_b, batch), "aligned", texts=True)
     n_b = len(Pieces(path_b).bytes)
     each = aligned.select(F.explode(F.arrays_zip("pairs", "docs")).alias("p")).select("p.pairs", "p.docs")
     counts = written(each.groupBy(F.col("pairs").alias("pair")).agg(F.sum("docs").alias("n")), "pair-counts")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,12 +50,32 @@ def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> D
     return out
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Rows of whole texts that go to Python together.
+TEXT_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """For an action that hands whole texts to Python: some TEXT_ROWS at a time,
+    as batches of Spark's default size are held several times over."""
+    before = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, str(min(int(before), TEXT_ROWS) if int(before) > 0 else TEXT_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS, before)
+
+
+def written(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
     """``df`` written as a table in the shared checkpoint folder and read back:
-    the lineage ends there, and lost executors cost no recomputation."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    the lineage ends there, and lost executors cost no recomputation.  ``texts``:
+    see :func:`text_batches`."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    with text_batches(spark) if texts else nullcontext():
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def word_count(text: Column) -> Column:

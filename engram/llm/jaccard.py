@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import _U, SpanHasher, _mix
-from .common import packed_rows, settled, unpacked_rows, written
+from .common import packed_rows, settled, text_batches, unpacked_rows, written
 from .graph import components
 
 WORDS, THRESHOLD = 5, (4, 5)
@@ -279,7 +279,9 @@ def _frequent(docs: DataFrame, words: int) -> Orders:
             yield report()
 
     top = docs.select("text").mapInPandas(run, "token long, n long").groupBy("token").agg(
-        F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
+        F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT)
+    with text_batches(docs.sparkSession):
+        top = top.toPandas()
     token = top["token"].to_numpy(dtype=np.int64).view(_U)
     rank = np.arange(len(token), 0, -1, dtype=np.int64).astype(_U)       # the most frequent comes last of all
     order = np.argsort(token)
@@ -417,7 +419,7 @@ def similar_components(docs: DataFrame, words: int = WORDS, threshold: tuple[int
     # ids with a mark before them, so that a null one is a value too
     key = F.coalesce(F.concat(F.lit("i"), F.col(doc_id).cast("string")), F.lit("n"))
     base = docs.select(key.alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    described = written(_described(base, words, threshold, _frequent(base, words)), "described")
+    described = written(_described(base, words, threshold, _frequent(base, words)), "described", texts=True)
     kind = docs.schema[doc_id].dataType
     own_id = F.when(F.col("k") != "n", F.expr("substring(k, 2)")).cast(kind)
     classes = described.where("n > 0").groupBy("s1", "s2", "n").agg(
@@ -431,7 +433,7 @@ def similar_components(docs: DataFrame, words: int = WORDS, threshold: tuple[int
         pairs = written(_close(pairs, classes, threshold), "pairs")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(
             classes.select("cid", "k", "s1", "s2"), "cid")
-        sets = written(_sets(base, words, wanted), "sets")
+        sets = written(_sets(base, words, wanted), "sets", texts=True)
         return written(_verified(pairs, sets, threshold), "links")
 
     links = linked(_pairs(lists, threshold, labelled=False))

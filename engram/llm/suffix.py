@@ -214,7 +214,7 @@ def _candidates(docs: DataFrame, length: int) -> DataFrame:
                     yield pd.DataFrame({"half": a[side][on], "ha": ha[text], "hb": hb[text], "place": place[on]})
 
     found = written(docs.select("ha", "hb", "text").where(F.octet_length("text") >= length).mapInPandas(
-        run, "half long, ha long, hb long, place long"), "halves")
+        run, "half long, ha long, hb long, place long"), "halves", texts=True)
     here = F.xxhash64("ha", "hb", "place")
     shared = found.groupBy("half").agg(F.min(here).alias("a"), F.max(here).alias("b")).where("a <> b").select("half")
     return found.join(shared, "half", "left_semi").groupBy("ha", "hb").agg(F.collect_set("place").alias("places"))
@@ -315,7 +315,7 @@ def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     hits = _candidates(base, length).join(texts.select("ha", "hb", "k", "copies"), ["ha", "hb"])
     held = written(base.join(hits, ["ha", "hb", "k"]), "held")
 
-    around = written(_surroundings(held.select("ha", "hb", "text", "places"), length), "surroundings")
+    around = written(_surroundings(held.select("ha", "hb", "text", "places"), length), "surroundings", texts=True)
     here = F.xxhash64("ha", "hb", "pos")
     # a text with copies repeats as a whole
     whole = texts.where("copies > 1").select("ha", "hb", F.lit(True).alias("copied"))
