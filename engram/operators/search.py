@@ -174,13 +174,14 @@ def knn_post_filter(queries: DataFrame, memories: DataFrame, k: int, *,
     """Index semantics: global top-k over *all* rows first (any tenant, deleted
     included), then keep the caller's own live rows -> may return fewer than k.
 
-    The global search has no tenant key; rows are blocked on a constant key so
-    the matrix work is spread over bounded tasks."""
-    q = queries.select(qid, F.col("user_id").alias("_req_user"), F.lit(0).alias("_all"), qvec)
-    m = memories.select(mid, "user_id", "deleted_at", "importance", F.lit(0).alias("_all"), mvec)
-    top = knn_exact(q, m, k, keys=["_all"], qid=qid, mid=mid, qvec=qvec, mvec=mvec,
-                    carry=["user_id", "deleted_at"], qcarry=["_req_user"], live_only=False,
-                    block_rows=block_rows, rank="global_rank")
+    The global search is ``cells.knn_cells``: exact, by cells of near rows, so that
+    cells too far to reach a query's k-th score are not scored for it."""
+    from .cells import knn_cells
+    q = queries.select(qid, F.col("user_id").alias("_req_user"), qvec)
+    m = memories.select(mid, "user_id", "deleted_at", "importance", mvec)
+    top = knn_cells(q, m, k, qid=qid, mid=mid, qvec=qvec, mvec=mvec, carry=["user_id", "deleted_at"],
+                    qcarry=["_req_user"], live_only=False, block_rows=block_rows or BLOCK_ROWS,
+                    rank="global_rank")
     kept = top.where((F.col("user_id") == F.col("_req_user")) & F.col("deleted_at").isNull())
     w2 = Window.partitionBy(qid).orderBy("global_rank")
     return kept.select(qid, "user_id", mid, "score", "global_rank",
