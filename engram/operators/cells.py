@@ -3,9 +3,10 @@
 Rows are placed in cells around centres fitted on a bounded sample, and within a
 cell in rings by their angle to the centre.  By the triangle inequality of angles
 a query at angle a to a centre can reach no row of a ring of angles lo to hi
-better than the cosine of ``max(0, lo - a, a - hi)``.  A first pass scores each
-query against its nearest rings that hold ``k`` rows and gives it a k-th score; a
-second pass meets only the rings that can still reach that score.  The centres
+better than the cosine of ``max(0, lo - a, a - hi)``.  Neighbouring rings form packs
+of about a block of rows.  A first pass scores each query against the packs of its
+nearest rings that hold ``k`` rows and gives it a k-th score; a second pass meets only
+the packs that can still reach that score.  The centres
 decide what is skipped, never what is found: the answer is that of a search over
 all rows, whatever the sample was.
 """
@@ -35,7 +36,7 @@ CHUNK = 1024
 SLACK = 1e-6
 #: Ring of the rows whose cosine is undefined (zero or non-finite length).
 NO_ANGLE = -1
-RING = "_ring"
+RING, PACK = "_ring", "_pack"
 
 
 def _units(vecs: Sequence) -> np.ndarray:
@@ -102,27 +103,54 @@ def _placed(centres: dict[int, np.ndarray]):
     return place
 
 
-def _rings_to_visit(centres: dict[int, np.ndarray], rings: dict[int, pd.DataFrame], k: int, second: bool):
-    """Per query (vector, k-th score so far) the rings of one pass: in the first the
-    nearest that hold ``k`` rows, in the second all others whose bound reaches the score."""
+def _tour(centres: np.ndarray) -> np.ndarray:
+    """Place of every centre on a walk that goes on to the nearest centre left."""
+    cos = centres @ centres.T
+    place, at = np.empty(len(centres), dtype=np.int64), 0
+    for i in range(len(centres)):
+        place[at] = i
+        cos[:, at] = -np.inf
+        at = int(cos[at].argmax())
+    return place
+
+
+def _packs(centres: dict[int, np.ndarray], table: pd.DataFrame, pack_rows: int) -> dict[int, pd.DataFrame]:
+    """Per vector length its rings (ring, lo, hi, n) in the order of a walk along the
+    centres, cut into packs of about ``pack_rows`` rows.  Queries travel to packs, so
+    a query is sent no more often than a search in blocks would send it."""
+    out = {}
+    for dim, t in table.groupby(DIM):
+        t = t.assign(walk=np.where(t["ring"] == NO_ANGLE, len(centres[dim]), _tour(centres[dim])[t["ring"] // RINGS]))
+        t = t.sort_values(["walk", "ring"]).reset_index(drop=True)
+        pack = (t["n"].cumsum() - t["n"]) // pack_rows
+        out[int(dim)] = t.assign(pack=np.where(t["ring"] == NO_ANGLE, pack + 1, pack))
+    return out
+
+
+def _packs_to_visit(centres: dict[int, np.ndarray], rings: dict[int, pd.DataFrame], k: int, second: bool):
+    """Per query (vector, k-th score so far) the packs of one pass: in the first those
+    of the nearest rings that hold ``k`` rows, in the second all others with a ring
+    whose bound reaches the score."""
     def visit(units: np.ndarray, kth: np.ndarray, dim: int) -> list[np.ndarray]:
         table = rings[dim]
         ids, lo, hi = table["ring"].to_numpy(), table["lo"].to_numpy(), table["hi"].to_numpy()
-        held = table["n"].to_numpy()
+        held, pack = table["n"].to_numpy(), table["pack"].to_numpy()
+        starts = np.r_[0, np.flatnonzero(np.diff(pack)) + 1]
         aimed = ids != NO_ANGLE
         ok = np.isfinite(units).all(axis=1)
         a = np.arccos(np.clip(np.where(ok[:, None], units, 0.0) @ centres[dim].T, -1, 1))[:, ids // RINGS]
-        bound = np.cos(np.maximum(0, np.maximum(lo - a, a - hi)))
         # a row without an angle comes after all others, whatever they reach
-        bound = np.where(aimed, bound, -1.0)
+        bound = np.where(aimed, np.cos(np.maximum(0, np.maximum(lo - a, a - hi))), -1.0)
         nearest = np.where(aimed, np.maximum(a, (lo + hi) / 2), np.inf).argsort(axis=1, kind="stable")
         before = np.cumsum(held[nearest], axis=1) - held[nearest]
         first = np.zeros(bound.shape, dtype=bool)
         np.put_along_axis(first, nearest, before < k, axis=1)
+        first = np.logical_or.reduceat(first, starts, axis=1)
         if not second:
-            return [ids[f] for f in first]
+            return [pack[starts[f]] for f in first]
         reach = ~(bound < (kth - SLACK)[:, None]) | ~ok[:, None]
-        return [ids[r] for r in reach & ~first]
+        reach = np.logical_or.reduceat(reach, starts, axis=1)
+        return [pack[starts[r]] for r in reach & ~first]
 
     @F.pandas_udf("array<int>")
     def chosen(vecs: pd.Series, kth: pd.Series) -> pd.Series:
@@ -161,13 +189,15 @@ def knn_cells(queries: DataFrame, memories: DataFrame, k: int, *, qid: str = "re
     # one row a ring: at most MOST_CELLS x RINGS of a length
     table = m.groupBy(DIM, F.col(RING).alias("ring")).agg(
         F.min("_angle").alias("lo"), F.max("_angle").alias("hi"), F.count(F.lit(1)).alias("n")).toPandas()
-    rings = {int(dim): t.sort_values("ring").reset_index(drop=True) for dim, t in table.groupby(DIM)}
-    m = m.drop("_angle")
+    rings = _packs(centres, table, block_rows)
+    pack_of = spark.createDataFrame([(dim, int(r), int(p)) for dim, t in rings.items() for r, p in zip(
+        t["ring"], t["pack"], strict=True)], f"{DIM} int, {RING} int, {PACK} int")
+    m = m.drop("_angle").join(pack_of, [DIM, RING]).drop(RING)
 
     def scored(asked: DataFrame, second: bool) -> DataFrame:
-        visit = _rings_to_visit(centres, rings, k, second)
-        asked = asked.withColumn(RING, F.explode(visit(F.col(Q_VEC), F.col("_kth")))).drop("_kth")
-        return _block_scores(asked, m, k, [RING], qid, mid, tiebreak, score, block_rows).drop(RING)
+        visit = _packs_to_visit(centres, rings, k, second)
+        asked = asked.withColumn(PACK, F.explode(visit(F.col(Q_VEC), F.col("_kth")))).drop("_kth")
+        return _block_scores(asked, m, k, [PACK], qid, mid, tiebreak, score, block_rows).drop(PACK)
 
     best = F.row_number().over(Window.partitionBy(qid).orderBy(*_order(score, tiebreak, mid)))
     first = scored(q.withColumn("_kth", F.lit(None).cast("double")), False)

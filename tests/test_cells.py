@@ -40,8 +40,8 @@ def pairs(monkeypatch):
     real = C._block_scores
 
     def counted(q, m, *args):
-        n = m.groupBy(C.DIM, C.RING).count()
-        met.append(q.join(n, [C.DIM, C.RING]).agg(F.sum("count")).first()[0] or 0)
+        n = m.groupBy(C.DIM, C.PACK).count()
+        met.append(q.join(n, [C.DIM, C.PACK]).agg(F.sum("count")).first()[0] or 0)
         return real(q, m, *args)
 
     monkeypatch.setattr(C, "_block_scores", counted)
@@ -50,7 +50,7 @@ def pairs(monkeypatch):
 
 def test_clustered_vectors_meet_few_rows(spark, pairs):
     q, m = _clustered(spark)
-    assert _rows(C.knn_cells(q, m, 10)) == _exact(q, m, 10)
+    assert _rows(C.knn_cells(q, m, 10, block_rows=100)) == _exact(q, m, 10)
     assert sum(pairs) < 0.2 * 50 * 2000
 
 
@@ -58,7 +58,7 @@ def test_unstructured_vectors_are_exact(spark):
     rng = np.random.default_rng(5)
     m = spark.createDataFrame([(f"m{i:04d}", rng.normal(size=16).tolist(), 0.5, None) for i in range(700)], M)
     q = spark.createDataFrame([(f"q{i}", rng.normal(size=16).tolist()) for i in range(30)], Q)
-    assert _rows(C.knn_cells(q, m, 7)) == _exact(q, m, 7)
+    assert _rows(C.knn_cells(q, m, 7, block_rows=50)) == _exact(q, m, 7)
 
 
 def test_one_large_group_of_near_copies(spark):
@@ -80,7 +80,7 @@ def test_odd_vectors(spark):
     q = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 1.0]), ("zero", [0.0, 0.0]), ("none", None),
                                ("wide", [1.0, 1.0, 1.0]), ("lone", [1.0] * 5)], Q)
     for k in (1, 2, 3, 4, 10):
-        assert _rows(C.knn_cells(q, m, k)) == _exact(q, m, k)
+        assert _rows(C.knn_cells(q, m, k, block_rows=2)) == _exact(q, m, k)
 
 
 def test_empty_tables(spark):
@@ -92,4 +92,4 @@ def test_empty_tables(spark):
 def test_the_sample_does_not_change_the_answer(spark):
     q, m = _clustered(spark, 400, 8, 20)
     want = _exact(q, m, 5)
-    assert all(_rows(C.knn_cells(q, m, 5, cells=n, seed=s)) == want for n, s in ((1, 1), (3, 2), (300, 3)))
+    assert all(_rows(C.knn_cells(q, m, 5, cells=n, seed=s, block_rows=30)) == want for n, s in ((1, 1), (3, 2), (300, 3)))
