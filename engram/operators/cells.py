@@ -64,6 +64,16 @@ def _fit(units: np.ndarray, cells: int, seed: int, rounds: int = 8) -> np.ndarra
     return centres
 
 
+def sample_units(rows: DataFrame, vec: str, mid: str, dim: int, n: int, most: int) -> np.ndarray:
+    """Unit vectors of at most ``most`` of the ``n`` rows of length ``dim``, chosen by
+    a hash of the row's id."""
+    share = F.lit(min(1.0, 1.1 * most / n) * 2 ** 30)
+    got = rows.where((F.col(DIM) == dim) & (F.pmod(F.xxhash64(mid), F.lit(2 ** 30)) < share)).select(vec)
+    got = got.limit(most).toPandas()[vec]
+    units = _units(got) if len(got) else np.empty((0, dim))
+    return units[np.isfinite(units).all(axis=1)]
+
+
 def fit_centres(rows: DataFrame, vec: str, mid: str, seed: int = 7,
                 cells: int | None = None) -> dict[int, np.ndarray]:
     """Per vector length (column DIM): centres of a sample of SAMPLE_PER_CELL rows
@@ -71,12 +81,7 @@ def fit_centres(rows: DataFrame, vec: str, mid: str, seed: int = 7,
     out = {}
     for r in rows.groupBy(DIM).agg(F.count(F.lit(1)).alias("n")).collect():
         want = cells or max(1, min(MOST_CELLS, round(r["n"] ** 0.5)))
-        most = want * SAMPLE_PER_CELL
-        share = F.lit(min(1.0, 1.1 * most / r["n"]) * 2 ** 30)
-        got = rows.where((F.col(DIM) == r[DIM]) & (F.pmod(F.xxhash64(mid), F.lit(2 ** 30)) < share)).select(vec)
-        got = got.limit(most).toPandas()[vec]
-        units = _units(got) if len(got) else np.empty((0, r[DIM]))
-        units = units[np.isfinite(units).all(axis=1)]
+        units = sample_units(rows, vec, mid, r[DIM], r["n"], want * SAMPLE_PER_CELL)
         out[r[DIM]] = _fit(units, want, seed) if len(units) else np.eye(1, r[DIM])
     return out
 
@@ -196,8 +201,9 @@ def knn_cells(queries: DataFrame, memories: DataFrame, k: int, *, qid: str = "re
 
     def scored(asked: DataFrame, second: bool) -> DataFrame:
         visit = _packs_to_visit(centres, rings, k, second)
-        asked = asked.withColumn(PACK, F.explode(visit(F.col(Q_VEC), F.col("_kth")))).drop("_kth")
-        return _block_scores(asked, m, k, [PACK], qid, mid, tiebreak, score, block_rows).drop(PACK)
+        asked = asked.withColumn(PACK, F.explode(visit(F.col(Q_VEC), F.col("_kth"))))
+        got = _block_scores(asked, m, k, [PACK], qid, mid, tiebreak, score, block_rows)
+        return got.where(F.col("_kth").isNull() | (F.col(score) >= F.col("_kth"))).drop(PACK, "_kth")
 
     best = F.row_number().over(Window.partitionBy(qid).orderBy(*_order(score, tiebreak, mid)))
     first = scored(q.withColumn("_kth", F.lit(None).cast("double")), False)

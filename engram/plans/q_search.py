@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from ..operators import filters as flt
+from ..operators import ivf as IVF
 from ..operators import recall as rc
 from ..operators import search as S
+from ..session import shared_path
 from ..sources import testdata as td
 from .oracle import AS_OF_SQL, cosine
 from .registry import register
@@ -113,6 +117,16 @@ def q_ann_lsh(spark, sf):
     return out.select("request_id", "user_id", "memory_id", _r(F.col("score")).alias("score"), "rank")
 
 
+@register("ann_index", KNN_SQL + KNN_OUT)
+def q_ann_index(spark, sf):
+    """The index written to the shared folder, then searched.  At its margin the result
+    is expected to be that of the exact search, which the twin computes."""
+    path = shared_path(spark, f"ivf-{uuid.uuid4().hex}")
+    IVF.build_index(td.memories(spark, sf), path)
+    out = IVF.search_index(td.requests(spark, sf), path, 10)
+    return out.select("request_id", "user_id", "memory_id", _r(F.col("score")).alias("score"), "rank")
+
+
 @register("min_similarity_filter", KNN_SQL + """
 SELECT request_id, memory_id, round(score, 6) AS score FROM _kr WHERE rank <= 10 AND score >= 0.25
 """)
