@@ -9,6 +9,8 @@ back afterwards.
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -196,29 +198,53 @@ REPLAY_OUT = T.StructType([
 ])
 
 
-def fold_adds(live: dict, total: int, max_tokens: int, rows) -> tuple[dict, int, list]:
+def _heap(live: dict) -> list:
+    heap = [(v[2], v[1], v[0]) for v in live.values() if not v[3]]
+    heapq.heapify(heap)
+    return heap
+
+
+def _next_out(live: dict, heap: list):
+    """The live unpinned item that goes first, taken off the heap; entries of items
+    that left or changed are passed over."""
+    while heap:
+        entry = heapq.heappop(heap)
+        v = live.get(entry[2])
+        if v is not None and not v[3] and (v[2], v[1], v[0]) == entry:
+            return v
+    return None
+
+
+def fold_adds(live: dict, total: int, max_tokens: int, rows, heap: list | None = None) -> tuple[dict, int, list]:
     """Apply adds (iterable of objects with item_id, sequence_num,
     relevance_score, pinned, token_count) in the given order.  Each add first
     evicts unpinned items (relevance asc, sequence asc) until the shortfall
     is covered, then is added even if the total still exceeds the maximum.
     ``live`` maps item_id -> (item_id, seq, relevance, pinned, tokens).
     Returns (live, total, events) with events
-    (item_id, status, evicted_by, sequence_num, token_count)."""
+    (item_id, status, evicted_by, sequence_num, token_count).
+
+    ``heap`` orders the unpinned items by (relevance, sequence, item) and may hold
+    entries that are out of date; a caller that folds one session in several calls
+    hands the same list to each, so that an add costs log n.  None builds it."""
     events = []
+    if heap is None:
+        heap = _heap(live)
     for r in rows:
         tok = 0 if r.token_count is None or r.token_count != r.token_count else int(r.token_count)
         if total + tok > max_tokens:
             needed = tok - (max_tokens - total)
-            order = sorted((v for v in live.values() if not v[3]), key=lambda v: (v[2], v[1], v[0]))
             freed = 0
-            for v in order:
-                if freed >= needed:
-                    break
+            while freed < needed and (v := _next_out(live, heap)) is not None:
                 del live[v[0]]
                 events.append((v[0], "evicted", r.item_id, v[1], v[4]))
                 freed += v[4]
                 total -= v[4]
-        live[r.item_id] = (r.item_id, int(r.sequence_num), float(r.relevance_score), bool(r.pinned), tok)
+        v = live[r.item_id] = (r.item_id, int(r.sequence_num), float(r.relevance_score), bool(r.pinned), tok)
+        if not v[3]:
+            heapq.heappush(heap, (v[2], v[1], v[0]))
+        if len(heap) > 2 * len(live) + 64:
+            heap[:] = _heap(live)
         events.append((r.item_id, "kept", None, int(r.sequence_num), tok))
         total += tok
     return live, total, events
@@ -229,7 +255,7 @@ def _replay_partitions(batches):
     Arrow batches.  Only the current session's live items are held; an
     evicted item is emitted when it is evicted, live ones when the session
     ends, so memory is bounded by live state, not by history or partition."""
-    cur, mx, live, total = None, 0, {}, 0
+    cur, mx, live, total, heap = None, 0, {}, 0, []
     out = {k: [] for k in REPLAY_OUT.fieldNames()}
 
     def emit(sid, item, seq, tok, status, by, tot):
@@ -245,8 +271,8 @@ def _replay_partitions(batches):
             if r.session_id != cur:
                 if cur is not None:
                     flush_session()
-                cur, mx, live, total = r.session_id, int(r.max_tokens), {}, 0
-            live, total, events = fold_adds(live, total, mx, [r])
+                cur, mx, live, total, heap = r.session_id, int(r.max_tokens), {}, 0, []
+            live, total, events = fold_adds(live, total, mx, [r], heap)
             for item, status, by, seq, tok in events:
                 if status == "evicted":
                     emit(cur, item, seq, tok, "evicted", by, total)
