@@ -169,23 +169,25 @@ def _visits(models: dict[int, Model], least: int, first: bool):
     """Per query the packs to visit and the cells that count there: those nearest that
     hold ``least`` rows (first), or all whose bound reaches the k-th score."""
     @F.pandas_udf("array<struct<pack:int,blocks:int,cells:array<int>>>")
-    def visit(vecs: pd.Series, cells: pd.Series, kth: pd.Series) -> pd.Series:
+    def visit(vecs: pd.Series, kth: pd.Series, cells: pd.Series, n: pd.Series, lo: pd.Series, hi: pd.Series,
+              packs: pd.Series, blocks: pd.Series) -> pd.Series:
         out = []
-        for vec, own, score in zip(vecs, cells, kth, strict=True):
-            unit, t = _units([vec])[0], pd.DataFrame(list(own))
+        for vec, score, cell, held, low, high, pack, parts in zip(vecs, kth, cells, n, lo, hi, packs, blocks, strict=True):
+            unit = _units([vec])[0]
             if not np.isfinite(unit).all():
                 out.append([])
                 continue
-            a = np.arccos(np.clip(models[len(vec)].centres[t["cell"]] @ unit, -1, 1))
+            a = np.arccos(np.clip(models[len(vec)].centres[cell] @ unit, -1, 1))
+            take = np.ones(len(cell), dtype=bool)
             if first:
                 order = np.argsort(a, kind="stable")
-                held = t["n"].to_numpy()[order]
-                t = t.iloc[order[np.cumsum(held) - held < least]]
+                take[order] = np.cumsum(held[order]) - held[order] < least
             elif score == score and score is not None:
-                reach = np.cos(np.maximum(0, np.maximum(t["lo"] - a, a - t["hi"])))
-                t = t[reach >= score - SLACK]
-            out.append([{"pack": int(p), "blocks": int(g["blocks"].iloc[0]), "cells": g["cell"].tolist()}
-                        for p, g in t.groupby("pack")])
+                take = np.cos(np.maximum(0, np.maximum(low - a, a - high))) >= score - SLACK
+            # cells come in the order of the walk, so those of a pack are neighbours
+            at = np.flatnonzero(take)
+            runs = np.split(at, np.flatnonzero(np.diff(pack[at])) + 1) if len(at) else []
+            out.append([{"pack": int(pack[r[0]]), "blocks": int(parts[r[0]]), "cells": cell[r]} for r in runs])
         return pd.Series(out)
     return visit
 
@@ -212,7 +214,9 @@ def _by_codes(models: dict[int, Model], k: int, margin: float | None, first: boo
                 part = own.iloc[i:i + QUERY_CHUNK]
                 guess = _units(part["_q_vec"]) @ x.T
                 for (qid, kth, cells), g in zip(part[["qid", "kth", "cells"]].itertuples(index=False), guess, strict=True):
-                    at = np.flatnonzero(np.isin(cell, cells))
+                    counts = np.zeros(len(models[dim].centres), dtype=bool)
+                    counts[cells] = True
+                    at = np.flatnonzero(counts[cell])
                     if first:
                         at = at[np.argsort(-g[at], kind="stable")[:k]]
                     elif kth == kth and kth is not None:
@@ -226,21 +230,26 @@ def _by_codes(models: dict[int, Model], k: int, margin: float | None, first: boo
 def _by_vectors(k: int):
     """The ``k`` best rows of each query among the positions left, by their vectors."""
     def run(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"qid": [], "memory_id": [], "importance": [], "score": []}).astype(
-            {"qid": object, "memory_id": object})]
+        names = ["qid", "memory_id", "importance", "score"]
+        out = {c: [] for c in names}
         blocks = dict(iter(rows.sort_values("memory_id").groupby("seg")))
         for seg, own in asked.groupby("seg"):
             block = blocks[seg]
             v = np.stack(block["embedding"]).astype(np.float64)
             size = np.sqrt((v * v).sum(axis=1))
-            worth = -block["importance"].fillna(-np.inf).to_numpy(dtype=np.float64)
+            ids, importance = block["memory_id"].to_numpy(), block["importance"].to_numpy(dtype=np.float64)
+            worth = np.where(np.isnan(importance), np.inf, -importance)
             for qid, q, at in own[["qid", "_q_vec", "at"]].itertuples(index=False):
                 q = np.asarray(q, dtype=np.float64)
                 score = (v[at] @ q) / (size[at] * np.sqrt((q * q).sum()))
                 best = np.lexsort((at, worth[at], -score))[:k]
-                got = block.iloc[at[best]][["memory_id", "importance"]].reset_index(drop=True)
-                out.append(got.assign(qid=qid, score=score[best]))
-        return pd.concat(out, ignore_index=True)[["qid", "memory_id", "importance", "score"]]
+                out["qid"] += [qid] * len(best)
+                out["memory_id"].append(ids[at[best]])
+                out["importance"].append(importance[at[best]])
+                out["score"].append(score[best])
+        if not out["qid"]:
+            return pd.DataFrame(out).astype({"importance": float, "score": float})
+        return pd.DataFrame({c: out[c] if c == "qid" else np.concatenate(out[c]) for c in names})
     return run
 
 
@@ -265,7 +274,8 @@ def search_index(queries: DataFrame, path: str, k: int, *, qid: str = "request_i
         df = df.join(cells.select("user_id", DIM, "cell", "pack", "blocks"), ["user_id", DIM, "cell"])
         return binned(df, F.pmod(F.xxhash64("memory_id"), F.col("blocks"))).drop("user_id", DIM, "pack", "blocks")
 
-    own = cells.groupBy("user_id", DIM).agg(F.collect_list(F.struct("cell", "n", "lo", "hi", "pack", "blocks")).alias("_own"))
+    own = cells.groupBy("user_id", DIM).agg(F.sort_array(F.collect_list(
+        F.struct("cell", "n", "lo", "hi", "pack", "blocks"))).alias("_own"))
     asked = _usable(queries).select(F.col(qid).alias("qid"), "user_id", DIM, F.col("embedding").alias("_q_vec"))
     id_type = asked.schema["qid"].dataType
     left_type = T.StructType([T.StructField("qid", id_type), T.StructField("seg", T.StringType()),
@@ -277,7 +287,8 @@ def search_index(queries: DataFrame, path: str, k: int, *, qid: str = "request_i
     def probe(q: DataFrame, first: bool) -> DataFrame:
         visit = _visits(models, PROBE * k, first)
         q = q.join(own, ["user_id", DIM])
-        q = q.withColumn("_v", F.explode(visit("_q_vec", "_own", "kth"))).select("qid", "user_id", DIM, "_q_vec", "kth", "_v.*")
+        parts = [F.col(f"_own.{c}") for c in ("cell", "n", "lo", "hi", "pack", "blocks")]
+        q = q.withColumn("_v", F.explode(visit("_q_vec", "kth", *parts))).select("qid", "user_id", DIM, "_q_vec", "kth", "_v.*")
         q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         q = binned(q, F.col("block")).select("bin", "seg", DIM, "qid", "_q_vec", "kth", "cells")
         left = q.groupBy("bin").cogroup(in_blocks(codes).groupBy("bin")).applyInPandas(
