@@ -202,8 +202,8 @@ def knn_cells(queries: DataFrame, memories: DataFrame, k: int, *, qid: str = "re
     def scored(asked: DataFrame, second: bool) -> DataFrame:
         visit = _packs_to_visit(centres, rings, k, second)
         asked = asked.withColumn(PACK, F.explode(visit(F.col(Q_VEC), F.col("_kth"))))
-        got = _block_scores(asked, m, k, [PACK], qid, mid, tiebreak, score, block_rows)
-        return got.where(F.col("_kth").isNull() | (F.col(score) >= F.col("_kth"))).drop(PACK, "_kth")
+        got = _block_scores(asked, m, k, [PACK], qid, mid, tiebreak, score, block_rows, None, "_kth")
+        return got.drop(PACK, "_kth")
 
     best = F.row_number().over(Window.partitionBy(qid).orderBy(*_order(score, tiebreak, mid)))
     first = scored(q.withColumn("_kth", F.lit(None).cast("double")), False)

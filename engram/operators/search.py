@@ -105,18 +105,18 @@ def knn_block(queries: DataFrame, memories: DataFrame, k: int, **kw) -> DataFram
 
 
 def _block_scores(q: DataFrame, m: DataFrame, k: int, keys, qid, mid, tiebreak, score, block_rows,
-                  exclude_col=None):
+                  exclude_col=None, floor=None):
     q2, m2, on = blocked(q, m, [*keys, DIM], qid, mid, block_rows)
     q_out = [c for c in q.columns if c not in (Q_VEC, Q_NORM, DIM)]
     m_out = [c for c in m.columns if c not in (M_VEC, M_NORM, DIM) and c not in keys]
     schema = T.StructType([q.schema[c] for c in q_out] + [m.schema[c] for c in m_out]
                           + [T.StructField(score, T.DoubleType())])
-    fn = _block_topk_fn(k, q_out, m_out, mid, list(tiebreak), score, exclude_col)
+    fn = _block_topk_fn(k, q_out, m_out, mid, list(tiebreak), score, exclude_col, floor)
     return (q2.groupBy(*on).cogroup(m2.groupBy(*on)).applyInPandas(fn, schema))
 
 
 def _block_topk_fn(k: int, q_out: list[str], m_out: list[str], mid: str, tiebreak: list[str], score: str,
-                   exclude_col: str | None = None):
+                   exclude_col: str | None = None, floor: str | None = None):
     def fn(qdf: pd.DataFrame, mdf: pd.DataFrame) -> pd.DataFrame:
         if len(qdf) == 0 or len(mdf) == 0:
             out = pd.concat([qdf[q_out].iloc[:0].reset_index(drop=True),
@@ -148,6 +148,8 @@ def _block_topk_fn(k: int, q_out: list[str], m_out: list[str], mid: str, tiebrea
         cand = fill >= thr[:, None]
         if allowed is not None:
             cand &= allowed
+        if floor:  # a score that the query has k rows at: nothing below it is needed
+            cand &= ~(fill < qdf[floor].to_numpy(dtype=np.float64)[:, None])
         qi, mj = np.nonzero(cand)
         # order: query, score desc, tiebreaks desc (nulls last), id asc
         sort_keys = [mid_rank[mj]]
