@@ -3,7 +3,7 @@ greedy token-budget packing, for many requests at once."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import INTENT_WEIGHTS
@@ -70,15 +70,16 @@ def budget_split(requests: DataFrame, weights: DataFrame | None = None) -> DataF
 def working_context(items: DataFrame, req: DataFrame) -> DataFrame:
     """req (request_id, session_id, working_budget) -> picked working items
     (pinned desc, sequence desc, greedy skip under the working budget) with
-    the tokens used.  Streamed ordered fold: no session is gathered whole."""
-    from ..plans.ordered_fold import greedy_pack
-    rows = req.select("request_id", "session_id", F.col("working_budget").cast("long").alias("_budget")).join(
-        items.select("session_id", "item_id", "pinned", "sequence_num", "token_count", "content_type",
-                     "relevance_score"), "session_id")
+    the tokens used.  Requests of one session and budget share one packing, and no
+    item that cannot be taken is copied per request (``plans.packing``)."""
+    from ..plans.packing import greedy_pack
+    req = req.select("request_id", "session_id", F.coalesce(F.col("working_budget").cast("long"), F.lit(0)).alias("_budget"))
     order = [(~F.col("pinned")), (-F.col("sequence_num")), F.col("item_id")]
-    picked = greedy_pack(rows, "request_id", order, "token_count", "_budget",
-                         keep=["session_id", "item_id", "token_count", "content_type", "relevance_score"])
-    return picked.withColumnRenamed("used", "working_used")
+    picked = greedy_pack(items, req, "session_id", order, "token_count", "_budget",
+                         keep=["item_id", "token_count", "content_type", "relevance_score"])
+    return (req.join(picked, ["session_id", "_budget"])
+            .select("request_id", "session_id", "item_id", "token_count", "content_type", "relevance_score",
+                    "position", F.col("used").alias("working_used")))
 
 
 def score_candidates(hits: DataFrame, focus_col: str = "focus_entities") -> DataFrame:
@@ -149,7 +150,6 @@ def assemble_context(requests: DataFrame, items: DataFrame, memories: DataFrame,
     intermediate is joined back or computed twice."""
     from ..plans.blocking import BLOCK_ROWS
     from .search import entity_boost, entity_matches, typed_topk
-    from .working import greedy_pick
     block_rows = block_rows or BLOCK_ROWS
     rw = request_weights(requests, weights)
     w_wm = rw.where(F.col("weight_key") == "working_memory").select("request_id", F.col("weight").alias("w_wm"))
@@ -157,8 +157,8 @@ def assemble_context(requests: DataFrame, items: DataFrame, memories: DataFrame,
            .join(w_wm, "request_id", "left")
            .withColumn("working_budget",
                        (F.col("token_budget") * F.coalesce("w_wm", F.lit(0.35))).cast("int")))
-    # (1) working memory: streamed ordered fold per request; the picks (at
-    #     most working_budget of them) are then gathered per request
+    # (1) working memory: the picks (at most working_budget of them) are
+    #     gathered per request
     wc = working_context(items, req)
     wkey = F.struct(F.col("position").alias("p"), F.col("item_id").alias("id"),
                     F.col("token_count").cast("long").alias("tok"), F.col("content_type").alias("content_type"),
@@ -265,6 +265,7 @@ def assemble_context_unified(requests: DataFrame, items: DataFrame, memories: Da
     """Single greedy pass over working items and long-term candidates
     together (20 per type, no prefix dedup).  Working items score
     relevance_score * w_wm; memories similarity * weight * (1 + importance)."""
+    from ..plans.packing import first_by_cost, fold, token_cost
     from .search import typed_topk
     rw = request_weights(requests, weights)
     req = requests.select("request_id", "session_id", "user_id", "embedding", "token_budget", "focus_entities")
@@ -275,17 +276,28 @@ def assemble_context_unified(requests: DataFrame, items: DataFrame, memories: Da
     lt = hits.join(req.select("request_id", "focus_entities"), "request_id")
     lt = score_candidates(lt).select("request_id", F.col("memory_id").alias("id"), "token_count", "score",
                                      F.lit("long_term").alias("source"))
+    # of a session's items only those that some request with the same weight can take
+    # are copied per request: order and cost are the same for all of them
     w_wm = rw.where(F.col("weight_key") == "working_memory").select("request_id", F.col("weight").alias("w"))
-    wi = (req.select("request_id", "session_id").join(w_wm, "request_id")
-          .join(items.select("session_id", "item_id", "token_count", "relevance_score"), "session_id")
-          .select("request_id", F.col("item_id").alias("id"), "token_count",
-                  (F.col("relevance_score") * F.col("w")).alias("score"), F.lit("working_memory").alias("source")))
-    allc = lt.unionByName(wi)
-    key = F.struct((-F.col("score")).alias("k0"), F.col("id").alias("id"), F.col("token_count").cast("long").alias("tok"))
-    per = allc.groupBy("request_id").agg(F.sort_array(F.collect_list(key)).alias("_xs"))
-    from .working import greedy_pick
-    j = req.select("request_id", "token_budget").join(per, "request_id")
-    folded = j.withColumn("_r", greedy_pick(F.col("_xs"), F.col("token_budget")))
-    picked = folded.select("request_id", F.col("_r.used").alias("total_tokens"),
-                           F.posexplode("_r.picked").alias("position", "id"))
-    return picked.join(allc, ["request_id", "id"])
+    wreq = req.select("request_id", "session_id", "token_budget").join(w_wm, "request_id")
+    kinds = wreq.groupBy("session_id", "w").agg(F.max(F.coalesce("token_budget", F.lit(0))).alias("_most"))
+    scored = (items.select("session_id", "item_id", "token_count", "relevance_score").join(kinds, "session_id")
+              .select("session_id", "w", "_most", F.col("item_id").alias("id"), "token_count",
+                      (F.col("relevance_score") * F.col("w")).alias("score")))
+    left = first_by_cost(scored, ["session_id", "w"], F.struct((-F.col("score")).alias("k0"), "id"),
+                         token_cost("token_count"), F.col("_most")).drop("_most")
+    wi = (wreq.select("request_id", "session_id", "w").join(left, ["session_id", "w"])
+          .select("request_id", "id", "token_count", "score", F.lit("working_memory").alias("source")))
+    allc = lt.unionByName(wi).withColumn("cost", token_cost("token_count"))
+    # what is gathered is bounded by the budget and the hits; rows without cost are all taken
+    limit = F.coalesce(F.col("token_budget").cast("long"), F.lit(0))
+    allc = allc.join(req.select("request_id", limit.alias("_limit")), "request_id").where(F.col("cost") <= F.col("_limit"))
+    key = F.struct((-F.col("score")).alias("k0"), "id", "cost", "token_count", "score", "source")
+    per = allc.where(F.col("cost") > 0).groupBy("request_id", "_limit").agg(F.sort_array(F.collect_list(key)).alias("_xs"))
+    paid = per.select("request_id", F.explode(fold(F.col("_xs"), F.col("_limit"))).alias("x")).select("request_id", "x.*")
+    free = allc.where(F.col("cost") == 0).select("request_id", key.alias("x")).select("request_id", "x.*")
+    w = Window.partitionBy("request_id").orderBy("k0", "id", "cost", "source")
+    return (paid.unionByName(free)
+            .withColumns({"total_tokens": F.sum("cost").over(Window.partitionBy("request_id")),
+                          "position": (F.row_number().over(w) - 1)})
+            .select("request_id", "id", "total_tokens", "position", "token_count", "score", "source"))

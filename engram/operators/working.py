@@ -1,10 +1,8 @@
 """Working memory: sessions, sequence numbers, eviction, budgeted reads.
 
-Per-session work is either a window (eviction plan: an exclusive running
-sum) or a fold over the session's items sorted into one bounded array (the
-greedy skip-and-continue packing, which no running sum can express).  Only
-narrow (id, tokens, sort key) structs enter the arrays; contents are joined
-back afterwards.
+Per-session work is a window (eviction plan: an exclusive running sum), a
+packing under a budget (``plans.packing``: cut to the rows that can be taken, then
+a native fold over their order and cost) or a replay in order.
 """
 
 from __future__ import annotations
@@ -92,20 +90,6 @@ def eviction_plan(items: DataFrame, sessions: DataFrame, needs: DataFrame, polic
             .select("session_id", "item_id", "token_count", "needed", "freed_before", "evict_order"))
 
 
-def greedy_pick(items_sorted: Column, budget: Column, start: Column | None = None) -> Column:
-    """Fold over an array of structs(id, tok) in order: take an item if it
-    still fits under ``budget`` (starting from ``start`` used tokens), else
-    skip it and continue.  Returns struct(used, picked array<id>)."""
-    init = F.struct((start if start is not None else F.lit(0)).cast("long").alias("used"),
-                    F.array().cast("array<string>").alias("picked"))
-    return F.aggregate(
-        items_sorted, init,
-        lambda acc, x: F.when(acc["used"] + x["tok"] <= budget,
-                              F.struct((acc["used"] + x["tok"]).alias("used"),
-                                       F.concat(acc["picked"], F.array(x["id"])).alias("picked")))
-        .otherwise(acc))
-
-
 def read_working_memory(items: DataFrame, sessions: DataFrame, budgets: DataFrame | None = None,
                         types: list[str] | None = None) -> DataFrame:
     """Per session: items in order pinned desc, relevance desc, sequence desc,
@@ -113,10 +97,9 @@ def read_working_memory(items: DataFrame, sessions: DataFrame, budgets: DataFram
     default the session's max_tokens).  Returns the picked items with
     ``position``, ``used_tokens`` and ``truncated`` (= used < session total).
 
-    The packing is an ordered fold over a sorted stream
-    (``plans.ordered_fold``), so a session of any size is never gathered
-    into one array."""
-    from ..plans.ordered_fold import greedy_pack
+    Rows that no packing can take are cut before anything is folded
+    (``plans.packing``), so a session of any size is never gathered."""
+    from ..plans.packing import greedy_pack
     it = items if not types else items.where(F.col("content_type").isin(types))
     s = sessions.select("session_id", "total_tokens", "max_tokens")
     if budgets is not None:
@@ -124,14 +107,14 @@ def read_working_memory(items: DataFrame, sessions: DataFrame, budgets: DataFram
         budget = F.coalesce(F.col("token_budget"), F.col("max_tokens"))
     else:
         budget = F.col("max_tokens")
-    rows = it.join(s.select("session_id", budget.cast("long").alias("_budget")), "session_id")
     order = [(~F.col("pinned")), (-F.col("relevance_score")), (-F.col("sequence_num")), F.col("item_id")]
-    picked = greedy_pack(rows, "session_id", order, "token_count", "_budget",
+    s = s.withColumn("_budget", F.coalesce(budget.cast("long"), F.lit(0)))
+    picked = greedy_pack(it, s, "session_id", order, "token_count", "_budget",
                          keep=[c for c in it.columns if c != "session_id"])
-    return (picked.join(s.select("session_id", "total_tokens"), "session_id")
+    return (picked.join(s.select("session_id", "_budget", "total_tokens"), ["session_id", "_budget"])
             .withColumn("used_tokens", F.col("used"))
             .withColumn("truncated", F.col("used") < F.col("total_tokens"))
-            .drop("used", "total_tokens"))
+            .drop("used", "total_tokens", "_budget"))
 
 
 def update_item_flags(items: DataFrame, changes: DataFrame, as_of: Column, order: str | None = None) -> tuple[DataFrame, DataFrame]:

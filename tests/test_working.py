@@ -93,31 +93,3 @@ def test_legacy_state_api_equals_replay(spark):
     adds = td.items_from(sj.file_stream(spark, sf, "conversations"))
     ev = sj.run_available(sj.stream_working_memory(adds, td.sessions(spark, sf), api="legacy"), "wmlegacy")
     assert {(r["item_id"], r["status"]) for r in sj.final_item_status(ev).collect()} == batch
-
-
-def test_ordered_fold_across_arrow_batches(spark):
-    """Groups that span Arrow batch boundaries fold exactly like a plain loop."""
-    from engram.plans.ordered_fold import greedy_pack
-    from engram.sources import testdata as td
-    items = td.items(spark, "/root/testdata/sf0.001")
-    rows = items.select("session_id", "item_id", "pinned", "relevance_score", "sequence_num", "token_count") \
-                .withColumn("budget", F.lit(300).cast("long"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
-    try:
-        order = [~F.col("pinned"), -F.col("relevance_score"), -F.col("sequence_num"), F.col("item_id")]
-        got = {(r["session_id"], r["item_id"], r["position"]) for r in
-               greedy_pack(rows, "session_id", order, "token_count", "budget", keep=["item_id"]).collect()}
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    want = set()
-    data = sorted(rows.collect(), key=lambda r: (r["session_id"], not r["pinned"], -r["relevance_score"],
-                                                 -r["sequence_num"], r["item_id"]))
-    cur, used, pos = None, 0, 0
-    for r in data:
-        if r["session_id"] != cur:
-            cur, used, pos = r["session_id"], 0, 0
-        if used + r["token_count"] <= 300:
-            used += r["token_count"]
-            want.add((cur, r["item_id"], pos))
-            pos += 1
-    assert got == want
