@@ -2,9 +2,12 @@
 
 A page becomes a light tree.  Every paragraph earns points for its length and
 its commas and passes them on to its ancestors, fewer the farther they are.
-Points of a container count less the more of its text lies in links.  The best
-container is kept, with the text and the elements beside it that score well or
-are poor in links, or the article around it; menus, forms, adverts and the like are cut off before.
+Points of a container count less the more of its text lies in links, and four
+fifths are taken from what its class or id calls something else, while an article or
+main element makes them five times as many.  The best container is kept, with the article around it if there is one.  Without one, text,
+headings and sections beside it stay if they are poor in links, and other
+containers if they hold a run of paragraphs that scores well against its own: side columns and
+reader comments do not, whatever they are called.
 
 Work is per page (``mapInPandas``) without a shuffle; time and memory follow
 the length of the page.
@@ -62,18 +65,28 @@ TEXT_TAGS = {"p", "pre", "blockquote", "td", "th", "li", "dd", "dt", "h1", "h2",
 
 #: A part beside the best container stays if less of its text than this is in links.
 LINK_POOR = 0.5
+#: A container beside the best one stays if its best run of paragraphs has this share of the points.
+LEAST_SHARE = 0.2
+#: Characters that a comma counts as much as.
+A_COMMA = 10
+#: What is left of the points of an element that its class or id speaks against; a landmark
+#: gets as many times more.
+NAMED = 0.2
+#: Containers that say nothing of what they hold.
+NEUTRAL = {"div", "center", "table", "tbody", "tr", "td", "ul", "ol", "dl", "dir", "details", "address"}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "junk", "in_article", "landmark", "size", "links", "commas", "score",
-                 "own", "n_links")
+    __slots__ = ("tag", "parent", "children", "junk", "named", "in_article", "landmark", "size", "links", "commas",
+                 "score", "run", "own", "n_links")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent = tag, parent
         self.children: list[Node | str] = []
-        self.junk = self.in_article = self.landmark = False
+        self.junk = self.named = self.in_article = self.landmark = False
         self.size = self.links = self.commas = self.own = self.n_links = 0
-        self.score = 0.0
+        self.score = 0.0                                  # points of all paragraphs in it, fewer from afar
+        self.run = 0.0                                    # points of the best run of paragraphs side by side in it
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -81,7 +94,8 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _judge(node: Node, text: str) -> None:
-    """Marks a new element as junk, or as a landmark of the main text."""
+    """Marks a new element as junk by its tag or role, as named by what is around an
+    article, or as a landmark of the main text."""
     up, tag = node.parent, node.tag
     node.junk, node.in_article = up.junk, up.in_article or tag in ("article", "main")
     if node.junk:
@@ -102,14 +116,14 @@ def _judge(node: Node, text: str) -> None:
     named = f"{a.get('class', '')} {a.get('id', '')}"
     if tag in ("html", "body", "a", "b", "i", "em", "strong", "span", "p") and "hidden" not in named.lower():
         words = set(re.findall(r"[a-z]+", named.lower()))
-        node.junk = tag not in ("html", "body") and bool(words & JUNK_WORDS) and not words & KEEP_WORDS
+        node.named = tag not in ("html", "body") and bool(words & JUNK_WORDS) and not words & KEEP_WORDS
         return
     words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower()))
     against = words & JUNK_WORDS or (words & HEADER_WORDS and not up.in_article)
     comment = words & {"comment", "comments", "commentlist", "disqus", "respond", "ad", "ads", "advert", "cookie",
                        "sidebar", "hidden"}
     if against and (comment or not (words & KEEP_WORDS or node.landmark)):
-        node.junk, node.landmark = True, False
+        node.named, node.landmark = True, False
 
 
 def parse(page: str) -> list[Node]:
@@ -205,6 +219,12 @@ def _plain(text: str) -> str:
     return " ".join(entities.unescape(text).split())
 
 
+def _points(node: Node) -> float:
+    """Points of the text that stands in an element itself: its length, more with
+    commas, less with links."""
+    return node.own * (1 + A_COMMA * node.commas / node.size) * (1 - node.links / node.size)
+
+
 def _weigh(nodes: list[Node]) -> None:
     """Sizes, links and commas bottom up, then the points of every element."""
     for node in reversed(nodes):
@@ -216,7 +236,7 @@ def _weigh(nodes: list[Node]) -> None:
                 node.own += len(t)
                 node.size += len(t)
                 node.commas += sum(map(t.count, ",،、，;"))
-            elif not c.junk:
+            elif not (c.junk or c.named):
                 node.size += c.size
                 node.links += c.links
                 node.commas += c.commas
@@ -228,16 +248,20 @@ def _weigh(nodes: list[Node]) -> None:
     for node in nodes:
         if node.junk or not node.size:
             continue
-        if node.tag in TEXT_TAGS or node.own and (node.tag in BLOCKS or node.parent is None):
-            points = (1 + node.commas + min(node.size / 100, 3)) * (1 - node.links / node.size)
-            if node.tag not in TEXT_TAGS:
-                node.score += points
-            up, share = node.parent, 1.0
+        if node.own and (node.tag in BLOCKS or node.parent is None):
+            points = _points(node)
+            holder = node.parent if node.tag in TEXT_TAGS else node
+            holder.run += points
+            up, share, left = holder, 1.0, NAMED if node.named and holder is not node else 1.0
             for level in range(5):
                 if up is None:
                     break
-                up.score += points * share
+                up.score += points * share * left
+                left *= NAMED if up.named else 1
                 up, share = up.parent, 1 / (2 * (level + 1))
+    for node in reversed(nodes):
+        if node.parent is not None and not (node.junk or node.named):
+            node.parent.run = max(node.parent.run, node.run)
 
 
 def _is_menu(node: Node) -> bool:
@@ -286,11 +310,25 @@ def main_text(page: str | None) -> str:
         return ""
     nodes = parse(page)
     _weigh(nodes)
-    scored = [x for x in nodes if x.score > 0 and not x.junk]
-    if not scored:
+    best, most = None, 0.0
+    under: dict[int, float] = {}                          # of landmarks, named elements and what they hold
+    for x in nodes:
+        left = under.get(id(x.parent), 1.0)
+        left *= NAMED if x.named else 1 / NAMED if x.landmark and left <= 1 else 1
+        if left != 1:
+            under[id(x)] = left
+        points = 0.0 if x.junk else x.score * (1 - x.links / max(x.size, 1)) * left
+        if points > most:                                 # on equal points the first in page order, the outer one
+            best, most = x, points
+    if best is None:
         return ""
-    # on equal points the first in page order, the outer one
-    best = max(scored, key=lambda x: x.score * (1 - x.links / max(x.size, 1)))
+    above = set()
+    up = best
+    while up is not None:
+        above.add(id(up))
+        up = up.parent
+    for x in nodes:
+        x.junk |= x.named and id(x) not in above
     around = best
     while around is not None and not around.landmark:
         around = around.parent
@@ -302,18 +340,38 @@ def main_text(page: str | None) -> str:
             if outer is None or around.tag != "article":
                 break
             around = outer
-        return "\n".join(_blocks([around]))
-    while best.parent is not None and not _others(best):     # a wrapper without text of its own
-        best = best.parent
-    if best.tag in ("#root", "html", "body") or best.parent is None:
-        return "\n".join(_blocks([best]))
-    least = 0.2 * best.score
-    kept = []
-    for x in _parts(best.parent):
-        loose = x.links / max(x.size, 1)
-        if x is best or x.size and (loose < LINK_POOR or x.score * (1 - loose) >= least):
-            kept.append(x)
-    return "\n".join(_blocks(kept))
+        if around.tag != "main" or around is best:
+            return "\n".join(_blocks([around] if around is not best else _kept(best)))
+    top = best                                            # the outermost wrapper without other text
+    while top.parent is not None and top is not around and not _others(top):
+        top = top.parent
+    if top is around or top.tag in ("#root", "html", "body") or top.parent is None:
+        return "\n".join(_blocks(_kept(best)))
+    return "\n".join(_blocks([y for x in _parts(top.parent)
+                              for y in (_kept(best) if x is top else [x] if _stays(x, best.run) else [])]))
+
+
+def _stays(x: Node, run: float) -> bool:
+    """Whether a part beside text of ``run`` points belongs to it."""
+    if not x.size:
+        return False
+    loose = x.links / x.size
+    if x.tag in NEUTRAL:
+        return x.run * (1 - loose) >= LEAST_SHARE * run
+    return loose < LINK_POOR
+
+
+def _kept(best: Node) -> list[Node]:
+    """The parts of the best container.  Where it holds paragraphs itself, containers before the first
+    and after the last of them are beside the text and must stand up to it; what
+    stands between paragraphs belongs to the text."""
+    parts = _parts(best)
+    text = [i for i, x in enumerate(parts)
+            if x.tag in ("p", "pre", "blockquote", "#run") and x.size and x.links < LINK_POOR * x.size]
+    points = sum(_points(parts[i]) for i in text)
+    if best.landmark or not text or any(x.run > points for x in parts):
+        return [best]
+    return [x for i, x in enumerate(parts) if text[0] <= i <= text[-1] or _stays(x, points)]
 
 
 def _others(node: Node) -> bool:
@@ -338,10 +396,14 @@ def _parts(node: Node) -> list[Node]:
             out.append(run)
         run.children.append(x)
         if isinstance(x, str):
-            run.size += len(_plain(x))
+            run.size += len(t := _plain(x))
+            run.own = run.size
+            run.commas += sum(map(t.count, ",،、，;"))
         elif not x.junk:
             run.size += x.size
+            run.own = run.size
             run.links += x.links
+            run.commas += x.commas
     return out
 
 
