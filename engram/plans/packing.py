@@ -6,9 +6,15 @@ a row of some cost is skipped every later row of that cost is skipped too: of th
 rows of one cost a group takes the first ones in order, ``budget / cost`` of them at
 most.  That cut is a ranking by (group, cost).  It is taken in two steps, first
 within slices of a group, so that a group with most of the rows is cut by many tasks.
-At most ``budget * (1 + ln budget)`` rows of a group are left, however many it has, and
-only their order and cost are folded, as a native expression.  Rows that cost nothing
-need no fold: they are all taken.
+At most ``budget * (1 + ln budget)`` rows of a group are left, however many it has.
+
+The same reason goes further: a row that is taken has all earlier rows of its own or a
+lower cost taken before it, so these and itself fit the budget together.  Running sums by
+classes of cost drop what cannot meet that.  Both cuts hold whatever other rows are
+mixed into the walk, as those only use more of the budget.
+
+Only order and cost of what is left are folded, as a native expression.  Rows that cost
+nothing need no fold: they are all taken.
 """
 
 from __future__ import annotations
@@ -20,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Slices of a group in the first step of the cut.
 SLICES = 32
+#: Classes of cost for the running sums: this many to each halving of the budget.
+STEPS, CLASSES = 4, 40
 _COST, _LIMIT, _ORDER = "_cost", "_limit", "_order"
 
 
@@ -32,8 +40,9 @@ def token_cost(tok: str | Column) -> Column:
 def first_by_cost(rows: DataFrame, group: Sequence[str], order: Column, cost: Column, limit: Column,
                   slices: int = SLICES) -> DataFrame:
     """The rows that a packing of ``group`` in ``order`` (a struct, ascending) under
-    ``limit`` or less can take: per cost the first ``limit / cost``.  Rows that cost
-    nothing all stay where the limit is not negative.  Columns are as they were."""
+    ``limit`` or less can take: per cost the first ``limit / cost``, and of these the ones that fit
+    together with the cheaper rows before them.  Rows that cost nothing all stay where
+    the limit is not negative.  Columns are as they were."""
     names = rows.columns
     on = [F.col(g) for g in group]
     x = (rows.withColumns({_COST: cost, _LIMIT: F.coalesce(limit.cast("long"), F.lit(0)), _ORDER: order})
@@ -43,8 +52,16 @@ def first_by_cost(rows: DataFrame, group: Sequence[str], order: Column, cost: Co
     slice_ = F.pmod(F.xxhash64(_ORDER), F.lit(slices))
     for by in ([*on, F.col(_COST), slice_], [*on, F.col(_COST)]):
         w = Window.partitionBy(*by).orderBy(_ORDER)
-        ranked = ranked.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= most).drop("_rank")
-    return ranked.unionByName(x.where(F.col(_COST) == 0)).select(*names)
+        ranked = ranked.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= most)
+    # class 0 holds the dearest rows; what lies in a higher class is cheaper
+    ranked = ranked.withColumn("_class", F.least(F.lit(CLASSES - 1), F.floor(
+        F.log2(F.col(_LIMIT) / F.col(_COST)) * STEPS)).cast("int"))
+    w = Window.partitionBy(*on).orderBy(_ORDER, _COST).rowsBetween(Window.unboundedPreceding, -1)
+    cheaper = F.array(*[F.coalesce(F.sum(F.when(F.col("_class") > i, F.col(_COST))).over(w), F.lit(0))
+                        for i in range(CLASSES)])
+    ranked = (ranked.withColumn("_before", cheaper)
+              .where(F.get("_before", F.col("_class")) + F.col("_rank") * F.col(_COST) <= F.col(_LIMIT)))
+    return ranked.select(x.columns).unionByName(x.where(F.col(_COST) == 0)).select(*names)
 
 
 def fold(rows_in_order: Column, limit: Column) -> Column:
