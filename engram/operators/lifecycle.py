@@ -241,6 +241,82 @@ def dedup_upsert(memories: DataFrame, incoming: DataFrame, as_of: Column, t: flo
     return out, rep
 
 
+#: Columns that a request to store may bring beside request_id, user_id and content.
+STORE_OPTIONAL = {"memory_category": "string", "memory_subtype": "string", "importance": "double",
+                  "entities": "array<string>", "summary": "string", "questions": "array<string>",
+                  "embedding": "array<float>", "event_time": "timestamp_ntz", "metadata": "string",
+                  "source_session": "string"}
+DEFAULT_IMPORTANCE = 0.5
+
+
+def store_memories(memories: DataFrame, requests: DataFrame, as_of: Column, dim: int, t: float = 0.95, *,
+                   classifier=None, embedder=None, block_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The whole way of a batch of texts into the table: secret gate, classification,
+    taxonomy check, entities, summary, search text, vector, de-duplicating upsert.
+
+    requests: request_id, user_id, content, and any of ``STORE_OPTIONAL`` (a missing
+    column is NULL).  Per request:
+      1. a text that is NULL or empty is ``invalid``; one with a critical or high finding
+         is ``refused``, and nothing of it goes further;
+      2. without a category or subtype the classifier fills in what is missing; only then
+         it also sets an importance that is NULL or 0.5 and entities that are NULL or empty;
+      3. a pair outside the taxonomy is ``invalid``;
+      4. entities still missing are taken from the text; a text of over 50 estimated tokens
+         gets the given summary or, where that is unusable, its beginning;
+      5. usable questions are added to the text that is embedded (``dim`` components) unless the
+         request brings a vector of its own;
+      6. the rest goes through :func:`dedup_upsert`.
+    Returns (table after, report: request_id, action (refused, invalid, updated, inserted or
+    merged), memory_id, message, memory_category, memory_subtype, importance, entities,
+    summary, content_tokens).  request_id must be unique."""
+    from ..session import ensure_checkpoint_dir
+    from .filters import validate_taxonomy
+    from .gating import (augment_text, classify, embed, extract_entities, filter_questions, gate_secrets,
+                         summarize_fallback, token_estimate)
+    ensure_checkpoint_dir(requests.sparkSession)
+    r = requests.select("request_id", "user_id", "content", *[
+        (F.col(c) if c in requests.columns else F.lit(None)).cast(kind).alias(c) for c, kind in STORE_OPTIONAL.items()])
+    gated = gate_secrets(r, "content")
+    empty = F.coalesce(F.length("content") == 0, F.lit(True))
+    message = F.when(empty, F.lit("no content")).otherwise(F.col("error_message"))
+    gated = gated.select(*r.columns, message.alias("message"),
+                         F.when(empty, "invalid").when(~F.col("is_safe"), "refused").alias("action"))
+    open_ = gated.where(F.col("action").isNull()).drop("action", "message")
+    # what the request brings stands aside while the classifier adds columns of the same names
+    both = ["memory_category", "memory_subtype", "importance", "entities"]
+    c = classify(open_.withColumnsRenamed({x: f"_given_{x}" for x in both}), "content", classifier)
+    c = c.withColumnsRenamed({x: f"_{x}" for x in both}).withColumnsRenamed({f"_given_{x}": x for x in both})
+    lacks = F.coalesce(F.length("memory_category") == 0, F.lit(True)) | F.coalesce(F.length("memory_subtype") == 0, F.lit(True))
+    bare = F.coalesce(F.size("entities") <= 0, F.lit(True))
+    filled = c.withColumns({
+        "memory_category": F.coalesce(F.nullif("memory_category", F.lit("")), "_memory_category"),
+        "memory_subtype": F.coalesce(F.nullif("memory_subtype", F.lit("")), "_memory_subtype"),
+        "importance": F.when(lacks & F.coalesce(F.col("importance") == DEFAULT_IMPORTANCE, F.lit(True)),
+                             F.col("_importance")).otherwise(F.coalesce("importance", F.lit(DEFAULT_IMPORTANCE))),
+        "entities": F.when(lacks & bare, F.col("_entities")).otherwise(F.col("entities"))})
+    filled = validate_taxonomy(filled.select(*r.columns))
+    bad = filled.where(~F.col("is_valid")).select("request_id", F.lit("invalid").alias("action"), F.concat(
+        F.lit("Subtype "), "memory_subtype", F.lit(" is not one of category "), "memory_category").alias("message"))
+    ready = filled.where("is_valid").withColumns({
+        "entities": F.when(F.coalesce(F.size("entities") <= 0, F.lit(True)), extract_entities("content"))
+        .otherwise(F.col("entities")),
+        "summary": summarize_fallback("summary", "content"),
+        "_search": augment_text("content", filter_questions("questions")),
+        "_given": F.col("embedding")}).drop("embedding")
+    ready = embed(ready, "_search", "_made", dim=dim, model=embedder)
+    # dedup_upsert reads it more than once
+    ready = ready.select(*[x for x in ready.columns if x not in ("_search", "_given", "_made", "questions", "is_valid")],
+                         F.coalesce("_given", "_made").alias("embedding")).checkpoint(eager=True)
+    after, stored = dedup_upsert(memories, ready, as_of, t, block_rows=block_rows)
+    kept = ready.select("request_id", "memory_category", "memory_subtype", "importance", "entities", "summary",
+                        token_estimate("content").alias("content_tokens"))
+    report = stored.join(kept, "request_id").withColumn("message", F.lit(None).cast("string"))
+    out = bad.unionByName(gated.where(F.col("action").isNotNull()).select("request_id", "action", "message"))
+    report = report.unionByName(out, allowMissingColumns=True)
+    return after, report.select("request_id", "action", "memory_id", "message", "memory_category", "memory_subtype",
+                                "importance", "entities", "summary", "content_tokens")
+
+
 def _leaders(f: DataFrame, t: float, block_rows: int) -> DataFrame:
     """leader = the root over "earliest (by ``_ord``) earlier new row of the same
     user with cosine >= t", itself when there is none (blocked matrix kernel,

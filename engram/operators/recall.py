@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.blocking import BLOCK_ROWS
-from .filters import taxonomy_filter
+from .filters import taxonomy_filter, temporal_tag_filter
 from .search import entity_boost, entity_matches, knn_exact
 
 RECALL_CARRY = ["memory_category", "memory_subtype", "entities", "access_count", "content", "summary"]
@@ -16,15 +16,19 @@ RECALL_CARRY = ["memory_category", "memory_subtype", "entities", "access_count",
 
 def recall(requests: DataFrame, memories: DataFrame, limit: int = 10, min_similarity: float = 0.2, *,
            focus_col: str = "focus_entities", categories: Sequence[str] | None = None,
-           subtypes: Sequence[str] | None = None, block_rows: int | None = BLOCK_ROWS,
+           subtypes: Sequence[str] | None = None, after=None, before=None, tags: Sequence[str] | None = None,
+           min_confidence: float | None = None, time_col: str = "created_at", block_rows: int | None = BLOCK_ROWS,
            carry: Sequence[str] = ("memory_category", "memory_subtype", "entities")) -> DataFrame:
     """Per request: fetch ``3 * limit`` nearest live rows of the requester,
     drop those under ``min_similarity``, boost by matching focus entities
     (min(1, s (1 + 0.2 m))), order by the rounded effective similarity (fetch
     order breaks ties) and keep ``limit``.  Scores are rounded to 4 dp.
 
-    Category / subtype filters are applied before the search."""
-    mem = taxonomy_filter(memories, categories, subtypes)
+    Filters on category, subtype, time (``after <= time_col < before``), tags (any
+    of them) and confidence are applied before the search, so ``limit`` rows come
+    back wherever that many qualify.  A NULL never passes a filter that is set."""
+    mem = temporal_tag_filter(taxonomy_filter(memories, categories, subtypes), after, before, tags,
+                              min_confidence, time_col)
     carry = list(dict.fromkeys(list(carry) + ["entities"]))
     hits = knn_exact(requests, mem, 3 * limit, carry=carry, block_rows=block_rows,
                      score="similarity", rank="fetch_rank", qcarry=[focus_col])

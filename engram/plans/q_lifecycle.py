@@ -8,7 +8,7 @@ from ..operators import lifecycle as lc
 from ..operators.gating import classify
 from ..sources import testdata as td
 from .oracle import AS_OF_SQL
-from .q_text import _classify_sql
+from .q_text import _classify_sql, _gate_sql
 from .registry import register
 
 VID_SQL = "CAST(substr(memory_id, 2) AS INTEGER)"
@@ -209,6 +209,19 @@ def q_dedup_upsert_table(spark, sf):
     return out.select("memory_id", "user_id", "access_count", "importance", "last_accessed")
 
 
+def _to_store(spark, sf):
+    v = F.substring("request_id", 2, 10).cast("int")
+    return _incoming(spark, sf).drop("entities").withColumns({
+        "memory_category": F.when(v % 4 != 0, F.col("memory_category")),
+        "memory_subtype": F.when(v % 4 == 0, F.lit(None)).when(v % 9 == 1, "other").otherwise(F.col("memory_subtype"))})
+
+
+@register("store_memories")
+def q_store_memories(spark, sf):
+    _, rep = lc.store_memories(td.memories(spark, sf), _to_store(spark, sf), td.as_of(), 64, t=0.45)
+    return rep.withColumn("entities", F.array_join(F.array_sort("entities"), ","))
+
+
 @register("reembed_stale")
 def q_reembed(spark, sf):
     m = td.memories(spark, sf)
@@ -279,14 +292,11 @@ def q_recurring_issues(spark, sf):
 
 
 # ---------------------------------------------------------------- oracles
-def _attach():
+def _dedup_sql(incoming: str, t: float) -> str:
     from .oracle import cosine
-    from .registry import attach_sql
-    t = 0.45
-    base = f"""
+    return f"""
 _incf AS (
-  SELECT r.request_id, r.user_id, r.embedding, m.importance
-  FROM requests r JOIN memories m ON 'q' || substr(m.memory_id, 2) = r.request_id
+  {incoming}
 ),
 _k AS (
   SELECT i.request_id, m.memory_id, {cosine('i.embedding', 'm.embedding')} AS sim,
@@ -307,6 +317,12 @@ _new AS (
   FROM _fresh f LEFT JOIN _lead l USING (request_id)
 )
 """
+
+
+def _attach():
+    from .registry import attach_sql
+    base = _dedup_sql("""SELECT r.request_id, r.user_id, r.embedding, m.importance
+  FROM requests r JOIN memories m ON 'q' || substr(m.memory_id, 2) = r.request_id""", 0.45)
     attach_sql("dedup_upsert", base + """
 SELECT request_id, 'updated' AS action, memory_id FROM _best
 UNION ALL
@@ -328,6 +344,42 @@ SELECT 'n-' || n.leader, n.user_id, CAST(coalesce(g.extra, 0) AS INTEGER),
        CASE WHEN g.extra IS NOT NULL THEN g.imp ELSE n.importance END,
        CASE WHEN g.extra IS NOT NULL THEN {AS_OF_SQL} END
 FROM _new n LEFT JOIN _grp g USING (leader) WHERE NOT n.merged
+""")
+    attach_sql("store_memories", f"""
+_g AS (WITH {_gate_sql("requests", "request_id", "query")}),
+_cl AS (SELECT request_id, {_classify_sql("coalesce(query, '')")} FROM requests),
+_rq AS (
+  SELECT r.request_id, r.user_id, r.query AS content, r.embedding, c.entities, m.summary, g.error_message,
+         coalesce(length(r.query), 0) = 0 AS empty,
+         CASE WHEN v % 4 = 0 THEN c.memory_category ELSE m.memory_category END AS memory_category,
+         CASE WHEN v % 4 = 0 THEN c.memory_subtype WHEN v % 9 = 1 THEN 'other' ELSE m.memory_subtype END AS memory_subtype,
+         CASE WHEN v % 4 = 0 AND m.importance = 0.5 THEN c.importance ELSE m.importance END AS importance
+  FROM (SELECT *, CAST(substr(request_id, 2) AS INTEGER) AS v FROM requests) r
+  JOIN memories m ON 'q' || substr(m.memory_id, 2) = r.request_id
+  JOIN _g g ON g.request_id = r.request_id JOIN _cl c ON c.request_id = r.request_id
+),
+_jd AS (
+  SELECT *, CASE WHEN empty THEN 'invalid' WHEN error_message IS NOT NULL THEN 'refused'
+                 WHEN (memory_category, memory_subtype) NOT IN (SELECT (memory_category, memory_subtype) FROM taxonomy)
+                 THEN 'invalid' END AS bad
+  FROM _rq
+),
+{_dedup_sql("SELECT request_id, user_id, embedding, importance FROM _jd WHERE bad IS NULL", 0.45)},
+_st AS (
+  SELECT request_id, 'updated' AS action, memory_id FROM _best
+  UNION ALL
+  SELECT request_id, CASE WHEN merged THEN 'merged' ELSE 'inserted' END, 'n-' || leader FROM _new
+)
+SELECT j.request_id, coalesce(j.bad, s.action) AS action, s.memory_id,
+       CASE WHEN empty THEN 'no content' WHEN bad = 'refused' THEN error_message
+            WHEN bad = 'invalid' THEN 'Subtype ' || memory_subtype || ' is not one of category ' || memory_category END AS message,
+       CASE WHEN bad IS NULL THEN memory_category END AS memory_category,
+       CASE WHEN bad IS NULL THEN memory_subtype END AS memory_subtype,
+       CASE WHEN bad IS NULL THEN importance END AS importance,
+       CASE WHEN bad IS NULL THEN entities END AS entities,
+       CASE WHEN bad IS NULL AND length(content) // 4 > 50 THEN summary END AS summary,
+       CASE WHEN bad IS NULL THEN CAST(length(content) // 4 AS INTEGER) END AS content_tokens
+FROM _jd j LEFT JOIN _st s USING (request_id)
 """)
     attach_sql("reembed_stale", "SELECT memory_id, 64 AS dim FROM memories")
 

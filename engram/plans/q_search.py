@@ -267,6 +267,20 @@ def q_recall(spark, sf):
                       "similarity", "effective_similarity", F.col("entity_matches").cast("int"), "rank")
 
 
+FILTER = {"after": "2024-04-20 00:00:00", "tags": ["en", "de"], "min_confidence": 0.8}
+
+
+@register("recall_filtered", RECALL_SQL.replace("live m ON", f"""(
+  SELECT * FROM live WHERE created_at >= TIMESTAMP '{FILTER["after"]}' AND confidence >= {FILTER["min_confidence"]}
+    AND json_extract_string(metadata, '$.tags[0]') IN ('en', 'de')) m ON""") + """
+SELECT request_id, memory_id, similarity, effective_similarity, entity_matches, final_rank AS rank FROM recalled
+""")
+def q_recall_filtered(spark, sf):
+    out = rc.recall(td.requests(spark, sf), td.memories(spark, sf), limit=10, min_similarity=0.2, **FILTER)
+    return out.select("request_id", "memory_id", "similarity", "effective_similarity",
+                      F.col("entity_matches").cast("int"), "rank")
+
+
 @register("retrieval_breakdown", RECALL_SQL + """
 SELECT request_id, 'category' AS dimension, memory_category AS value, count(*) AS n FROM recalled GROUP BY 1, 3
 UNION ALL
