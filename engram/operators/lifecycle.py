@@ -278,13 +278,17 @@ def store_memories(memories: DataFrame, requests: DataFrame, as_of: Column, dim:
         (F.col(c) if c in requests.columns else F.lit(None)).cast(kind).alias(c) for c, kind in STORE_OPTIONAL.items()])
     gated = gate_secrets(r, "content")
     empty = F.coalesce(F.length("content") == 0, F.lit(True))
-    message = F.when(empty, F.lit("no content")).otherwise(F.col("error_message"))
-    gated = gated.select(*r.columns, message.alias("message"),
-                         F.when(empty, "invalid").when(~F.col("is_safe"), "refused").alias("action"))
-    open_ = gated.where(F.col("action").isNull()).drop("action", "message")
+    gated = gated.select(*r.columns, F.when(empty, F.lit("no content")).otherwise(F.col("error_message")).alias("message"),
+                         F.when(empty, "invalid").when(F.col("error_message").isNotNull(), "refused").alias("action"))
+    work = gated.withColumn("content", F.when(F.col("action").isNull(), F.col("content")))
+    closed = None
+    if classifier or embedder:                            # no model sees a text that was refused
+        work = work.checkpoint(eager=True)
+        closed = work.where(F.col("action").isNotNull()).select("request_id", "action", "message")
+        work = work.where(F.col("action").isNull())
     # what the request brings stands aside while the classifier adds columns of the same names
     both = ["memory_category", "memory_subtype", "importance", "entities"]
-    c = classify(open_.withColumnsRenamed({x: f"_given_{x}" for x in both}), "content", classifier)
+    c = classify(work.withColumnsRenamed({x: f"_given_{x}" for x in both}), "content", classifier)
     c = c.withColumnsRenamed({x: f"_{x}" for x in both}).withColumnsRenamed({f"_given_{x}": x for x in both})
     lacks = F.coalesce(F.length("memory_category") == 0, F.lit(True)) | F.coalesce(F.length("memory_subtype") == 0, F.lit(True))
     bare = F.coalesce(F.size("entities") <= 0, F.lit(True))
@@ -294,25 +298,27 @@ def store_memories(memories: DataFrame, requests: DataFrame, as_of: Column, dim:
         "importance": F.when(lacks & F.coalesce(F.col("importance") == DEFAULT_IMPORTANCE, F.lit(True)),
                              F.col("_importance")).otherwise(F.coalesce("importance", F.lit(DEFAULT_IMPORTANCE))),
         "entities": F.when(lacks & bare, F.col("_entities")).otherwise(F.col("entities"))})
-    filled = validate_taxonomy(filled.select(*r.columns))
-    bad = filled.where(~F.col("is_valid")).select("request_id", F.lit("invalid").alias("action"), F.concat(
-        F.lit("Subtype "), "memory_subtype", F.lit(" is not one of category "), "memory_category").alias("message"))
-    ready = filled.where("is_valid").withColumns({
+    wrong = F.col("action").isNull() & ~F.col("is_valid")
+    judged = validate_taxonomy(filled.select(*work.columns)).withColumns({
+        "message": F.when(wrong, F.concat(F.lit("Subtype "), "memory_subtype", F.lit(" is not one of category "),
+                                          "memory_category")).otherwise(F.col("message")),
+        "action": F.when(wrong, "invalid").otherwise(F.col("action")),
         "entities": F.when(F.coalesce(F.size("entities") <= 0, F.lit(True)), extract_entities("content"))
         .otherwise(F.col("entities")),
         "summary": summarize_fallback("summary", "content"),
         "_search": augment_text("content", filter_questions("questions")),
         "_given": F.col("embedding")}).drop("embedding")
-    ready = embed(ready, "_search", "_made", dim=dim, model=embedder)
-    # dedup_upsert reads it more than once
-    ready = ready.select(*[x for x in ready.columns if x not in ("_search", "_given", "_made", "questions", "is_valid")],
-                         F.coalesce("_given", "_made").alias("embedding")).checkpoint(eager=True)
+    judged = embed(judged, "_search", "_made", dim=dim, model=embedder)
+    # every text is judged once: what follows reads it several times
+    judged = judged.select(*[x for x in judged.columns if x not in ("_search", "_given", "_made", "questions", "is_valid")],
+                           F.coalesce("_given", "_made").alias("embedding")).checkpoint(eager=True)
+    ready = judged.where(F.col("action").isNull()).drop("action", "message")
+    out = judged.where(F.col("action").isNotNull()).select("request_id", "action", "message")
     after, stored = dedup_upsert(memories, ready, as_of, t, block_rows=block_rows)
     kept = ready.select("request_id", "memory_category", "memory_subtype", "importance", "entities", "summary",
                         token_estimate("content").alias("content_tokens"))
     report = stored.join(kept, "request_id").withColumn("message", F.lit(None).cast("string"))
-    out = bad.unionByName(gated.where(F.col("action").isNotNull()).select("request_id", "action", "message"))
-    report = report.unionByName(out, allowMissingColumns=True)
+    report = report.unionByName(out if closed is None else out.unionByName(closed), allowMissingColumns=True)
     return after, report.select("request_id", "action", "memory_id", "message", "memory_category", "memory_subtype",
                                 "importance", "entities", "summary", "content_tokens")
 
