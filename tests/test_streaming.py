@@ -46,3 +46,22 @@ def test_access_counts_stream_matches_batch(spark):
     got = {r["memory_id"]: r["n"] for r in out.groupBy("memory_id").agg(F.max("access_count").alias("n")).collect()}
     want = {r["memory_id"]: r["count"] for r in td.access_log(spark, SF).groupBy("memory_id").count().collect()}
     assert got == want
+
+
+def _dealt(spark, tmp_path, name, files=3):
+    """The table as a folder of files, rows dealt to them without order."""
+    t = spark.read.parquet(f"{SF}/{name}.parquet")
+    t.repartition(files, F.xxhash64(*t.columns)).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_ingest_takes_every_file_of_a_table(spark, tmp_path):
+    # ids give the times, so each file spans more than the watermark
+    from engram.plans.q_stream import q_stream_ingest
+    want = sorted(map(tuple, q_stream_ingest(spark, SF).collect()))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert len(want) == docs.count() > 0
+    wide = docs.withColumn("doc_id", F.col("doc_id") * 1000)
+    wide.repartition(3, F.xxhash64("doc_id")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, q_stream_ingest(spark, str(tmp_path)).collect()))
+    assert got == [(i * 1000, ok) for i, ok in want]
