@@ -65,3 +65,19 @@ def test_ingest_takes_every_file_of_a_table(spark, tmp_path):
     wide.repartition(3, F.xxhash64("doc_id")).write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(map(tuple, q_stream_ingest(spark, str(tmp_path)).collect()))
     assert got == [(i * 1000, ok) for i, ok in want]
+
+
+def test_working_memory_of_a_dealt_table_follows_the_sequence(spark, tmp_path):
+    from engram.plans.q_stream import q_stream_working_memory
+    want = sorted(map(tuple, q_stream_working_memory(spark, SF).collect()))
+    assert any(r[2] == "evicted" for r in want)
+    assert sorted(map(tuple, q_stream_working_memory(spark, _dealt(spark, tmp_path, "conversations")).collect())) == want
+
+
+def test_metrics_and_access_counts_of_a_dealt_table(spark, tmp_path):
+    from engram.plans.q_stream import q_stream_access_counts, q_stream_service_metrics
+    folder = _dealt(spark, tmp_path, "events")
+    for query in (q_stream_access_counts, q_stream_service_metrics):
+        cols = [c for c in query(spark, SF).columns if not c.startswith(("avg", "p95"))]
+        want = sorted(map(tuple, query(spark, SF).select(cols).collect()))
+        assert want and sorted(map(tuple, query(spark, folder).select(cols).collect())) == want
