@@ -36,6 +36,8 @@ CHUNK = 1024
 SLACK = 1e-6
 #: Ring of the rows whose cosine is undefined (zero or non-finite length).
 NO_ANGLE = -1
+#: Packs of a table; a pack has a block of rows at least and PACK_NUMBERS numbers at most.
+PACKS, PACK_NUMBERS = 16, 1 << 22
 RING, PACK = "_ring", "_pack"
 
 
@@ -175,7 +177,7 @@ def _packs_to_visit(centres: dict[int, np.ndarray], rings: dict[int, pd.DataFram
 def knn_cells(queries: DataFrame, memories: DataFrame, k: int, *, qid: str = "request_id",
               mid: str = "memory_id", qvec: str = "embedding", mvec: str = "embedding",
               tiebreak: Sequence[str] = ("importance",), carry: Sequence[str] | None = None,
-              qcarry: Sequence[str] = (), live_only: bool = True, block_rows: int = BLOCK_ROWS,
+              qcarry: Sequence[str] = (), live_only: bool = True, block_rows: int | None = BLOCK_ROWS,
               cells: int | None = None, seed: int = 7, score: str = "score",
               rank: str = "rank") -> DataFrame:
     """Per query the ``k`` rows of largest cosine of the whole table, as
@@ -194,6 +196,9 @@ def knn_cells(queries: DataFrame, memories: DataFrame, k: int, *, qid: str = "re
     # one row a ring: at most MOST_CELLS x RINGS of a length
     table = m.groupBy(DIM, F.col(RING).alias("ring")).agg(
         F.min("_angle").alias("lo"), F.max("_angle").alias("hi"), F.count(F.lit(1)).alias("n")).toPandas()
+    if block_rows is None:
+        longest = int(table[DIM].max()) if len(table) else 1
+        block_rows = max(BLOCK_ROWS, min(int(table["n"].sum()) // PACKS, PACK_NUMBERS // longest))
     rings = _packs(centres, table, block_rows)
     pack_of = spark.createDataFrame([(dim, int(r), int(p)) for dim, t in rings.items() for r, p in zip(
         t["ring"], t["pack"], strict=True)], f"{DIM} int, {RING} int, {PACK} int")
