@@ -152,48 +152,60 @@ def build_index(memories: DataFrame, path: str, *, cells: int | None = None, see
     append_index(memories, path, cells=cells, seed=seed)
 
 
-def _segments(codes: DataFrame, block_rows: int) -> tuple[DataFrame, int]:
-    """Per (tenant, length, cell): rows, angles and the pack it belongs to.  Cells of a
-    tenant in the order of the walk form packs of about ``block_rows`` rows; a pack
-    with more is dealt over ``blocks``.  Second: how many bins all packs go to."""
+def _segments(codes: DataFrame, asked: DataFrame, block_rows: int) -> tuple[DataFrame, int, int]:
+    """Per (tenant, length, cell): rows, angles, the pack it belongs to and the parts
+    that the tenant's queries are dealt over.  Cells of a tenant in the order of the walk
+    form packs of about ``block_rows`` rows; a pack with more is dealt over ``blocks``.
+    Second and third: how many bins all parts of queries, and all packs with one part, go to."""
     t = codes.groupBy("user_id", DIM, "cell").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("lo"),
                                                   F.max("angle").alias("hi"))
     w = Window.partitionBy("user_id", DIM).orderBy("cell")
     t = t.withColumn("pack", F.floor((F.sum("n").over(w) - F.col("n")) / block_rows).cast("int"))
     size = F.sum("n").over(Window.partitionBy("user_id", DIM, "pack"))
-    t = t.withColumn("blocks", F.ceil(size / block_rows).cast("int")).checkpoint()
-    return t, max(1, -(-(t.agg(F.sum("n")).first()[0] or 0) // block_rows))
+    t = t.withColumn("blocks", F.ceil(size / block_rows).cast("int"))
+    queries = asked.groupBy("user_id", DIM).agg(F.count(F.lit(1)).alias("queries"))
+    t = t.join(queries, ["user_id", DIM]).withColumn("parts", F.ceil(F.col("queries") / block_rows).cast("int"))
+    t = t.checkpoint()
+    total = t.agg(F.sum(F.col("n") * F.col("parts")).alias("rows")).first()["rows"]
+    total_asked = t.select("user_id", DIM, "queries").distinct().agg(F.sum("queries").alias("n")).first()["n"]
+    return t, max(1, -(-(total_asked or 0) // block_rows)), max(1, -(-(total or 0) // block_rows))
 
 
 def _visits(models: dict[int, Model], least: int, first: bool):
     """Per query the packs to visit and the cells that count there: those nearest that
     hold ``least`` rows (first), or all whose bound reaches the k-th score."""
-    @F.pandas_udf("array<struct<pack:int,blocks:int,cells:array<int>>>")
-    def visit(vecs: pd.Series, kth: pd.Series, cells: pd.Series, n: pd.Series, lo: pd.Series, hi: pd.Series,
-              packs: pd.Series, blocks: pd.Series) -> pd.Series:
-        out = []
-        for vec, score, cell, held, low, high, pack, parts in zip(vecs, kth, cells, n, lo, hi, packs, blocks, strict=True):
-            unit = _units([vec])[0]
-            if not np.isfinite(unit).all():
-                out.append([])
-                continue
-            a = np.arccos(np.clip(models[len(vec)].centres[cell] @ unit, -1, 1))
-            take = np.ones(len(cell), dtype=bool)
-            if first:
-                order = np.argsort(a, kind="stable")
-                take[order] = np.cumsum(held[order]) - held[order] < least
-            elif score == score and score is not None:
-                take = np.cos(np.maximum(0, np.maximum(low - a, a - high))) >= score - SLACK
-            # cells come in the order of the walk, so those of a pack are neighbours
-            at = np.flatnonzero(take)
-            runs = np.split(at, np.flatnonzero(np.diff(pack[at])) + 1) if len(at) else []
-            out.append([{"pack": int(pack[r[0]]), "blocks": int(parts[r[0]]), "cells": cell[r]} for r in runs])
-        return pd.Series(out)
-    return visit
+    keys = ["user_id", DIM, "part"]
+
+    def run(asked: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        names = ["qid", *keys, "_q_vec", "kth", "pack", "blocks", "cells"]
+        out = {c: [] for c in names}
+        tables = dict(iter(cells.sort_values("cell").groupby(keys)))
+        for key, own in asked.groupby(keys):
+            t = tables[key]
+            cell, held, low, high, pack, parts = (t[c].to_numpy() for c in ("cell", "n", "lo", "hi", "pack", "blocks"))
+            centres = models[key[1]].centres[cell]
+            for qid, vec, score in own[["qid", "_q_vec", "kth"]].itertuples(index=False):
+                unit = _units([vec])[0]
+                if not np.isfinite(unit).all():
+                    continue
+                a = np.arccos(np.clip(centres @ unit, -1, 1))
+                take = np.ones(len(cell), dtype=bool)
+                if first:
+                    order = np.argsort(a, kind="stable")
+                    take[order] = np.cumsum(held[order]) - held[order] < least
+                elif score == score and score is not None:
+                    take = np.cos(np.maximum(0, np.maximum(low - a, a - high))) >= score - SLACK
+                # cells come in the order of the walk, so those of a pack are neighbours
+                at = np.flatnonzero(take)
+                for r in np.split(at, np.flatnonzero(np.diff(pack[at])) + 1) if len(at) else []:
+                    for c, v in zip(names, (qid, *key, vec, score, pack[r[0]], parts[r[0]], cell[r]), strict=True):
+                        out[c].append(v)
+        return pd.DataFrame(out)
+    return run
 
 
 def _key(block: Column) -> Column:
-    return F.concat_ws("/", F.col(DIM), F.col("pack"), block, F.col("user_id"))
+    return F.concat_ws("/", F.col(DIM), F.col("pack"), block, F.col("part"), F.col("user_id"))
 
 
 def _by_codes(models: dict[int, Model], k: int, margin: float | None, first: bool):
@@ -264,31 +276,38 @@ def search_index(queries: DataFrame, path: str, k: int, *, qid: str = "request_i
     models = _load(spark, path)
     rows = spark.read.parquet(f"{path}/rows")
     codes = rows.drop("embedding")
-    cells, bins = _segments(codes, block_rows)
+    asked = _usable(queries).select(F.col(qid).alias("qid"), "user_id", DIM, F.col("embedding").alias("_q_vec"))
+    cells, asked_bins, bins = _segments(codes, asked, block_rows)
+    every_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
 
     def binned(df: DataFrame, block: Column) -> DataFrame:
         df = df.withColumn("seg", _key(block))
         return df.withColumn("bin", F.pmod(F.xxhash64("seg"), F.lit(bins)))
 
     def in_blocks(df: DataFrame) -> DataFrame:
-        df = df.join(cells.select("user_id", DIM, "cell", "pack", "blocks"), ["user_id", DIM, "cell"])
-        return binned(df, F.pmod(F.xxhash64("memory_id"), F.col("blocks"))).drop("user_id", DIM, "pack", "blocks")
-
-    own = cells.groupBy("user_id", DIM).agg(F.sort_array(F.collect_list(
-        F.struct("cell", "n", "lo", "hi", "pack", "blocks"))).alias("_own"))
-    asked = _usable(queries).select(F.col(qid).alias("qid"), "user_id", DIM, F.col("embedding").alias("_q_vec"))
+        df = df.join(cells.select("user_id", DIM, "cell", "pack", "blocks", "parts"), ["user_id", DIM, "cell"])
+        df = df.withColumn("part", every_part)
+        return binned(df, F.pmod(F.xxhash64("memory_id"), F.col("blocks"))).drop(
+            "user_id", DIM, "pack", "blocks", "parts", "part")
+
+    bin_ = F.pmod(F.xxhash64("user_id", DIM, "part"), F.lit(asked_bins)).alias("bin")
+    own = cells.withColumn("part", every_part).select(bin_, "user_id", DIM, "part", "cell", "n", "lo", "hi", "pack", "blocks")
+    dealt = cells.select("user_id", DIM, "parts").distinct()
     id_type = asked.schema["qid"].dataType
     left_type = T.StructType([T.StructField("qid", id_type), T.StructField("seg", T.StringType()),
                               T.StructField("at", T.ArrayType(T.IntegerType()))])
     hit_type = T.StructType([T.StructField("qid", id_type), rows.schema["memory_id"], rows.schema["importance"],
                              T.StructField("score", T.DoubleType())])
+    visit_type = T.StructType([
+        T.StructField("qid", id_type), asked.schema["user_id"], asked.schema[DIM], T.StructField("part", T.IntegerType()),
+        asked.schema["_q_vec"], T.StructField("kth", T.DoubleType()), T.StructField("pack", T.IntegerType()),
+        T.StructField("blocks", T.IntegerType()), T.StructField("cells", T.ArrayType(T.IntegerType()))])
     best = F.row_number().over(Window.partitionBy("qid").orderBy(*_order("score", ["importance"], "memory_id")))
 
     def probe(q: DataFrame, first: bool) -> DataFrame:
-        visit = _visits(models, PROBE * k, first)
-        q = q.join(own, ["user_id", DIM])
-        parts = [F.col(f"_own.{c}") for c in ("cell", "n", "lo", "hi", "pack", "blocks")]
-        q = q.withColumn("_v", F.explode(visit("_q_vec", "kth", *parts))).select("qid", "user_id", DIM, "_q_vec", "kth", "_v.*")
+        q = q.join(dealt, ["user_id", DIM]).withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts")).cast("int"))
+        q = q.select(bin_, "qid", "user_id", DIM, "part", "_q_vec", "kth").groupBy("bin").cogroup(
+            own.groupBy("bin")).applyInPandas(_visits(models, PROBE * k, first), visit_type)
         q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         q = binned(q, F.col("block")).select("bin", "seg", DIM, "qid", "_q_vec", "kth", "cells")
         left = q.groupBy("bin").cogroup(in_blocks(codes).groupBy("bin")).applyInPandas(
