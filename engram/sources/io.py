@@ -237,11 +237,18 @@ def seed_if_absent(memories: DataFrame, seeds: DataFrame, order: str | None = No
     return once.unionByName(new.where(F.col(text).isNull()))
 
 
-def export_user_memories(memories: DataFrame, users: DataFrame, path: str) -> DataFrame:
+#: Rows that one task writes of a user.
+EXPORT_ROWS = 1 << 14
+
+
+def export_user_memories(memories: DataFrame, users: DataFrame, path: str, part_rows: int = EXPORT_ROWS) -> DataFrame:
     """All rows (deleted ones too) of the given users, written as JSON lines
-    partitioned by user; returns the exported rows."""
+    partitioned by user; returns the exported rows.  A user's rows are dealt by
+    their ids over files of about ``part_rows``."""
     rows = memories.join(users.select("user_id").distinct(), "user_id", "left_semi")
-    rows.repartition("user_id").write.mode("overwrite").partitionBy("user_id").json(path)
+    parts = rows.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("_parts"))
+    dealt = memories.join(parts, "user_id").withColumn("_part", F.pmod(F.xxhash64("memory_id"), F.col("_parts")))
+    dealt.repartition("user_id", "_part").drop("_part", "_parts").write.mode("overwrite").partitionBy("user_id").json(path)
     return rows
 
 
