@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 import uuid
 
 from pyspark.sql import functions as F
@@ -81,3 +84,20 @@ def test_metrics_and_access_counts_of_a_dealt_table(spark, tmp_path):
         cols = [c for c in query(spark, SF).columns if not c.startswith(("avg", "p95"))]
         want = sorted(map(tuple, query(spark, SF).select(cols).collect()))
         assert want and sorted(map(tuple, query(spark, folder).select(cols).collect())) == want
+
+
+def test_working_memory_where_only_the_driver_program_knows_the_package(spark, tmp_path):
+    # the Python process that Spark starts beside the driver's JVM has neither PYTHONPATH nor the caller's sys.path
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from engram.plans.q_stream import q_stream_working_memory
+from engram.session import get_spark
+spark = get_spark("local[2]", shuffle_partitions=2)
+print("ROWS", q_stream_working_memory(spark, {SF!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    env["ENGRAM_DRIVER_MEMORY"] = "2g"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert f"ROWS {td.items(spark, SF).select('session_id', 'item_id').distinct().count()}" in out.stdout, out.stderr[-2000:]
