@@ -2,12 +2,15 @@
 functions and Spark's own ML only.
 
 Every paragraph (line) of every text is classified by multinomial logistic
-regression over hashed word 1- and 2-grams into a licence family or "unknown".
-The model learns from the templates below, cut and framed in several ways, and
-from a bounded sample of the corpus's own paragraphs as the unknown class.  The
-score from which a family counts is calibrated on other paragraphs of the
-corpus.  A prediction is confirmed by comparing the paragraph with the
-templates of its family.
+regression over word 2-grams and key words of the notices into a licence family
+or "unknown".  The model learns from the templates below, cut and framed in
+several ways, and from all paragraphs of the corpus as the unknown class; the
+score from which a family counts is calibrated on all of them too.  Paragraphs
+with the same terms are alike to the model, so each set of terms that the corpus
+holds is one row, weighted by the number of its paragraphs: as many iterations
+as the model needs read that table, and the corpus is read once to count it.  A
+prediction is confirmed by comparing the paragraph with the templates of its
+family.
 
 A notice wrapped over lines or inside a long line is no paragraph of its own.
 Overlapping windows of words over the whole text, whatever its line ends and
@@ -21,7 +24,7 @@ from __future__ import annotations
 import re
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,13 +109,12 @@ NEGATIVES = (
     "The public library is free of charge to any person.", "The commons were open to the general public.",
     "He works under the general manager of the file archive.", "This work is what the author was known for.",
 )
-FEATURES = 1 << 13
-SAMPLE_TEXTS = 600                       # documents that give paragraphs of the unknown class
+#: Rows of the training table that one task holds.
+SET_ROWS = 1 << 16
 FALSE_RATE = 0.0005                      # share of unknown paragraphs that may reach the calibrated score
 CONFIRMED = 0.6                          # share of a template's word pairs that a paragraph must hold
 #: Windows: words, and words from one to the next.  A run of up to words - step + 1 words is whole in one of them.
 WINDOWS = ((12, 4), (24, 8), (48, 16))
-SEED = 3
 
 
 def paragraphs(text: Column) -> Column:
@@ -131,12 +133,6 @@ def pairs(w: Column) -> Column:
     return F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat_ws(" ", a, b))
 
 
-def _features(df: DataFrame, text: str) -> DataFrame:
-    df = df.withColumn("_w", words(F.col(text)))
-    df = df.withColumn("_terms", F.concat("_w", pairs(F.col("_w"))))
-    return HashingTF(numFeatures=FEATURES, binary=True, inputCol="_terms", outputCol="features").transform(df)
-
-
 def _template_pairs(template: str) -> list[str]:
     w = re.findall(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*", template.lower())
     return sorted(set(map(" ".join, zip(w, w[1:], strict=False))))
@@ -157,6 +153,23 @@ def _keys(templates: list[str]) -> list[str]:
     return sorted(keys)
 
 
+def _vocabulary() -> list[str]:
+    """The terms that the model knows: pairs of the framed templates and of the
+    negatives, and the templates' key words."""
+    texts = [f.format(t) for ts in TEMPLATES.values() for t in ts for f in FRAMES]
+    return sorted({p for t in [*texts, *NEGATIVES] for p in _template_pairs(t)}
+                  | set(_keys([t for ts in TEMPLATES.values() for t in ts])))
+
+
+VOCABULARY = _vocabulary()
+
+
+def terms(w: Column) -> Column:
+    """The set of those words and pairs that the model knows, in order; null has none."""
+    found = F.filter(F.concat(w, pairs(w)), lambda x: x.isin(VOCABULARY))
+    return F.coalesce(F.array_sort(F.array_distinct(found)), F.array().cast("array<string>"))
+
+
 def _fitting() -> list[tuple[int, int, list[tuple[str, str]]]]:
     """The windows, each with the (family, template) that fit it and no smaller one."""
     left = [(f, t) for f, ts in TEMPLATES.items() for t in ts]
@@ -196,24 +209,30 @@ def _spans(df: DataFrame) -> DataFrame:
                   lambda i: i.isNotNull())
     df = df.withColumn("_at", at)
     span = F.slice("words", F.array_min("_at"), F.array_max("_at") - F.array_min("_at") + 2)
-    return df.withColumn("_text", F.coalesce("paragraph", F.array_join(span, " "), F.lit(""))).drop("_own", "_best", "_at")
+    return df.withColumn("words", F.when(F.col("kind") > 0, span).otherwise(F.col("words"))).drop("_own", "_best", "_at")
 
 
 def likeness(own: Column, family: str) -> Column:
     """The largest share of a template's word pairs that are among ``own`` (the
-    word pairs of a paragraph), over the templates of a family."""
+    word pairs of a paragraph, or its terms), over the templates of a family."""
     shares = [F.size(F.array_intersect(own, F.array(*map(F.lit, p)))) / len(p)
               for p in map(_template_pairs, TEMPLATES[family])]
     return F.greatest(*shares, F.lit(0.0))
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[LogisticRegressionModel, float, list]:
+def term_sets(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(terms, n): each set of terms that paragraphs of the corpus have, and how many have it."""
+    p = docs.select(F.explode(paragraphs(F.col(text))).alias("p")).select(words(F.col("p")).alias("w"))
+    return p.select(terms(F.col("w")).alias("terms")).groupBy("terms").agg(F.count(F.lit(1)).alias("n"))
+
+
+def train(docs: DataFrame, text: str = "text") -> tuple[LogisticRegressionModel, float, list]:
     """The model, the calibrated least score, and the families by index.
 
     Positive: every template, whole and without its first or last words, in every
-    frame.  Unknown: NEGATIVES and the paragraphs of the SAMPLE_TEXTS documents
-    with the lowest hashes of id and text, but for those that look like a template; one half is
-    learned from, the other calibrates the score."""
+    frame.  Unknown: NEGATIVES and all paragraphs of the corpus, but for those that
+    look like a template.  The least score is one that no more than FALSE_RATE of
+    these paragraphs reach."""
     spark = docs.sparkSession
     families = [UNKNOWN, *sorted(TEMPLATES)]
     index = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")) - 1
@@ -225,39 +244,37 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
                    F.when(n > 9, part(F.lit(3), n - 4)))
     known = t.select("family", F.explode(cuts).alias("cut")).where("cut IS NOT NULL").select("family", F.explode(
         F.array(*[F.concat(F.lit(f.split("{}")[0]), F.col("cut"), F.lit(f.split("{}")[1])) for f in FRAMES])).alias("p"))
-    # the hashes alone are ranked; the texts below the last of them never leave the scan
-    sample = docs.where(F.col(text).isNotNull()).select(F.xxhash64(F.lit(SEED), doc_id, text).alias("h"),
-                                                        F.col(text).alias("t"))
-    last = sample.select("h").distinct().orderBy("h").limit(SAMPLE_TEXTS).agg(F.max("h").alias("h")).first()["h"]
-    # rows that repeat id and text are one row of the sample
-    sample = sample.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"]).select(
-        "h", F.explode(paragraphs(F.col("t"))).alias("p"))
-    sample = sample.withColumn("_w", words(F.col("p"))).withColumn("_own", pairs(F.col("_w")))
-    sample = sample.where(F.greatest(*[likeness(F.col("_own"), f) for f in TEMPLATES]) < 0.4).select(
-        "p", F.pmod(F.xxhash64("h", "p"), F.lit(2)).alias("half"))
-    sample = written(sample, "license-sample")
-    none = sample.where("half = 0").select(F.lit(UNKNOWN).alias("family"), "p").unionByName(
-        spark.range(1).select(F.lit(UNKNOWN).alias("family"), F.explode(F.array(*map(F.lit, NEGATIVES))).alias("p")))
-    rows = known.unionByName(none).withColumn("label", index.cast("double"))
-    rows = written(_features(rows, "p").select("label", "features", "family", F.xxhash64("p").alias("h")),
-                   "license-train")
-    counts = {r["family"]: r["n"] for r in rows.groupBy("family").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = known.unionByName(spark.range(1).select(
+        F.lit(UNKNOWN).alias("family"), F.explode(F.array(*map(F.lit, NEGATIVES))).alias("p")))
+    known = known.withColumn("w", words(F.col("p"))).select("family", terms(F.col("w")).alias("terms"), F.lit(1).cast("long").alias("n"))
+    # written first: a condition on the sets would be put to every paragraph
+    corpus = written(term_sets(docs, text), "license-sets")
+    corpus = corpus.where(F.greatest(*[likeness(F.col("terms"), f) for f in TEMPLATES]) < 0.4)
+    rows = known.unionByName(corpus.select(F.lit(UNKNOWN).alias("family"), "terms", "n"))
+    counts = {r["family"]: r for r in rows.groupBy("family").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("sets")).collect()}
     weight = F.lit(1.0)
     for f, c in counts.items():
-        weight = F.when(F.col("family") == f, F.lit(200.0 * (4 if f == UNKNOWN else 1) / c)).otherwise(weight)
-    # one partition of a few thousand rows: the order of the sums is the same in a rerun
-    rows = rows.withColumn("weight", weight).orderBy("label", "h").coalesce(1)
+        weight = F.when(F.col("family") == f, 200.0 * (4 if f == UNKNOWN else 1) / c["n"] * F.col("n")).otherwise(weight)
+    # in order, and one task unless there are very many sets: the sums of a rerun are the same
+    tasks = 1 + sum(c["sets"] for c in counts.values()) // SET_ROWS
+    rows = _features(rows.select(index.cast("double").alias("label"), "terms", weight.alias("weight")), "terms")
+    rows = rows.orderBy("label", "terms").coalesce(tasks)
     model = LogisticRegression(maxIter=60, regParam=0.002, family="multinomial", weightCol="weight",
                                aggregationDepth=2).fit(rows)
-    held = classify(sample.where("half = 1"), "p", model, families)
-    top = held.select(F.when(F.col("family") == UNKNOWN, 0.0).otherwise(F.col("score")).alias("s")).agg(
-        F.percentile("s", F.lit(1 - FALSE_RATE)).alias("s")).first()["s"]
+    held = classify(corpus, "terms", model, families)
+    top = held.select("n", F.when(F.col("family") == UNKNOWN, 0.0).otherwise(F.col("score")).alias("s")).agg(
+        F.percentile("s", F.lit(1 - FALSE_RATE), F.col("n")).alias("s")).first()["s"]
     return model, max(0.5, float(top or 0.0)), families
 
 
-def classify(df: DataFrame, text: str, model: LogisticRegressionModel, families: list) -> DataFrame:
-    """Adds family (the likeliest) and score (its probability) of a paragraph."""
-    out = model.transform(_features(df, text)).withColumn("_p", vector_to_array("probability"))
+def _features(df: DataFrame, of: str) -> DataFrame:
+    return CountVectorizerModel.from_vocabulary(VOCABULARY, inputCol=of, outputCol="features").transform(df)
+
+
+def classify(df: DataFrame, of: str, model: LogisticRegressionModel, families: list) -> DataFrame:
+    """Adds family (the likeliest) and score (its probability) of a paragraph with the terms ``of``."""
+    out = model.transform(_features(df, of)).withColumn("_p", vector_to_array("probability"))
     return out.withColumn("family", F.element_at(F.array(*map(F.lit, families)), (F.col("prediction") + 1).cast("int"))) \
               .withColumn("score", F.array_max("_p")).select(*df.columns, "family", "score")
 
@@ -266,20 +283,22 @@ def _units(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The paragraphs of :func:`scan_paragraphs` (kind 0) and the windows that
     hold enough of a template (kind 1 and above, without a paragraph), both
     classified and compared."""
-    model, least, families = train(docs, doc_id, text)
-    p = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"),
-                    paragraphs(F.col(text)).alias("_lines"), words(F.col(text)).alias("_words"))
-    lines = F.transform("_lines", lambda x: F.struct(F.lit(0).alias("kind"), x.alias("paragraph"),
-                                                     F.lit(None).cast("array<string>").alias("words")))
-    p = p.select("row", "doc_id", F.posexplode_outer(F.concat(lines, _windows(F.col("_words")))).alias("place", "u"))
+    model, least, families = train(docs, text)
+    # no word goes over a line end, so the words of the lines are those of the text
+    lines = F.transform(paragraphs(F.col(text)), lambda x: F.struct(
+        F.lit(0).alias("kind"), x.alias("paragraph"), words(x).alias("words")))
+    p = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), lines.alias("_lines"))
+    p = p.withColumn("_words", F.flatten(F.col("_lines")["words"]))
+    p = p.select("row", "doc_id", F.posexplode_outer(F.concat("_lines", _windows(F.col("_words")))).alias("place", "u"))
     p = p.select("row", "doc_id", "place", "u.kind", "u.paragraph", "u.words")
-    p = classify(_spans(p), "_text", model, families)
+    p = _spans(p)
+    p = classify(p.withColumn("_terms", terms(F.col("words"))), "_terms", model, families)
     there = F.col("paragraph").isNotNull() | (F.col("kind") > 0)
     p = p.withColumn("family", F.when(there & (F.col("score") >= least), F.col("family")).otherwise(F.lit(UNKNOWN)))
     best = F.lit(0.0)
     for f in TEMPLATES:
-        best = F.when(F.col("family") == f, likeness(pairs(words(F.col("_text"))), f)).otherwise(best)
-    return p.withColumn("likeness", best).withColumn("confirmed", F.col("likeness") >= CONFIRMED).drop("words", "_text")
+        best = F.when(F.col("family") == f, likeness(F.col("_terms"), f)).otherwise(best)
+    return p.withColumn("likeness", best).withColumn("confirmed", F.col("likeness") >= CONFIRMED).drop("words", "_terms")
 
 
 def scan_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

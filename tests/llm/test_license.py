@@ -1,6 +1,8 @@
 """License scans: planted notices, texts that only talk of licences, odd rows."""
 
 import random
+import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -80,3 +82,24 @@ def test_likeness_is_the_share_of_word_pairs(spark):
     got = [r["s"] for r in spark.createDataFrame(rows, "p string").select(
         license.likeness(F.coalesce(own, F.array().cast("array<string>")), "mit").alias("s")).collect()]
     assert got == [1.0, 0.5, 0.0, 0.0]
+
+
+def test_the_unknown_class_is_every_paragraph_of_the_corpus(spark, monkeypatch):
+    rnd = random.Random(4)
+    some = ["of the", "in the", "public license", "warranty", "released under", "this is free"]
+    line = lambda i: " ".join([f"w{rnd.randint(0, 99)}", *rnd.sample(some, i % 4), f"w{i}"])
+    rows = [(i, "\n".join(line(i + k) for k in range(i % 3)) if i % 50 else None) for i in range(1500)]
+    rows.append((1500, "Released under the MIT License."))
+    w = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
+
+    def brute(p):
+        x = w.findall(p.lower())
+        return tuple(sorted({t for t in [*x, *map(" ".join, zip(x, x[1:], strict=False))] if t in license.VOCABULARY}))
+
+    want = Counter(brute(p) for _, t in rows for p in (t or "").split("\n") if p.strip(" "))
+    learned = {}
+    keep = license.written
+    monkeypatch.setattr(license, "written", lambda df, name: learned.setdefault(name, keep(df, name)))
+    license.train(spark.createDataFrame(rows, SCHEMA))
+    got = {tuple(r["terms"]): r["n"] for r in learned["license-sets"].collect()}
+    assert got == want and sum(got.values()) == sum(len(t.split("\n")) for _, t in rows if t)
