@@ -256,26 +256,38 @@ def _pairs(lists: DataFrame, threshold: tuple[int, int], labelled: bool, most_ea
 
 # -------------------------------------------------------------------- Spark
 
+def _runs(held: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a sorted array that it has ``least`` times or more, with their counts."""
+    head = held[: max(0, len(held) - least + 1)] == held[least - 1:]  # at least so many from here on
+    head[1:] &= held[1: len(head)] != held[: max(0, len(head) - 1)]
+    at = np.flatnonzero(head)
+    return held[at], np.searchsorted(held, held[at], side="right") - at
+
+
 def _frequent(docs: DataFrame, words: int) -> Orders:
     """Counts tokens over all documents and keeps the most frequent for the
     orders (at most FREQUENT, whatever the corpus).  A task reports the tokens
     that it has seen REPORTED times in a portion; rarer ones stay unranked."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher, held, size = SpanHasher(), [], 0
+        hasher, held, size = SpanHasher(), np.empty(PORTION, dtype=_U), 0
 
         def report() -> pd.DataFrame:
-            token, count = np.unique(np.concatenate(held), return_counts=True)
-            often = count >= REPORTED
-            return pd.DataFrame({"token": token[often].view(np.int64), "n": count[often]})
+            held[:size].sort()                                   # in its place: a portion is held once
+            token, count = _runs(held[:size], REPORTED)
+            return pd.DataFrame({"token": token.view(np.int64), "n": count})
 
         for pdf in batches:
             for s in shingle_sets(pdf["text"].tolist(), words, hasher):
-                held.append(s)
-                size += len(s)
-                if size >= PORTION:
-                    yield report()
-                    held, size = [], 0
-        if held:
+                at = 0
+                while at < len(s):
+                    some = s[at:at + PORTION - size]
+                    held[size:size + len(some)] = some
+                    size += len(some)
+                    at += len(some)
+                    if size == PORTION:
+                        yield report()
+                        size = 0
+        if size:
             yield report()
 
     top = docs.select("text").mapInPandas(run, "token long, n long").groupBy("token").agg(

@@ -26,7 +26,7 @@ WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 16, 4
 TEXTS_PER_LANGUAGE, WINDOWS_PER_TEXT = 1000, 4
 EPOCHS, BATCH, STEP = 4, 128, 0.01
 #: Windows that go through the network together.
-WINDOWS_AT_ONCE = 2048
+WINDOWS_AT_ONCE = 512
 UNDETERMINED = "und"
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -127,3 +128,33 @@ def test_parities_never_exceed_the_difference():
         apart = len(np.setxor1d(a, b))
         assert jaccard.parity_distance(jaccard.parity_row(a), jaccard.parity_row(b)) <= apart
         assert jaccard.parity_distance(jaccard.parity_row(a), jaccard.parity_row(a)) == 0
+
+
+def test_values_of_a_portion_that_are_frequent():
+    rnd = np.random.default_rng(6)
+    for n in (0, 1, 2, 3, 7, 5000):
+        held = np.sort(rnd.integers(0, max(1, n // 3), n).astype(np.uint64))
+        value, count = np.unique(held, return_counts=True)
+        got = jaccard._runs(held, 3)
+        assert got[0].tolist() == value[count >= 3].tolist() and got[1].tolist() == count[count >= 3].tolist()
+    held = np.sort(rnd.integers(0, 1 << 62, 1 << 20).astype(np.uint64))
+    tracemalloc.start()
+    try:
+        jaccard._runs(held, 3)
+        assert tracemalloc.get_traced_memory()[1] < held.nbytes // 2
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("portion", [5, 64, 1 << 22])
+def test_portions_of_tokens(spark, monkeypatch, portion):
+    monkeypatch.setattr(jaccard, "PORTION", portion)
+    monkeypatch.setattr(jaccard, "REPORTED", 1)
+    texts = [" ".join(f"w{(i * j) % 7}" for j in range(i)) for i in range(20)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    orders = jaccard._frequent(docs, 2)
+    sets = list(jaccard.shingle_sets(texts, 2, SpanHasher()))
+    token, count = np.unique(np.concatenate(sets), return_counts=True)
+    assert orders.last.tolist() == token.tolist()
+    by_rank = count[np.argsort(orders.ranks)]
+    assert (np.diff(by_rank) >= 0).all()

@@ -1,5 +1,6 @@
 """Language identification: held-out accuracy and odd rows."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -79,3 +80,14 @@ def test_sample_is_bounded(spark, monkeypatch):
     assert seen.pop() <= langid.WINDOWS_PER_TEXT
     langid.train(same.withColumn("text", F.concat("text", F.col("doc_id").cast("string"), F.rand(3).cast("string"))))
     assert seen.pop() <= 50 * 2 * langid.WINDOWS_PER_TEXT
+
+
+def test_memory_of_the_network():
+    windows = np.zeros((langid.LENGTH, langid.WINDOWS_AT_ONCE), dtype=np.uint8)
+    net = langid.ByteCNN(["a", "b"])
+    tracemalloc.start()
+    try:
+        net.predict(windows)
+        assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    finally:
+        tracemalloc.stop()

@@ -2,13 +2,15 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from engram.llm import suffix
+from engram.llm import common, suffix
+from engram.llm.bpe import SpanHasher
 
 SCHEMA = "doc_id long, text string"
 
@@ -101,3 +103,40 @@ def test_places_are_packed_without_loss():
     pos, back, ahead = np.array([0, 5, 2 ** 31]), np.array([0, 5, 399]), np.array([0, 399, 16000])
     got = suffix.unpacked(suffix.packed(pos, pos - back, pos - back + ahead))
     assert [x.tolist() for x in got] == [x.tolist() for x in (pos, pos - back, pos - back + ahead)]
+
+
+def test_texts_are_cut_in_small_batches(spark, monkeypatch):
+    seen, before = {}, common.written
+
+    def written(df, name, texts=False):
+        seen[name] = texts
+        return before(df, name, texts)
+
+    monkeypatch.setattr(common, "written", written)
+    p = "".join(chr(97 + i * 7 % 26) for i in range(450))
+    rows = [(1, "one " + p), (2, "two " + p), (3, "clean")]
+    got = {r["doc_id"]: r["text"] for r in suffix.without_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[3] == "clean" and len(got[1]) < 20 and len(got[2]) < 20
+    assert seen["cuts"]
+
+
+def test_batches_of_a_settled_table(spark):
+    def sizes(batches):
+        for pdf in batches:
+            yield pdf.iloc[:1].assign(id=len(pdf))
+
+    ids = spark.range(0, 3 * common.TEXT_ROWS, 1, 1)
+    got = common.settled(spark, lambda: ids.mapInPandas(sizes, "id long"), "sizes", texts=True)
+    assert [r["id"] for r in got.collect()] == [common.TEXT_ROWS] * 3
+
+
+def test_memory_of_the_anchors():
+    rnd = np.random.default_rng(4)
+    raw = [bytes(rnd.integers(97, 123, 20_000, dtype=np.uint8)) for _ in range(100)]
+    tracemalloc.start()
+    try:
+        for _ in suffix.anchors(raw, SpanHasher()):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 32 << 20
+    finally:
+        tracemalloc.stop()
