@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .common import written
 
 
+def _state(e: DataFrame) -> tuple:
+    """Number and digest of some edges."""
+    return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node
     of its component.
@@ -20,22 +25,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = written(e, "edges")
     nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
-    state = None
+    state = _state(e)
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # no more rows than edges, so what repeats may wait for the end of the round
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         e = written(small, "edges")
         # stars that stay as they are have their centres smallest: done
-        now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == (now["n"], now["h"]):
+        before, state = state, _state(e)
+        if state == before:
             break
-        state = (now["n"], now["h"])
     else:
         raise RuntimeError(f"components not found within {rounds} rounds")
     return nodes.join(e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")), "node", "left").select(

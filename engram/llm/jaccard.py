@@ -443,26 +443,37 @@ def similar_components(docs: DataFrame, words: int = WORDS, threshold: tuple[int
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = written(_close(pairs, classes, threshold), "pairs")
+        if pairs.isEmpty():
+            return pairs
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(
             classes.select("cid", "k", "s1", "s2"), "cid")
         sets = written(_sets(base, words, wanted), "sets", texts=True)
         return written(_verified(pairs, sets, threshold), "links")
 
     links = linked(_pairs(lists, threshold, labelled=False))
-    roots = components(links)
+    roots = written(components(links), "roots")
     # long lists, with a wider row of parities: first a few pairs of each row, then all that still lie apart
     long = lists.where(F.col("size") > SHORT).drop("bits")
     wide = classes.select("cid", F.concat(F.substring("bits", 1, 2 * SETS // 8), "wide").alias("bits"))
+    now = None
+    # a step that finds nothing leaves nothing to the next ones: the driver does not plan them
     for most_each in (4, None):
-        now = long.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn(
-            "label", F.coalesce("root", "cid")).drop("root")
-        mixed = now.groupBy("token").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("token")
-        # bits are fetched for the rows that are left
-        now = now.join(mixed, "token", "left_semi").join(wide, "cid")
+        if now is None:
+            now = long.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn(
+                "label", F.coalesce("root", "cid")).drop("root")
+            mixed = written(now.groupBy("token").agg((F.min("label") != F.max("label")).alias("mixed")).where(
+                "mixed").select("token"), "mixed")
+            if mixed.isEmpty():
+                break
+            # bits are fetched for the rows that are left
+            now = now.join(mixed, "token", "left_semi").join(wide, "cid")
         more = linked(_pairs(now, threshold, labelled=True, most_each=most_each))
+        if more.isEmpty():
+            continue
         # links within what is known are stars already
         known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = written(components(known.unionByName(more)), "roots")
+        now = None
 
     named = classes.select("cid", "s1", "s2", "n", "id").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
     named = named.withColumn("root", F.coalesce("root", "cid"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from engram.llm import jaccard
+from engram.llm import common, graph, jaccard
 from engram.llm.bpe import SpanHasher
 from engram.llm.graph import components
 
@@ -158,3 +158,23 @@ def test_portions_of_tokens(spark, monkeypatch, portion):
     assert orders.last.tolist() == token.tolist()
     by_rank = count[np.argsort(orders.ranks)]
     assert (np.diff(by_rank) >= 0).all()
+
+
+def test_steps_without_anything_to_find_are_not_planned(spark, monkeypatch):
+    """Each planned exchange costs the driver memory."""
+    rounds = []
+    monkeypatch.setattr(jaccard, "components", lambda edges: rounds.append(1) or components(edges))
+    line = " ".join(f"common{i}" for i in range(8))          # a long list whose rows are not similar
+    far = [(i, " ".join(f"w{i}x{j}" for j in range(30)) + " " + line) for i in range(20)]
+    near = [(100, " ".join(f"n{j}" for j in range(60))), (101, " ".join(f"n{j}" for j in range(59)))]
+    got = jaccard.similar_components(spark.createDataFrame(far + near, SCHEMA)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(far + near, 5, 4, 5)
+    assert len(rounds) == 1
+
+
+def test_stars_take_one_round(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(graph, "written", lambda df, name: tables.append(name) or common.written(df, name))
+    edges = spark.createDataFrame([(1, 2), (1, 3), (4, 9), (9, 4)], "a long, b long")
+    assert sorted(map(tuple, components(edges).collect())) == [(1, 1), (2, 1), (3, 1), (4, 4), (9, 4)]
+    assert len(tables) == 2
