@@ -6,8 +6,9 @@ length of what the code leaves out; ``append_index`` adds rows by the same model
 ``search_index`` reads codes first.  A first probe of the nearest cells gives each
 query a k-th score; then all cells of the tenant whose angle bound reaches it are
 scored by codes, and only rows whose estimate plus margin reaches it are scored on
-their own vectors.  Pairs never become rows: survivors travel as lists of positions
-in a block, so a large group of near copies costs numpy time and no shuffle.
+their own vectors, in the same task.  Pairs never become rows, and what the codes leave is
+never written: a block gives back the best rows of a query, so unstructured vectors or a
+large group of near copies cost numpy time and no shuffle.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ BOOK_SAMPLE = 16384
 MARGIN = 5.0
 #: Rows that the first probe of a query holds at least, as a multiple of k.
 PROBE = 8
+#: Parts of queries that meet a block together, as its rows are sent once for each meeting.
+WIDE = 4
 
 
 class Model:
@@ -154,9 +157,10 @@ def build_index(memories: DataFrame, path: str, *, cells: int | None = None, see
 
 def _segments(codes: DataFrame, asked: DataFrame, block_rows: int) -> tuple[DataFrame, int, int]:
     """Per (tenant, length, cell): rows, angles, the pack it belongs to and the parts
-    that the tenant's queries are dealt over.  Cells of a tenant in the order of the walk
-    form packs of about ``block_rows`` rows; a pack with more is dealt over ``blocks``.
-    Second and third: how many bins all parts of queries, and all packs with one part, go to."""
+    that the tenant's queries are dealt over, WIDE of which meet a block together.  Cells of
+    a tenant in the order of the walk form packs of about ``block_rows`` rows; a pack with
+    more is dealt over ``blocks``.  Second and third: how many bins all parts of queries, and
+    all packs with the parts that they meet together, go to."""
     t = codes.groupBy("user_id", DIM, "cell").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("lo"),
                                                   F.max("angle").alias("hi"))
     w = Window.partitionBy("user_id", DIM).orderBy("cell")
@@ -165,8 +169,8 @@ def _segments(codes: DataFrame, asked: DataFrame, block_rows: int) -> tuple[Data
     t = t.withColumn("blocks", F.ceil(size / block_rows).cast("int"))
     queries = asked.groupBy("user_id", DIM).agg(F.count(F.lit(1)).alias("queries"))
     t = t.join(queries, ["user_id", DIM]).withColumn("parts", F.ceil(F.col("queries") / block_rows).cast("int"))
-    t = t.checkpoint()
-    total = t.agg(F.sum(F.col("n") * F.col("parts")).alias("rows")).first()["rows"]
+    t = t.withColumn("wide", F.ceil(F.col("parts") / WIDE).cast("int")).checkpoint()
+    total = t.agg(F.sum(F.col("n") * F.col("wide")).alias("rows")).first()["rows"]
     total_asked = t.select("user_id", DIM, "queries").distinct().agg(F.sum("queries").alias("n")).first()["n"]
     return t, max(1, -(-(total_asked or 0) // block_rows)), max(1, -(-(total or 0) // block_rows))
 
@@ -208,59 +212,51 @@ def _key(block: Column) -> Column:
     return F.concat_ws("/", F.col(DIM), F.col("pack"), block, F.col("part"), F.col("user_id"))
 
 
-def _by_codes(models: dict[int, Model], k: int, margin: float | None, first: bool):
-    """Positions (in a block, by memory id) of the rows that a query's codes leave: in
-    the first probe the ``k`` best estimates, else all that may reach the k-th score."""
-    def run(asked: pd.DataFrame, codes: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        blocks = dict(iter(codes.sort_values("memory_id").groupby("seg")))
+def _hits(models: dict[int, Model], k: int, margin: float | None, first: bool):
+    """The ``k`` best rows of each query in a block, by their vectors, among those that
+    its codes leave: in the first probe the ``k`` best estimates, else all that may reach
+    the k-th score.  What the codes leave never goes out of the task."""
+    def run(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        names = ["qid", "memory_id", "importance", "score"]
+        out = {c: [] for c in names}
+        blocks = dict(iter(rows.sort_values("memory_id").groupby("seg")))
         for seg, own in asked.groupby("seg"):
-            rows = blocks.get(seg)
-            if rows is None:
+            block = blocks.get(seg)
+            if block is None:
                 continue
             dim = int(own[DIM].iloc[0])
-            cell = rows["cell"].to_numpy()
-            x = models[dim].decode(cell, np.stack([np.frombuffer(c, dtype=np.uint8) for c in rows["code"]]))
-            slack = rows["rest"].to_numpy() * (1.0 if margin is None else min(1.0, margin / dim ** 0.5))
+            cell = block["cell"].to_numpy()
+            x = models[dim].decode(cell, np.stack([np.frombuffer(c, dtype=np.uint8) for c in block["code"]]))
+            slack = block["rest"].to_numpy() * (1.0 if margin is None else min(1.0, margin / dim ** 0.5))
+            v = np.stack(block["embedding"]).astype(np.float64)
+            size = np.sqrt((v * v).sum(axis=1))
+            ids, importance = block["memory_id"].to_numpy(), block["importance"].to_numpy(dtype=np.float64)
+            worth = np.where(np.isnan(importance), np.inf, -importance)
             for i in range(0, len(own), QUERY_CHUNK):
                 part = own.iloc[i:i + QUERY_CHUNK]
                 guess = _units(part["_q_vec"]) @ x.T
-                for (qid, kth, cells), g in zip(part[["qid", "kth", "cells"]].itertuples(index=False), guess, strict=True):
+                for (qid, q, kth, cells), g in zip(part[["qid", "_q_vec", "kth", "cells"]].itertuples(index=False), guess,
+                                                   strict=True):
+                    known = kth == kth and kth is not None
                     counts = np.zeros(len(models[dim].centres), dtype=bool)
                     counts[cells] = True
                     at = np.flatnonzero(counts[cell])
                     if first:
                         at = at[np.argsort(-g[at], kind="stable")[:k]]
-                    elif kth == kth and kth is not None:
+                    elif known:
                         at = at[g[at] + slack[at] >= kth - SLACK]
-                    if len(at):
-                        out.append((qid, seg, at.astype(np.int32)))
-        return pd.DataFrame(out, columns=["qid", "seg", "at"])
-    return run
-
-
-def _by_vectors(k: int):
-    """The ``k`` best rows of each query among the positions left, by their vectors."""
-    def run(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        names = ["qid", "memory_id", "importance", "score"]
-        out = {c: [] for c in names}
-        blocks = dict(iter(rows.sort_values("memory_id").groupby("seg")))
-        for seg, own in asked.groupby("seg"):
-            block = blocks[seg]
-            v = np.stack(block["embedding"]).astype(np.float64)
-            size = np.sqrt((v * v).sum(axis=1))
-            ids, importance = block["memory_id"].to_numpy(), block["importance"].to_numpy(dtype=np.float64)
-            worth = np.where(np.isnan(importance), np.inf, -importance)
-            for qid, q, at in own[["qid", "_q_vec", "at"]].itertuples(index=False):
-                q = np.asarray(q, dtype=np.float64)
-                score = (v[at] @ q) / (size[at] * np.sqrt((q * q).sum()))
-                best = np.lexsort((at, worth[at], -score))[:k]
-                out["qid"] += [qid] * len(best)
-                out["memory_id"].append(ids[at[best]])
-                out["importance"].append(importance[at[best]])
-                out["score"].append(score[best])
+                    q = np.asarray(q, dtype=np.float64)
+                    score = (v[at] @ q) / (size[at] * np.sqrt((q * q).sum()))
+                    if known:       # the first probe has k rows at the k-th score or above
+                        reach = score >= kth - SLACK
+                        at, score = at[reach], score[reach]
+                    best = np.lexsort((at, worth[at], -score))[:k]
+                    out["qid"] += [qid] * len(best)
+                    out["memory_id"].append(ids[at[best]])
+                    out["importance"].append(importance[at[best]])
+                    out["score"].append(score[best])
         if not out["qid"]:
-            return pd.DataFrame(out).astype({"importance": float, "score": float})
+            return pd.DataFrame({c: [] for c in names}).astype({"importance": float, "score": float})
         return pd.DataFrame({c: out[c] if c == "qid" else np.concatenate(out[c]) for c in names})
     return run
 
@@ -275,27 +271,24 @@ def search_index(queries: DataFrame, path: str, k: int, *, qid: str = "request_i
     ensure_checkpoint_dir(spark)
     models = _load(spark, path)
     rows = spark.read.parquet(f"{path}/rows")
-    codes = rows.drop("embedding")
     asked = _usable(queries).select(F.col(qid).alias("qid"), "user_id", DIM, F.col("embedding").alias("_q_vec"))
-    cells, asked_bins, bins = _segments(codes, asked, block_rows)
-    every_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    cells, asked_bins, bins = _segments(rows, asked, block_rows)
 
     def binned(df: DataFrame, block: Column) -> DataFrame:
         df = df.withColumn("seg", _key(block))
         return df.withColumn("bin", F.pmod(F.xxhash64("seg"), F.lit(bins)))
 
-    def in_blocks(df: DataFrame) -> DataFrame:
-        df = df.join(cells.select("user_id", DIM, "cell", "pack", "blocks", "parts"), ["user_id", DIM, "cell"])
-        df = df.withColumn("part", every_part)
-        return binned(df, F.pmod(F.xxhash64("memory_id"), F.col("blocks"))).drop(
-            "user_id", DIM, "pack", "blocks", "parts", "part")
+    def each(parts: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
 
+    in_blocks = rows.drop("angle").join(cells.select("user_id", DIM, "cell", "pack", "blocks", "wide"),
+                                        ["user_id", DIM, "cell"]).withColumn("part", each("wide"))
+    in_blocks = binned(in_blocks, F.pmod(F.xxhash64("memory_id"), F.col("blocks"))).drop(
+        "user_id", DIM, "pack", "blocks", "wide", "part")
     bin_ = F.pmod(F.xxhash64("user_id", DIM, "part"), F.lit(asked_bins)).alias("bin")
-    own = cells.withColumn("part", every_part).select(bin_, "user_id", DIM, "part", "cell", "n", "lo", "hi", "pack", "blocks")
+    own = cells.withColumn("part", each("parts")).select(bin_, "user_id", DIM, "part", "cell", "n", "lo", "hi", "pack", "blocks")
     dealt = cells.select("user_id", DIM, "parts").distinct()
     id_type = asked.schema["qid"].dataType
-    left_type = T.StructType([T.StructField("qid", id_type), T.StructField("seg", T.StringType()),
-                              T.StructField("at", T.ArrayType(T.IntegerType()))])
     hit_type = T.StructType([T.StructField("qid", id_type), rows.schema["memory_id"], rows.schema["importance"],
                              T.StructField("score", T.DoubleType())])
     visit_type = T.StructType([
@@ -309,13 +302,11 @@ def search_index(queries: DataFrame, path: str, k: int, *, qid: str = "request_i
         q = q.select(bin_, "qid", "user_id", DIM, "part", "_q_vec", "kth").groupBy("bin").cogroup(
             own.groupBy("bin")).applyInPandas(_visits(models, PROBE * k, first), visit_type)
         q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        q = q.withColumn("part", F.floor(F.col("part") / WIDE).cast("int"))
         q = binned(q, F.col("block")).select("bin", "seg", DIM, "qid", "_q_vec", "kth", "cells")
-        left = q.groupBy("bin").cogroup(in_blocks(codes).groupBy("bin")).applyInPandas(
-            _by_codes(models, k, margin, first), left_type).checkpoint()
-        found = in_blocks(rows.drop("code", "rest", "angle")).join(left.select("seg").distinct(), "seg", "left_semi")
-        left = left.join(asked.select("qid", "_q_vec"), "qid")
-        left = left.withColumn("bin", F.pmod(F.xxhash64("seg"), F.lit(bins)))
-        hits = left.groupBy("bin").cogroup(found.groupBy("bin")).applyInPandas(_by_vectors(k), hit_type)
+        hits = q.groupBy("bin").cogroup(in_blocks.groupBy("bin")).applyInPandas(_hits(models, k, margin, first), hit_type)
+        # once for every row of its qid, should that come more than once
+        hits = hits.join(asked.select("qid"), "qid")
         return hits.withColumn("rank", best).where(F.col("rank") <= k).drop("rank")
 
     first = probe(asked.withColumn("kth", F.lit(None).cast("double")), True).checkpoint()
