@@ -43,11 +43,13 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Characters in a batch of texts, and distinct units that a task remembers from batch to batch.
-BATCH, REMEMBERED = 1 << 22, 1 << 18
+BATCH, REMEMBERED = 1 << 21, 3 << 16
 #: Units that are encoded and aligned together.
-LINE = 1 << 14
+LINE = 1 << 12
 #: Links whose (text, pair) are sorted together.
-LINKS = 1 << 21
+LINKS = 1 << 19
+#: Batches in a file, each a row of some MB.
+FILE_BATCHES = 4
 _MARK = "▁"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 
@@ -377,7 +379,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
     rows of their own; a null doc_id stays null; other columns are ignored; an
     empty table gives an empty result."""
     rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    aligned = written(_aligned(rows, path_a, path_b, batch), "aligned", texts=True)
+    aligned = written(_aligned(rows, path_a, path_b, batch), "aligned", texts=True, file_rows=FILE_BATCHES)
     n_b = len(Pieces(path_b).bytes)
     each = aligned.select(F.explode(F.arrays_zip("pairs", "docs")).alias("p")).select("p.pairs", "p.docs")
     counts = written(each.groupBy(F.col("pairs").alias("pair")).agg(F.sum("docs").alias("n")), "pair-counts")
