@@ -256,7 +256,7 @@ def _hits(models: dict[int, Model], k: int, margin: float | None, first: bool):
                     out["importance"].append(importance[at[best]])
                     out["score"].append(score[best])
         if not out["qid"]:
-            return pd.DataFrame({c: [] for c in names}).astype({"importance": float, "score": float})
+            return pd.DataFrame(columns=names, dtype=object).astype({"importance": float, "score": float})
         return pd.DataFrame({c: out[c] if c == "qid" else np.concatenate(out[c]) for c in names})
     return run
 
